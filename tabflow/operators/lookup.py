@@ -33,8 +33,9 @@ def lookup_join(
     """
     on = list(on)
     kept = [c for c in table.columns if c != weight]
+    order = [F.col(f"`{c}`") for c in [*rows.columns, *[c for c in kept if c not in on]]]
     if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return rows.join(F.broadcast(table.select(*kept)), on, "left")
+        return rows.join(F.broadcast(table.select(*kept)), on, "left").select(*order)
     heavy = table.orderBy(F.desc(weight), *on).limit(heavy_keys).select(*kept)
     has_key = reduce(and_, [F.col(c).isNotNull() for c in on])
     keyed = rows.filter(has_key)
@@ -42,7 +43,7 @@ def lookup_join(
     rest = keyed.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(table.select(*kept), on, "left")
     # rows without a key match nothing; they skip the shuffle, where they would meet in one task
     unkeyed = rows.filter(~has_key).select(
-        *[F.col(c) for c in rows.columns],
+        *[F.col(f"`{c}`") for c in rows.columns],
         *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in kept if c not in on],
     )
-    return hot.unionByName(rest).unionByName(unkeyed)
+    return hot.unionByName(rest).unionByName(unkeyed).select(*order)
