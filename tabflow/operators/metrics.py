@@ -25,8 +25,12 @@ def auc_of_counts(n1: str = "n1", n0: str = "n0", below: str = "below0") -> Colu
 
 def roc_auc(df: DataFrame, *, score: str, label: str, group: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Exact area under the ROC curve per group: one row with ``auc``, ``n_pos`` and ``n_neg``."""
-    counts = score_counts(df, score, label, group)
-    ranked = running_totals(counts, group=group, order=[score], sums={"below0": F.col("n0")}, partitions=partitions)
+    return auc_from_counts(score_counts(df, score, label, group), score, group, partitions=partitions)
+
+
+def auc_from_counts(counts: DataFrame, score: str, group: Sequence[str] = (), *, partitions: int | None = None, bounded: bool = False) -> DataFrame:
+    """AUC per group from positives ``n1`` and negatives ``n0`` per distinct score."""
+    ranked = running_totals(counts, group=group, order=[score], sums={"below0": F.col("n0")}, partitions=partitions, bounded=bounded)
     return ranked.groupBy(*group).agg(
         auc_of_counts().alias("auc"), F.sum("n1").alias("n_pos"), F.sum("n0").alias("n_neg")
     )

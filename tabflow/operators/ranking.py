@@ -36,15 +36,21 @@ def running_totals(
     sums: Mapping[str, Column] | None = None,
     lags: Mapping[str, Column] | None = None,
     partitions: int | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Add running values over the rows that precede each row of its group.
 
     ``sums`` maps an output name to an expression; the output is its total over all earlier
     rows (0 for the first). ``lags`` maps an output name to an expression; the output is its
     value on the previous row (null for the first). ``order`` must be unique in a group, and
-    ascending where ``lags`` are asked for.
+    ascending where ``lags`` are asked for. ``bounded`` states that the caller has counted the
+    rows and one task can take any group; a plain window is used then.
     """
     sums, lags = dict(sums or {}), dict(lags or {})
+    if bounded:
+        w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order)
+        earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(e).over(earlier), F.lit(0)).alias(n) for n, e in sums.items()], *[F.lag(e).over(w).alias(n) for n, e in lags.items()])
     rows = range_blocks(df, group, order, partitions)
     position = F.struct(*[as_column(c) for c in order]) if lags else None
     blocks = rows.groupBy(BLOCK, *group).agg(
