@@ -1 +1,155 @@
-"""x"""
+"""Train-versus-test drift: cleaning, coercion and the separate drift checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from querybook.book import query
+from querybook.inputs import Inputs
+from querybook.metrics_queries import SHUFFLED, SHUFFLED_SQL, auc_sql
+from tabflow.functions import text as tx
+from tabflow.operators import drift, metrics, schema
+
+NUMBERS = ("price", "cust", "train_only", "const_one_side", "shifted")
+
+
+def long_sql(columns=NUMBERS) -> str:
+    return " union all ".join(f"select '{c}' as feature, cast({c} as double) as v, is_test from ab where {c} is not null" for c in columns)
+
+
+@query("auc_univariate", "feature:s auc:d", f"""
+select feature, coalesce(greatest(auc,1-auc),5e-1) as auc from (select feature, case when n_pos*n_neg>0 then auc end as auc
+ from ({auc_sql(f'({long_sql()})', 'v', 'is_test', 'feature').replace('/(sum(n1)*cast(sum(n0) as double))', '/nullif(sum(n1)*cast(sum(n0) as double),0)')}))""")
+def _(d: Inputs):
+    return metrics.separability(d.sides, features=NUMBERS, label="is_test")
+
+
+@query("drift_separable", "feature:s auc:d drifted:i", f"""
+select feature, a as auc, case when a>=995e-3 then 1 else 0 end as drifted from (select feature, coalesce(greatest(auc,1-auc),5e-1) as a from (select feature, case when n_pos*n_neg>0 then auc end as auc
+ from ({auc_sql(f'({long_sql()})', 'v', 'is_test', 'feature').replace('/(sum(n1)*cast(sum(n0) as double))', '/nullif(sum(n1)*cast(sum(n0) as double),0)')})))""")
+def _(d: Inputs):
+    return drift.separable(drift.value_table(d.sides, NUMBERS))
+
+
+PROFILED = ("price", "cat", "train_only", "const_one_side", "text_num", "disjoint_cat")
+
+
+@query("drift_null_const", "feature:s null_0:d null_1:d constant_0:i constant_1:i drifted:i", "select *, case when abs(null_0-null_1)>=95e-2 or constant_0<>constant_1 then 1 else 0 end as drifted from (" + " union all ".join(
+    f"""select '{c}' as feature, avg(case when {c} is null then 1e0 else 0e0 end) filter (where is_test=0) as null_0, avg(case when {c} is null then 1e0 else 0e0 end) filter (where is_test=1) as null_1,
+ case when count(distinct {c}) filter (where is_test=0)<=1 then 1 else 0 end as constant_0, case when count(distinct {c}) filter (where is_test=1)<=1 then 1 else 0 end as constant_1 from ab""" for c in PROFILED) + ")")
+def _(d: Inputs):
+    return drift.null_or_constant(d.sides, PROFILED)
+
+
+SIDE_STATS = f"""select feature, {', '.join(
+    f"quantile_cont(v,1e-2) filter (where is_test={s}) as q_low_{s}, quantile_cont(v,99e-2) filter (where is_test={s}) as q_high_{s}, min(v) filter (where is_test={s}) as min_{s}, max(v) filter (where is_test={s}) as max_{s}"
+    for s in (0, 1))} from ({long_sql()}) group by feature"""
+
+
+@query("drift_quantile", "feature:s q_low_0:d q_high_0:d q_low_1:d q_high_1:d drifted:i", f"select *, coalesce(cast(q_high_0+1e-12<q_low_1 or q_high_1+1e-12<q_low_0 as int),0) as drifted from ({SIDE_STATS})")
+def _(d: Inputs):
+    return drift.quantile_disjoint(drift.range_profile(drift.value_table(d.sides, NUMBERS)))
+
+
+@query("drift_minmax", "feature:s min_0:d max_0:d min_1:d max_1:d drifted:i", f"select *, coalesce(cast(max_0<min_1 or max_1<min_0 as int),0) as drifted from ({SIDE_STATS})")
+def _(d: Inputs):
+    return drift.minmax_disjoint(drift.range_profile(drift.value_table(d.sides, NUMBERS)))
+
+
+@query("drift_hist_overlap", "feature:s lo:d hi:d overlap:d drifted:i", f"""
+with l as ({long_sql()}), r as (select feature, greatest(min(v) filter (where is_test=0), min(v) filter (where is_test=1)) as lo, least(max(v) filter (where is_test=0), max(v) filter (where is_test=1)) as hi,
+ count(*) filter (where is_test=0) as c0, count(*) filter (where is_test=1) as c1 from l group by feature),
+b as (select l.feature, least(floor((v-lo)/((hi-lo)/32)),31) as bin, count(*) filter (where is_test=0) as n0, count(*) filter (where is_test=1) as n1
+ from l join r on l.feature=r.feature where c0>0 and c1>0 and v>=lo and v<=hi and hi>lo group by 1,2),
+o as (select feature, sum(least(n0/t0, n1/t1)) as overlap from (select *, cast(sum(n0) over (partition by feature) as double) as t0, cast(sum(n1) over (partition by feature) as double) as t1 from b) group by feature)
+select r.feature, lo, hi, overlap, case when coalesce(overlap,0)<=2e-2 then 1 else 0 end as drifted from r left join o on r.feature=o.feature where c0>0 and c1>0""")
+def _(d: Inputs):
+    return drift.histogram_overlap(drift.value_table(d.sides, NUMBERS))
+
+
+@query("drift_disjoint_cats", "feature:s n_values:i n_shared:i drifted:i", "select feature, count(*) as n_values, count(*) filter (where k=2) as n_shared, case when count(*) filter (where k=2)=0 then 1 else 0 end as drifted from (" + " union all ".join(
+    f"select '{c}' as feature, coalesce({c},'nan') as v, count(distinct is_test) as k from ab group by 2" for c in ("cat", "disjoint_cat", "mostly_placeholder")) + ") group by feature")
+def _(d: Inputs):
+    return drift.disjoint_categories(d.sides, ["cat", "disjoint_cat", "mostly_placeholder"])
+
+
+PLACEHOLDERS = "('-','—','–','','NaN','nan','없음','무','None','none')"
+KEPT = "try_cast(regexp_replace({0}, '[^0-9.\\-]+', '', 'g') as double)"
+
+
+@query("placeholder_clean", "id:i text_num:s mostly_placeholder:s cat:s", f"""
+select id, {', '.join(f"case when trim({c}) not in {PLACEHOLDERS} then trim({c}) end as {c}" for c in ('text_num', 'mostly_placeholder', 'cat'))} from ab""")
+def _(d: Inputs):
+    return schema.clean_placeholders(d.sides.select("id", "text_num", "mostly_placeholder", "cat"))
+
+
+@query("numeric_coercion", "id:i text_num:d mostly_placeholder:s cat:s", f"""
+select id, {KEPT.format('text_num')} as text_num, case when trim(mostly_placeholder) not in {PLACEHOLDERS} then mostly_placeholder end as mostly_placeholder, cat from ab""")
+def _(d: Inputs):
+    return schema.coerce_numeric_like(schema.clean_placeholders(d.sides.select("id", "text_num", "mostly_placeholder", "cat")))
+
+
+@query("numeric_shares", "text_num:d mostly_placeholder:d cat:d", "select " + ", ".join(
+    f"avg(case when {c} not in ('-','','NaN','nan') and {KEPT.format(c)} is not null then 1e0 else 0e0 end) as {c}" for c in ("text_num", "mostly_placeholder", "cat")) + " from ab")
+def _(d: Inputs):
+    return schema.numeric_shares(d.sides, ["text_num", "mostly_placeholder", "cat"])
+
+
+@query("forced_numeric", "id:i n:d", f"select id, {KEPT.format('mostly_placeholder')} as n from ab")
+def _(d: Inputs):
+    rows = d.sides.select("id", F.col("mostly_placeholder").alias("n"))
+    return schema.coerce_numeric_like(rows, forced=["n"])
+
+
+@query("split_combined_key", "id:i num:i date_time:s", "select id, cast(split_part(num_date_time,'_',1) as bigint) as num, split_part(num_date_time,'_',2) as date_time from ab")
+def _(d: Inputs):
+    return schema.split_key_columns(d.sides.select("id", "num_date_time"), "num_date_time")[0]
+
+
+@query("text_to_number", "id:i n:d missing:d", "select id, try_cast(case when id%3=0 then concat('v',cast(cust as varchar)) else cast(cust as varchar) end as double) as n, coalesce(try_cast(case when id%3=0 then 'v' else cast(cust as varchar) end as double),-1e0) as missing from ab")
+def _(d: Inputs):
+    cell = F.when(F.col("id") % 3 == 0, F.concat(F.lit("v"), F.col("cust"))).otherwise(F.col("cust").cast("string"))
+    return d.sides.select("id", tx.to_number(cell).alias("n"), tx.to_number(cell, -1).alias("missing"))
+
+
+@query("aligned_union", "cat:s cust:i extra:d id:i is_test:i", """
+select cat, cust, train_only as extra, id, 0 as is_test from ab where is_test=0 union all select cat, cust, null, id, 1 from ab where is_test=1""")
+def _(d: Inputs):
+    rows = d.sides
+    left = rows.filter("is_test = 0").select("id", "cat", "cust", F.col("train_only").alias("extra"))
+    return schema.aligned_union(left, rows.filter("is_test = 1").select("cust", "id", "cat"))
+
+
+def drift_input(d: Inputs):
+    rows = d.sides
+    train, test = (rows.filter(F.col("is_test") == s).drop("is_test") for s in (0, 1))
+    dim = d.table("customer").select(F.col("c_custkey").alias("num"), "c_mktsegment", "c_acctbal")
+    return drift.drift_frame(train, test.drop("train_only"), dim, key="id")
+
+
+@query("drift_union", "__row:i is_test:i num:i price:d cust:i cat:s text_num:d c_mktsegment:s c_acctbal:d hour:i dow:i day:i month:i mostly_placeholder:s", f"""
+select id as __row, is_test, cust as num, price, cust, cat, {KEPT.format('text_num')} as text_num, c_mktsegment, c_acctbal, hour(t) as hour, isodow(t)-1 as dow, day(t) as day, month(t) as month,
+ case when trim(mostly_placeholder) not in {PLACEHOLDERS} then mostly_placeholder end as mostly_placeholder
+from (select *, cast(split_part(num_date_time,'_',2) as timestamp) as t from ab) left join customer on cust=c_custkey""")
+def _(d: Inputs):
+    frame = drift_input(d)
+    table = frame.table
+    for c in ("hour",):  # constant on both sides: kept or dropped by the histogram rule
+        if c not in table.columns:
+            table = table.withColumn(c, F.lit(0))
+    return table
+
+
+@query("drift_dropped", "column:s reason:s", """
+select * from (values ('id','target or id'),('num_date_time','target or id'),('train_only','only in one table'),('const_one_side','nulls or constant on one side'),
+ ('shifted','disjoint quantile ranges'),('disjoint_cat','no common category'),('date_time','raw time'),('hour','histograms hardly overlap')) v("column", reason)""")
+def _(d: Inputs):
+    return d.spark.createDataFrame(sorted(drift_input(d).dropped.items()), "column string, reason string")
+
+
+@query("drift_balanced_sample", "id:i is_test:i", f"""
+select id, is_test from (select id, is_test, row_number() over (partition by is_test order by {SHUFFLED_SQL.format('id')}, id) as k from ab) where k<=2500""")
+def _(d: Inputs):
+    from tabflow.operators import folds
+
+    return folds.balanced_sample(d.sides, "id", "is_test", n=5000, order=SHUFFLED("id"))
