@@ -28,28 +28,23 @@ class OneHot:
     medians: dict[str, float]
 
     def names(self) -> list[str]:
-        return [*self.numeric_names(), *[n for c in self.categories for n, _ in self._flags(c)]]
-
-    def numeric_names(self) -> list[str]:
-        return [n for c in self.medians for n in (c, f"{c}__missing")]
+        """Encoded columns in vector order: each number with its missing flag, then category flags."""
+        return list(self.sources())
 
     def sources(self) -> dict[str, str]:
         """Raw column behind each encoded name."""
-        return {**{n: c for c in self.medians for n in (c, f"{c}__missing")}, **{n: c for c in self.categories for n, _ in self._flags(c)}}
-
-    def _flags(self, c: str) -> list[tuple[str, Column]]:
-        value = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(fv.MISSING_CATEGORY))
-        known = self.categories[c]
-        return [*[(f"{c}_{v}", value == v) for v in known], (f"{c}__rare", ~value.isin(known) if known else F.lit(True))]
+        numbers = {n: c for c in self.medians for n in (c, f"{c}__missing")}
+        return {**numbers, **{f"{c}_{v}": c for c, known in self.categories.items() for v in [*known, "_rare"]}}
 
-    def _vector(self, values: Sequence[Column]) -> Column:
-        return F.array(*values)
+    def _flags(self, c: str) -> list[Column]:
+        value, known = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(fv.MISSING_CATEGORY)), self.categories[c]
+        return [*[value == v for v in known], ~value.isin(known) if known else F.lit(True)]
 
     def apply(self, df: DataFrame, output: str = "features") -> DataFrame:
         """Add the feature vector: imputed numbers, missing flags, category flags."""
-        number = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None))
+        number = lambda c: F.nanvl(F.col(f"`{c}`").try_cast("double"), F.lit(None))
         columns = [x for c, m in self.medians.items() for x in (F.coalesce(number(c), F.lit(m)), number(c).isNull().cast("double"))]
-        columns += [cond.cast("double") for c in self.categories for _, cond in self._flags(c)]
+        columns += [cond.cast("double") for c in self.categories for cond in self._flags(c)]
         slots = [f"__f{i}" for i in range(len(columns))]
         return VectorAssembler(inputCols=slots, outputCol=output).transform(df.withColumns(dict(zip(slots, columns)))).drop(*slots)
 
@@ -117,6 +112,7 @@ def cross_validate(
             encoder = fit_one_hot(train, numeric, categorical) if mode == "cat" else fit_one_hot(train.withColumns({c: F.col(f"`{c}`").try_cast("double") for c in categorical}), columns, [])
             ready = materialize(encoder.apply(part).select(key, fold, "label", "is_valid", "features", *(["weight"] if balanced else [])), "cv_features")
             ready_test = None if held is None else encoder.apply(held).select(key, "features")
+            sources = encoder.sources()
             for config, make in estimators.items():
                 name, start = f"pred_{config}_{mode}", time.perf_counter()
                 estimator = make().setFeaturesCol("features").setLabelCol("label")
@@ -130,7 +126,7 @@ def cross_validate(
                 if ready_test is not None:
                     tests.append(model.transform(ready_test).select(key, F.lit(f).alias("fold"), F.lit(name).alias("model"), positive_probability().alias("pred")))
                 detail.append((int(f), name, config, mode, trees_of(model), seconds))
-                importances += [(int(f), name, encoder.sources()[n], n, v) for n, v in zip(encoder.names(), importances_of(model, len(encoder.names())))]
+                importances += [(int(f), name, c, n, v) for (n, c), v in zip(sources.items(), importances_of(model, len(sources)))]
     spark = df.sparkSession
     out = materialize(reduce(DataFrame.unionByName, oof), "oof")
     table = spark.createDataFrame(detail, "fold int, model string, config string, mode string, best_iteration int, train_seconds double")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tabflow.functions import fixed_values as fv
 from tabflow.operators import schema as sc
@@ -14,12 +15,30 @@ from tabflow.operators import survey as sv
 TIME_PARTS = tuple(f"time_input_{p}" for p in ("hour", "dayofweek", "month", "day", "is_weekend", "unix"))
 
 
-def build_features(df: DataFrame, raw_columns: Sequence[str], majors: dict[str, DataFrame], *, target: str = "completed", key: str | None = None) -> DataFrame:
-    """Row-wise builders and major groups. Signatures read earlier columns and come last."""
-    for step in (sv.it_major, sv.completed_semester, sv.certificates, sv.text_presence, sv.companies):
-        df = step(df)
-    df = sv.majors(df, majors)
-    for step in (sv.previous_classes, sv.desired_jobs, sv.lecture_reason):
+@dataclass(frozen=True)
+class FittedMaps:
+    """Frequency tables of schools, companies and majors."""
+
+    majors: dict[str, DataFrame]
+    school: DataFrame | None
+    company: DataFrame
+
+
+def fit_maps(train: DataFrame) -> FittedMaps:
+    """Each map is counted from its own raw column only."""
+    company = sv.companies(train.select(*[c for c in train.columns if c == "interested_company"], F.lit(1).alias("__one")))
+    return FittedMaps(sv.fit_majors(train), sv.fit_school(train), sv.fit_company(company))
+
+
+def build_features(df: DataFrame, raw_columns: Sequence[str], maps: FittedMaps, *, target: str = "completed", key: str | None = None) -> DataFrame:
+    """All builders except the time column.
+
+    The lookups run first, while the rows carry raw columns only; everything after them is
+    row-wise. Signatures read earlier columns and come last.
+    """
+    df = sv.apply_school(sv.apply_company(sv.companies(df), maps.company), maps.school)
+    df = sv.majors(df, maps.majors)
+    for step in (sv.it_major, sv.completed_semester, sv.certificates, sv.text_presence, sv.previous_classes, sv.desired_jobs, sv.lecture_reason):
         df = step(df)
     df = sv.engagement(df, raw_columns, exclude=[target, *([key] if key else [])])
     for step in (sv.oneday_topics, sv.expected_domain, sv.desired_certificates, sv.why_join, sv.want_to_gain, sv.signatures):
@@ -49,14 +68,15 @@ def survey_tables(train: DataFrame, test: DataFrame, *, target: str = "completed
     """Feature tables of train and test. ``fit_on="self"`` counts majors on each table separately."""
     key = key or sc.survey_key(train.columns)
     raw = train.columns
-    majors = sv.fit_majors(train)
-    left = build_features(train, raw, majors, target=target, key=key)
-    right = build_features(test, raw, majors if fit_on == "train" else sv.fit_majors(test), target=target, key=key)
-    school, company = sv.fit_school(left), sv.fit_company(left)
+    maps = fit_maps(train)
+    left = build_features(train, raw, maps, target=target, key=key)
+    right = build_features(test, raw, maps if fit_on == "train" else replace(maps, majors=sv.fit_majors(test)), target=target, key=key)
     mode = sv.time_strategy(train)
-    left, right = (sv.time_interactions(sv.apply_time_strategy(sv.apply_company(sv.apply_school(t, school), company), mode)) for t in (left, right))
+    left, right = (sv.time_interactions(sv.apply_time_strategy(t, mode)) for t in (left, right))
     features = feature_names([c for c in left.columns if c not in raw], mode)
-    left, right = sc.drop_sparse(left, right, [*features, target, *([key] if key else [])])
+    # features, target and key are protected, so only raw columns can be sparse
+    gone = sc.sparse_columns(train, [*features, target, *([key] if key else [])])
+    left, right = left.drop(*gone), right.drop(*gone)
     keep = [c for c in (key,) if c]
     prefixes = ("desired_job_has_", "desired_job_except_has_")
     features = sc.feature_list(left.columns, right.columns, features, prefixes)
