@@ -1,7 +1,8 @@
 """Column expressions on free text and multi-select cells.
 
 White space is Unicode white space throughout: ``(?U)`` makes ``\\s`` cover it, which the
-plain regular expressions and ``trim`` of the engine do not.
+plain regular expressions and ``trim`` of the engine do not. Callers that use one derived text
+several times put it in a column first, so that it is computed once per row.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tabflow.functions import fixed_values as fv
 
-_ENDS = r"(?U)^\s+|\s+$"
+# --- fixed values: the characters of the Unicode property White_Space ---
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def text(c: str | Column) -> Column:
@@ -24,12 +26,13 @@ def text(c: str | Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _ENDS, "")
+    """White space removed at both ends; only the ends are looked at."""
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def squeeze(c: Column) -> Column:
     """Runs of white space become one space; ends are stripped."""
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def clean_token(c: Column) -> Column:
@@ -73,7 +76,11 @@ def split_tokens(c: Column) -> Column:
 
 def contains_any(c: Column, words: Iterable[str]) -> Column:
     """Literal, case-insensitive substring test for any of the words."""
-    low = F.lower(c)
+    return lower_contains_any(F.lower(c), words)
+
+
+def lower_contains_any(low: Column, words: Iterable[str]) -> Column:
+    """The same on text that is lower case already."""
     return reduce(or_, [F.contains(low, F.lit(w.lower())) for w in words])
 
 
@@ -86,9 +93,9 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
 
-def keyword_flags(c: Column, rules: Mapping[str, Iterable[str]], prefix: str) -> dict[str, Column]:
-    """One 0/1 column per rule."""
-    return {f"{prefix}{name}": flag(contains_any(c, words)) for name, words in rules.items()}
+def keyword_flags(low: Column, rules: Mapping[str, Iterable[str]], prefix: str) -> dict[str, Column]:
+    """One 0/1 column per rule on lower-case text."""
+    return {f"{prefix}{name}": flag(lower_contains_any(low, words)) for name, words in rules.items()}
 
 
 def total(flags: Iterable[Column]) -> Column:
@@ -99,8 +106,9 @@ def char_length(c: Column) -> Column:
     return F.length(c)
 
 
-def word_count(c: Column) -> Column:
-    return F.size(F.filter(F.split(c, " ", -1), lambda t: t != ""))
+def word_count(squeezed: Column) -> Column:
+    """Words of squeezed text: one more than its single spaces."""
+    return F.when(squeezed == "", 0).otherwise(F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1)
 
 
 def lettered_codes(c: Column) -> Column:

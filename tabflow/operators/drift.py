@@ -19,7 +19,7 @@ from tabflow.functions import temporal as tm
 from tabflow.operators import schema as sc
 from tabflow.operators.metrics import auc_of_counts, unpivot_numbers
 from tabflow.operators.profile import missing
-from tabflow.operators.ranking import present, quantile_of_ranks, running_totals, with_group_total
+from tabflow.operators.ranking import present, quantile_of_ranks, running_totals
 from tabflow.scratch import materialize
 
 SIDE = "is_test"
@@ -53,7 +53,9 @@ def value_table(df: DataFrame, columns: Sequence[str], *, side: str = SIDE, part
 
 def range_profile(values: DataFrame, probs: tuple[float, float] = fv.RANGE_QUANTILES) -> DataFrame:
     """Per feature: low and high quantile, minimum and maximum of both sides."""
-    v = with_group_total(with_group_total(values, ["feature"], "n0", "total0"), ["feature"], "n1", "total1")
+    totals = values.groupBy("feature").agg(F.sum("n0").alias("total0"), F.sum("n1").alias("total1"))
+    # one row per column of the table
+    v = values.join(F.broadcast(totals), "feature")
     on = lambda s: F.when(F.col(f"n{s}") > 0, F.col("value"))
     parts = []
     for s in (0, 1):

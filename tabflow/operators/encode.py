@@ -65,9 +65,10 @@ def category_text(c: str) -> Column:
 
 def apply_vocabulary(df: DataFrame, vocabulary: DataFrame, fields: Sequence[str], suffix: str = "_idx") -> DataFrame:
     """Add ``<field>_idx`` per field; unknown values get 1."""
+    sizes = {r["field"]: r["count"] for r in vocabulary.groupBy("field").count().collect()}  # one row per field
     for c in fields:
         table = vocabulary.filter(F.col("field") == c).select(F.col("value").alias("__value"), "n", F.col("idx").alias("__idx"))
-        df = lookup_join(df.withColumn("__value", category_text(c)), table, ["__value"], weight="n")
+        df = lookup_join(df.withColumn("__value", category_text(c)), table, ["__value"], weight="n", n_rows=sizes.get(c, 0))
         df = df.withColumn(f"{c}{suffix}", F.coalesce("__idx", F.lit(fv.UNKNOWN_INDEX)).cast("long")).drop("__value", "__idx")
     return df
 

@@ -21,20 +21,21 @@ def lookup_join(
     on: Sequence[str],
     *,
     weight: str,
+    n_rows: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
     heavy_keys: int = HEAVY_KEYS,
 ) -> DataFrame:
     """Left join ``rows`` with a table that is unique on ``on``; the ``weight`` column is dropped.
 
     ``weight`` holds how many rows carry each key. A small table is broadcast after counting
-    it. For a large one the heaviest keys are split off: their rows meet a broadcast of
+    it (or by ``n_rows`` where it was counted before). For a large one the heaviest keys are split off: their rows meet a broadcast of
     ``heavy_keys`` rows and are not shuffled, so no hot key reaches a single task, and the
     other rows use a shuffle join. ``table`` should be a scan of a written table.
     """
     on = list(on)
     kept = [c for c in table.columns if c != weight]
     order = [F.col(f"`{c}`") for c in [*rows.columns, *[c for c in kept if c not in on]]]
-    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if (table.limit(broadcast_rows + 1).count() if n_rows is None else n_rows) <= broadcast_rows:
         return rows.join(F.broadcast(table.select(*kept)), on, "left").select(*order)
     heavy = table.orderBy(F.desc(weight), *on).limit(heavy_keys).select(*kept)
     has_key = reduce(and_, [F.col(c).isNotNull() for c in on])

@@ -104,10 +104,10 @@ def companies(df: DataFrame, *, column: str = "interested_company") -> DataFrame
     if column not in df.columns:
         return df.withColumns({"ic_primary": F.lit("UNK"), **_zeros([f"ic_has_{k}" for k in industries])})
     cell = tx.text(column)
-    return df.withColumns({
+    return df.withColumn("__clean", tx.clean_token(cell)).withColumns({
         "ic_primary": F.coalesce(F.get(company_tokens(cell), F.lit(0)), F.lit("UNK")),
-        **tx.keyword_flags(tx.clean_token(cell), {k: tx.cleaned_tokens(w) for k, w in industries.items()}, "ic_has_"),
-    })
+        **tx.keyword_flags(F.col("__clean"), {k: tx.cleaned_tokens(w) for k, w in industries.items()}, "ic_has_"),
+    }).drop("__clean")
 
 
 def fit_company(train: DataFrame, top: int = fv.COMPANY_TOP) -> DataFrame:
@@ -225,12 +225,12 @@ def lecture_reason(df: DataFrame, *, column: str = "incumbents_lecture_scale_rea
     """Length, words and job-keyword flag of the reason text."""
     if column not in df.columns:
         return df.withColumns(_zeros(["inc_lecture_reason_len", "inc_lecture_reason_words", "inc_lecture_reason_has_job_kw"]))
-    cell = tx.squeeze(tx.text(column))
-    return df.withColumns({
+    cell = F.col("__cell")
+    return df.withColumn("__cell", tx.squeeze(tx.text(column))).withColumn("__low", F.lower("__cell")).withColumns({
         "inc_lecture_reason_len": tx.char_length(cell),
         "inc_lecture_reason_words": tx.word_count(cell),
-        "inc_lecture_reason_has_job_kw": tx.flag(tx.contains_any(cell, fv.JOB_WORDS)),
-    })
+        "inc_lecture_reason_has_job_kw": tx.flag(tx.lower_contains_any(F.col("__low"), fv.JOB_WORDS)),
+    }).drop("__cell", "__low")
 
 
 def engagement(df: DataFrame, raw_columns: Sequence[str], *, exclude: Sequence[str] = ("completed", *fv.SURVEY_KEYS), optional: Sequence[str] = fv.OPTIONAL_COLUMNS) -> DataFrame:
@@ -254,8 +254,8 @@ def keyword_topics(df: DataFrame, column: str, rules: dict[str, tuple[str, ...]]
     names = [f"{prefix}{k}" for k in rules]
     if column not in df.columns:
         return df.withColumns(_zeros([*names, count]))
-    out = df.withColumns(tx.keyword_flags(tx.text(column), rules, prefix))
-    return out.withColumn(count, tx.total(F.col(n) for n in names))
+    out = df.withColumn("__low", F.lower(tx.text(column))).withColumns(tx.keyword_flags(F.col("__low"), rules, prefix))
+    return out.withColumn(count, tx.total(F.col(n) for n in names)).drop("__low")
 
 
 def oneday_topics(df: DataFrame) -> DataFrame:
@@ -269,8 +269,8 @@ def why_join(df: DataFrame) -> DataFrame:
 def want_to_gain(df: DataFrame, *, column: str = "what_to_gain") -> DataFrame:
     if column not in df.columns:
         return keyword_topics(df.withColumns(_zeros(["gain_len", "gain_words"])), column, fv.WANT_TO_GAIN, "gain_", "gain_count")
-    cell = tx.squeeze(tx.text(column))
-    out = df.withColumns({"gain_len": tx.char_length(cell), "gain_words": tx.word_count(cell), "__gain": cell})
+    out = df.withColumn("__gain", tx.squeeze(tx.text(column)))
+    out = out.withColumns({"gain_len": tx.char_length(F.col("__gain")), "gain_words": tx.word_count(F.col("__gain"))})
     return keyword_topics(out, "__gain", fv.WANT_TO_GAIN, "gain_", "gain_count").drop("__gain")
 
 
@@ -294,7 +294,7 @@ def desired_certificates(df: DataFrame, *, column: str = "desired_certificate")
     raw = tx.text(column)
     named = F.filter(tx.split_tokens(tx.blank_if_none(raw, fv.NONE_TOKENS)), lambda t: ~t.isin(list(fv.NONE_TOKENS)))
     short = F.filter(F.transform(named, lambda t: tx.squeeze(tx.without_parentheses(t))), lambda t: F.length(t) <= fv.CERT_TOKEN_MAX_LEN)
-    return df.withColumns({"desired_cert_count": F.size(F.array_distinct(short)), **tx.keyword_flags(raw, fv.DESIRED_CERTS, "desired_has_")})
+    return df.withColumns({"desired_cert_count": F.size(F.array_distinct(short)), **tx.keyword_flags(F.lower(raw), fv.DESIRED_CERTS, "desired_has_")})
 
 
 def signatures(df: DataFrame, *, time_min: float = 3, semester_min: float = 5, engaged_min: int = 2, motivated_min: int = 4, yes_pattern: str = fv.YES_PATTERN) -> DataFrame:
