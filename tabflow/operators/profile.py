@@ -32,9 +32,15 @@ def most_nulls(df: DataFrame, n: int = 20) -> DataFrame:
     return null_profile(df).orderBy(F.desc("n_null"), "column").limit(n)
 
 
+def row_identity(df: DataFrame, column: str) -> Column:
+    """The column as a grouping key: long texts by their SHA-256, so that whole texts are not shuffled."""
+    c = F.col(f"`{column}`")
+    return F.when(F.length(c) > 64, F.sha2(c, 256)).otherwise(c).alias(column) if dict(df.dtypes)[column] == "string" else c
+
+
 def duplicate_rows(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     """Rows, distinct rows and rows beyond the first of equal ones; null equals null."""
-    columns = [F.col(f"`{c}`") for c in df.columns if c not in exclude]
+    columns = [row_identity(df, c) for c in df.columns if c not in exclude]
     per_row = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
     return per_row.agg(
         F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("n_duplicates")

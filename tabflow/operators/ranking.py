@@ -3,8 +3,8 @@
 A window partitioned by a group runs each group in a single task. Groups here may hold a
 large share of all rows (one score model, one class, one episode), so ranks and running
 totals are built in two levels: rows are range-partitioned by (group, order), each range
-block is numbered and written once, windows run inside (block, group) only, and the totals
-of earlier blocks are added. A block continues at most one group from the block before it,
+block is numbered and written once, windows run inside (block, group) with one task per
+block, and the totals of earlier blocks are added. A block continues at most one group from the block before it,
 so the table of carried totals has fewer rows than there are blocks and can be broadcast.
 """
 
@@ -76,7 +76,8 @@ def running_totals(
         match = match & F.col(g).eqNullSafe(F.col(f"__carry_{g}"))
     inside = Window.partitionBy(BLOCK, *group).orderBy(*order)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.select(
+    # one task per block: the files written are the blocks that hold rows
+    local = rows.repartitionById(max(1, len(rows.inputFiles())), F.col(BLOCK)).select(
         "*",
         *[F.sum(e).over(before).alias(f"__sum_{n}") for n, e in sums.items()],
         *[F.lag(e).over(inside).alias(f"__last_{n}") for n, e in lags.items()],
