@@ -113,7 +113,7 @@ def _(d: Inputs):
 @query("sequence_key_uniqueness", "n_samples:i n_keys:i n_duplicates:i", f"""
 with s as ({STEPS.format('ep')}) select count(*) as n_samples, count(distinct game_episode) as n_keys, count(*)-count(distinct game_episode) as n_duplicates from ({TARGETS['all_pass']})""")
 def _(d: Inputs):
-    return fo.require_sequence_keys_unique(ep.targets(ep.order_steps(d.episodes), "all_pass"), "game_episode")
+    return fo.sample_key_report(ep.targets(ep.order_steps(d.episodes), "all_pass"), "game_episode")
 
 
 @query("simple_points", "game_episode:s point:i x:d y:d target_x:d target_y:d", f"""

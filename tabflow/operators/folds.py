@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabflow.operators.ranking import row_positions, top_rows, with_group_total
+from tabflow.operators.validate import ValidationError, duplicate_keys
 
 
 def hash_order(key: str, seed: int) -> Column:
@@ -81,10 +82,17 @@ def split_by_groups(df: DataFrame, assigned: DataFrame, group: str, fold: int) -
     return df.join(chosen, group, "left_anti"), df.join(chosen, group, "left_semi")
 
 
-def require_sequence_keys_unique(samples: DataFrame, key: str, split: str | None = None) -> DataFrame:
-    """Samples, distinct keys and duplicates per split."""
+def sample_key_report(samples: DataFrame, key: str, split: str | None = None) -> DataFrame:
+    """Samples, distinct keys and rows beyond the first of their key, per split."""
     by = [split] if split else []
     per_key = samples.groupBy(*by, key).agg(F.count(F.lit(1)).alias("n"))
     return per_key.groupBy(*by).agg(
         F.sum("n").alias("n_samples"), F.count(F.lit(1)).alias("n_keys"), F.sum(F.col("n") - 1).alias("n_duplicates")
     )
+
+
+def require_one_sample_per_key(samples: DataFrame, key: str, split: str | None = None) -> None:
+    """Fine-tuning needs one sample per episode in each split."""
+    if sample_key_report(samples, key, split).filter("n_duplicates > 0").count():
+        shown = [r[0] for r in duplicate_keys(samples, key).collect()]
+        raise ValidationError(f"several samples for one {key}, e.g. {shown}")

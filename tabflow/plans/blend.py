@@ -147,3 +147,11 @@ def blend_document(b: Blend, *, requested: str, step: float | None = None, top_k
         "selected_columns": F.array(*[F.lit(m) for m in b.models]), "weights": number_map(dict(zip(b.models, b.weights))),
         "comparison": number_map(b.comparison), "top_candidates": number_map(b.candidates),
     }
+
+
+def base_document(weights: dict[str, float], auc: float) -> dict:
+    """Weights document of the plain ensemble, without a blend search."""
+    return {
+        "strategy": F.lit("none"), "selected_strategy": F.lit("base_ensemble"), "selected_auc": F.lit(float(auc)),
+        "selected_columns": F.array(*[F.lit(m) for m in sorted(weights)]), "weights": number_map(weights),
+    }

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from tabflow.functions import fixed_values as fv
 from tabflow.operators import encode, ensemble, folds, metrics, validate
 from tabflow.operators.schema import categorical_columns
+from tabflow.operators.ranking import top_rows
 from tabflow.scratch import materialize
+from tabflow.sources.tables import number_map
 
 
 @dataclass(frozen=True)
@@ -105,8 +107,10 @@ def cross_validate(
     oof, tests, detail, importances = [], [], [], []
     for f in ids:
         part = data.withColumn("is_valid", F.col(fold) == f)
-        if balanced:
-            part = encode.add_class_weights(part, "label")
+        if balanced:  # one weight per class, from the training part
+            shares = encode.class_weights(part.filter("not is_valid"), "label").collect()
+            pairs = [F.lit(v) for r in shares for v in (r["label"], r["weight"])]
+            part = part.withColumn("weight", F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("label")), F.lit(1.0)))
         for mode in modes:
             train = part.filter("not is_valid")
             encoder = fit_one_hot(train, numeric, categorical) if mode == "cat" else fit_one_hot(train.withColumns({c: F.col(f"`{c}`").try_cast("double") for c in categorical}), columns, [])
@@ -181,6 +185,20 @@ def label_columns(predictions: DataFrame, pred: str, thresholds: Mapping[str, fl
     return predictions.withColumns({n: (F.col(pred) >= F.lit(float(t))).cast("int") for n, t in thresholds.items()})
 
 
+def run_document(train: DataFrame, label: str, summary: DataFrame, weights: Mapping[str, float], *, public_score: float | None = None, **settings: str | float) -> dict[str, Column]:
+    """Column expressions of the run document: target counts, weights, fold and out-of-fold AUC,
+    the gap to a public score, and the settings of the run."""
+    counts = {str(r[label]): r["n"] for r in encode.value_counts(train, label).collect()}
+    aucs = {r["fold"]: r["auc"] for r in summary.select("fold", "auc").collect()}  # one row per fold and three more
+    gap = None if public_score is None else public_score - aucs["oof"]
+    return {
+        "target_distribution": number_map(counts), "weights": number_map(weights), "oof_auc": F.lit(aucs["oof"]), "fold_auc_mean": F.lit(aucs["mean"]),
+        "fold_auc_std": F.lit(aucs["std"]), "fold_auc": number_map({f: a for f, a in aucs.items() if f not in ("oof", "mean", "std")}),
+        "public_score": F.lit(public_score).cast("double"), "oof_public_gap": F.lit(gap).cast("double"),
+        "settings": F.create_map(*[F.lit(str(v)) for item in settings.items() for v in item]) if settings else F.lit(None).cast("map<string,string>"),
+    }
+
+
 def error_frame(predictions: DataFrame, *, prob: str, label: str, threshold: float, key: str = "id", extras: DataFrame | None = None) -> DataFrame:
     """Predictions with error columns, joined with raw or feature columns by key."""
     out = predictions.withColumns(metrics.error_columns(prob, label, threshold))
@@ -194,8 +212,6 @@ def wrong_first(errors: DataFrame, key: str = "id") -> DataFrame:
 
 def confident_errors(errors: DataFrame, n: int, *, within: str | None = None, key: str = "id") -> DataFrame:
     """The n most confident wrong rows, overall or per fold; 0 keeps all wrong rows."""
-    from tabflow.operators.ranking import top_rows
-
     wrong = errors.filter("error_type != 'OK'")
     return wrong if n == 0 else top_rows(wrong, n, [F.desc("confidence"), F.col(key)], within=within)
 

@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabflow.functions import fixed_values as fv
 from tabflow.operators import episodes as ep
 from tabflow.operators import folds
+from tabflow.operators.metrics import euclidean_error
 from tabflow.scratch import materialize
 
 KEY = ep.KEY
@@ -74,9 +75,7 @@ def predict_with(sequences: DataFrame, predict: Callable[[pd.DataFrame], pd.Data
     return sequences.mapInPandas(run, DELTA)
 
 
-def mean_error(predictions: DataFrame, truth: DataFrame, *, key: str = KEY) -> Column | DataFrame:
+def mean_error(predictions: DataFrame, truth: DataFrame, *, key: str = KEY) -> DataFrame:
     """Mean distance in metres between predicted and true deltas per fold."""
-    from tabflow.operators.metrics import euclidean_error
-
     joined = predictions.join(truth.select(key, "target_dx", "target_dy"), key)
     return euclidean_error(joined, pred=("delta_x", "delta_y"), truth=("target_dx", "target_dy"), group=["fold"])
