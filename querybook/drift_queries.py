@@ -127,17 +127,12 @@ def drift_input(d: Inputs):
     return drift.drift_frame(train, test.drop("train_only"), dim, key="id")
 
 
-@query("drift_union", "__row:i is_test:i num:i price:d cust:i cat:s text_num:d c_mktsegment:s c_acctbal:d hour:i dow:i day:i month:i mostly_placeholder:s", f"""
-select id as __row, is_test, cust as num, price, cust, cat, {KEPT.format('text_num')} as text_num, c_mktsegment, c_acctbal, hour(t) as hour, isodow(t)-1 as dow, day(t) as day, month(t) as month,
+@query("drift_union", "__row:i is_test:i num:i price:d cust:i cat:s text_num:d c_mktsegment:s c_acctbal:d dow:i day:i month:i mostly_placeholder:s", f"""
+select id as __row, is_test, cust as num, price, cust, cat, {KEPT.format('text_num')} as text_num, c_mktsegment, c_acctbal, isodow(t)-1 as dow, day(t) as day, month(t) as month,
  case when trim(mostly_placeholder) not in {PLACEHOLDERS} then mostly_placeholder end as mostly_placeholder
 from (select *, cast(split_part(num_date_time,'_',2) as timestamp) as t from ab) left join customer on cust=c_custkey""")
 def _(d: Inputs):
-    frame = drift_input(d)
-    table = frame.table
-    for c in ("hour",):  # constant on both sides: kept or dropped by the histogram rule
-        if c not in table.columns:
-            table = table.withColumn(c, F.lit(0))
-    return table
+    return drift_input(d).table
 
 
 @query("drift_dropped", "column:s reason:s", """
