@@ -47,3 +47,8 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without columns an operator is about to add: a clashing input column is replaced."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def bounded_broadcast(keys: DataFrame, most: int) -> DataFrame:
+    """``keys``, a scan of a written table, marked for broadcast if it has at most ``most`` rows."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from tabflow.llm import decontaminate, language
+from tabflow.llm import decontaminate, exact_dedup, language, line_chunks, mixing, simhash, token_counts
 
 QUERIES = {
+    "op1_mix_sources": mixing.op1,
+    "op4_line_chunks": line_chunks.op4,
     "op5_decontaminate": decontaminate.op5,
     "op6_language_id": language.op6,
+    "op7_simhash_variants": simhash.op7,
+    "op8_token_counts": token_counts.op8,
+    "op9_exact_dedup": exact_dedup.op9,
 }
 
 SQL = {
+    "op1_mix_sources": mixing.OP1_SQL,
+    "op4_line_chunks": line_chunks.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
+    "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
