@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,18 +30,24 @@ def id_bucket(doc_id: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(buckets)).cast("int")
 
 
-def pieces(texts: pd.Series, limit: int = PIECE_CHARS) -> Iterator[list[str]]:
-    """The texts of a batch in order, in lists of about ``limit`` characters; null becomes ''."""
-    out, size = [], 0
-    for t in texts:
+def stretches(texts: pd.Series, limit: int = PIECE_CHARS) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The texts of a batch in order as (parts, number of the text each part is from).
+
+    About ``limit`` characters at a time; a longer text is cut into parts of ``limit``
+    characters, so memory is bounded whatever a text's length. Null is the empty text.
+    """
+    parts, of, size = [], [], 0
+    for k, t in enumerate(texts):
         t = t if isinstance(t, str) else ""
-        out.append(t)
-        size += len(t)
-        if size >= limit:
-            yield out
-            out, size = [], 0
-    if out:
-        yield out
+        for at in range(0, max(1, len(t)), limit):
+            parts.append(t[at:at + limit])
+            of.append(k)
+            size += len(parts[-1])
+            if size >= limit:
+                yield parts, np.array(of)
+                parts, of, size = [], [], 0
+    if parts:
+        yield parts, np.array(of)
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:

@@ -4,7 +4,8 @@ Fitting counts n-grams of every training text: each task adds into one count vec
 language, and Spark sums the non-zero cells by (language, bucket). The model is a matrix of
 (buckets + 1) x languages log-probabilities, a size fixed by parameters and the number of
 languages, so it is broadcast. Scoring is a sparse row-times-matrix product: the matrix rows
-of a text's n-grams are gathered and summed in numpy, a bounded group of texts at a time.
+of a text's n-grams are gathered and summed in numpy, a bounded stretch of texts at a time
+(n-grams across the cuts of a text of millions of characters are left out).
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; training rows
 with a null language or text are left out; without any training row every text is ``und``;
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import id_bucket, pieces, table, without
+from tabflow.llm.common import id_bucket, stretches, table, without
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -92,8 +93,8 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", orders=ORDER
             for name, part in batch.groupby("lang", sort=False)["text"]:
                 into = total.setdefault(name, np.zeros(buckets, dtype=np.int64))
                 n_docs[name] = n_docs.get(name, 0) + len(part)
-                for group in pieces(part):
-                    into += np.bincount(ngram_buckets(group, orders, buckets)[0], minlength=buckets)
+                for parts, _ in stretches(part):
+                    into += np.bincount(ngram_buckets(parts, orders, buckets)[0], minlength=buckets)
         for name, into in total.items():
             at = np.flatnonzero(into)
             # bucket -1 carries the number of documents
@@ -120,19 +121,17 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> Da
         m = shared.value
         buckets, names = len(m.log_prob) - 1, np.array([*m.languages, UNDETERMINED], dtype=object)
         for batch in batches:
-            best, score = [], []
-            for group in pieces(batch):
-                bucket, owner, has_letter = ngram_buckets(group, m.orders, buckets)
-                if not m.languages:
-                    best.append(np.zeros(len(group), dtype=np.int64))
-                    score.append(np.zeros(len(group)))
-                    continue
-                log = np.stack([np.bincount(owner, weights=m.log_prob[bucket, j], minlength=len(group)) for j in range(len(m.languages))], axis=1) + m.prior
-                top = log.argmax(axis=1)
-                p = 1.0 / np.exp(log - log.max(axis=1, keepdims=True)).sum(axis=1)
-                best.append(np.where(has_letter, top, len(m.languages)))
-                score.append(np.where(has_letter, p, 0.0))
-            yield pd.DataFrame({"lang_pred": names[np.concatenate(best)] if best else [], "score": np.concatenate(score) if score else []})
+            log, has_letter = np.tile(m.prior, (len(batch), 1)), np.zeros(len(batch), dtype=bool)
+            for parts, of in stretches(batch):
+                bucket, owner, letter = ngram_buckets(parts, m.orders, buckets)
+                for j in range(len(m.languages)):
+                    np.add.at(log[:, j], of, np.bincount(owner, weights=m.log_prob[bucket, j], minlength=len(parts)))
+                np.logical_or.at(has_letter, of, letter)
+            if not m.languages:
+                yield pd.DataFrame({"lang_pred": UNDETERMINED, "score": np.zeros(len(batch))})
+                continue
+            p = 1.0 / np.exp(log - log.max(axis=1, keepdims=True)).sum(axis=1)
+            yield pd.DataFrame({"lang_pred": names[np.where(has_letter, log.argmax(axis=1), len(m.languages))], "score": np.where(has_letter, p, 0.0)})
 
     kept = without(docs, ["lang_pred", "score"])
     found = kept.withColumn("_found", predict(F.col(text)))

@@ -166,21 +166,39 @@ def mix(docs: DataFrame, quota: dict[str | None, float], *, members: Column, siz
     return joined.withColumn("_hit", inside).withColumn("takes", takes).select(*[F.col(f"`{c}`") for c in kept.columns], "size", F.col("pattern").alias("members"), "takes")
 
 
-def single_source_mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = TOTAL_SHARE, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
-    """The contract's mix: (key, source, size, source_size, target, taken) of every row."""
-    sized = materialize(docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")), "mix-words")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_NODES + 1).collect()
+def _source_goals(sized: DataFrame, source: str, weights: Sequence[float], share: float, max_repeats: int) -> tuple[list, list[int], list[float]]:
+    """Sources by code point (null last), their sizes and their capped targets."""
+    totals = sized.groupBy(F.col(source).alias("s")).agg(F.sum("size").alias("n")).limit(MAX_NODES + 1).collect()
     if len(totals) > MAX_NODES:
         raise ValueError(f"more than {MAX_NODES} sources")
-    names = sorted((r["source"] for r in totals), key=lambda s: (s is None, [ord(c) for c in s or ""]))
-    size_of = {r["source"]: int(r["n"]) for r in totals}
+    size_of = {r["s"]: int(r["n"]) for r in totals}
+    names = sorted(size_of, key=lambda s: (s is None, [ord(c) for c in s or ""]))
     sizes = [size_of[s] for s in names]
-    targets = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(names))], share * sum(sizes), max_repeats)
+    return names, sizes, capped_targets(sizes, [weights[i % len(weights)] for i in range(len(names))], share * sum(sizes), max_repeats)
+
+
+def single_source_mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = TOTAL_SHARE, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
+    """The contract's mix: (doc_id, source, size, source_size, target, taken) of every row."""
+    sized = materialize(docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")), "mix-words")
+    names, sizes, targets = _source_goals(sized, "source", weights, share, max_repeats)
     mixed = mix(sized, dict(zip(names, targets)), members=F.array("source"), size=F.col("size"), key="doc_id", max_repeats=max_repeats, seed=seed)
     # one row per source: bounded by MAX_NODES
     goals = docs.sparkSession.createDataFrame([*zip(names, sizes, targets)], "_source string, source_size long, target double")
-    taken = F.expr("size * aggregate(takes, 0, (a, t) -> a + t.repeats)").cast("long")
-    return mixed.join(F.broadcast(goals), F.col("source").eqNullSafe(F.col("_source")), "left").select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return mixed.join(F.broadcast(goals), F.col("source").eqNullSafe(F.col("_source")), "left").select("doc_id", "source", "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
+
+
+def _times() -> Column:
+    return F.expr("aggregate(takes, 0L, (a, t) -> a + t.repeats)")
+
+
+def repeated_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = TOTAL_SHARE, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
+    """Each document as many times as the mix takes it, with its own columns."""
+    size = word_count(F.col(text))
+    names, _, targets = _source_goals(docs.select(F.col(source).cast("string").alias("s0"), size.alias("size")), "s0", weights, share, max_repeats)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("_id"), F.col(f"`{source}`").cast("string").alias("_source"), size.alias("_words"))
+    mixed = mix(packed, dict(zip(names, targets)), members=F.array("_source"), size=F.col("_words"), key="_id", max_repeats=max_repeats, seed=seed)
+    times = F.explode(F.expr("sequence(1L, n)"))
+    return mixed.select("row", _times().alias("n")).filter("n > 0").select("row", times.alias("_i")).select("row.*")
 
 
 def op1(spark, folder: str) -> DataFrame:

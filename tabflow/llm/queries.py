@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tabflow.llm import decontaminate, exact_dedup, language, line_chunks, mixing, simhash, suffix_dedup, token_counts, training_order
+import corpus_pipeline
+from tabflow.llm import decontaminate, exact_dedup, language, line_chunks, mixing, quality, simhash, suffix_dedup, token_counts, training_order
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op2_training_order": training_order.op2,
+    "op3_quality_mil": quality.op3,
     "op4_line_chunks": line_chunks.op4,
     "op5_decontaminate": decontaminate.op5,
     "op6_language_id": language.op6,
@@ -14,6 +16,7 @@ QUERIES = {
     "op8_token_counts": token_counts.op8,
     "op9_exact_dedup": exact_dedup.op9,
     "op10_suffix_dedup": suffix_dedup.op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {

@@ -17,7 +17,7 @@ fall into one component; a null id never is the component's id unless all its id
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -207,14 +207,39 @@ def links(distinct: DataFrame, *, max_bits: int = MAX_BITS, run_limit: int = RUN
     return light.unionByName(spread.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long"))
 
 
-def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, run_limit: int = RUN_LIMIT) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row; the least doc_id reachable names the component."""
-    own = materialize(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle=shingle).select("doc_id", "fingerprint"), "simhash")
+def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, run_limit: int = RUN_LIMIT, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fingerprint, component_id, root) of every row and the columns ``keep``.
+
+    The least doc_id reachable names the component; ``root`` is its least fingerprint.
+    """
+    own = fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), *keep), shingle=shingle)
+    own = materialize(own.select("doc_id", "fingerprint", *keep), "simhash")
     distinct = materialize(own.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = star_labels(links(distinct.select("fingerprint"), max_bits=max_bits, run_limit=run_limit))
     rooted = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fingerprint", "component_id")
-    return own.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fingerprint", "component_id", "root")
+    return own.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id", "root", *keep)
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component: the least id (null last), then the least text digest.
+
+    Rows that repeat both become one.
+    """
+    digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
+    found = components(docs.withColumn("_digest", digest), doc_id=doc_id, text=text, keep=["_digest"], **options)
+    found = materialize(found, "simhash-rows")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_digest")).alias("best"))
+    stays = best.select(F.col("best.doc_id").alias("_id"), F.col("best._digest").alias("_d"))
+    rows = found.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d"))).groupBy("_id", "_d").agg(F.count("*").alias("_n"))
+    rows = materialize(rows, "simhash-stays")
+    chosen = docs.join(rows, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (digest == F.col("_d")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = chosen.filter("_n = 1").select(*columns)
+    if rows.filter("_n > 1").isEmpty():
+        return once
+    first = chosen.filter("_n > 1").groupBy("_id", "_d").agg(F.first(F.struct(*columns)).alias("row"))
+    return once.unionByName(first.select("row.*"))
 
 
 def op7(spark, folder: str) -> DataFrame:
