@@ -19,6 +19,7 @@ table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,12 @@ from tabflow.scratch import materialize, scratch_root
 FILES_PER_BATCH = 64
 # Digests of hits are broadcast up to this many (about 30 MB), else joined by shuffle.
 BROADCAST_DIGESTS = 200_000
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Many small state stores: no preallocated files, and each batch uploads its changes only.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def sha256_of(normal: Column) -> Column:
@@ -49,6 +55,19 @@ def _pattern(path: str) -> str:
     return path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
 
 
+@contextmanager
+def _session_conf(spark: SparkSession, wanted: dict[str, str]):
+    """Session settings for the time a stream starts and runs."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stream_state(spark: SparkSession, path: str, *, doc_id: str = "doc_id", text: str = "text", digest=sha256_of, files_per_batch: int = FILES_PER_BATCH, checkpoint: str | None = None) -> DataFrame:
     """Drain the files below ``path`` through the keyed state and return the state as a table.
 
@@ -64,16 +83,9 @@ def stream_state(spark: SparkSession, path: str, *, doc_id: str = "doc_id", text
         # rewriting a batch's own folder makes a repeated batch harmless
         changed.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
 
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    try:
+    with _session_conf(spark, STATE_CONF):
         query = keyed.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     schema = "digest string, keep struct<doc_id:long,file:string,row:long>, group_size long, batch int"
     try:
         changes = spark.read.schema(schema).option("basePath", f"{folder}/changes").parquet(f"{folder}/changes")
