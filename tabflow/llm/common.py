@@ -59,3 +59,8 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
 def bounded_broadcast(keys: DataFrame, most: int) -> DataFrame:
     """``keys``, a scan of a written table, marked for broadcast if it has at most ``most`` rows."""
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """The whole row as ``_row`` beside copies of the named columns as ``_<name>``: no clash is possible."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[F.col(f"`{n}`").alias(f"_{n}") for n in names])

@@ -15,7 +15,6 @@ pass through and input columns named like an output are replaced.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -25,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import table, without
+from tabflow.llm.common import packed, table, without
 
 WINDOW = 10
 BLOCK_CHARS = 8_000_000
@@ -157,18 +156,20 @@ def _scan_block(spark, index: BenchmarkIndex):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """Documents without a hit, with their own columns only."""
-    return scan(docs, benchmark, text=text, **options).filter("n_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scan(packed(docs, text), benchmark, text=f"_{text}", **options).filter("n_hit = 0").select("_row.*")
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """Every document, with hit word ranges (and what separates their words) cut out of the text."""
-    found = scan(docs, benchmark, text=text, **options)
+    found = scan(packed(docs, text), benchmark, text=f"_{text}", **options)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([_cut(t, s) for t, s in zip(texts, spans)], dtype=object)
 
-    return found.select(*[(F.when(F.size("spans") > 0, cut(F.col(f"`{c}`"), F.col("spans"))).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns])
+    own = F.col(f"_row.`{text}`")
+    new = F.when(F.size("spans") > 0, cut(own, F.col("spans"))).otherwise(own)
+    return found.select(*[new.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def _cut(text: str | None, spans) -> str | None:
