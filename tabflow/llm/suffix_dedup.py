@@ -286,9 +286,10 @@ def _nominated(texts: DataFrame, repeated: DataFrame, shape: Shape, broadcast_ke
     """Nominated anchors of all texts, once their cores are known to repeat."""
     spark = texts.sparkSession
     if repeated.limit(broadcast_keys + 1).count() <= broadcast_keys:
-        held = repeated.toPandas()  # at most ``broadcast_keys`` pairs of a long and a flag
-        order = np.argsort(held["core"].to_numpy())
-        shared = spark.sparkContext.broadcast((held["core"].to_numpy()[order], held["copies"].to_numpy(dtype=bool)[order]))
+        held = repeated.toArrow()  # at most ``broadcast_keys`` pairs of a long and a flag, in columns
+        core, copied = (held.column(c).to_numpy(zero_copy_only=False) for c in ("core", "copies"))
+        order = np.argsort(core)
+        shared = spark.sparkContext.broadcast((core[order], copied.astype(bool)[order]))
 
         def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keys, copies = shared.value
