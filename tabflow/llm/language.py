@@ -100,7 +100,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", orders=ORDER
             # bucket -1 carries the number of documents
             yield pd.DataFrame({"lang": name, "bucket": np.append(at, -1).astype(np.int32), "n": np.append(into[at], n_docs[name])})
 
-    cells = rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    cells = rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     languages = tuple(sorted(cells["lang"].unique()))
     counts = np.zeros((buckets, len(languages)))
     docs_of = np.zeros(len(languages))

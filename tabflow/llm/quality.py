@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
                 yield pd.DataFrame({"doc_id": [name], "label": [y], "bag": [x.astype(np.float16).tobytes()]})
 
     schema = f"doc_id {dict(own.dtypes)['doc_id']}, label double, bag binary"
-    rows = own.mapInPandas(bags, schema).groupBy("doc_id").agg(F.max("label").alias("label"), F.max("bag").alias("bag")).orderBy("doc_id").toPandas()
+    rows = own.mapInPandas(bags, schema).groupBy("doc_id").agg(F.max("label").alias("label"), F.max("bag").alias("bag")).orderBy("doc_id").toArrow().to_pandas()
     parts = [np.frombuffer(r, dtype=np.float16).reshape(-1, N_FEATURES).astype(np.float32) for r in rows["bag"]]
     if not parts:
         return fit_bags(np.zeros((0, N_FEATURES), np.float32), np.zeros(0, np.int64), np.zeros(0))
