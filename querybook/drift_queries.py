@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from querybook.book import query
 from querybook.inputs import Inputs
 from querybook.metrics_queries import SHUFFLED, SHUFFLED_SQL, auc_sql
+from tabflow.functions import temporal as tm
 from tabflow.functions import text as tx
 from tabflow.operators import drift, metrics, schema
 
@@ -53,7 +54,7 @@ def _(d: Inputs):
 
 @query("drift_minmax", "feature:s min_0:d max_0:d min_1:d max_1:d drifted:i", f"select *, coalesce(cast(max_0<min_1 or max_1<min_0 as int),0) as drifted from ({SIDE_STATS})")
 def _(d: Inputs):
-    return drift.minmax_disjoint(drift.range_profile(drift.value_table(d.sides, NUMBERS)))
+    return drift.minmax_disjoint(drift.side_ranges(d.sides, NUMBERS))
 
 
 @query("drift_hist_overlap", "feature:s lo:d hi:d overlap:d drifted:i", f"""
@@ -64,7 +65,7 @@ b as (select l.feature, least(floor((v-lo)/((hi-lo)/32)),31) as bin, count(*) fi
 o as (select feature, sum(least(n0/t0, n1/t1)) as overlap from (select *, cast(sum(n0) over (partition by feature) as double) as t0, cast(sum(n1) over (partition by feature) as double) as t1 from b) group by feature)
 select r.feature, lo, hi, overlap, case when coalesce(overlap,0)<=2e-2 then 1 else 0 end as drifted from r left join o on r.feature=o.feature where c0>0 and c1>0""")
 def _(d: Inputs):
-    return drift.histogram_overlap(drift.value_table(d.sides, NUMBERS))
+    return drift.histogram_overlap(d.sides, NUMBERS)
 
 
 @query("drift_disjoint_cats", "feature:s n_values:i n_shared:i drifted:i", "select feature, count(*) as n_values, count(*) filter (where k=2) as n_shared, case when count(*) filter (where k=2)=0 then 1 else 0 end as drifted from (" + " union all ".join(
@@ -120,11 +121,16 @@ def _(d: Inputs):
     return schema.aligned_union(left, rows.filter("is_test = 1").select("cust", "id", "cat"))
 
 
-def drift_input(d: Inputs):
+def drift_input(d: Inputs, *, compact: bool = False, label: bool = False):
     rows = d.sides
+    if compact:  # the key as "<num>_<yyyyMMdd HH>"
+        num, day = F.split_part("num_date_time", F.lit("_"), F.lit(1)), F.split_part("num_date_time", F.lit("_"), F.lit(2))
+        rows = rows.withColumn("num_date_time", F.concat(num, F.lit("_"), F.replace(day, F.lit("-"), F.lit("")), F.lit(" "), F.lpad((F.col("id") % 24).cast("string"), 2, "0")))
+    if label:
+        rows = rows.withColumn("power_label", F.col("id") % 2)
     train, test = (rows.filter(F.col("is_test") == s).drop("is_test") for s in (0, 1))
     dim = d.table("customer").select(F.col("c_custkey").alias("num"), "c_mktsegment", "c_acctbal")
-    return drift.drift_frame(train, test.drop("train_only"), dim, key="id")
+    return drift.drift_frame(train, test.drop("train_only", "power_label"), dim, key="id")
 
 
 @query("drift_union", "__row:i is_test:i num:i price:d cust:i cat:s text_num:d c_mktsegment:s c_acctbal:d dow:i day:i month:i mostly_placeholder:s", f"""
@@ -135,11 +141,41 @@ def _(d: Inputs):
     return drift_input(d).table
 
 
-@query("drift_dropped", "column:s reason:s", """
-select * from (values ('id','target or id'),('num_date_time','target or id'),('train_only','only in one table'),('const_one_side','nulls or constant on one side'),
- ('shifted','disjoint quantile ranges'),('disjoint_cat','no common category'),('date_time','raw time'),('hour','histograms hardly overlap')) v("column", reason)""")
+@query("drift_union_compact", "__row:i is_test:i num:i hour:i dow:i day:i month:i", """
+select id as __row, is_test, cust as num, id%24 as hour, isodow(t)-1 as dow, day(t) as day, month(t) as month from (select *, cast(split_part(num_date_time,'_',2) as timestamp) as t from ab)""")
 def _(d: Inputs):
-    return d.spark.createDataFrame(sorted(drift_input(d).dropped.items()), "column string, reason string")
+    return drift_input(d, compact=True).table
+
+
+# by name: ids, target-like columns (power_label, which only train has), the raw time, one-sided columns; the rest from the data
+@query("drift_dropped", "column:s reason:s", """
+with s as (select *, hour(cast(split_part(num_date_time,'_',2) as timestamp)) as h from ab),
+c as (select count(distinct const_one_side) filter (where is_test=0) as c0, count(distinct const_one_side) filter (where is_test=1) as c1,
+ max(shifted) filter (where is_test=0) as s0, min(shifted) filter (where is_test=1) as s1, max(h)-min(h) as hours from s),
+k as (select count(*) as n from (select disjoint_cat from ab group by 1 having count(distinct is_test)=2))
+select "column", reason from (select * from (values ('id','target or id'),('num_date_time','target or id'),('train_only','only in one table'),('date_time','raw time'),('power_label','named like a target')) v("column", reason)
+ union all select 'const_one_side','nulls or constant on one side' from c where (c0<=1)<>(c1<=1)
+ union all select 'shifted','disjoint quantile ranges' from c where s0<s1
+ union all select 'hour','histograms hardly overlap' from c where hours=0
+ union all select 'disjoint_cat','no common category' from k where n=0)""")
+def _(d: Inputs):
+    return d.spark.createDataFrame(sorted(drift_input(d, label=True).dropped.items()), "column string, reason string")
+
+
+@query("date_text", "id:i form:i hour:i dow:i month:i day:i is_weekend:i unix:d", """
+select o_orderkey as id, o_orderkey%8 as form, hour(t) as hour, isodow(t)-1 as dow, month(t) as month, day(t) as day, case when isodow(t)>=6 then 1 else 0 end as is_weekend, epoch(t) as unix
+from (select o_orderkey, case o_orderkey%8 when 7 then null when 3 then date_trunc('day', x) when 1 then date_trunc('hour', x) else date_trunc('minute', x) end as t
+ from (select o_orderkey, o_orderdate + to_hours(cast(o_orderkey%24 as integer)) + to_minutes(cast(o_orderkey%60 as integer)) as x from orders))""")
+def _(d: Inputs):
+    t = F.expr("timestampadd(minute, cast(o_orderkey%60 as int), timestampadd(hour, cast(o_orderkey%24 as int), o_orderdate))")
+    forms = ["yyyy-MM-dd HH:mm:ss", "yyyyMMdd HH", "yyyy/MM/dd HH:mm", "yyyyMMdd", "yyyy.MM.dd HH:mm", "MM/dd/yyyy HH:mm", "yyyyMMddHHmmss"]
+    k, text = F.col("id") % 8, F.lit("20241")  # bare digits of another length are no date
+    for i, form in enumerate(forms):
+        minute = F.date_trunc("minute", F.col("t"))
+        text = F.when(k == i, F.date_format(minute, form)).otherwise(text)
+    rows = d.table("orders").select(F.col("o_orderkey").alias("id"), t.alias("t")).withColumn("text", text)
+    at = tm.to_time(F.col("text"), "string")
+    return rows.select("id", (F.col("id") % 8).alias("form"), *[c.alias(n) for n, c in tm.date_parts(at).items()], tm.unix_seconds(at).alias("unix"))
 
 
 @query("drift_balanced_sample", "id:i is_test:i", f"""

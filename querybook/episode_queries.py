@@ -83,9 +83,9 @@ def _(d: Inputs):
     return ep.long_features(d.episodes, policy="last_row")
 
 
-@query("pass_prefix_samples", FEATURES, features_sql("all_pass", tail_sql(64)))
+@query("pass_prefix_samples", FEATURES, features_sql("all_pass"))
 def _(d: Inputs):
-    return ep.long_features(d.episodes, policy="all_pass", max_tail_k=64)
+    return ep.long_features(d.episodes, policy="all_pass")
 
 
 @query("last_pass_target", "game_episode:s t_pos:i game_id:i anchor_x:d anchor_y:d target_dx:d target_dy:d", f"""
@@ -98,16 +98,17 @@ def _(d: Inputs):
 @query("sequence_lengths", "game_episode:s t_pos:i length:i n_numbers:i game_id:i", f"""
 with s as ({STEPS.format('ep')}) select game_episode, pos as t_pos, pos as length, 21*pos as n_numbers, game_id from ({TARGETS['last_pass']})""")
 def _(d: Inputs):
-    rows = d.episodes
-    sequences = ep.train_sequences(rows, encode.fit_vocabulary(rows, fv.SEQUENCE_CATEGORIES), policy="last_pass")
-    return sequences.withColumn("n_numbers", F.aggregate("num", F.lit(0), lambda a, s: a + F.size(s)))
+    return ep.sample_lengths(ep.long_features(d.episodes, policy="last_pass"))
 
 
 @query("sequence_checks", "n_samples:i n_not_finite:i", f"""
-with s as ({STEPS.format('ep')}) select count(*) as n_samples, 0 as n_not_finite from ({TARGETS['last_pass']})""")
+with s as ({STEPS.format('ep')}), t as (select game_episode as e, pos as t_pos from ({TARGETS['last_pass']}))
+select count(*) as n_samples, count(*) filter (where bad) as n_not_finite
+from (select e, t_pos, max(case when action_id%41=0 then 1 else 0 end)=1 as bad from s join t on game_episode=e and pos<=t_pos group by e, t_pos)""")
 def _(d: Inputs):
-    rows = d.episodes
-    return ep.check_sequences(ep.train_sequences(rows, encode.fit_vocabulary(rows, fv.SEQUENCE_CATEGORIES), policy="last_pass"))
+    # an infinite coordinate spoils every sample its step belongs to
+    rows = d.episodes.withColumn("start_x", F.when(F.col("action_id") % 41 == 0, F.lit(float("inf"))).otherwise(F.col("start_x")))
+    return ep.check_samples(ep.long_features(rows, policy="last_pass"))
 
 
 @query("sequence_key_uniqueness", "n_samples:i n_keys:i n_duplicates:i", f"""

@@ -16,8 +16,8 @@ select event_id as action_id, user_id as game_id,
  case event_type when 'purchase' then 'Pass' when 'view' then 'Carry' when 'click' then 'Take-On' when 'signup' then 'Block' else 'Recovery' end as type_name,
  case event_type when 'purchase' then 'Successful' when 'click' then 'Unsuccessful' end as result_name,
  ((event_id*37)%1051)/1e1 as start_x, ((event_id*53)%681)/1e1 as start_y,
- case when event_type<>'error' then ((event_id*71)%1051)/1e1 end as end_x,
- case when event_type<>'error' then ((event_id*97)%681)/1e1 end as end_y
+ case when event_type<>'error' and event_id%13<>0 then ((event_id*71)%1051)/1e1 end as end_x,
+ case when event_type<>'error' and event_id%13<>0 then ((event_id*97)%681)/1e1 end as end_y
 from {events}"""
 
 SCORES = """
@@ -57,7 +57,8 @@ select c_custkey as id, n_name as major1, case when c_custkey%3=0 then null else
  case when c_custkey%4=0 then ' None. ' when c_custkey%4=1 then concat(n_name,', ',c_mktsegment,' / ',n_name) when c_custkey%4=2 then '' else c_mktsegment end as interested,
  case c_custkey%5 when 0 then '0003: intro' when 1 then '0007 advanced, 0003: intro' when 2 then 'none' when 3 then null else 'misc' end as previous_class_3,
  case c_custkey%3 when 0 then '0011: sql' when 1 then null else '' end as previous_class_4,
- case c_custkey%6 when 0 then 'A. x, C. y' when 1 then 'B. z; B. z' when 2 then 'K. other/A. x' when 3 then 'see D. here' when 4 then null else 'none' end as desired_job,
+ case c_custkey%12 when 0 then 'A. x, C. y' when 1 then 'B. z; B. z' when 2 then 'K. other/A. x' when 3 then 'see D. here' when 4 then null when 5 then 'none'
+  when 6 then 'E. e, F. f' when 7 then 'G. g|H. h' when 8 then 'I. i, J. j' when 9 then 'M. m, R. r / U. u' when 10 then 'O. o; P. p; Q. q' else 'C. c' end as desired_job,
  case when (c_custkey*31)%10<7 then 1 else 0 end as completed
 from {customer} join {nation} on c_nationkey=n_nationkey"""
 

@@ -12,15 +12,15 @@ from tabflow.operators import ensemble, folds
 from tabflow.plans import cv, drift_model, survey_table
 
 ESTIMATORS = {
-    "m1": lambda: RandomForestClassifier(numTrees=10, maxDepth=4, seed=42),
-    "m2": lambda: LogisticRegression(maxIter=20),
+    "m1": lambda seed: RandomForestClassifier(numTrees=10, maxDepth=4, seed=seed),
+    "m2": lambda seed: LogisticRegression(maxIter=20),  # has no random part
 }
 
 
 def trained(d: Inputs) -> cv.CvResult:
     rows = d.scores
     test = d.table("orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("id"), F.lit(0.0).alias("p"), F.col("o_totalprice").alias("x"), F.col("o_orderpriority").alias("cat"))
-    return cv.cross_validate(rows, key="id", label="y", numeric=["p", "x"], categorical=["cat"], estimators=ESTIMATORS, test=test, balanced=True)
+    return cv.cross_validate(rows, key="id", label="y", numeric=["p", "x"], categorical=["cat"], estimators=ESTIMATORS, seeds=[42], test=test, balanced=True)
 
 
 @query("cv_train_oof", "id:i fold:i y:i model:s pred:d")
@@ -30,8 +30,15 @@ def _(d: Inputs):
 
 @query("cv_fold_summary", "fold:s scope:s auc:d best_iteration_mean:d best_iteration_median:d best_iteration_min:i best_iteration_max:i n_models:i")
 def _(d: Inputs):
-    weights = ensemble.model_weights(["m1", "m2"], {"cat": 1.0}, [42])
-    return cv.summarise(trained(d), {m.rsplit("_", 1)[0]: w for m, w in weights.items()})[1]
+    return cv.summarise(trained(d), ensemble.model_weights(list(ESTIMATORS), {"cat": 1.0}, [42]))[1]
+
+
+@query("cv_oof_members", "id:i fold:i y:i model:s in_range:i", """
+select id, fold, y, 'pred_'||c||'_'||m||'_'||s as model, 1 as in_range from cv, (select unnest(['m1','m2']) as c), (select unnest(['cat','numeric']) as m), (select unnest(['1','2']) as s)""")
+def _(d: Inputs):
+    small = {"m1": lambda seed: RandomForestClassifier(numTrees=2, maxDepth=2, seed=seed), "m2": lambda seed: LogisticRegression(maxIter=2)}
+    oof = cv.cross_validate(d.scores, key="id", label="y", numeric=["p", "x"], categorical=["cat"], modes=["cat", "numeric"], seeds=[1, 2], estimators=small).oof
+    return oof.withColumn("in_range", F.col("pred").between(0, 1).cast("int"))
 
 
 @query("cv_importances", "feature:s importance_mean:d importance_std:d n_models:i")

@@ -125,8 +125,8 @@ TABULAR_CATEGORIES = (
     "Sex", "Chest pain type", "FBS over 120", "EKG results", "Exercise angina", "Slope of ST", "Number of vessels fluro", "Thallium",
 )
 
-# boosted-tree settings by config: (model name, depth, learning rate)
-ENSEMBLE_CONFIGS = {"m1": ("M1", 6, 0.03), "m2": ("M2", 7, 0.025), "m3": ("M3", 5, 0.04)}
+# boosted-tree settings by config: (depth, learning rate)
+ENSEMBLE_CONFIGS = {"m1": (6, 0.03), "m2": (7, 0.025), "m3": (5, 0.04)}
 # most boosting rounds by preset
 PRESETS = {"robust": 5000, "fast": 1500, "aggressive": 7000}
 

@@ -21,9 +21,36 @@ def key_prefix_number(c: Column) -> Column:
     return F.substring_index(c, "_", 1).try_cast("bigint")
 
 
+# Date text that is understood: year first with separators or as eight digits, fourteen digits,
+# and month/day/year; a time may follow, down to the hour alone. A zone offset is not applied:
+# the clock time as written counts. Other bare numbers are no dates.
+_CLOCK = r"(?:[ T]+(\d{1,2})(?::?(\d{2})(?::?(\d{2}(?:\.\d{1,6})?)\d*)?)?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?)?$"
+DATE_TEXT = (
+    (r"^(\d{4})-(\d{1,2})-(\d{1,2})" + _CLOCK, "$1|$2|$3|$4|$5|$6"),
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})" + _CLOCK, "$1|$2|$3|$4|$5|$6"),
+    (r"^(\d{4})\.(\d{1,2})\.(\d{1,2})" + _CLOCK, "$1|$2|$3|$4|$5|$6"),
+    (r"^(\d{4})(\d{2})(\d{2})" + _CLOCK, "$1|$2|$3|$4|$5|$6"),
+    (r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1|$2|$3|$4|$5|$6"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})" + _CLOCK, "$3|$1|$2|$4|$5|$6"),
+)
+
+
 def to_time(c: Column, dtype: str) -> Column:
-    """A timestamp without time zone; text that is not one becomes null."""
-    return c.try_cast("timestamp_ntz") if dtype == "string" else c.cast("timestamp_ntz")
+    """A timestamp without time zone; text in none of the forms of ``DATE_TEXT`` becomes null."""
+    if dtype != "string":
+        return c.cast("timestamp_ntz")
+    t = F.btrim(c)
+    fields = F.lit(None).cast("string")
+    for pattern, order in reversed(DATE_TEXT):
+        fields = F.when(F.regexp_like(t, F.lit(pattern)), F.regexp_replace(t, pattern, order)).otherwise(fields)
+
+    def made(parts: Column) -> Column:
+        number = lambda i: F.coalesce(F.get(parts, F.lit(i)).try_cast("int"), F.lit(0))
+        second = F.coalesce(F.get(parts, F.lit(5)).try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
+        return F.when(parts.isNotNull(), F.try_make_timestamp_ntz(number(0), number(1), number(2), number(3), number(4), second))
+
+    # an array of one element, so that the fields are worked out once
+    return F.get(F.transform(F.array(F.split(fields, r"\|")), made), F.lit(0))
 
 
 def date_parts(t: Column) -> dict[str, Column]:

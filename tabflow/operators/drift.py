@@ -1,8 +1,8 @@
 """Train-versus-test drift: which columns tell the two tables apart.
 
-Everything numeric rests on one table of value counts, (feature, value, n0, n1) with running
-totals per side: quantiles, ranges and separability of all columns come from the same
-shuffle. Cheaper checks run first so that fewer columns reach it.
+Null ratios, constants and ranges come from plain aggregates and histograms from one pass with
+the ranges as constants. Quantiles and separability of the columns that are left rest on one
+table of value counts, (feature, value, n0, n1) with running totals per side.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -52,18 +52,26 @@ def value_table(df: DataFrame, columns: Sequence[str], *, side: str = SIDE, part
 
 
 def range_profile(values: DataFrame, probs: tuple[float, float] = fv.RANGE_QUANTILES) -> DataFrame:
-    """Per feature: low and high quantile, minimum and maximum of both sides."""
+    """Per feature: low and high quantile of both sides."""
     totals = values.groupBy("feature").agg(F.sum("n0").alias("total0"), F.sum("n1").alias("total1"))
     # one row per column of the table
     v = values.join(F.broadcast(totals), "feature")
-    on = lambda s: F.when(F.col(f"n{s}") > 0, F.col("value"))
-    parts = []
-    for s in (0, 1):
-        parts += [quantile_of_ranks("value", p, f"n{s}", f"before{s}", f"total{s}").alias(f"{name}_{s}") for name, p in zip(("q_low", "q_high"), probs)]
-        parts += [F.min(on(s)).alias(f"min_{s}"), F.max(on(s)).alias(f"max_{s}")]
+    parts = [quantile_of_ranks("value", p, f"n{s}", f"before{s}", f"total{s}").alias(f"{name}_{s}") for s in (0, 1) for name, p in zip(("q_low", "q_high"), probs)]
     return v.groupBy("feature").agg(*parts)
 
 
+def side_ranges(df: DataFrame, columns: Sequence[str], side: str = SIDE) -> DataFrame:
+    """(feature, min_0, max_0, min_1, max_1) of numeric columns from one aggregate; null and NaN do not count."""
+    def stats(i: int, c: str):
+        number = F.col(f"`{c}`").cast("double")
+        on = lambda s: F.when((F.col(side) == s) & ~F.isnan(number), number)
+        return [f(on(s)).alias(f"{n}_{s}_{i}") for s in (0, 1) for n, f in (("min", F.min), ("max", F.max))]
+
+    wide = df.agg(*[e for i, c in enumerate(columns) for e in stats(i, c)])
+    one = lambda i, c: F.struct(F.lit(c).alias("feature"), *[F.col(f"{n}_{s}_{i}").alias(f"{n}_{s}") for s in (0, 1) for n in ("min", "max")])
+    return wide.select(F.explode(F.array(*[one(i, c) for i, c in enumerate(columns)])).alias("r")).select("r.*")
+
+
 def disjoint(low_0: str, high_0: str, low_1: str, high_1: str, eps: float = 0.0):
     """The two ranges do not meet; false if a side has no value."""
     c = F.col
@@ -78,24 +86,31 @@ def minmax_disjoint(profile: DataFrame) -> DataFrame:
     return profile.select("feature", "min_0", "max_0", "min_1", "max_1", disjoint("min_0", "max_0", "min_1", "max_1").alias("drifted"))
 
 
-def histogram_overlap(values: DataFrame, *, bins: int = fv.HISTOGRAM_BINS, limit: float = fv.MIN_OVERLAP) -> DataFrame:
+def histogram_overlap(df: DataFrame, columns: Sequence[str], *, ranges: DataFrame | None = None, side: str = SIDE, bins: int = fv.HISTOGRAM_BINS, limit: float = fv.MIN_OVERLAP) -> DataFrame:
     """Overlap of the density histograms over the common range, and ``drifted`` if it is at most ``limit``.
 
-    A common range without width also counts as drifted; features with an empty side do not appear.
+    One pass over the rows with the ranges (``side_ranges``, one row per column) as constants;
+    nothing is ranked. A common range without width also counts as drifted; features with an
+    empty side do not appear.
     """
-    on = lambda s: F.when(F.col(f"n{s}") > 0, F.col("value"))
-    ranges = values.groupBy("feature").agg(*[f(on(s)).alias(f"{n}{s}") for s in (0, 1) for n, f in (("lo", F.min), ("hi", F.max))])
-    ranges = ranges.filter("lo0 is not null and lo1 is not null").select("feature", F.greatest("lo0", "lo1").alias("lo"), F.least("hi0", "hi1").alias("hi"))
-    # one row per column of the table
-    inside = values.join(F.broadcast(ranges), "feature").filter("value >= lo and value <= hi and hi > lo")
-    width = (F.col("hi") - F.col("lo")) / bins
-    at = F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
-    cells = inside.groupBy("feature", at.alias("bin")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    totals = cells.groupBy("feature").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
-    shares = cells.join(F.broadcast(totals), "feature").groupBy("feature").agg(
-        F.sum(F.least(F.try_divide(F.col("n0").cast("double"), F.col("t0")), F.try_divide(F.col("n1").cast("double"), F.col("t1")))).alias("overlap")
-    )
-    out = ranges.join(shares, "feature", "left")
+    known = (side_ranges(df, columns, side) if ranges is None else ranges).filter("min_0 is not null and min_1 is not null")
+    common = {r["feature"]: (max(r["min_0"], r["min_1"]), min(r["max_0"], r["max_1"])) for r in known.collect() if r["feature"] in columns}
+    spark = df.sparkSession
+    edges = spark.createDataFrame([(c, lo, hi) for c, (lo, hi) in common.items()], "feature string, lo double, hi double")
+    cells = []
+    for c, (lo, hi) in common.items():
+        if hi > lo:
+            v = F.col(f"`{c}`").cast("double")
+            at = F.least(F.floor((v - F.lit(lo)) / F.lit((hi - lo) / bins)), F.lit(bins - 1)).cast("int")
+            cells.append(F.when((v >= lo) & (v <= hi), F.struct(F.lit(c).alias("feature"), at.alias("bin"))))
+    if not cells:
+        return edges.select("feature", "lo", "hi", F.lit(None).cast("double").alias("overlap"), F.lit(True).alias("drifted"))
+    long = df.select(side, F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy("c.feature", "c.bin").agg(F.count_if(F.col(side) == 0).alias("n0"), F.count_if(F.col(side) == 1).alias("n1"))
+    # at most ``bins`` cells per column
+    all_cells = Window.partitionBy("feature")
+    share = lambda s: F.try_divide(F.col(f"n{s}").cast("double"), F.sum(f"n{s}").over(all_cells))
+    shares = long.select("feature", F.least(share(0), share(1)).alias("both")).groupBy("feature").agg(F.sum("both").alias("overlap"))
+    out = edges.join(shares, "feature", "left")
     return out.select("feature", "lo", "hi", "overlap", (F.coalesce("overlap", F.lit(0.0)) <= limit).alias("drifted"))
 
 
@@ -197,12 +212,19 @@ def drift_frame(train: DataFrame, test: DataFrame, dim: DataFrame | None = None,
     checked = [c for c in common if c != entity]
     drop(null_or_constant(table, checked), "nulls or constant on one side")
     live = [c for c in numeric if c not in dropped]
+    if live:
+        # ranges and histograms take one pass each; only what they leave is counted and ranked
+        ranges = materialize(side_ranges(table, live), "ranges")
+        # ranges that are further apart than the tolerance have disjoint quantile ranges too
+        apart = disjoint("min_0", "max_0", "min_1", "max_1", fv.RANGE_EPS)
+        drop(ranges.select("feature", apart.alias("drifted")), "disjoint quantile ranges")
+        drop(minmax_disjoint(ranges), "disjoint ranges")
+        live = [c for c in live if c not in dropped]
+        drop(histogram_overlap(table, live, ranges=ranges), "histograms hardly overlap")
+        live = [c for c in live if c not in dropped]
     if live:
         values = value_table(table, live)
-        profile = materialize(range_profile(values), "ranges")
-        drop(quantile_disjoint(profile), "disjoint quantile ranges")
-        drop(minmax_disjoint(profile), "disjoint ranges")
-        drop(histogram_overlap(values), "histograms hardly overlap")
+        drop(quantile_disjoint(range_profile(values)), "disjoint quantile ranges")
         drop(separable(values), "separable", keep_entity=False)
     rest = [c for c in texts if c not in dropped]
     if rest:

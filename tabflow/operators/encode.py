@@ -17,14 +17,14 @@ from tabflow.operators.ranking import exact_quantiles, row_positions
 from tabflow.scratch import materialize
 
 
-def value_counts(df: DataFrame, *columns: str) -> DataFrame:
-    """Rows per distinct value, null included."""
-    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+def value_counts(df: DataFrame, *columns: str, weight: str | None = None) -> DataFrame:
+    """Rows per distinct value, null included; of counted rows, the sum of ``weight``."""
+    return df.groupBy(*columns).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
 
 
-def fit_top_values(df: DataFrame, value: str, top: int) -> DataFrame:
+def fit_top_values(df: DataFrame, value: str, top: int, *, weight: str | None = None) -> DataFrame:
     """(value, n, freq, is_top): the ``top`` most frequent values, ties by value ascending."""
-    counts = materialize(value_counts(df.filter(F.col(value).isNotNull()), value), "counts")
+    counts = materialize(value_counts(df.filter(F.col(value).isNotNull()), value, weight=weight), "counts")
     best = counts.orderBy(F.desc("n"), value).limit(top).select(value, F.lit(True).alias("is_top"))
     # the broadcast side has at most ``top`` rows
     flagged = counts.join(F.broadcast(best), value, "left")
@@ -65,10 +65,9 @@ def category_text(c: str) -> Column:
 
 def apply_vocabulary(df: DataFrame, vocabulary: DataFrame, fields: Sequence[str], suffix: str = "_idx") -> DataFrame:
     """Add ``<field>_idx`` per field; unknown values get 1."""
-    sizes = {r["field"]: r["count"] for r in vocabulary.groupBy("field").count().collect()}  # one row per field
     for c in fields:
         table = vocabulary.filter(F.col("field") == c).select(F.col("value").alias("__value"), "n", F.col("idx").alias("__idx"))
-        df = lookup_join(df.withColumn("__value", category_text(c)), table, ["__value"], weight="n", n_rows=sizes.get(c, 0))
+        df = lookup_join(df.withColumn("__value", category_text(c)), table, ["__value"], weight="n")
         df = df.withColumn(f"{c}{suffix}", F.coalesce("__idx", F.lit(fv.UNKNOWN_INDEX)).cast("long")).drop("__value", "__idx")
     return df
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tabflow.functions import fixed_values as fv
 from tabflow.functions import geometry as geo
 from tabflow.operators import validate
-from tabflow.operators.ranking import percent_rank_avg
+from tabflow.operators.ranking import exact_quantiles, percent_rank_avg
+from tabflow.scratch import materialize
 
 
 def to_long(wide: DataFrame, models: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -132,14 +133,22 @@ def delta_ensemble(folds: DataFrame, *, key: str = "game_episode", fold: str = "
     inner, plain = ("atanh", "logit", "pre_tanh", "pretanh"), ("mean", "tanh", "raw")
     if space not in inner + plain:
         raise ValueError(f"unknown space {space!r}: use one of {inner + plain}")
-    k = validate.require_complete_folds(folds, key, fold)
-    validate.require_equal_anchors(folds, key, ["anchor_x", "anchor_y"], tolerance)
     limited = lambda c: F.greatest(F.lit(eps - 1.0), F.least(F.lit(1.0 - eps), F.col(c)))
     value = (lambda c: F.atanh(limited(c))) if space in inner else F.col
-    # exactly one row per fold and key: the arrays hold k numbers
-    grouped = folds.groupBy(key).agg(
-        F.collect_list(value("delta_x")).alias("dx"), F.collect_list(value("delta_y")).alias("dy"), F.min_by(F.struct("anchor_x", "anchor_y"), fold).alias("a")
-    )
+    # one row per fold and key, as checked below: the arrays hold k numbers
+    gap = F.greatest(F.max("anchor_x") - F.min("anchor_x"), F.max("anchor_y") - F.min("anchor_y"))
+    grouped = materialize(folds.groupBy(key).agg(
+        F.collect_list(value("delta_x")).alias("dx"), F.collect_list(value("delta_y")).alias("dy"), F.min_by(F.struct("anchor_x", "anchor_y"), fold).alias("a"),
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(fold)).alias("of"), gap.alias("gap"),
+    ), "fold_deltas")
+    seen = grouped.agg(F.min("of").alias("low"), F.max("of").alias("high"), F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.max("gap").alias("gap")).first()
+    k = len(seen["high"] or [])
+    if seen["low"] != seen["high"] or (k and {seen["n_low"], seen["n_high"]} != {k}):
+        raise validate.ValidationError(f"some {key} is missing or repeated in one of the {k} folds")
+    if seen["gap"] is not None and seen["gap"] > tolerance:
+        raise validate.ValidationError(f"anchors of one {key} differ by {seen['gap']} between folds")
+    if not k:
+        return grouped.select(key, F.lit(None).cast("double").alias("end_x"), F.lit(None).cast("double").alias("end_y"))
     mean = lambda c: F.tanh(trimmed_mean(F.col(c), k, trim)) if space in inner else trimmed_mean(F.col(c), k, trim)
     return grouped.select(
         key, geo.delta_to_end(F.col("a.anchor_x"), mean("dx"), field[0]).alias("end_x"), geo.delta_to_end(F.col("a.anchor_y"), mean("dy"), field[1]).alias("end_y")
@@ -158,10 +167,12 @@ def fold_summary(detail: DataFrame, fold_auc: DataFrame, oof_auc: float) -> Data
 
     ``detail`` has one row per trained model (fold, best_iteration), ``fold_auc`` one per fold.
     """
+    medians = exact_quantiles(detail, "best_iteration", [0.5], group=["fold"]).withColumnRenamed("q0", "best_iteration_median")
     stats = detail.groupBy("fold").agg(
-        F.avg("best_iteration").alias("best_iteration_mean"), F.median("best_iteration").alias("best_iteration_median"),
+        F.avg("best_iteration").alias("best_iteration_mean"),
         F.min("best_iteration").alias("best_iteration_min"), F.max("best_iteration").alias("best_iteration_max"), F.count(F.lit(1)).alias("n_models"),
-    )
+    ).join(medians, "fold", "left")
+    stats = stats.select("fold", *[f"best_iteration_{s}" for s in ("mean", "median", "min", "max")], "n_models")
     per_fold = fold_auc.select("fold", "auc").join(stats, "fold", "left").select(F.col("fold").cast("string").alias("fold"), F.lit("fold_ensemble").alias("scope"), *[c for c in ["auc", *stats.columns] if c != "fold"])
     overall = fold_auc.agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("std")).withColumn("oof", F.lit(float(oof_auc)).cast("double"))
     rows = overall.unpivot([], ["mean", "std", "oof"], "fold", "auc").withColumn("scope", F.lit("cv_summary"))

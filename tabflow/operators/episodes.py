@@ -14,6 +14,8 @@ block, step block), which spreads a long episode over many tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,8 +91,8 @@ def targets(steps: DataFrame, policy: str = "all_pass", *, key: str = KEY) -> Da
 def sample_steps(steps: DataFrame, samples: DataFrame, *, key: str = KEY, one_per_episode: bool) -> DataFrame:
     """Each sample with all steps of its episode up to its position (long form)."""
     if one_per_episode:
-        weights = steps.groupBy(key).agg(F.count(F.lit(1)).alias("__w"))
-        table = materialize(samples.join(weights, key), "samples")
+        # the rows of an episode that come before its sample are the table's weight
+        table = materialize(samples.withColumn("__w", F.col("t_pos")), "samples")
         return lookup_join(steps, table, [key], weight="__w").filter(F.col("pos") <= F.col("t_pos"))
     block = lambda c: F.floor((F.col(c) - 1) / PAIR_BLOCK)
     last = samples.groupBy(key).agg(F.max(block("t_pos")).alias("__last"), F.count(F.lit(1)).alias("__w"))
@@ -168,7 +170,11 @@ def _targets_of(out: DataFrame, field: tuple[float, float]) -> list[Column]:
 
 def to_sequences(long: DataFrame, *, key: str = KEY) -> DataFrame:
     """One row per sample: ``num`` array of 21-number arrays, ``cat`` array of 4-index arrays,
-    target, game number and length. A row is as long as its own sample, no longer."""
+    target, game number and length.
+
+    This packed form is for feeding an outside model: a sample must fit one row. Checks and
+    lengths work on the long table.
+    """
     step = F.struct(
         "pos", F.array(*[F.col(c).cast("double") for c in fv.SEQUENCE_NUMBERS]).alias("num"),
         F.array(*[F.col(f"{c}_idx") for c in fv.SEQUENCE_CATEGORIES]).alias("cat"),
@@ -233,8 +239,18 @@ def padded_type(df: DataFrame, column: str):
     return df.schema[column].dataType
 
 
-def check_sequences(sequences: DataFrame) -> DataFrame:
-    """One row: number of samples and of samples with a null, NaN or infinite number or target."""
-    bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    wrong = F.exists("num", lambda step: F.exists(step, bad)) | bad(F.col("target_dx")) | bad(F.col("target_dy"))
-    return sequences.agg(F.count(F.lit(1)).alias("n_samples"), F.count_if(wrong).alias("n_not_finite"))
+def sample_lengths(long: DataFrame, *, key: str = KEY) -> DataFrame:
+    """(key, t_pos, length, n_numbers, game_id) of every sample, counted on the long table."""
+    counted = long.groupBy(key, "t_pos").agg(F.count(F.lit(1)).alias("length"))
+    return counted.select(key, "t_pos", "length", (F.col("length") * len(fv.SEQUENCE_NUMBERS)).alias("n_numbers"), tm.key_prefix_number(F.col(key)).alias("game_id"))
+
+
+def check_samples(long: DataFrame, *, key: str = KEY) -> DataFrame:
+    """One row: number of samples and of samples with a null, NaN or infinite number or target.
+
+    Works on the long table, so no episode has to fit a row.
+    """
+    bad = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c)) == float("inf"))
+    wrong = reduce(or_, [bad(c) for c in (*fv.SEQUENCE_NUMBERS, "target_dx", "target_dy")])
+    per_sample = long.groupBy(key, "t_pos").agg(F.max(wrong).alias("wrong"))
+    return per_sample.agg(F.count(F.lit(1)).alias("n_samples"), F.count_if("wrong").alias("n_not_finite"))

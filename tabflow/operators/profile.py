@@ -33,9 +33,12 @@ def most_nulls(df: DataFrame, n: int = 20) -> DataFrame:
 
 
 def row_identity(df: DataFrame, column: str) -> Column:
-    """The column as a grouping key: long texts by their SHA-256, so that whole texts are not shuffled."""
+    """The column as a grouping key: long texts by length and SHA-256, so that whole texts are not shuffled.
+
+    The length keeps a digest apart from a short text that reads the same.
+    """
     c = F.col(f"`{column}`")
-    return F.when(F.length(c) > 64, F.sha2(c, 256)).otherwise(c).alias(column) if dict(df.dtypes)[column] == "string" else c
+    return F.struct(F.length(c).alias("n"), F.when(F.length(c) > 64, F.sha2(c, 256)).otherwise(c).alias("key")).alias(column) if dict(df.dtypes)[column] == "string" else c
 
 
 def duplicate_rows(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:

@@ -161,9 +161,13 @@ def top_rows(df: DataFrame, n: int, order: Sequence[Column], *, within: str | No
     """First ``n`` rows by ``order``, overall or for each value of ``within``.
 
     Overall it is a map-side top-n. For groups the ``row_number() <= n`` filter lets Spark cut
-    every map task to n rows per group before the shuffle.
+    every map task to n rows per group before the shuffle, up to the session's group-limit
+    threshold. Beyond it a group may be large, and rows are numbered in range blocks instead;
+    ``order`` must then tell the rows of a group apart.
     """
     if within is None:
         return df.orderBy(*order).limit(n)
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        return row_positions(df, group=[within], order=order, name="__nth").filter(F.col("__nth") <= n).drop("__nth")
     number = F.row_number().over(Window.partitionBy(within).orderBy(*order))
     return df.withColumn("__nth", number).filter(F.col("__nth") <= n).drop("__nth")

@@ -138,12 +138,16 @@ def major_name(column: str) -> Column:
 
 
 def fit_majors(table: DataFrame, top: int = fv.MAJOR_TOP) -> dict[str, DataFrame]:
-    """Frequency tables of both majors and of the pair of their top groups."""
-    fitted = {
-        c: fit_top_values(table.select(major_name(c).alias("__major")), "__major", top) for c in ("major1_1", "major1_2") if c in table.columns
-    }
-    paired = major_pairs(apply_major_groups(table.select(*[c for c in ("major1_1", "major1_2") if c in table.columns], F.lit(1).alias("__one")), fitted))
-    pairs = value_counts(paired, "major_pair").withColumn("__freq", F.col("n"))
+    """Frequency tables of both majors and of the pair of their top groups.
+
+    The table is read once, into counts of distinct pairs of majors; all three tables and the
+    groups of a pair come from those counts.
+    """
+    known = [c for c in ("major1_1", "major1_2") if c in table.columns]
+    counts = materialize(table.groupBy(*[major_name(c).alias(c) for c in known]).agg(F.count(F.lit(1)).alias("__rows")), "major_counts")
+    fitted = {c: fit_top_values(counts.select(F.col(c).alias("__major"), "__rows"), "__major", top, weight="__rows") for c in known}
+    paired = major_pairs(apply_major_groups(counts, fitted))
+    pairs = value_counts(paired, "major_pair", weight="__rows").withColumn("__freq", F.col("n"))
     return {**fitted, "pair": materialize(pairs, "major_pairs")}
 
 
@@ -370,7 +374,7 @@ def time_strategy(train: DataFrame, *, column: str = "time_input", datetime_shar
         return "numeric"
     cell = F.col(column).cast("string")
     share = train.agg(
-        F.avg(cell.try_cast("timestamp").isNotNull().cast("double")).alias("dates"), F.avg(tx.to_number(cell).isNotNull().cast("double")).alias("numbers")
+        F.avg(tm.to_time(F.col(column), dict(train.dtypes)[column]).isNotNull().cast("double")).alias("dates"), F.avg(tx.to_number(cell).isNotNull().cast("double")).alias("numbers")
     ).first()
     if (share["dates"] or 0.0) >= datetime_share:
         return "datetime"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabflow.operators import ensemble, validate
 from tabflow.operators.metrics import auc_from_counts, roc_auc
-from tabflow.scratch import materialize
+from tabflow.scratch import materialize, scope
 from tabflow.sources.tables import number_map
 
 GAIN = 1e-12
@@ -59,27 +59,32 @@ def neighbours(weights: Sequence[float], step: float) -> list[list[float]]:
     return out
 
 
-def simplex_search(patterns: DataFrame, n_models: int, *, step: float = 0.02, max_rounds: int = 500) -> tuple[list[float], float]:
-    """Hill climb from equal weights: take the best move until none gains; (weights, AUC).
+def simplex_search(patterns: DataFrame, n_models: int, *, step: float = 0.02, max_rounds: int = 500, small_patterns: int = SMALL_PATTERNS) -> tuple[list[float], float, bool]:
+    """Hill climb from equal weights: take the best move until none gains; (weights, AUC, converged).
 
-    The patterns are written once; a round scores at most n·(n-1) candidates in one job.
+    The patterns are written once; a round scores at most n·(n-1) candidates in one job, and
+    what it writes is freed after it. ``converged`` is false if ``max_rounds`` ended the climb.
     """
+    spark = patterns.sparkSession
     patterns = materialize(patterns, "patterns")
-    bounded = patterns.limit(SMALL_PATTERNS + 1).count() <= SMALL_PATTERNS
+    bounded = patterns.limit(small_patterns + 1).count() <= small_patterns
+
+    def scored(candidates: Sequence[Sequence[float]]) -> list[float]:
+        with scope(spark):
+            return blend_aucs(patterns, candidates, bounded=bounded)
+
     weights = [1.0 / n_models] * n_models
-    best = blend_aucs(patterns, [weights], bounded=bounded)[0]
-    for _ in range(max_rounds if n_models > 1 else 0):
-        moves = neighbours(weights, step)
-        if not moves:
-            break
+    best = scored([weights])[0]
+    for _ in range(max_rounds):
+        moves = neighbours(weights, step) if n_models > 1 else []
         chosen = None
-        for move, auc in zip(moves, blend_aucs(patterns, moves, bounded=bounded)):
+        for move, auc in zip(moves, scored(moves) if moves else []):
             if auc > best + GAIN:
                 chosen, best = move, auc
         if chosen is None:
-            break
+            return weights, best, True
         weights = chosen
-    return weights, best
+    return weights, best, False
 
 
 @dataclass(frozen=True)
@@ -92,6 +97,7 @@ class Blend:
     candidates: dict[str, float]
     oof: DataFrame
     test: DataFrame
+    converged: bool = True  # false if the round limit ended a search
 
 
 def optimised_blend(oof: DataFrame, test: DataFrame, *, key: str = "id", label: str = "y", step: float = 0.02, top_k: int = 5, max_rounds: int = 500, models: Sequence[str] | None = None) -> Blend:
@@ -105,10 +111,10 @@ def optimised_blend(oof: DataFrame, test: DataFrame, *, key: str = "id", label:
     spaces = {"rank": (materialize(ensemble.rank_predictions(oof), "oof_ranks"), ensemble.rank_predictions(test)), "prob": (oof, test)}
     found = {s: simplex_search(prediction_patterns(o, chosen, key=key, label=label), len(chosen), step=step, max_rounds=max_rounds) for s, (o, _) in spaces.items()}
     space = "rank" if found["rank"][1] >= found["prob"][1] else "prob"
-    weights, auc = found[space]
+    weights, auc, _ = found[space]
     shares = dict(zip(chosen, weights))
     mix = lambda d, keep: ensemble.weighted_blend(d, shares, key=key, keep=keep)
-    return Blend(space, chosen, weights, auc, {f"{s}_auc": a for s, (_, a) in found.items()}, dict(best), mix(spaces[space][0], [label]), mix(spaces[space][1], []))
+    return Blend(space, chosen, weights, auc, {f"{s}_auc": a for s, (_, a, _) in found.items()}, dict(best), mix(spaces[space][0], [label]), mix(spaces[space][1], []), all(c for *_, c in found.values()))
 
 
 def equal_blend(oof: DataFrame, test: DataFrame, *, space: str, key: str = "id", label: str = "y") -> Blend:
@@ -145,7 +151,7 @@ def blend_document(b: Blend, *, requested: str, step: float | None = None, top_k
         "strategy_requested": F.lit(requested), "selected_strategy": F.lit(b.strategy), "selected_auc": F.lit(float(b.auc)),
         "step": F.lit(step).cast("double"), "top_k": F.lit(top_k).cast("int"), "n_models": F.lit(len(b.models)),
         "selected_columns": F.array(*[F.lit(m) for m in b.models]), "weights": number_map(dict(zip(b.models, b.weights))),
-        "comparison": number_map(b.comparison), "top_candidates": number_map(b.candidates),
+        "converged": F.lit(b.converged), "comparison": number_map(b.comparison), "top_candidates": number_map(b.candidates),
     }
 
 

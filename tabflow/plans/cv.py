@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -87,9 +88,10 @@ def cross_validate(
     label: str,
     numeric: Sequence[str],
     categorical: Sequence[str] = (),
-    estimators: Mapping[str, Callable[[], object]],
+    estimators: Mapping[str, Callable[..., object]],
     fold: str = "fold",
     modes: Sequence[str] = ("cat",),
+    seeds: Sequence[int] | None = None,
     balanced: bool = False,
     test: DataFrame | None = None,
 ) -> CvResult:
@@ -98,7 +100,8 @@ def cross_validate(
     ``estimators`` maps a config name to a factory of a Spark ML classifier. Mode "cat" feeds
     encoded categories, "numeric" casts all columns to numbers. Boosted trees stop early on
     the held-out fold. ``balanced`` weighs rows by class. Encodings are fitted on the training
-    part of each fold only. Models are named ``pred_<config>_<mode>``.
+    part of each fold only. With ``seeds`` a factory takes the seed, every seed is trained, and
+    models are named ``pred_<config>_<mode>_<seed>``; without, ``pred_<config>_<mode>``.
     """
     columns = [*numeric, *categorical]
     data = materialize(df.select(key, fold, F.col(label).cast("double").alias("label"), *columns), "cv")
@@ -117,9 +120,9 @@ def cross_validate(
             ready = materialize(encoder.apply(part).select(key, fold, "label", "is_valid", "features", *(["weight"] if balanced else [])), "cv_features")
             ready_test = None if held is None else encoder.apply(held).select(key, "features")
             sources = encoder.sources()
-            for config, make in estimators.items():
-                name, start = f"pred_{config}_{mode}", time.perf_counter()
-                estimator = make().setFeaturesCol("features").setLabelCol("label")
+            for (config, make), seed in product(estimators.items(), seeds or [None]):
+                name, start = "_".join(["pred", config, mode, *([] if seed is None else [str(seed)])]), time.perf_counter()
+                estimator = (make() if seed is None else make(seed)).setFeaturesCol("features").setLabelCol("label")
                 if balanced:
                     estimator = estimator.setWeightCol("weight")
                 early = isinstance(estimator, GBTClassifier)
@@ -129,11 +132,11 @@ def cross_validate(
                 oof.append(scored.select(key, F.col(fold).alias("fold"), F.col("label").cast("int").alias("y"), F.lit(name).alias("model"), positive_probability().alias("pred")))
                 if ready_test is not None:
                     tests.append(model.transform(ready_test).select(key, F.lit(f).alias("fold"), F.lit(name).alias("model"), positive_probability().alias("pred")))
-                detail.append((int(f), name, config, mode, trees_of(model), seconds))
+                detail.append((int(f), name, config, mode, seed, trees_of(model), seconds))
                 importances += [(int(f), name, c, n, v) for (n, c), v in zip(sources.items(), importances_of(model, len(sources)))]
     spark = df.sparkSession
     out = materialize(reduce(DataFrame.unionByName, oof), "oof")
-    table = spark.createDataFrame(detail, "fold int, model string, config string, mode string, best_iteration int, train_seconds double")
+    table = spark.createDataFrame(detail, "fold int, model string, config string, mode string, seed int, best_iteration int, train_seconds double")
     auc = metrics.roc_auc(out, score="pred", label="y", group=["fold", "model"]).select(F.col("fold").cast("int").alias("fold"), "model", "auc")
     return CvResult(
         out,

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabflow.operators import folds, metrics
@@ -50,28 +50,41 @@ def fit_drift_model(frame: DriftFrame, *, valid_share: float = 0.3, seed: int =
 
 
 def permutation_importance(m: DriftModel, *, n: int = 5000, repeats: int = 5, seed: int = 42) -> DataFrame:
-    """(feature, importance_mean, importance_std): AUC lost when one raw column is shuffled.
+    """(feature, importance_mean, importance_std): AUC the model loses when one raw column is shuffled.
 
-    Works on a class-balanced sample of at most ``n`` rows; shuffling joins every row with the
-    value at another position. All columns and repeats are scored by one job.
+    Works on a class-balanced sample of at most ``n`` rows.
     """
     sample = materialize(folds.balanced_sample(m.valid, ROW, SIDE, n=n, seed=seed), "drift_sample")
-    base = metrics.roc_auc(score(m, sample), score="score", label=SIDE).first()["auc"]
-    # at most n rows: a plain window is enough
-    placed = lambda s: sample.withColumn("__pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(folds.hash_order(ROW, s), ROW)))
-    parts = []
-    for r in range(repeats):
-        rows = placed(seed + 1 + 2 * r)
-        for i, c in enumerate(m.features):
-            other = placed(seed + 2 + 2 * r + 1000 * (i + 1)).select("__pos", F.col(f"`{c}`").alias("__value"))
-            shuffled = rows.join(other, "__pos").withColumn(c, F.col("__value")).drop("__pos", "__value")
-            parts.append(shuffled.withColumns({"__feature": F.lit(c), "__repeat": F.lit(r)}))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    aucs = metrics.roc_auc(score(m, every), score="score", label=SIDE, group=["__feature", "__repeat"])
-    drop = F.lit(base) - F.col("auc")
-    return aucs.groupBy(F.col("__feature").alias("feature")).agg(F.avg(drop).alias("importance_mean"), F.stddev_pop(drop).alias("importance_std")).orderBy(F.desc("importance_mean"), "feature")
+    return permuted_losses(sample, m.features, lambda df: score(m, df), repeats=repeats, seed=seed)
+
+
+def permuted_losses(sample: DataFrame, features: Sequence[str], scorer: Callable[[DataFrame], DataFrame], *, repeats: int = 5, seed: int = 42,
+                    order: Callable[[Column, Column, Column, Column], Column] | None = None) -> DataFrame:
+    """Mean and population deviation of the AUC lost per shuffled feature; ``scorer`` adds ``score``.
+
+    For every (feature, repeat) the sample is put in two orders and each row takes the feature's
+    value from the row at its place in the other one. ``order(row, feature number, repeat, side)``
+    gives the orders; by default it is a seeded hash. All features and repeats are one table and
+    one scoring job. The caller bounds the sample, so its copies are broadcast.
+    """
+    order = order or (lambda row, i, r, s: F.xxhash64(row.cast("string"), i, r, s, F.lit(seed)))
+    base = metrics.roc_auc(scorer(sample), score="score", label=SIDE).first()["auc"]
+    runs = F.explode(F.array(*[F.struct(F.lit(i).alias("__feature"), F.lit(r).alias("__repeat")) for i in range(len(features)) for r in range(repeats)]))
+    every = sample.select(ROW, runs.alias("__run")).select(ROW, "__run.*")
+    # one window group per (feature, repeat), as large as the sample
+    place = lambda s: F.row_number().over(Window.partitionBy("__feature", "__repeat").orderBy(order(F.col(ROW), F.col("__feature"), F.col("__repeat"), F.lit(s)), ROW))
+    first = every.withColumn("__pos", place(0))
+    second = every.withColumn("__pos", place(1)).withColumnRenamed(ROW, "__other")
+    pairs = first.join(second, ["__feature", "__repeat", "__pos"]).drop("__pos")
+    values = sample.select(F.col(ROW).alias("__other"), *[F.col(f"`{c}`").alias(f"__new_{i}") for i, c in enumerate(features)])
+    full = pairs.join(F.broadcast(sample), ROW).join(F.broadcast(values), "__other")
+    mixed = full.select(
+        "__feature", "__repeat", *[F.col(f"`{c}`") for c in sample.columns if c not in features],
+        *[F.when(F.col("__feature") == i, F.col(f"__new_{i}")).otherwise(F.col(f"`{c}`")).alias(c) for i, c in enumerate(features)])
+    aucs = metrics.roc_auc(scorer(mixed), score="score", label=SIDE, group=["__feature", "__repeat"])
+    loss, name = F.lit(base) - F.col("auc"), F.element_at(F.array(*[F.lit(c) for c in features]), F.col("__feature") + 1)
+    losses = aucs.groupBy(name.alias("feature")).agg(F.avg(loss).alias("importance_mean"), F.stddev_pop(loss).alias("importance_std"))
+    return losses.orderBy(F.desc("importance_mean"), "feature")
 
 
 def test_likeness(m: DriftModel, table: DataFrame, keep: Sequence[str] = (ROW, SIDE)) -> DataFrame:

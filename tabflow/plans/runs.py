@@ -17,20 +17,26 @@ from tabflow.scratch import materialize
 from tabflow.sources import cache, tables
 
 
-def boosted_configs(preset: str = "fast", seed: int = 42, *, max_iter: int | None = None) -> dict[str, Callable[[], object]]:
-    """One boosted-tree factory per ensemble config."""
+def boosted_configs(preset: str = "fast", *, max_iter: int | None = None) -> dict[str, Callable[[int], object]]:
+    """One boosted-tree factory per ensemble config; it takes the seed."""
+    if preset not in fv.PRESETS:
+        raise ValueError(f"unknown preset {preset!r}: use one of {sorted(fv.PRESETS)}")
     rounds = max_iter or fv.PRESETS[preset]
 
     def factory(depth: int, rate: float):
-        return lambda: GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
+        return lambda seed: GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
 
-    return {name: factory(depth, rate) for name, (_, depth, rate) in fv.ENSEMBLE_CONFIGS.items()}
+    return {name: factory(depth, rate) for name, (depth, rate) in fv.ENSEMBLE_CONFIGS.items()}
 
 
 def tabular_run(train: DataFrame, test: DataFrame, template: DataFrame, out: str, *, key: str = "id", target: str = "Heart Disease", categorical: Sequence[str] = fv.TABULAR_CATEGORIES,
                 labels: Mapping[str, int] = fv.LABELS, n_splits: int = 5, seed: int = 42, feature_mode: str = "cat", hybrid_weight: float = 0.5, strategy: str = "none",
-                estimators: Mapping[str, Callable[[], object]] | None = None, public_score: float | None = None, **search) -> float:
-    """Cross-validated ensemble of labelled rows with optional blend search; returns the OOF AUC."""
+                preset: str = "fast", seeds: Sequence[int] | None = None, estimators: Mapping[str, Callable[[int], object]] | None = None, public_score: float | None = None, **search) -> float:
+    """Cross-validated ensemble of labelled rows with optional blend search; returns the OOF AUC.
+
+    Every config, feature mode and seed (``seed`` alone by default) is trained on every fold.
+    """
+    train, test = tables.null_for_nan(train), tables.null_for_nan(test)
     if n_splits < 2:
         raise ValueError("n_splits must be at least 2")
     for name, df in (("train", train), ("test", test), ("template", template)):
@@ -40,11 +46,11 @@ def tabular_run(train: DataFrame, test: DataFrame, template: DataFrame, out: str
     labelled = materialize(validate.map_label(train, target, labels=labels), "labelled")
     columns = [c for c in test.columns if c != key]
     modes = ensemble.submode_weights(feature_mode, hybrid_weight)
-    estimators = estimators or boosted_configs(seed=seed)
+    estimators, seeds = estimators or boosted_configs(preset), list(seeds or [seed])
     data = labelled.join(folds.stratified_folds(labelled, key, "target", n_splits, seed=seed), key)
     result = cv.cross_validate(data, key=key, label="target", numeric=[c for c in columns if c not in categorical], categorical=[c for c in columns if c in categorical],
-                               estimators=estimators, modes=list(modes), test=test)
-    weights = {f"pred_{c}_{m}": w / len(estimators) for c in estimators for m, w in modes.items()}
+                               estimators=estimators, modes=list(modes), seeds=seeds, test=test)
+    weights = ensemble.model_weights(list(estimators), modes, seeds)
     blended, summary, auc = cv.summarise(result, weights, key=key)
     predicted = ensemble.weighted_blend(result.test, weights, key=key)
     tables.write_table(cv.submission(template, predicted, key=key, name=target), f"{out}/submission", fmt="csv")
@@ -71,6 +77,7 @@ def tabular_run(train: DataFrame, test: DataFrame, template: DataFrame, out: str
 def survey_run(train: DataFrame, test: DataFrame, out: str, *, target: str = "completed", key: str = "id", n_splits: int = 5, seed: int = 42, threshold: float = 0.5,
                max_errors: int = 0, extra_columns: Sequence[str] = ("major_field",), make: Callable[[], object] | None = None) -> float:
     """Survey features, balanced cross-validation, tuned threshold, submissions and error tables; returns the tuned threshold."""
+    train, test = tables.null_for_nan(train), tables.null_for_nan(test)
     made = survey_table.survey_tables(train, test, target=target, key=key)
     x_train, x_test = materialize(made.train.withColumn(target, F.coalesce(F.col(target).try_cast("int"), F.lit(0))), "survey_train"), materialize(made.test, "survey_test")
     numeric, cats = cv.category_columns(x_train, made.features, made.categorical)
@@ -95,22 +102,25 @@ def survey_run(train: DataFrame, test: DataFrame, out: str, *, target: str = "co
     return tuned
 
 
-def episode_run(train: DataFrame, test: DataFrame, template: DataFrame, out: str, *, n_folds: int = 5, policy: str = "last_pass", max_tail_k: int = 64, space: str = "atanh", trim: int = 1, seed: int = 42) -> DataFrame:
-    """Cached episode sequences, fold models, fold predictions and the ensembled end points.
+def episode_run(train: DataFrame, test: DataFrame, template: DataFrame, out: str, *, n_folds: int = 5, policy: str = "last_pass", max_tail_k: int = 0, space: str = "atanh", trim: int = 1, seed: int = 42) -> DataFrame:
+    """Cached samples, fold models, fold predictions and the ensembled end points.
 
-    An outside model can train on the cached sequences; ``episode_model.predict_with`` scores it.
+    The cached long table is keyed by parameters and by the contents of ``train``; the models
+    train on it, and an outside model can (``episodes.to_sequences`` packs it;
+    ``episode_model.predict_with`` scores it). ``max_tail_k`` cuts episodes to their last rows.
     """
     spark = train.sparkSession
+    train, test = tables.null_for_nan(train), tables.null_for_nan(test)
     vocabulary = encode.fit_vocabulary(train, fv.SEQUENCE_CATEGORIES)
     params = {"policy": policy, "max_tail_k": max_tail_k, "field": fv.FIELD, "dt": [fv.DT_CLIP, fv.DT_REF], "no_end": fv.NO_END_TYPES,
-              "vocabulary": {r["field"]: r["size"] for r in encode.vocabulary_sizes(vocabulary).collect()}, "rows": train.count()}
-    build = lambda: ep.train_sequences(train, vocabulary, policy=policy, max_tail_k=max_tail_k)
-    sequences = cache.cached_dataset(spark, f"{out}/cache", params, build, check=cache.array_dims_check({"num": len(fv.SEQUENCE_NUMBERS), "cat": len(fv.SEQUENCE_CATEGORIES)}))
-    if ep.check_sequences(sequences).first()["n_not_finite"]:
-        raise validate.ValidationError("sequences hold missing or infinite numbers")
+              "vocabulary": {r["field"]: r["size"] for r in encode.vocabulary_sizes(vocabulary).collect()}, "input": cache.table_fingerprint(train)}
+    build = lambda: ep.long_features(train, policy=policy, max_tail_k=max_tail_k, vocabulary=vocabulary)
+    steps = cache.cached_dataset(spark, f"{out}/cache", params, build, check=cache.columns_check([*fv.SEQUENCE_NUMBERS, *[f"{c}_idx" for c in fv.SEQUENCE_CATEGORIES]]))
+    if ep.check_samples(steps).first()["n_not_finite"]:
+        raise validate.ValidationError("samples hold missing or infinite numbers")
+    samples = materialize(episode_model.sample_summary(steps), "samples")
     if policy == "last_pass":
-        folds.require_one_sample_per_key(sequences, ep.KEY)
-    samples = materialize(episode_model.sample_summary(ep.long_features(train, policy=policy, max_tail_k=max_tail_k)), "samples")
+        folds.require_one_sample_per_key(samples, ep.KEY)
     models = episode_model.train_fold_models(samples, n_folds, seed=seed)
     scored = episode_model.predict_deltas(models, episode_model.sample_summary(ep.long_features(test, policy="last_row", max_tail_k=max_tail_k)))
     tables.write_table(scored, f"{out}/fold_predictions", partition_by=["fold"])
@@ -122,6 +132,7 @@ def episode_run(train: DataFrame, test: DataFrame, template: DataFrame, out: str
 
 def drift_run(train: DataFrame, test: DataFrame, dim: DataFrame | None, out: str, *, key: str, repeats: int = 5, **options) -> float:
     """Adversarial validation: model AUC, importances, per-row test-likeness and the report; returns the AUC."""
+    train, test = tables.null_for_nan(train), tables.null_for_nan(test)
     frame = drift_frame(train, test, dim, key=key)
     m = drift_model.fit_drift_model(frame, **options)
     importances = materialize(drift_model.permutation_importance(m, repeats=repeats), "importances")

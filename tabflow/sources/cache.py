@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +27,14 @@ def file_fingerprint(spark: SparkSession, path: str) -> str:
     return f"{r['n']}-{r['size']}-{r['at']}"
 
 
+def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> str:
+    """Rows and order-free checksums of a table's contents, in one pass."""
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in columns or df.columns])
+    again = F.xxhash64(h, F.lit(1))  # rows that repeat in pairs cancel out of the first sum only
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("x"), F.coalesce(F.sum(F.shiftrightunsigned(again, 20)), F.lit(0)).alias("s")).first()
+    return f"{r['n']}-{r['x']:x}-{r['s']:x}"
+
+
 def cached_dataset(
     spark: SparkSession,
     root: str,
@@ -67,6 +75,15 @@ def cached_datasets(spark: SparkSession, root: str, variants: Mapping[Any, Mappi
     return {name: loaded[signature(params)] for name, params in variants.items()}
 
 
+def columns_check(names: Sequence[str]) -> Callable[[DataFrame], str | None]:
+    """A check that the stored table has the named columns."""
+    def check(df: DataFrame) -> str | None:
+        missing = [n for n in names if n not in df.columns]
+        return f"missing columns: {missing}" if missing else None
+
+    return check
+
+
 def array_dims_check(sizes: Mapping[str, int]) -> Callable[[DataFrame], str | None]:
     """A check that every inner array of the named columns has the given length."""
     def check(df: DataFrame) -> str | None:

@@ -50,15 +50,25 @@ def read_labelled_tables(spark: SparkSession, train: str, test: str, template: s
     return frames
 
 
-def read_entity_files(spark: SparkSession, meta: DataFrame, files: str | Sequence[str], schema: StructType | str, *, path_column: str = "path", key: str = "game_episode") -> DataFrame:
+def read_entity_files(spark: SparkSession, meta: DataFrame, files: str | Sequence[str], schema: StructType | str, *, base: str | None = None, path_column: str = "path", key: str = "game_episode") -> DataFrame:
     """Rows of many per-entity files in one scan, each with the metadata row of its file.
 
     ``files`` is a folder or pattern that covers the files; the join on the file path picks
-    those the metadata lists. Nothing is listed or looped over on the driver.
+    those the metadata lists. Relative listed paths count from the folder ``base``. A listed
+    file that is not among ``files`` is an error. Nothing is looped over on the driver.
     """
-    tail = lambda c: F.regexp_replace(F.regexp_replace(c, r"^[a-z0-9]+:/*", "/"), r"^(\./)+", "")
-    rows = spark.read.option("header", True).schema(schema).csv(files).withColumn("__path", tail(F.url_decode(F.col("_metadata.file_path"))))
-    listed = meta.select(F.col(key).alias("__key"), tail(F.col(path_column)).alias("__listed"))
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/"), r"/(\./)+", "/")
+    own_path = F.url_decode(F.col("_metadata.file_path"))
+    rows = spark.read.option("header", True).schema(schema).csv(files).withColumn("__path", plain(own_path))
+    listed = F.col(path_column)
+    if base is not None:
+        listed = F.when(listed.rlike(r"^(/|[A-Za-z][A-Za-z0-9+.-]*:/)"), listed).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), listed))
+    listed = meta.select(F.col(key).alias("__key"), plain(listed).alias("__listed"))
+    there = spark.read.format("binaryFile").load(files).select(plain(F.url_decode("path")).alias("__listed"))
+    missing = listed.join(there, "__listed", "left_anti").select("__listed").limit(6).collect()
+    if missing:
+        names = ", ".join(str(r[0]) for r in missing[:5]) + (", …" if len(missing) > 5 else "")
+        raise validate.ValidationError(f"listed files that are not among the files read: {names}")
     own = [c for c in rows.columns if c not in ("__path", key)]
     return rows.join(listed, F.col("__path") == F.col("__listed"), "inner").select(F.col("__key").alias(key), *own)
 

@@ -99,7 +99,7 @@ def test_sequences_and_padding(events):
     s = seqs["2_1", 4]
     assert (s["length"], s["game_id"], len(s["num"]), len(s["num"][0]), len(s["cat"][3])) == (4, 2, 4, 21, 4)
     assert s["target_dx"] == pytest.approx(50 / 105) and s["cat"][3][3] == s["cat"][0][3]  # masked result reads as "None"
-    assert ep.check_sequences(ep.train_sequences(events, vocab)).first()["n_not_finite"] == 0
+    assert ep.check_samples(ep.long_features(events)).first()["n_not_finite"] == 0
     padded = ep.pad_sequences(ep.train_sequences(events, vocab), "num", 6, 21, fill=0.0).filter("t_pos = 4").first()
     assert (len(padded["num"]), padded["num_length"], padded["num"][5]) == (6, 4, [0.0] * 21)
     with pytest.raises(Exception, match="longer than 2"):

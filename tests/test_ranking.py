@@ -61,11 +61,24 @@ def test_lookup_join_paths_agree(spark):
     assert small.count() == 200
 
 
-def test_hot_keys_are_not_shuffled(spark):
-    rows = spark.range(1000).select("id", F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("k"))
-    table = materialize(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "t")
-    plan = lookup.lookup_join(rows, table.withColumn("x", F.col("n")), ["k"], weight="n", broadcast_rows=0, heavy_keys=4)._jdf.queryExecution().toString()
-    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+def test_chained_large_lookups_read_the_rows_once_and_spread_hot_and_null_keys(spark):
+    keys = F.when(F.col("id") % 3 > 0, F.lit(1)).when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id"))
+    rows = materialize(spark.range(3000).select("id", *[keys.alias(f"k{i}") for i in range(4)]), "rows")
+    out = rows
+    for i in range(4):
+        table = materialize(rows.filter(f"k{i} is not null").groupBy(f"k{i}").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias(f"x{i}")), "t")
+        out = lookup.lookup_join(out, table, [f"k{i}"], weight="n", broadcast_rows=0, heavy_keys=4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 5  # the rows and four tables
+    assert out.count() == 3000
+    assert out.filter("k0 is not null and x0 is null").count() == 0 and out.filter("k0 is null and x0 is not null").count() == 0
+    salted = lookup.salted_left_join(rows.select("id", "k0"), table.withColumnsRenamed({"k3": "k"}), [("k0", "k")], lookup.heavy_hashes(table, ["k3"], "n", 4))
+    assert salted.count() == 3000 and "__salt" not in salted.columns
+
+
+def test_broadcast_bounds_count_rows_and_bytes(spark):
+    table = materialize(spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("t")), "t")
+    assert lookup.is_small(table) and not lookup.is_small(table, rows=99) and not lookup.is_small(table, size=100_000)
 
 
 def test_top_rows_overall_and_within(spark):
@@ -76,6 +89,21 @@ def test_top_rows_overall_and_within(spark):
     assert many.count() == 4
 
 
+def test_large_tops_use_range_blocks(spark):
+    df = spark.range(9000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 9001).alias("v"))
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "100")
+    try:
+        top = ranking.top_rows(df, 3000, [F.desc("v")], within="g")
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    # every window is inside a block, none over a whole group
+    windows = [line for line in plan.splitlines() if "Window " in line and "sum(1)" in line]
+    assert windows and all("__block" in line for line in windows)
+    small = ranking.top_rows(df, 3000, [F.desc("v")], within="g")
+    assert sorted(map(tuple, top.collect())) == sorted(map(tuple, small.collect())) and top.count() == 6000
+
+
 def test_top_rows_cut_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("g"), "id")
     plan = ranking.top_rows(df, 3, [F.desc("id")], within="g")._jdf.queryExecution().executedPlan().toString()

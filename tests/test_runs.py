@@ -18,13 +18,18 @@ def test_tabular_run(spark, tmp_path):
     train, test = rows.filter("id < 100"), rows.filter("id >= 100").drop("Heart Disease")
     template = test.select("id", F.lit(0.5).alias("Heart Disease"))
     auc = runs.tabular_run(train, test, template, str(tmp_path), n_splits=2, strategy="oof_opt", step=0.25, public_score=0.9,
-                           estimators={"m1": lambda: LogisticRegression(maxIter=5), "m2": lambda: RandomForestClassifier(numTrees=3, seed=1)})
+                           estimators={"m1": lambda seed: LogisticRegression(maxIter=5), "m2": lambda seed: RandomForestClassifier(numTrees=3, seed=seed)}, seeds=[1, 2])
     assert auc > 0.8
     out = tables.read_csv(spark, str(tmp_path / "submission_blend"))
     assert out.count() == 50 and out.filter("`Heart Disease` between 0 and 1").count() == 50
     doc = tables.read_document(spark, str(tmp_path / "metrics")).first()
     assert doc["oof_public_gap"] == pytest.approx(0.9 - auc) and doc["target_distribution"]["Presence"] + doc["target_distribution"]["Absence"] == 100
     assert tables.read_document(spark, str(tmp_path / "weights")).first()["selected_strategy"] in ("rank", "prob")
+    names = {r["model"] for r in tables.read_csv(spark, str(tmp_path / "model_detail")).select("model").collect()}
+    assert names == {f"pred_{c}_cat_{s}" for c in ("m1", "m2") for s in (1, 2)}
+    assert set(runs.boosted_configs("robust")) == set(runs.boosted_configs("fast")) and runs.boosted_configs("robust", max_iter=3)["m1"](5).getSeed() == 5
+    with pytest.raises(ValueError):
+        runs.boosted_configs("unknown")
     with pytest.raises(ValidationError):
         runs.tabular_run(train, test, template.limit(10), str(tmp_path), n_splits=2)
 
@@ -43,6 +48,14 @@ def test_episode_run(spark, data, tmp_path):
     ends = runs.episode_run(events, events, events.select("game_episode").distinct(), str(tmp_path), n_folds=3)
     assert ends.count() == events.select("game_episode").distinct().count()
     assert ends.filter("end_x between 0 and 105 and end_y between 0 and 68").count() == ends.count()
+    built = lambda: len(list(tmp_path.glob("cache/dataset_*/data-*")))
+    run = lambda rows: runs.episode_run(rows, events, events.select("game_episode").distinct(), str(tmp_path), n_folds=3)
+    assert built() == 1
+    run(events)
+    assert built() == 1
+    # as many rows and categories, other contents
+    run(events.withColumn("start_x", F.col("start_x") + 1.0))
+    assert built() == 2
 
 
 def test_drift_run(spark, data, tmp_path):

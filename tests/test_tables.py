@@ -114,6 +114,17 @@ def test_dimension_join_keeps_both_keys(spark):
     assert out.columns == ["num", "v", "건물번호", "kind"] and [r["kind"] for r in out.orderBy("num").collect()] == ["office", None]
 
 
+def test_large_dimension_join_spreads_hot_and_null_keys(spark, monkeypatch):
+    fact = spark.createDataFrame([(1 if i % 2 else None if i % 5 == 0 else i, i) for i in range(100)], "num int, v int")
+    dim = spark.createDataFrame([(i, f"k{i}") for i in range(0, 100, 3)] + [(1, "one"), (1, "uno")], "num long, kind string")
+    small = sorted(map(str, schema.join_dimension(fact, dim, "num").collect()))
+    monkeypatch.setattr(schema, "is_small", lambda _: False)
+    large = schema.join_dimension(fact, dim, "num")
+    assert large.columns == ["num", "v", "kind"] and sorted(map(str, large.collect())) == small
+    both = schema.join_dimension(fact, dim.withColumnRenamed("num", "building"), "num", "building")
+    assert both.columns == ["num", "v", "building", "kind"] and both.count() == len(small)
+
+
 # drift -------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
@@ -142,42 +153,39 @@ def test_drift_model_and_importance(frame):
 
 def test_histogram_overlap_of_equal_constants_is_drift(spark):
     df = spark.createDataFrame([(5.0, 1.0, 0), (5.0, 2.0, 1), (5.0, 1.0, 1), (5.0, 2.0, 0)], "c double, x double, is_test int")
-    got = {r["feature"]: r for r in drift.histogram_overlap(drift.value_table(df, ["c", "x"], partitions=3)).collect()}
+    got = {r["feature"]: r for r in drift.histogram_overlap(df, ["c", "x"]).collect()}
     assert got["c"]["drifted"] and not got["x"]["drifted"] and got["x"]["overlap"] == pytest.approx(1.0)
 
 
 # blending ----------------------------------------------------------------------------------
 
-def search(matrix, y, step):
-    """The same hill climb, row by row in Python."""
-    def auc(s):
-        pos, neg = [a for a, t in zip(s, y) if t], [a for a, t in zip(s, y) if not t]
-        return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg)
-
-    mix = lambda w: [sum(a * b for a, b in zip(r, w)) for r in matrix]
-    w = [1 / len(matrix[0])] * len(matrix[0])
-    best = auc(mix(w))
-    while True:
-        gains = []
-        for i in range(len(w)):
-            for j in range(len(w)):
-                if i != j and w[i] >= step - 1e-12 and w[j] + step <= 1 + 1e-12:
-                    c = list(w)
-                    c[i], c[j] = c[i] - step, c[j] + step
-                    c = [min(1.0, max(0.0, v)) for v in c]
-                    gains.append((auc(mix(c)), [v / sum(c) for v in c]))
-        top = max(gains, key=lambda g: g[0])
-        if top[0] <= best + 1e-12:
-            return w, best
-        best, w = top
+def pair_auc(scores, y):
+    """AUC by its definition: positives over negatives, ties half."""
+    pos, neg = [a for a, t in zip(scores, y) if t], [a for a, t in zip(scores, y) if not t]
+    return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg)
+
+
+def blended(rows, w):
+    return [sum(a * b for a, b in zip(r[2:], w)) for r in rows]
 
 
 def test_simplex_search(spark):
     rows = [(i, i % 3 == 0, (i * 7 % 11) / 11 + 0.3 * (i % 3 == 0), (i * 5 % 13) / 13 + 0.2 * (i % 3 == 0)) for i in range(40)]
     long = spark.createDataFrame([(i, int(y), m, p) for i, y, a, b in rows for m, p in (("pred_a", a), ("pred_b", b))], "id int, y int, model string, pred double")
-    w, auc = blend.simplex_search(blend.prediction_patterns(long, ["pred_a", "pred_b"]), 2, step=0.1)
-    want_w, want_auc = search([r[2:] for r in rows], [r[1] for r in rows], 0.1)
-    assert w == pytest.approx(want_w) and auc == pytest.approx(want_auc)
+    patterns = blend.prediction_patterns(long, ["pred_a", "pred_b"])
+    w, auc, converged = blend.simplex_search(patterns, 2, step=0.1)
+    y = [r[1] for r in rows]
+    assert converged and sum(w) == pytest.approx(1.0) and auc == pytest.approx(pair_auc(blended(rows, w), y))
+    assert auc >= pair_auc(blended(rows, [0.5, 0.5]), y) - 1e-12
+    # no move of one step gains
+    assert all(pair_auc(blended(rows, m), y) <= auc + 1e-9 for m in blend.neighbours(w, 0.1))
+    # many patterns are ranked in range blocks: the same climb
+    assert blend.simplex_search(patterns, 2, step=0.1, small_patterns=0)[:2] == (pytest.approx(w), pytest.approx(auc))
+    assert blend.simplex_search(patterns, 2, step=0.1, max_rounds=0) == ([0.5, 0.5], pytest.approx(pair_auc(blended(rows, [0.5, 0.5]), y)), False)
+    # by hand: one model ranks perfectly, the other backwards; one step off equal weights is enough
+    other = spark.createDataFrame([(i, int(i >= 5), m, p) for i in range(10) for m, p in (("pred_a", i / 16), ("pred_b", 1 - i / 16))], "id int, y int, model string, pred double")
+    w, auc, converged = blend.simplex_search(blend.prediction_patterns(other, ["pred_a", "pred_b"]), 2, step=0.125)
+    assert (w, auc, converged) == ([0.625, 0.375], 1.0, True)
     b = blend.blend(long, long.drop("y"), step=0.1)
     assert b.strategy in ("rank", "prob") and sum(b.weights) == pytest.approx(1.0) and b.auc >= max(b.candidates.values()) - 1e-9
     assert blend.blend_submission(b).filter("pred between 0 and 1").count() == 40
@@ -231,6 +239,12 @@ def test_entity_files(spark, tmp_path):
     meta = spark.createDataFrame([("1_1", f"{tmp_path}/e1.csv"), ("1_2", f"{tmp_path}/e 2.csv")], "game_episode string, path string")
     out = tables.read_entity_files(spark, meta, f"{tmp_path}/*.csv", "action_id long, start_x double")
     assert sorted((r["game_episode"], r["action_id"], r["start_x"]) for r in out.collect()) == [("1_1", 1, 2.0), ("1_1", 2, 0.5), ("1_2", 1, 3.0), ("1_2", 2, 0.5)]
+    listed = spark.createDataFrame([("1_1", "./e1.csv"), ("1_2", "e 2.csv"), ("1_3", f"file://{tmp_path}/e3.csv")], "game_episode string, path string")
+    relative = tables.read_entity_files(spark, listed, f"{tmp_path}/*.csv", "action_id long, start_x double", base=str(tmp_path))
+    assert relative.count() == 6 and relative.select("game_episode").distinct().count() == 3
+    absent = listed.unionByName(spark.createDataFrame([("1_4", "./e4.csv")], listed.schema))
+    with pytest.raises(validate.ValidationError, match="e4.csv"):
+        tables.read_entity_files(spark, absent, f"{tmp_path}/*.csv", "action_id long, start_x double", base=str(tmp_path))
 
 
 def test_documents_and_reports(spark, tmp_path):
