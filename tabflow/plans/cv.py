@@ -208,9 +208,13 @@ def error_frame(predictions: DataFrame, *, prob: str, label: str, threshold: flo
     return out if extras is None else out.join(extras, key, "left")
 
 
+def wrong_first_order(key: str = "id") -> list[Column]:
+    """Wrong rows on top, the most confident first, ties by key."""
+    return [F.desc(F.col("error_type") != "OK"), F.desc("confidence"), F.col(key).asc()]
+
+
 def wrong_first(errors: DataFrame, key: str = "id") -> DataFrame:
-    """Wrong rows on top, the most confident first."""
-    return errors.orderBy(F.desc(F.col("error_type") != "OK"), F.desc("confidence"), key)
+    return errors.orderBy(*wrong_first_order(key))
 
 
 def confident_errors(errors: DataFrame, n: int, *, within: str | None = None, key: str = "id") -> DataFrame:
