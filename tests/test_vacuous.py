@@ -11,8 +11,9 @@ from querybook.book import BOOK
 from tests.oracle import connect
 
 SQL = {name: sql for name, sql in entry.oracle_sql().items() if name in BOOK}
-# a model whose predictions are all equal (a case of its own), one month of events, a range check
-CONSTANT = {("model_oof_wide", "m4"), ("time_parts", "month"), ("cv_oof_members", "in_range")}
+# a model whose predictions are all equal (a case of its own), one month of events, a range check,
+# one category flag a row, the padded length and the sum of the padding
+CONSTANT = {("model_oof_wide", "m4"), ("time_parts", "month"), ("cv_oof_members", "in_range"), ("one_hot_features", "n_flags"), ("padded_sequences", "n"), ("padded_sequences", "tail")}
 # reports of a few rows hold counts, not flags
 FEW_ROWS = 12
 
