@@ -1,14 +1,14 @@
 """Training-order materialisation of token ids as fixed-stride binary shards.
 
-1. Every task tokenises its rows and writes them once, compressed, with the row's place in
-   the task's own token stream. Streams of all tasks, one after another, are the token stream
+1. Every task tokenises its rows and writes them once, in compressed blocks, with the block's
+   place in the task's own token stream. Streams of all tasks, one after another, are the token stream
    of the corpus; only the length of each task's stream is needed to place it. Sequence k is
    tokens [k L, (k + 1) L) of that stream, so nothing is padded but the last sequence.
 2. A keyed Feistel permutation of the sequence numbers, walked along its cycle until it falls
    below their count, gives each sequence its global slot: a bijection that any task computes
    from the number, the count and the key alone.
-3. A shard is a range of slots. Rows are dealt by shard, sorted by slot, and each shard is
-   written by one task as one file of ``sequence bytes`` per slot: the place of a slot is a
+3. A shard is a range of slots. Pieces of sequences are dealt by shard, what a block has of one
+   shard in one row, and each shard is written by one task as one file of ``sequence bytes`` per slot: the place of a slot is a
    multiplication, reading in training order is sequential, and a run resumes at any slot.
    Shards are bounded by ``shard_sequences``, files appear under their name only when they are
    complete, and a repeated task writes the same bytes again.
@@ -46,6 +46,9 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SEQUENCE = 1024
 SHARD_SEQUENCES = 8192
+# Tokens are compressed in blocks of about this many bytes of whole documents.
+BLOCK_BYTES = 1 << 20
+LEVEL = 6
 KEY = 0x5EED
 ROUNDS = 6
 REMEMBERED = 600_000
@@ -147,39 +150,44 @@ def _worker_encoder(shared) -> Encoder:
     return _ENCODER[0][1]
 
 
+_BLOCK = "part int, before long, n_tokens long, doc_ids array<long>, doc_tokens array<int>, ids binary"
+
+
 def tokenise(docs: DataFrame, tokenizer: Tokenizer, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(part, before, n_tokens, doc_id, ids) of every document with tokens, written once.
+    """(part, before, n_tokens, doc_ids, doc_tokens, ids): token blocks of documents, written once.
 
-    ``before`` counts the tokens ahead of the document in the stream of its task ``part``.
+    A block holds whole documents in the order of the task ``part`` that read them, compressed
+    together; ``before`` counts the tokens ahead of it in that task's stream.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, pack = _worker_encoder(shared), zstandard.ZstdCompressor(level=3)
-        part, at = TaskContext.get().partitionId(), 0
+        encoder, pack = _worker_encoder(shared), zstandard.ZstdCompressor(level=LEVEL)
+        part, at, size = TaskContext.get().partitionId(), 0, encoder.dtype.itemsize
         end = np.array([shared.value.separator], dtype=encoder.dtype).tobytes()
+        names, held, n_bytes = [], [], 0
+
+        def block() -> pd.DataFrame:
+            lengths = [len(x) // size for x in held]
+            return pd.DataFrame({"part": [part], "before": [at], "n_tokens": [sum(lengths)], "doc_ids": [names], "doc_tokens": [lengths], "ids": [pack.compress(b"".join(held))]})
+
         for batch in batches:
-            rows, held = [], 0
             for name, value in zip(batch["doc_id"], batch["text"]):
                 if not isinstance(value, str) or not value:
                     continue
-                raw = encoder.encode(value) + end
-                n = len(raw) // encoder.dtype.itemsize
-                rows.append((part, at, n, None if pd.isna(name) else int(name), pack.compress(raw)))
-                at, held = at + n, held + len(rows[-1][-1])
-                if held > 8_000_000:
-                    yield _frame(rows, ["part", "before", "n_tokens", "doc_id", "ids"])
-                    rows, held = [], 0
-            if rows:
-                yield _frame(rows, ["part", "before", "n_tokens", "doc_id", "ids"])
+                names.append(None if name is None else int(name))
+                held.append(encoder.encode(value) + end)
+                n_bytes += len(held[-1])
+                if n_bytes >= BLOCK_BYTES:
+                    yield block()
+                    at += n_bytes // size
+                    names, held, n_bytes = [], [], 0
+        if held:
+            yield block()
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return materialize(narrow.mapInPandas(run, "part int, before long, n_tokens long, doc_id long, ids binary"), "tokens")
-
-
-def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-    # ids beside nulls must not pass through floating point
-    return pd.DataFrame({c: pd.array(list(v), dtype="Int64") if c == "doc_id" else list(v) for c, v in zip(columns, zip(*rows))})
+    # ids travel as text: beside nulls, whole numbers would pass through floating point
+    narrow = docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.col(text).alias("text"))
+    return materialize(narrow.mapInPandas(run, _BLOCK), "tokens")
 
 
 # ---------------------------------------------------------------- shards
@@ -230,67 +238,83 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: Tokenizer, *, doc_id:
     bases = spark.sparkContext.broadcast(base)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-        size = np.dtype(layout.dtype).itemsize
-        names = ["shard", "slot", "begin", "sequence_no", "doc_id", "ids"]
+        pack, unpack = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
         for batch in batches:
-            rows, held = [], 0
-            for part, before, n, name, ids in zip(batch["part"], batch["before"], batch["n_tokens"], batch["doc_id"], batch["ids"]):
-                at, raw = bases.value[part] + before, unpack.decompress(ids)
+            for part, before, n, names, tokens, ids in batch[["part", "before", "n_tokens", "doc_ids", "doc_tokens", "ids"]].itertuples(index=False):
+                ids = np.frombuffer(unpack.decompress(ids), dtype=layout.dtype)
+                at, starts = bases.value[part] + before, np.concatenate([[0], np.cumsum(tokens)])
                 numbers = np.arange(at // sequence, (at + n - 1) // sequence + 1)
-                for number, slot in zip(numbers.tolist(), permute(numbers, layout.n_sequences, key).tolist()):
-                    low, high = max(at, number * sequence), min(at + n, (number + 1) * sequence)
-                    piece = raw[(low - at) * size:(high - at) * size]
-                    rows.append((slot // shard_sequences, slot, low - number * sequence, number, None if pd.isna(name) else int(name), pack.compress(piece)))
-                    held += len(rows[-1][-1])
-                if held > 8_000_000:
-                    yield _frame(rows, names)
-                    rows, held = [], 0
-            if rows:
-                yield _frame(rows, names)
-
-    pieces = tokens.mapInPandas(split, "shard int, slot long, begin int, sequence_no long, doc_id long, ids binary")
+                slots, begin = permute(numbers, layout.n_sequences, key), numbers * sequence - at
+                low, high = np.maximum(begin, 0), np.minimum(begin + sequence, n)
+                # the first and the last document of each piece
+                first, last = np.searchsorted(starts, low, "right") - 1, np.searchsorted(starts, high, "left") - 1
+                order = np.argsort(slots // shard_sequences, kind="stable")
+                edges = np.flatnonzero(np.diff(slots[order] // shard_sequences, prepend=-1, append=-1))
+                rows = []
+                for k in (order[a:b] for a, b in zip(edges[:-1], edges[1:])):
+                    inside = [np.arange(first[j], last[j] + 1) for j in k]
+                    places = [np.maximum(starts[d], low[j]) - begin[j] for d, j in zip(inside, k)]
+                    rows.append((
+                        int(slots[k[0]] // shard_sequences), slots[k], numbers[k], (low[k] - begin[k]).astype(np.int32), (high[k] - low[k]).astype(np.int32),
+                        np.array([len(d) for d in inside], dtype=np.int32), [None if names[d] is None else int(names[d]) for d in np.concatenate(inside)], np.concatenate(places).astype(np.int32),
+                        pack.compress(b"".join(ids[low[j]:high[j]].tobytes() for j in k)),
+                    ))
+                yield pd.DataFrame(rows, columns=_PIECE_COLUMNS)
+
+    pieces = tokens.withColumn("doc_ids", F.col("doc_ids").cast("array<string>")).mapInPandas(split, _PIECES)
     # a shard is a range of slots; as many partitions as shards, each written by the task that holds it
-    dealt = pieces.repartition(max(1, layout.n_shards), "shard").sortWithinPartitions("slot", "begin")
+    dealt = pieces.repartition(max(1, layout.n_shards), "shard").withColumn("doc_ids", F.col("doc_ids").cast("array<string>")).sortWithinPartitions("shard")
     schema = "slot long, shard int, byte_offset long, sequence_no long, n_tokens int, doc_ids array<long>, doc_starts array<int>, sha256 string"
     manifest = materialize(dealt.mapInPandas(_shard_writer(layout, tokenizer.separator), schema), "shard-manifest")
     return layout, manifest
 
 
+# what one block has of one shard: its pieces, their places, and the documents in each
+_PIECES = "shard int, slots array<long>, numbers array<long>, begins array<int>, sizes array<int>, doc_counts array<int>, doc_ids array<long>, doc_starts array<int>, ids binary"
+_PIECE_COLUMNS = ["shard", "slots", "numbers", "begins", "sizes", "doc_counts", "doc_ids", "doc_starts", "ids"]
+_MANIFEST_COLUMNS = ["slot", "shard", "byte_offset", "sequence_no", "n_tokens", "doc_ids", "doc_starts", "sha256"]
+
+
 def _shard_writer(layout: Layout, separator: int):
+    """Fill and write the shards of a partition one after another; one shard is held at a time."""
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack, dtype = zstandard.ZstdDecompressor(), np.dtype(layout.dtype)
         fs, folder = file_system(layout.folder)
         fs.create_dir(folder, recursive=True)
-        shard, block, rows = None, None, []
+        shard, block, pieces = None, None, {}
 
         def finish() -> pd.DataFrame:
-            path = f"{folder}/shard-{shard:06d}.bin"
+            if len(pieces) != len(block):
+                raise RuntimeError(f"shard {shard} has {len(pieces)} of {len(block)} sequences")
+            path, rows = f"{folder}/shard-{shard:06d}.bin", []
+            for slot in sorted(pieces):
+                own, n = sorted(pieces[slot], key=lambda p: p[0]), 0
+                for begin, size, *_ in own:
+                    if begin != n:
+                        raise RuntimeError(f"slot {slot} has {n} tokens where {begin} were due")
+                    n += size
+                row = slot % layout.shard_sequences
+                rows.append((slot, shard, row * layout.stride, own[0][2], n, [d for p in own for d in p[3]], [int(x) for p in own for x in p[4]], hashlib.sha256(block[row, :n].tobytes()).hexdigest()))
             part = f"{path}.{uuid.uuid4().hex}"
             with fs.open_output_stream(part) as out:
                 out.write(block.tobytes())
             fs.move(part, path)
-            for row in rows:
-                row[7] = hashlib.sha256(block[row[0] % layout.shard_sequences, :row[4]].tobytes()).hexdigest()
-            return pd.DataFrame(rows, columns=["slot", "shard", "byte_offset", "sequence_no", "n_tokens", "doc_ids", "doc_starts", "sha256"])
+            return pd.DataFrame(rows, columns=_MANIFEST_COLUMNS)
 
         for batch in batches:
-            for nth, slot, begin, number, name, ids in zip(batch["shard"], batch["slot"], batch["begin"], batch["sequence_no"], batch["doc_id"], batch["ids"]):
+            for nth, slots, numbers, begins, sizes, counts, doc_ids, doc_starts, ids in batch[_PIECE_COLUMNS].itertuples(index=False):
                 if nth != shard:
                     if shard is not None:
                         yield finish()
-                    shard, rows = nth, []
+                    shard, pieces = nth, {}
                     here = min(layout.shard_sequences, layout.n_sequences - nth * layout.shard_sequences)
                     block = np.full((here, layout.sequence), separator, dtype=dtype)
-                if not rows or rows[-1][0] != slot:
-                    rows.append([slot, shard, slot % layout.shard_sequences * layout.stride, number, 0, [], [], ""])
-                piece = np.frombuffer(unpack.decompress(ids), dtype=dtype)
-                if begin != rows[-1][4]:
-                    raise RuntimeError(f"slot {slot} has {rows[-1][4]} tokens where {begin} were due")
-                block[slot % layout.shard_sequences, begin:begin + len(piece)] = piece
-                rows[-1][4] += len(piece)
-                rows[-1][5].append(None if pd.isna(name) else int(name))
-                rows[-1][6].append(int(begin))
+                ids, at, doc = np.frombuffer(unpack.decompress(ids), dtype=dtype), 0, 0
+                doc_ids = [None if d is None else int(d) for d in doc_ids]
+                for slot, number, begin, size, k in zip(slots.tolist(), numbers.tolist(), begins.tolist(), sizes.tolist(), counts.tolist()):
+                    block[slot % layout.shard_sequences, begin:begin + size] = ids[at:at + size]
+                    pieces.setdefault(slot, []).append((begin, size, number, doc_ids[doc:doc + k], doc_starts[doc:doc + k]))
+                    at, doc = at + size, doc + k
         if shard is not None:
             yield finish()
 

@@ -61,6 +61,15 @@ def test_round_trip_and_resumption(spark, tmp_path):
     assert all(np.array_equal(a, b) for a, b in zip(read_slots(again), sequences, strict=True))
 
 
+def test_blocks_do_not_change_the_shards(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame(ROWS * 3, "doc_id long, text string").coalesce(2)
+    whole, a = write_shards(docs, str(tmp_path / "whole"), load_tokenizer(), sequence=32, shard_sequences=50)
+    monkeypatch.setattr("tabflow.llm.training_order.BLOCK_BYTES", 100)
+    small, b = write_shards(docs, str(tmp_path / "small"), load_tokenizer(), sequence=32, shard_sequences=50)
+    assert all(np.array_equal(x, y) for x, y in zip(read_slots(whole), read_slots(small), strict=True))
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
 def test_no_tokens_write_nothing(spark, tmp_path):
     docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     layout, manifest = write_shards(docs, str(tmp_path / "none"), load_tokenizer())
