@@ -68,6 +68,8 @@ def repeated_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     named = materialize(chunks.join(bounded_broadcast(keys, BROADCAST_KEYS), "h", "left_semi"), "chunk-candidates")
     place = F.struct("doc_id", "text_hash", "start")
     groups = named.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("not first <=> last")
+    # written before the join, whose sides are then plain scans: Spark can split a chunk that very many texts carry
+    groups = materialize(groups, "chunk-groups")
     return named.join(groups, ["h", "chunk"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "start", "n_lines").distinct()
 
 
