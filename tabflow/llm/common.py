@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Texts are handed to numpy in groups of about this many characters.
-PIECE_CHARS = 2_000_000
+PIECE_CHARS = 500_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

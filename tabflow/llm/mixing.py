@@ -25,17 +25,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import WORD, table, without
+from tabflow.llm.common import WORD, bounded_broadcast, packed, table, without
 from tabflow.scratch import materialize
 
 SEED = "mix-1"
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
 MAX_REPEATS = 2
-# Hash slices of a pattern's line; a slice is the unit that one task orders.
-SLICES = 65_536
+# Hash slices of a pattern's line: one task adds up the slices of a pattern and orders the rows of a slice.
+SLICES = 4_096
 # The flow runs on the driver; sources and patterns beyond this are refused, not dropped.
 MAX_NODES = 100_000
+# Documents' copy counts (some 50 bytes each) are broadcast up to this many, else joined by shuffle.
+BROADCAST_TAKES = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -192,13 +194,26 @@ def _times() -> Column:
 
 
 def repeated_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = TOTAL_SHARE, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
-    """Each document as many times as the mix takes it, with its own columns."""
-    size = word_count(F.col(text))
-    names, _, targets = _source_goals(docs.select(F.col(source).cast("string").alias("s0"), size.alias("size")), "s0", weights, share, max_repeats)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("_id"), F.col(f"`{source}`").cast("string").alias("_source"), size.alias("_words"))
-    mixed = mix(packed, dict(zip(names, targets)), members=F.array("_source"), size=F.col("_words"), key="_id", max_repeats=max_repeats, seed=seed)
-    times = F.explode(F.expr("sequence(1L, n)"))
-    return mixed.select("row", _times().alias("n")).filter("n > 0").select("row", times.alias("_i")).select("row.*")
+    """Each document as many times as the mix takes it, with its own columns.
+
+    Only ids, digests and sizes are mixed; the copies are counted by (id, text digest, source)
+    and joined to the documents, by broadcast while the counted rows are within
+    ``BROADCAST_TAKES``. Rows that repeat all three share their copies.
+    """
+    digest = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col(f"`{text}`").isNull())
+    narrow = docs.select(F.col(f"`{key}`").alias("_id"), digest.alias("_digest"), F.col(f"`{source}`").cast("string").alias("_source"), word_count(F.col(f"`{text}`")).alias("size"))
+    narrow = materialize(narrow, "mix-words")
+    names, _, targets = _source_goals(narrow, "_source", weights, share, max_repeats)
+    mixed = mix(narrow, dict(zip(names, targets)), members=F.array("_source"), size=F.col("size"), key="_id", max_repeats=max_repeats, seed=seed)
+    copies = materialize(mixed.groupBy("_id", "_digest", "_source").agg(F.sum(_times()).alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0"), "mix-copies")
+    same = F.col(f"_row.`{key}`").eqNullSafe(F.col("_id")) & (F.col("_text_digest") == F.col("_digest")) & F.col(f"_row.`{source}`").cast("string").eqNullSafe(F.col("_source"))
+    taken = packed(docs).withColumn("_text_digest", F.xxhash64(F.coalesce(F.col(f"_row.`{text}`"), F.lit("")), F.col(f"_row.`{text}`").isNull()))
+    taken = taken.join(bounded_broadcast(copies, BROADCAST_TAKES), same)
+    once = taken.filter("_rows = 1").select("_row", "_copies")
+    if not copies.filter("_rows > 1").isEmpty():
+        shared = taken.filter("_rows > 1").groupBy("_id", "_digest", "_source", "_copies").agg(F.first("_row").alias("_row"))
+        once = once.unionByName(shared.select("_row", "_copies"))
+    return once.select("_row", F.explode(F.expr("sequence(1L, _copies)")).alias("_i")).select("_row.*")
 
 
 def op1(spark, folder: str) -> DataFrame:

@@ -25,7 +25,9 @@ import base64
 import hashlib
 import os
 import re
+import sys
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -113,11 +115,15 @@ class Encoder:
 
     def __init__(self, tokenizer: Tokenizer):
         self.dtype = tokenizer.dtype
+        self.code = next(c for c in "HIL" if array(c).itemsize == self.dtype.itemsize)
         self.encoding = tiktoken.Encoding("corpus", pat_str=tokenizer.pattern, mergeable_ranks=tokenizer.ranks, special_tokens={})
         self.words = _Words(self)
 
     def direct(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), dtype=self.dtype).tobytes()
+        ids = array(self.code, self.encoding.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
         if _BESIDE_SPACE.search(text):
@@ -127,13 +133,18 @@ class Encoder:
 
 
 class _Words(dict):
+    """Words in two generations: what was asked for since the last change stays through the next."""
+
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.older = encoder, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encoder.direct(" " + word)
-        if len(self) >= REMEMBERED:
+        ids = self.older.pop(word, None)
+        if ids is None:
+            ids = self.encoder.direct(" " + word)
+        if len(self) >= REMEMBERED // 2:
+            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids
