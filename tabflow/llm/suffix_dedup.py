@@ -15,9 +15,10 @@ string is then one offset of one context.
    bytes with splitters Spark samples, and sorted in each bucket by multikey quicksort, eight
    bytes at a time. Common prefixes of neighbours, forwards from the anchor and backwards
    before it, give for each offset the classes of equal strings.
-4. The first and the last core of a bucket may go on in the next one, and a core that a third
-   of all documents share fills many buckets. Their strings are compared across boundaries by
-   counting (offset, 128-bit digest of the string), summed map-side.
+4. A string may also start in another bucket, but only if its bytes from the anchor on are a
+   prefix of the bucket's first or last context. Each bucket sends one row for every such
+   string it holds, with its count: (offset, 128-bit digest). Counts are summed over the
+   buckets, and only strings that were single in their bucket ask for the sum.
 
 Keys of repeated cores are broadcast while they number at most ``broadcast_keys``; beyond
 that they are joined to the anchors, and those to the texts, by shuffle. Both ways find the same.
@@ -183,26 +184,36 @@ def _common(matrix: np.ndarray, length: np.ndarray, order: np.ndarray) -> np.nda
     return out
 
 
-def repeated_offsets(left: list[bytes], right: list[bytes], n: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, common prefixes in that order, repeated[context, offset]) of one bucket.
+def repeated_offsets(left: list[bytes], right: list[bytes], n: np.ndarray, shape: Shape) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(repeated[context, offset], open strings) of one bucket.
 
-    ``left`` are the bytes before each anchor, nearest first.
+    ``left`` are the bytes before each anchor, nearest first. An open string, (context, offset,
+    count here), may occur in a neighbouring bucket too; each has one entry.
     """
     r, r_len = _matrix(right, shape.match), np.fromiter(map(len, right), dtype=np.int64, count=len(right))
     l, l_len = _matrix(left, shape.window - 1), np.fromiter(map(len, left), dtype=np.int64, count=len(left))
     # the length comes last: of equal padded rows, all of one length stand together
     r_order, l_order = (multikey_order(np.column_stack([m.view(">u8"), k.astype(">u8")])) for m, k in ((r, r_len), (l, l_len)))
     r_common, l_common = _common(r, r_len, r_order), _common(l, l_len, l_order)
+    # common prefix of each context with the first and with the last one of the bucket
+    reach = np.empty(len(right), np.int64)
+    to_first = np.minimum.accumulate(np.concatenate([[shape.match], r_common[1:]]))
+    to_last = np.minimum.accumulate(np.concatenate([[shape.match], r_common[:0:-1]]))[::-1]
+    reach[r_order] = np.maximum(to_first, to_last)
     repeated = np.zeros((len(right), shape.window), dtype=bool)
     r_class, l_class = np.empty(len(right), np.int64), np.empty(len(right), np.int64)
+    open_strings: list[tuple[int, int, int]] = []
     for d in range(shape.window):
         r_class[r_order] = np.cumsum(r_common < shape.match - d)
         l_class[l_order] = np.cumsum(l_common < d) if d else 0
         at = np.flatnonzero((r_len >= shape.match - d) & (l_len >= d))
         if len(at):
-            _, which = np.unique(r_class[at] * (len(right) + 1) + l_class[at], return_inverse=True)
-            repeated[at, d] = np.bincount(which, weights=n[at])[which] > 1
-    return r_order, r_common, repeated
+            _, first, which = np.unique(r_class[at] * (len(right) + 1) + l_class[at], return_index=True, return_inverse=True)
+            count = np.bincount(which, weights=n[at])
+            repeated[at, d] = count[which] > 1
+            for k in np.flatnonzero(reach[at[first]] >= shape.match - d).tolist():
+                open_strings.append((int(at[first[k]]), d, int(count[k])))
+    return repeated, open_strings
 
 
 def _ranges(flags: np.ndarray) -> tuple[list[int], list[int]]:
@@ -329,51 +340,40 @@ def _nominated(texts: DataFrame, repeated: DataFrame, shape: Shape, broadcast_ke
     return texts.join(found, ["id_a", "id_b"]).mapInPandas(attach, _NOMINATED)
 
 
+_JUDGED = "core long, context long, low array<int>, high array<int>, d int, a long, b long, n int"
+
+
 def _bucket(shape: Shape):
-    """Sort a range bucket, judge its inner cores, and pass on the first and the last one."""
+    """Sort a range bucket and judge its contexts; its open strings follow as rows of their own."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = list(batches)
         rows = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
         if not len(rows):
             return
         left, right = rows["left"].tolist(), rows["right"].tolist()
-        order, common, repeated = repeated_offsets(left, right, rows["n"].to_numpy(dtype=np.int64), shape)
-        edge = np.flatnonzero(np.concatenate([[True], common[1:] < shape.core]))
-        outer = np.zeros(len(rows), dtype=bool)
-        outer[order[:edge[1] if len(edge) > 1 else len(rows)]] = True
-        outer[order[edge[-1]:]] = True
-        core, context, n = rows["core"].to_numpy(), rows["context"].to_numpy(), rows["n"].to_numpy()
-        inner = np.flatnonzero(~outer & repeated.any(axis=1))
-        ranges = [_ranges(repeated[k]) for k in inner]
-        for at in range(0, len(inner), 50_000):
+        repeated, open_strings = repeated_offsets(left, right, rows["n"].to_numpy(dtype=np.int64), shape)
+        core, context = rows["core"].to_numpy(), rows["context"].to_numpy()
+        some = np.flatnonzero(repeated.any(axis=1))
+        ranges = [_ranges(repeated[k]) for k in some]
+        empty = {"d": None, "a": None, "b": None, "n": None}
+        for at in range(0, len(some), 50_000):
             part = slice(at, at + 50_000)
-            yield pd.DataFrame({"core": core[inner[part]], "context": context[inner[part]], "low": [r[0] for r in ranges[part]], "high": [r[1] for r in ranges[part]], "n": None, "left": None, "right": None})
-        at = np.flatnonzero(outer)
-        yield pd.DataFrame({"core": core[at], "context": context[at], "low": None, "high": None, "n": n[at], "left": [left[k] for k in at], "right": [right[k] for k in at]})
+            yield pd.DataFrame({"core": core[some[part]], "context": context[some[part]], "low": [r[0] for r in ranges[part]], "high": [r[1] for r in ranges[part]], **empty})
+        for at in range(0, len(open_strings), 50_000):
+            k, d, n = (np.array(v) for v in zip(*open_strings[at:at + 50_000]))
+            strings = [left[i][:j][::-1] + right[i][:shape.match - j] for i, j in zip(k.tolist(), d.tolist())]
+            digest = lambda seed: np.array([xxhash.xxh64_intdigest(s, seed) for s in strings], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"core": core[k], "context": context[k], "low": None, "high": None, "d": d, "a": digest(3), "b": digest(4), "n": np.minimum(n, 2)})
 
     return run
 
 
-def _across(outer: DataFrame, shape: Shape) -> DataFrame:
-    """(core, context, low, high) of outer contexts: strings counted by offset and digest."""
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                out = []
-                for core, context, n, left, right in batch.iloc[at:at + 500][["core", "context", "n", "left", "right"]].itertuples(index=False):
-                    whole, before = left[::-1] + right, len(left)
-                    for d in range(max(0, shape.match - len(right)), min(before, shape.window - 1) + 1):
-                        s = whole[before - d:before - d + shape.match]
-                        out.append((core, context, d, xxhash.xxh64_intdigest(s, 3), xxhash.xxh64_intdigest(s, 4), n))
-                if out:
-                    core, context, d, a, b, n = zip(*out)
-                    yield pd.DataFrame({"core": core, "context": context, "d": d, "a": np.array(a, dtype=np.uint64).view(np.int64), "b": np.array(b, dtype=np.uint64).view(np.int64), "n": n})
-
-    strings = materialize(outer.mapInPandas(spread, "core long, context long, d int, a long, b long, n int"), "suffix-strings")
-    twice = strings.groupBy("d", "a", "b").agg(F.sum("n").alias("n")).filter("n > 1").select("d", "a", "b")
-    hit = strings.join(twice, ["d", "a", "b"], "left_semi").select("core", "context", "d").distinct()
+def _across(strings: DataFrame) -> DataFrame:
+    """(core, context, low, high) of strings that are single in their bucket and occur in another one."""
+    twice = strings.groupBy("d", "a", "b").agg(F.count("*").alias("k")).filter("k > 1").select("d", "a", "b")
+    hit = strings.filter("n = 1").join(twice, ["d", "a", "b"], "left_semi")
     # at most ``window`` offsets a context
-    return hit.groupBy("core", "context").agg(F.collect_list("d").alias("d")).select("core", "context", F.col("d").alias("low"), F.col("d").alias("high"))
+    return hit.groupBy("core", "context").agg(F.collect_set("d").alias("low")).select("core", "context", "low", F.col("low").alias("high"))
 
 
 def repeats(docs: DataFrame, *, text: str = "text", shape: Shape = Shape(), broadcast_keys: int = BROADCAST_KEYS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -385,9 +385,11 @@ def repeats(docs: DataFrame, *, text: str = "text", shape: Shape = Shape(), broa
     contexts = found.filter("right is not null").select("core", "context", "n", "left", "right")
     buckets = contexts.count() // bucket_rows + 1
     judged = materialize(
-        contexts.repartitionByRange(buckets, "right", "left").mapInPandas(_bucket(shape), "core long, context long, low array<int>, high array<int>, n int, left binary, right binary"), "suffix-judged")
-    offsets = judged.filter("right is null").select("core", "context", "low", "high").unionByName(_across(judged.filter("right is not null"), shape))
-    offsets = offsets.groupBy("core", "context").agg(F.max(F.struct("low", "high")).alias("o")).select("core", "context", "o.low", "o.high")
+        contexts.repartitionByRange(buckets, "right", "left").mapInPandas(_bucket(shape), _JUDGED), "suffix-judged")
+    offsets = judged.filter("d is null").select("core", "context", "low", "high").unionByName(_across(judged.filter("d is not null").select("core", "context", "d", "a", "b", "n")))
+    # equal contexts meet in one bucket and have equal ranges there; another bucket may add offsets
+    offsets = offsets.groupBy("core", "context").agg(F.collect_set(F.struct("low", "high")).alias("o"))
+    offsets = offsets.select("core", "context", F.flatten("o.low").alias("low"), F.flatten("o.high").alias("high"))
     places = found.filter("x is not null and id_a is not null").select("id_a", "id_b", "x", "core", "context").distinct()
     # strings at offsets low..high before an anchor at x cover x - high .. x - low + match
     ranged = places.join(offsets, ["core", "context"]).select(
