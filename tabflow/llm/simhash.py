@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabflow.llm.common import table, without
@@ -226,14 +226,21 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
 
     Rows that repeat both become one.
     """
-    digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
-    found = components(docs.withColumn("_digest", digest), doc_id=doc_id, text=text, keep=["_digest"], **options)
-    found = materialize(found, "simhash-rows")
+    found = components(docs.withColumn("_digest", text_digest(text)), doc_id=doc_id, text=text, keep=["_digest"], **options)
+    return keep_least(docs, materialize(found, "simhash-rows"), doc_id=doc_id, text=text)
+
+
+def text_digest(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
+
+
+def keep_least(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row of ``docs`` that stays of each component in ``found`` (doc_id, _digest, root), a written table."""
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_digest")).alias("best"))
     stays = best.select(F.col("best.doc_id").alias("_id"), F.col("best._digest").alias("_d"))
     rows = found.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d"))).groupBy("_id", "_d").agg(F.count("*").alias("_n"))
     rows = materialize(rows, "simhash-stays")
-    chosen = docs.join(rows, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (digest == F.col("_d")))
+    chosen = docs.join(rows, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (text_digest(text) == F.col("_d")))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     once = chosen.filter("_n = 1").select(*columns)
     if rows.filter("_n > 1").isEmpty():
