@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tabflow.llm import decontaminate, exact_dedup, language, line_chunks, mixing, quality, simhash, suffix_dedup, token_counts, training_order
+from tabflow.llm import decontaminate, exact_dedup, language, line_chunks, merkle, mixing, quality, simhash, suffix_dedup, token_counts, training_order
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_token_counts": token_counts.op8,
     "op9_exact_dedup": exact_dedup.op9,
     "op10_suffix_dedup": suffix_dedup.op10,
+    "op11_merkle_manifest": merkle.op11,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,4 +25,5 @@ SQL = {
     "op4_line_chunks": line_chunks.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
 }
