@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tabflow.llm import decontaminate, exact_dedup, language, line_chunks, merkle, mixing, quality, simhash, suffix_dedup, token_counts, training_order
+from tabflow.llm import cross_align, decontaminate, embedding_near, exact_dedup, language, line_chunks, merkle, mixing, quality, simhash, suffix_dedup, token_counts, training_order
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -17,6 +17,8 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9,
     "op10_suffix_dedup": suffix_dedup.op10,
     "op11_merkle_manifest": merkle.op11,
+    "op12_cross_align": cross_align.op12,
+    "op13_embedding_pigeonhole": embedding_near.op13,
     "pipeline": corpus_pipeline.run,
 }
 
