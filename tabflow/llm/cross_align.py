@@ -24,17 +24,19 @@ own and each count; null ids are carried; columns that are not named are not rea
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -42,6 +44,7 @@ from pyspark.sql import functions as F
 
 from tabflow.llm import perfect_hash
 from tabflow.llm.common import table
+from tabflow.llm.training_order import SPLIT
 from tabflow.operators.lookup import lookup_join
 from tabflow.scratch import materialize
 
@@ -54,10 +57,12 @@ SHARD_KEYS = 1 << 20
 SLICE = 1024
 HELD_SLICES = 1 << 13
 FAN_IN = 32
-# A task's sums leave it beyond this many pairs; a worker forgets beyond this many remembered tokens.
-HELD_PAIRS = 1_000_000
-REMEMBERED = 1_500_000
-LONG_PIECE = 200
+# A worker forgets what it knows beyond this many pieces (some 300 bytes each), or 16 times as many characters.
+REMEMBERED = 600_000
+# Pieces encoded as one text by the first tokenizer, by the second, and the longest among them.
+TOGETHER = 5_000
+RUN = 16
+LONG_PIECE = 1_000
 # Texts are encoded together in groups of about this many characters.
 GROUP_CHARS = 1_000_000
 
@@ -86,6 +91,20 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def ranked(byte_level: str, table: list[bytes]) -> tiktoken.Encoding | None:
+    """The byte-level tokenizer of the file in a faster form, where ids give the order of its merges."""
+    told = json.loads(byte_level)
+    model, before = told["model"], told.get("pre_tokenizer") or {}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
+    made = [model["vocab"].get(a + b, -1) for a, b in merges]
+    special = {t["id"] for t in told["added_tokens"]}
+    plain = {x: k for k, x in enumerate(table) if k not in special and x}
+    same = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not told["normalizer"]
+    if not same or model.get("dropout") or model.get("ignore_merges") or made != sorted(made) or len(plain) != len(set(made)) + 256:
+        return None
+    return tiktoken.Encoding("pieces", pat_str=SPLIT, mergeable_ranks=plain, special_tokens={})
+
+
 # a space or newline between two characters that are no white space
 _SPACE = re.compile(r" (?<=\S )(?=\S)")
 _NEWLINE = re.compile(r"\n(?<=\S\n)(?=\S)")
@@ -108,8 +127,10 @@ class Both:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=files.pieces)
         entries = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(entries)]
+        self.ranked = ranked(files.byte_level, self.bytes_a)
         self.len_a, self.len_b = (np.array([len(x) for x in v], dtype=np.int64) for v in (self.bytes_a, self.bytes_b))
-        self.text_a, self.text_b = ([str(k) for k in range(len(v))] for v in (self.bytes_a, self.bytes_b))
+        self.digits = _digit_table(max(len(self.bytes_a), len(self.bytes_b)))
+        self.digit_counts = (self.digits != 0).sum(axis=1)
         # a cut is safe only where no piece could reach over it
         self.cut_spaces = not any("▁" in p.lstrip("▁") for p in entries)
         self.cut_lines = self.cut_spaces and not any("\n" in p for k, p in enumerate(entries) if not self.b.is_byte(k))
@@ -127,7 +148,7 @@ class Both:
             out += words
         return out
 
-    def encode(self, pieces: list[str], led: list[bool]) -> tuple[list[list[int]], list[list[int]]]:
+    def one_by_one(self, pieces: list[str], led: list[bool]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both tokenizers for each piece; ``led`` tells which a newline leads."""
         whole = [p if line else " " + p for p, line in zip(pieces, led)]
         a = [e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)]
@@ -135,103 +156,230 @@ class Both:
         b = [ids[1:] if line else ids for ids, line in zip(self.b.encode(pieces, num_threads=1), led)]
         return a, b
 
+    def together(self, pieces: list[str], led: list[bool]) -> tuple[np.ndarray, ...] | None:
+        """(n_a, ids of a, n_b, ids of b) of pieces without white space at their ends, as one text
+        that is cut at them again; null if the tokens' ends or bytes don't allow that."""
+        whole = [p if line else " " + p for p, line in zip(pieces, led)]
+        text = "".join(whole)
+        raw = text.encode("utf-8", "surrogatepass")
+        ends = np.cumsum(np.fromiter((len(w.encode("utf-8", "surrogatepass")) for w in whole), dtype=np.int64, count=len(whole)) if len(raw) != len(text) else np.fromiter(map(len, whole), dtype=np.int64, count=len(whole)))
+        a = self.ranked.encode_ordinary(text) if self.ranked else self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        # the second tokenizer puts the first space of each text itself; a newline must not come first
+        spaces = [k for k, line in enumerate(led) if not line][::RUN]
+        runs = ["".join(whole[i:j])[1:] for i, j in zip(spaces, [*spaces[1:], len(whole)])]
+        b = list(chain.from_iterable(self.b.encode(runs, num_threads=1)))
+        out = []
+        for ids, table, lengths in ((a, self.bytes_a, self.len_a), (b, self.bytes_b, self.len_b)):
+            if b"".join(map(table.__getitem__, ids)) != raw:
+                return None
+            ids = np.array(ids, dtype=np.int64)
+            stops = np.cumsum(lengths[ids])
+            last = np.searchsorted(stops, ends)
+            if not np.array_equal(stops[last], ends):
+                return None
+            out += [np.diff(last, prepend=-1), ids]
+        return tuple(out)
+
+    def encode(self, pieces: list[str], led: list[bool]) -> tuple[np.ndarray, ...]:
+        """(whether each piece fits, n_a, ids of a, n_b, ids of b); pieces that don't fit have no ids."""
+        plain = [k for k, (p, line) in enumerate(zip(pieces, led)) if line < len(p) <= LONG_PIECE and p[line:] == p[line:].strip()] if self.cut_spaces else []
+        parts, single = [], set(range(len(pieces))).difference(plain) if len(plain) < len(pieces) else set()
+        for at in range(0, len(plain), TOGETHER):
+            own = plain[at:at + TOGETHER]
+            if led[own[0]]:
+                first = next((k for k, x in enumerate(own) if not led[x]), None)
+                if first is None:
+                    single.update(own)
+                    continue
+                own[0], own[first] = own[first], own[0]
+            found = self.together([pieces[k] for k in own], [led[k] for k in own])
+            if found is None:
+                single.update(own)
+            else:
+                parts.append((own, np.ones(len(own), dtype=bool), *found))
+        if single:
+            own = sorted(single)
+            a, b = self.one_by_one([pieces[k] for k in own], [led[k] for k in own])
+            fits = np.zeros(len(own), dtype=bool)
+            for i, k in enumerate(own):
+                raw = (pieces[k] if led[k] else " " + pieces[k]).encode("utf-8", "surrogatepass")
+                fits[i] = b"".join(map(self.bytes_a.__getitem__, a[i])) == raw == b"".join(map(self.bytes_b.__getitem__, b[i]))
+            parts.append((own, fits, *_flat([x if ok else [] for x, ok in zip(a, fits)]), *_flat([x if ok else [] for x, ok in zip(b, fits)])))
+        order = np.concatenate([np.array(x[0], dtype=np.int64) for x in parts])
+        back = np.argsort(order)
+        fits, n_a, n_b = (np.concatenate([x[i] for x in parts]) for i in (1, 2, 4))
+        ids = []
+        for n, i in ((n_a, 3), (n_b, 5)):
+            ids.append(np.concatenate([x[i] for x in parts])[_spans((np.cumsum(n) - n)[back], n[back])])
+        return fits[back], n_a[back], ids[0], n_b[back], ids[1]
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return n, np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(n.sum()))
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [start, start + size), one range after another."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+_DIGITS = 10
+
+
+def _digit_table(n: int) -> np.ndarray:
+    """Decimal digits of 0..n-1 as bytes, right-aligned, zero bytes before them; a last column for a mark."""
+    k, out = np.arange(n), np.zeros((n, _DIGITS + 1), dtype=np.uint8)
+    for c in range(_DIGITS):
+        shown = (k >= 10 ** c) | (c == 0)
+        out[:, _DIGITS - 1 - c] = np.where(shown, 48 + k // 10 ** c % 10, 0)
+    return out[:, int((out[:, :_DIGITS] == 0).all(axis=0).sum()):]
+
 
 @dataclass
 class Aligned:
-    """Alignment of some pieces: for each its tokens, groups, text of groups, and where its links lie."""
+    """Alignment of some pieces: for each its tokens and groups, the text of its groups with a
+    semicolon after each, and where its links end."""
 
     fits: np.ndarray
     n_a: np.ndarray
     n_b: np.ndarray
     n_groups: np.ndarray
-    groups: list[str]
+    groups: list[bytes]
     links: np.ndarray  # id of the first tokenizer in the upper, of the second in the lower 32 bits
     link_ends: np.ndarray
 
 
+def _group_texts(both: Both, flat_a, flat_b, stops_a, stops_b, piece_groups) -> list[bytes]:
+    """The groups of each piece as text, all digits at once."""
+    if not len(stops_a):
+        return [b""] * len(piece_groups)
+    size_a, size_b = np.diff(stops_a, prepend=0), np.diff(stops_b, prepend=0)
+    # a group's tokens stand together: those of the first tokenizer, then those of the second
+    at_a = np.arange(len(flat_a)) + np.repeat(stops_b - size_b, size_a)
+    at_b = np.arange(len(flat_b)) + np.repeat(stops_a, size_b)
+    order, marks = np.empty(len(flat_a) + len(flat_b), dtype=np.int64), np.full(len(flat_a) + len(flat_b), ord(","), dtype=np.uint8)
+    order[at_a], order[at_b] = flat_a, flat_b
+    ends = stops_a + stops_b
+    marks[ends - 1], marks[ends - 1 - size_b] = ord(";"), ord("|")
+    cells = both.digits[order]
+    cells[:, -1] = marks
+    text = cells[cells != 0].tobytes()
+    widths = np.cumsum(both.digit_counts[order] + 1)
+    group_ends = widths[ends - 1]
+    stops = np.concatenate([[0], group_ends])[np.cumsum(piece_groups)].tolist()
+    return [text[i:j] for i, j in zip([0, *stops[:-1]], stops)]
+
+
 def align_pieces(both: Both, pieces: list[str], led: list[bool]) -> Aligned:
-    a, b = both.encode(pieces, led)
-    fits = np.zeros(len(pieces), dtype=bool)
-    for k, (p, line) in enumerate(zip(pieces, led)):
-        raw = (p if line else " " + p).encode("utf-8", "surrogatepass")
-        fits[k] = b"".join([both.bytes_a[i] for i in a[k]]) == raw == b"".join([both.bytes_b[i] for i in b[k]])
-    a, b = [x if ok else [] for x, ok in zip(a, fits)], [x if ok else [] for x, ok in zip(b, fits)]
-    n_a, n_b = (np.array([len(x) for x in v], dtype=np.int64) for v in (a, b))
-    flat_a, flat_b = (np.array([i for x in v for i in x], dtype=np.int64) for v in (a, b))
+    fits, n_a, flat_a, n_b, flat_b = both.encode(pieces, led)
     ends_a, ends_b = np.cumsum(both.len_a[flat_a]), np.cumsum(both.len_b[flat_b])
     # between two neighbouring ends lies one token of each: one link
-    ends = np.union1d(ends_a, ends_b)
+    ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+    ends = ends[np.diff(ends, prepend=-1) > 0]
     at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
     links = flat_a[at_a] << 32 | flat_b[at_b]
     shared = (ends_a[at_a] == ends) & (ends_b[at_b] == ends) if len(ends) else np.zeros(0, bool)
     piece_ends = np.concatenate([[0], ends_a])[np.cumsum(n_a)]
     link_ends, group_ends = np.searchsorted(ends, piece_ends, "right"), np.searchsorted(ends[shared], piece_ends, "right")
-    stops_a, stops_b = (at_a[shared] + 1).tolist(), (at_b[shared] + 1).tolist()
-    text_a, text_b, ids_a, ids_b = both.text_a, both.text_b, flat_a.tolist(), flat_b.tolist()
-    groups, i, j, g = [], 0, 0, 0
-    for stop in group_ends.tolist():
-        own = []
-        for g in range(g, stop):
-            own.append(",".join([text_a[x] for x in ids_a[i:stops_a[g]]]) + "|" + ",".join([text_b[x] for x in ids_b[j:stops_b[g]]]))
-            i, j = stops_a[g], stops_b[g]
-        g = stop
-        groups.append(";".join(own))
-    return Aligned(fits, n_a, n_b, np.diff(group_ends, prepend=0), groups, links, link_ends)
+    n_groups = np.diff(group_ends, prepend=0)
+    return Aligned(fits, n_a, n_b, n_groups, _group_texts(both, flat_a, flat_b, at_a[shared] + 1, at_b[shared] + 1, n_groups), links, link_ends)
 
 
-class Memory:
-    """What pieces give, numbered in the order they were met; forgotten as a whole when it is full.
+@dataclass
+class Group:
+    """Some texts after each other: their numbers, the pieces of those that have tokens, and each one's links."""
 
-    ``remember`` turns an ``Aligned`` into one value a piece; null stands for a piece that doesn't fit.
-    """
+    texts: list[int]  # those with tokens
+    empty: list[int]
+    pieces: np.ndarray  # numbers of the pieces of all texts
+    of: np.ndarray  # the text, by its place in ``texts``, of each piece
+    memory: Memory
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Whole numbers of pieces, summed for each text."""
+        return np.bincount(self.of, values[self.pieces], len(self.texts)).astype(np.int64)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """(pair, text by its place) of every link."""
+        start, size = self.memory.first[self.pieces], self.memory.n_links[self.pieces]
+        return self.memory.pair[_spans(start, size)], np.repeat(self.of, size)
 
-    def __init__(self, both: Both, remember):
-        self.both, self.remember = both, remember
-        self.known: dict[str, object] = {}
-        self.held = 0
+    def group_texts(self) -> list[bytes]:
+        edges = np.searchsorted(self.of, np.arange(len(self.texts) + 1)).tolist()
+        numbers, known = self.pieces.tolist(), self.memory.groups
+        return [b"".join([known[k] for k in numbers[i:j]])[:-1] for i, j in zip(edges[:-1], edges[1:])]
 
-    def documents(self, texts: list[str | None]) -> Iterator[list | None]:
-        """The values of each text's pieces in order; null for a text without tokens."""
+
+class Memory:
+    """What the pieces met so far give, in columns; forgotten as a whole when there is too much of it."""
+
+    def __init__(self, both: Both):
+        self.both = both
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict = {}
+        self.held, self.age = 0, getattr(self, "age", 0) + 1
+        self.fits = np.zeros(0, dtype=bool)
+        self.n_a = self.n_b = self.n_groups = self.n_links = self.first = np.zeros(0, dtype=np.int64)
+        self.groups: list[bytes] = []
+        # links name their pair by its number here
+        self.pair, self.codes = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+        self.pair_number: dict[int, int] = {}
+
+    def learn(self, names: list, pieces: list[str], led: list[bool]) -> None:
+        found = align_pieces(self.both, pieces, led)
+        n_links = np.diff(found.link_ends, prepend=0)
+        codes, inverse = np.unique(found.links, return_inverse=True)
+        known = self.pair_number
+        numbers = np.array([known.setdefault(c, len(known)) for c in codes.tolist()], dtype=np.int32)
+        fresh = numbers >= len(self.codes)
+        added = np.empty(int(fresh.sum()), dtype=np.int64)
+        added[numbers[fresh] - len(self.codes)] = codes[fresh]
+        self.codes = np.concatenate([self.codes, added])
+        self.first = np.concatenate([self.first, len(self.pair) + found.link_ends - n_links])
+        self.pair = np.concatenate([self.pair, numbers[inverse]])
+        for name, more in (("fits", found.fits), ("n_a", found.n_a), ("n_b", found.n_b), ("n_groups", found.n_groups), ("n_links", n_links)):
+            setattr(self, name, np.concatenate([getattr(self, name), more]))
+        self.number.update(zip(names, range(len(self.groups), len(self.groups) + len(names))))
+        self.groups += found.groups
+        self.held += len(names) + sum(map(len, pieces)) // 16
+
+    def texts(self, texts: list[str | None]) -> Iterator[Group]:
+        """All texts in groups, in order."""
         at = 0
         while at < len(texts):
-            group, size = [], 0
+            if self.held > REMEMBERED:
+                self.forget()
+            cuts, own, empty, size = [], [], [], 0
             while at < len(texts) and size < GROUP_CHARS:
                 text = texts[at]
-                group.append(self.both.cut(text) if text else None)
-                size += len(text or "")
-                at += 1
-            if self.held > REMEMBERED:
-                self.known, self.held = {}, 0
-            once: dict[str, object] = {}
-            firsts: dict[str, object] = {}
-            for pieces in group:
-                if pieces:
-                    # a first piece has a space before it, also where it begins with a newline
+                if text:
+                    pieces = self.both.cut(text)
                     if pieces[0][:1] == "\n":
-                        firsts[pieces[0]] = None
-                    elif pieces[0] not in self.known:
-                        once[pieces[0]] = None
-                    for p in set(pieces[1:]).difference(self.known):
-                        once[p] = None
-            new, lead = [*once, *firsts], [*[p[:1] == "\n" for p in once], *[False] * len(firsts)]
+                        # a first piece has a space before it, also where it begins with a newline
+                        pieces[0] = (pieces[0],)
+                    cuts.append(pieces)
+                    own.append(at)
+                    size += len(text)
+                else:
+                    empty.append(at)
+                at += 1
+            new = list(set().union(*cuts).difference(self.number))
             if new:
-                found = align_pieces(self.both, new, lead)
-                values = self.remember(found)
-                once, firsts = dict(zip(once, values)), dict(zip(firsts, values[len(once):]))
-                short = {p: v for p, v in once.items() if len(p) <= LONG_PIECE}
-                self.known |= short
-                self.held += len(found.links) + 4 * len(short)
-            known = self.known
-            for pieces in group:
-                if not pieces:
-                    yield None
-                    continue
-                first = firsts[pieces[0]] if pieces[0][:1] == "\n" else known[pieces[0]] if pieces[0] in known else once[pieces[0]]
-                try:
-                    values = [first, *map(known.__getitem__, pieces[1:])]
-                except KeyError:
-                    values = [first, *[known[p] if p in known else once[p] for p in pieces[1:]]]
-                yield None if any(v is None for v in values) else values
+                self.learn(new, [p[0] if isinstance(p, tuple) else p for p in new], [not isinstance(p, tuple) and p[:1] == "\n" for p in new])
+            sizes = np.fromiter(map(len, cuts), dtype=np.int64, count=len(cuts))
+            pieces = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cuts)), dtype=np.int64, count=int(sizes.sum()))
+            of = np.repeat(np.arange(len(own)), sizes)
+            wrong = np.unique(of[~self.fits[pieces]])
+            if len(wrong):
+                fit = np.ones(len(own), dtype=bool)
+                fit[wrong] = False
+                empty += [own[k] for k in wrong.tolist()]
+                own = [k for k, ok in zip(own, fit) if ok]
+                pieces, of = pieces[fit[of]], (np.cumsum(fit) - 1)[of[fit[of]]]
+            yield Group(own, empty, pieces, of, self)
 
 
 _WORKER: dict[str, object] = {}
@@ -245,8 +393,8 @@ def _worker(name: str, make):
     return _WORKER[kind][1]
 
 
-def _both(files) -> Both:
-    return _worker(f"both:{files.value.name}", lambda: Both(files.value))
+def _memory(files) -> Memory:
+    return _worker(f"memory:{files.value.name}", lambda: Memory(Both(files.value)))
 
 
 def _texts(batch: pa.RecordBatch) -> list[str | None]:
@@ -255,32 +403,37 @@ def _texts(batch: pa.RecordBatch) -> list[str | None]:
 
 # ---------------------------------------------------------------- counts
 
-def _distinct_links(found: Aligned) -> list[frozenset | None]:
-    parts = np.split(found.links, found.link_ends[:-1])
-    return [frozenset(p.tolist()) if ok else None for p, ok in zip(parts, found.fits)]
+_SUMS = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 
 
-_SUMS = pa.schema([("code", pa.int64()), ("n", pa.int64())])
+def _document_counts(group: Group) -> np.ndarray:
+    """In how many texts of the group each pair of the memory is linked."""
+    pair, of = group.links()
+    met = np.zeros((len(group.texts), len(group.memory.codes)), dtype=bool)
+    met[of, pair] = True
+    return met.sum(axis=0, dtype=np.int64)
 
 
 def pair_sums(docs: DataFrame, files) -> DataFrame:
     """(code, n): for each task the pairs it met and in how many of its documents, written once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _worker(f"sets:{files.value.name}", lambda: Memory(_both(files), _distinct_links))
-        counts: Counter = Counter()
+        memory = _memory(files)
+        age, total = memory.age, np.zeros(0, dtype=np.int64)
 
-        def out() -> pa.RecordBatch:
-            codes = np.fromiter(counts.keys(), dtype=np.int64, count=len(counts))
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(np.fromiter(counts.values(), dtype=np.int64, count=len(counts)))], schema=_SUMS)
+        def out(codes: np.ndarray) -> pa.RecordBatch:
+            some = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array(codes[some]), pa.array(total[some])], schema=_SUMS)
 
+        codes = memory.codes
         for batch in batches:
-            for values in memory.documents(_texts(batch)):
-                if values:
-                    counts.update(frozenset().union(*values))
-                    if len(counts) > HELD_PAIRS:
-                        yield out()
-                        counts.clear()
-        yield out()
+            for group in memory.texts(_texts(batch)):
+                if memory.age != age:  # the numbers of the pairs changed
+                    yield out(codes)
+                    age, total = memory.age, np.zeros(0, dtype=np.int64)
+                codes, now = memory.codes, _document_counts(group)
+                now[:len(total)] += total
+                total = now
+        yield out(codes)
 
     return materialize(docs.select("text").mapInArrow(run, "code long, n long"), "pair-sums")
 
@@ -419,79 +572,89 @@ class Lookup:
         return self.counts[at]
 
 
-def _sums_of(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate([[0], np.cumsum(values)])[ends], prepend=0)
-
-
-def _rated(lookup: Lookup):
-    def values(found: Aligned) -> list:
-        counts = lookup.of(found.links)
-        best = _sums_of(counts == lookup.best[found.links >> 32], found.link_ends)
-        total = _sums_of(counts, found.link_ends)
-        rows = zip(found.fits.tolist(), found.n_a.tolist(), found.n_b.tolist(), found.n_groups.tolist(), best.tolist(), total.tolist(), found.groups)
-        return [row[1:] if row[0] else None for row in rows]
+_NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+_RESULT = ", ".join(["doc_id long", *[f"{n} long" for n in _NUMBERS], "groups string"])
+_RESULT_SCHEMA = pa.schema([("doc_id", pa.int64()), *[(n, pa.int64()) for n in _NUMBERS], ("groups", pa.string())])
 
-    return values
 
+class _Rated:
+    """Count and rank of the pairs of a worker's memory, looked up once for each."""
 
-def _with_links(found: Aligned) -> list:
-    parts = np.split(found.links, found.link_ends[:-1])
-    rows = zip(found.fits.tolist(), found.n_a.tolist(), found.n_b.tolist(), found.n_groups.tolist(), parts, found.groups)
-    return [row[1:] if row[0] else None for row in rows]
+    def __init__(self, lookup: Lookup):
+        self.lookup, self.age = lookup, 0
+        self.count, self.best = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
 
+    def of(self, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
+        if self.age != memory.age:
+            self.age, self.count, self.best = memory.age, self.count[:0], self.best[:0]
+        return self.count, self.best
 
-_NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-_RESULT = ", ".join(["doc_id long", *[f"{n} long" for n in _NUMBERS], "groups string"])
-_RESULT_SCHEMA = pa.schema([("doc_id", pa.int64()), *[(n, pa.int64()) for n in _NUMBERS], ("groups", pa.string())])
-# Rows of one batch that leaves a task.
-_OUT_ROWS = 500
+    def look_up(self, memory: Memory, pair: np.ndarray) -> None:
+        """Counts of the pairs named; a memory may know others, met by other queries, that have none."""
+        count, best = self.of(memory)
+        more = len(memory.codes) - len(count)
+        self.count, self.best = np.concatenate([count, np.full(more, -1)]), np.concatenate([best, np.zeros(more, dtype=bool)])
+        new = np.unique(pair[self.count[pair] < 0])
+        if len(new):
+            codes = memory.codes[new]
+            self.count[new] = self.lookup.of(codes)
+            self.best[new] = self.count[new] == self.lookup.best[codes >> 32]
 
 
 def _rate(files, lookup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _worker(f"rated:{lookup.value.name}", lambda: Memory(_both(files), _rated(lookup.value)))
+        memory, rated = _memory(files), _Rated(lookup.value)
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            for name, values in zip(ids, memory.documents(_texts(batch))):
-                if values:
-                    n_a, n_b, n_groups, best, total, groups = zip(*values)
-                    x, y, z = sum(n_a), sum(n_b), sum(n_groups)
-                    rows.append((name, x, y, z, x + y - z, sum(best), sum(total), ";".join(groups)))
-                else:
-                    rows.append((name, 0, 0, 0, 0, 0, 0, ""))
-                if len(rows) == _OUT_ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows), _RESULT_SCHEMA)], schema=_RESULT_SCHEMA)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows), _RESULT_SCHEMA)], schema=_RESULT_SCHEMA)
+            ids = batch.column(0)
+            for group in memory.texts(_texts(batch)):
+                pair, of = group.links()
+                rated.look_up(memory, pair)
+                n, n_a, n_b, n_groups = len(group.texts), *(group.sums(v) for v in (memory.n_a, memory.n_b, memory.n_groups))
+                best, total = np.bincount(of, rated.best[pair], n).astype(np.int64), _whole_sums(of, rated.count[pair], n)
+                columns = [n_a, n_b, n_groups, n_a + n_b - n_groups, best, total]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(group.texts, type=pa.int64())), *map(pa.array, columns), pa.array(group.group_texts(), type=pa.string())], schema=_RESULT_SCHEMA)
+                if group.empty:
+                    k = len(group.empty)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(group.empty, type=pa.int64())), *[pa.array(np.zeros(k, dtype=np.int64))] * len(_NUMBERS), pa.array([""] * k, type=pa.string())], schema=_RESULT_SCHEMA)
 
     return run
 
 
+def _whole_sums(of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of whole numbers for each text, exact beyond 2^53; ``of`` ascends."""
+    ends = np.searchsorted(of, np.arange(n), "right")
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[ends], prepend=0)
+
+
+_ROWS = "row string, doc_id long, n_a long, n_b long, n_groups long, codes array<long>, times array<long>, groups string"
 _ROWS_SCHEMA = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("codes", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("groups", pa.string())])
 
 
 def _rows_with_links(files):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, nth = Memory(_both(files), _with_links), 0
+        memory, nth = _memory(files), 0
         for batch in batches:
-            for name, values in zip(batch.column(0).to_pylist(), memory.documents(_texts(batch))):
-                if values:
-                    n_a, n_b, n_groups, links, groups = zip(*values)
-                    codes, times = np.unique(np.concatenate(links), return_counts=True)
-                    row = (sum(n_a), sum(n_b), sum(n_groups), codes.tolist(), times.tolist(), ";".join(groups))
-                else:
-                    row = (0, 0, 0, [], [], "")
-                nth += 1
-                full = (f"{TaskContext.get().partitionId()}-{nth}", name, *row)
-                yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(full, _ROWS_SCHEMA)], schema=_ROWS_SCHEMA)
+            ids = batch.column(0).to_pylist()
+            for group in memory.texts(_texts(batch)):
+                pair, of = group.links()
+                pairs = len(memory.codes)
+                key, times = np.unique(of * pairs + pair, return_counts=True)
+                edges = np.searchsorted(key // max(pairs, 1), np.arange(len(group.texts) + 1))
+                codes = memory.codes[key % max(pairs, 1)] if pairs else np.zeros(0, dtype=np.int64)
+                sums = [group.sums(v).tolist() for v in (memory.n_a, memory.n_b, memory.n_groups)]
+                rows = [(ids[t], sums[0][k], sums[1][k], sums[2][k], codes[edges[k]:edges[k + 1]], times[edges[k]:edges[k + 1]], text) for k, (t, text) in enumerate(zip(group.texts, group.group_texts()))]
+                rows += [(ids[t], 0, 0, 0, [], [], b"") for t in group.empty]
+                names = [f"{TaskContext.get().partitionId()}-{nth + k}" for k in range(len(rows))]
+                nth += len(rows)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip([names, *zip(*rows)], _ROWS_SCHEMA)], schema=_ROWS_SCHEMA)
 
     return run
 
 
 def _joined(docs: DataFrame, files, counts: DataFrame, best) -> DataFrame:
     """The same rows without a broadcast of counts: documents' pairs written, then joined."""
-    rows = materialize(docs.mapInArrow(_rows_with_links(files), "row string, doc_id long, n_a long, n_b long, n_groups long, codes array<long>, times array<long>, groups string"), "aligned-rows")
+    rows = materialize(docs.mapInArrow(_rows_with_links(files), _ROWS), "aligned-rows")
     links = rows.select("row", F.explode(F.arrays_zip("codes", "times")).alias("link")).select("row", F.col("link.codes").alias("code"), F.col("link.times").alias("times"))
     # the highest counts: one number for each id of the vocabulary
     rated = counts.join(F.broadcast(best), "a").select("code", "n", (F.col("n") == F.col("best")).alias("is_best"), F.col("n").alias("weight"))

@@ -88,12 +88,37 @@ def test_joined_counts_many_shards_and_slices(spark, both, monkeypatch):
 
 def test_forgetting_changes_nothing(both, monkeypatch):
     texts = [t for _, t in odd_texts()]
-    values = lambda: [None if v is None else [x[:4] for x in v] for v in cross_align.Memory(both, lambda f: [(int(a), int(b), int(g), t) if ok else None for ok, a, b, g, t in zip(f.fits, f.n_a, f.n_b, f.n_groups, f.groups)]).documents(texts)]
-    whole = values()
+
+    def values():
+        memory, out = cross_align.Memory(both), {}
+        for group in memory.texts(texts):
+            pair, of = group.links()
+            for k, (t, text) in enumerate(zip(group.texts, group.group_texts())):
+                out[t] = (text, memory.codes[pair[of == k]].tolist(), group.sums(memory.n_a)[k])
+        return out, memory.age
+
+    whole, age = values()
     monkeypatch.setattr(cross_align, "REMEMBERED", 5)
     monkeypatch.setattr(cross_align, "GROUP_CHARS", 50)
-    monkeypatch.setattr(cross_align, "LONG_PIECE", 3)
-    assert values() == whole
+    again, later = values()
+    assert again == whole and age == 1 and later > 10
+
+
+def test_sums_over_several_memories(both, monkeypatch):
+    """A task whose memory is emptied on the way sends its sums in parts."""
+    texts = [t for _, t in odd_texts()]
+
+    def sums():
+        memory, total = cross_align.Memory(both), Counter()
+        for group in memory.texts(texts):
+            for code, n in zip(memory.codes.tolist(), cross_align._document_counts(group).tolist()):
+                total[code] += n
+        return +total
+
+    whole = sums()
+    monkeypatch.setattr(cross_align, "REMEMBERED", 20)
+    monkeypatch.setattr(cross_align, "GROUP_CHARS", 100)
+    assert sums() == whole
 
 
 def test_query_equals_brute_force(spark, data, both):
