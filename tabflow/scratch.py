@@ -35,24 +35,47 @@ _SCOPES: list[list[str]] = []
 
 
 @contextmanager
-def scope(spark: SparkSession):
-    """Delete what ``materialize`` writes inside the block when it ends; take results out first."""
+def scope(spark: SparkSession, later: list[str] | None = None):
+    """Delete what ``materialize`` writes inside the block when it ends; take results out first.
+
+    With ``later`` the paths are put into that list instead, for the caller to ``free``.
+    """
     _SCOPES.append([])
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
-            _delete(spark, path)
+        paths = _SCOPES.pop()
+        if later is None:
+            free(spark, paths)
+        else:
+            later += paths
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the scratch folder and return a scan of what was written."""
+def materialize(df: DataFrame, name: str, *, outlive: bool = False) -> DataFrame:
+    """Write ``df`` to the scratch folder and return a scan of what was written.
+
+    ``outlive`` takes the table out of the innermost ``scope``: it belongs to the one around it.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    owners = _SCOPES[:-1] if outlive else _SCOPES
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._scratch_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and nothing reads any more."""
+    for written in tables:
+        _delete(written.sparkSession, written._scratch_path)
+
+
+def free(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        _delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:
