@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -61,6 +61,12 @@ def bounded_broadcast(keys: DataFrame, most: int) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
+def unpacked(names: Sequence[str], replaced: Sequence[str] = ()) -> list[Column]:
+    """The columns of a packed row, without those that an operator's own outputs replace."""
+    taken = {n.lower() for n in replaced}
+    return [F.col(f"_row.`{c}`").alias(c) for c in names if c.lower() not in taken]
+
+
 def packed(df: DataFrame, *names: str) -> DataFrame:
     """The whole row as ``_row`` beside copies of the named columns as ``_<name>``: no clash is possible."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[F.col(f"`{n}`").alias(f"_{n}") for n in names])

@@ -1,10 +1,12 @@
 """Line dedup by content-defined chunks, in DataFrame functions only.
 
-A text's lines are hashed; a rolling hash over the last ``WINDOW`` line hashes ends a chunk
-where it is divisible by ``spread``. Where a chunk ends depends only on the lines just before,
+A text's lines are hashed; a rolling hash over the last ``WINDOW`` line hashes marks a line
+where it is divisible by ``spread``. A chunk ends at a marked line whose line before is not
+marked, unless that line is the first of the text or the last but one: every chunk has two lines
+or more, but that of a text of one line. Where a chunk ends depends only on the lines just around,
 so an inserted or deleted line moves one or two boundaries and the rest fall into step again.
-Chunks of at least ``min_lines`` lines that occur more than once anywhere are removed but for
-their first occurrence, by (doc_id, place).
+Chunks of several lines that occur more than once anywhere are removed but for their first
+occurrence, by (doc_id, place).
 
 Equal hashes only nominate: candidates are grouped by hash and by the chunk's own bytes, so
 what is removed was compared byte for byte. Chunk texts move only for nominated chunks. The
@@ -23,12 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import bounded_broadcast, table, without
+from tabflow.llm.common import bounded_broadcast, packed, table, unpacked
 from tabflow.scratch import materialize
 
 WINDOW = 2
 SPREAD = 4
-MIN_LINES = 2
 # 2^31 - 1, a prime: line hashes are below 2^28, so the products stay within a long
 _PRIME = (1 << 31) - 1
 BROADCAST_KEYS = 1_000_000
@@ -47,23 +48,25 @@ def chunk_ends(hashes: Column, spread: int, window: int = WINDOW) -> Column:
         return h
 
     n = F.size(hashes)
-    return F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (rolling(i) % F.lit(spread) == 0))
+    marked = F.transform(F.sequence(F.lit(1), n), lambda i: rolling(i) % F.lit(spread) == 0)
+    # the marks are an array of their own, so that each is computed once
+    return F.transform(F.array(marked), lambda m: F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | ((i > 1) & (i < n - 1) & F.get(m, i - 1) & ~F.get(m, i - 2))))[0]
 
 
-def _chunks(docs: DataFrame, spread: int, min_lines: int) -> DataFrame:
-    """(doc_id, text_hash, no, start, n_lines, chunk) of every chunk of at least ``min_lines`` lines."""
+def _chunks(docs: DataFrame, spread: int) -> DataFrame:
+    """(doc_id, text_hash, start, n_lines, chunk) of every chunk of two lines or more."""
     lined = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"))
     hashed = lined.withColumn("hashes", F.transform("lines", line_hash))
     ended = hashed.select("doc_id", "text_hash", "lines", chunk_ends(F.col("hashes"), spread).alias("ends"))
     rows = ended.select("doc_id", "text_hash", "lines", F.explode(F.arrays_zip(F.col("ends").alias("end"), F.concat(F.array(F.lit(0)), F.col("ends")).alias("start"))).alias("c"))
-    rows = rows.filter(F.col("c.end") - F.col("c.start") >= min_lines)
+    rows = rows.filter(F.col("c.end") - F.col("c.start") > 1)
     return rows.select("doc_id", "text_hash", F.col("c.start").alias("start"), (F.col("c.end") - F.col("c.start")).alias("n_lines"), F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.end") - F.col("c.start")), "\n").alias("chunk"))
 
 
-def repeated_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", spread: int = SPREAD, min_lines: int = MIN_LINES) -> DataFrame:
+def repeated_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", spread: int = SPREAD) -> DataFrame:
     """(doc_id, text_hash, start, n_lines) of every chunk occurrence to remove."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    chunks = _chunks(own, spread, min_lines).withColumn("h", F.xxhash64("chunk"))
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    chunks = _chunks(own, spread).withColumn("h", F.xxhash64("chunk"))
     keys = materialize(chunks.select("doc_id", "text_hash", "start", "h").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "chunk-keys")
     named = materialize(chunks.join(bounded_broadcast(keys, BROADCAST_KEYS), "h", "left_semi"), "chunk-candidates")
     place = F.struct("doc_id", "text_hash", "start")
@@ -73,23 +76,23 @@ def repeated_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return named.join(groups, ["h", "chunk"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "start", "n_lines").distinct()
 
 
-def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", spread: int = SPREAD, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", spread: int = SPREAD) -> DataFrame:
     """``docs`` with repeated chunks taken out of the text, and ``n_lines``, ``n_removed``."""
-    kept = without(docs, ["n_lines", "n_removed", "_gone", "_text_hash"])
-    gone = repeated_chunks(docs, doc_id=doc_id, text=text, spread=spread, min_lines=min_lines)
+    gone = repeated_chunks(docs, doc_id=doc_id, text=text, spread=spread)
     gone = gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "n_lines"))).alias("_gone"))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text_hash"), "_gone")
-    joined = kept.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_text_hash")), "left")
-    lines = F.split(F.col(text), "\n")
+    own = F.col(f"_row.`{text}`")
+    joined = packed(docs).join(gone, F.col(f"_row.`{doc_id}`").eqNullSafe(F.col("_id")) & (F.xxhash64(own) == F.col("_text_hash")), "left")
+    lines = F.split(own, "\n")
     # the stretches between removed chunks
     before = F.transform("_gone", lambda g, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get("_gone", i - 1)["start"] + F.get("_gone", i - 1)["n_lines"]).alias("low"), g["start"].alias("high")))
     tail = F.array(F.struct((F.element_at("_gone", -1)["start"] + F.element_at("_gone", -1)["n_lines"]).alias("low"), F.size(lines).alias("high")))
     parts = F.transform(F.filter(F.concat(before, tail), lambda s: s["high"] > s["low"]), lambda s: F.array_join(F.slice(lines, s["low"] + 1, s["high"] - s["low"]), "\n"))
-    new_text = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(parts, "\n"))
+    new_text = F.when(F.col("_gone").isNull(), own).otherwise(F.array_join(parts, "\n"))
     n_removed = F.coalesce(F.aggregate("_gone", F.lit(0).cast("long"), lambda a, g: a + g["n_lines"]), F.lit(0).cast("long"))
     return joined.select(
-        *[(new_text.alias(c) if c == text else F.col(f"`{c}`")) for c in kept.columns],
-        F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"), n_removed.alias("n_removed"),
+        *[new_text.alias(text) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_removed")],
+        F.when(own.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"), n_removed.alias("n_removed"),
     )
 
 
@@ -102,10 +105,11 @@ OP4_SQL = f"""
 with d as (select doc_id, text, row_number() over () as r, string_split(text, chr(10)) as ls from documents),
 u as (select doc_id, text, ls, row_number() over () as k from (select distinct doc_id, text, ls from d where text is not null)),
 h as (select *, [cast('0x' || substr(md5(l), 1, 7) as bigint) for l in ls] as hs from u),
-b as (select k, doc_id, ls, list_filter(generate_series(1, len(ls)), lambda i: i = len(ls) or (((case when i > 1 then hs[i-1] else 0 end) * 31 + hs[i]) % {_PRIME}) % {SPREAD} = 0) as ends from h),
+mk as (select k, doc_id, ls, list_transform(generate_series(1, len(ls)), lambda i: (((case when i > 1 then hs[i-1] else 0 end) * 31 + hs[i]) % {_PRIME}) % {SPREAD} = 0) as ms from h),
+b as (select k, doc_id, ls, list_filter(generate_series(1, len(ls)), lambda i: i = len(ls) or (i > 1 and i < len(ls) - 1 and ms[i] and not ms[i-1])) as ends from mk),
 c as (select k, doc_id, ls, ends, unnest(generate_series(1, len(ends))) as j from b),
 p as (select k, doc_id, ls, case when j = 1 then 0 else ends[j-1] end as s, ends[j] as e from c),
-q as (select k, doc_id, s, e, array_to_string(ls[s+1:e], chr(10)) as chunk from p where e - s >= {MIN_LINES}),
+q as (select k, doc_id, s, e, array_to_string(ls[s+1:e], chr(10)) as chunk from p where e - s > 1),
 g as (select k, s, e, row_number() over (partition by chunk order by doc_id nulls first, k, s) as nth from q),
 x as (select k, list((s, e)) as spans, sum(e - s) as n_removed from (select k, s, e from g where nth > 1) group by k),
 t as (select u.doc_id, u.text, n_removed, array_to_string(list_filter(ls, lambda l, i: len(list_filter(spans, lambda z: i > z[1] and i <= z[2])) = 0), chr(10)) as rest from u join x using (k))
