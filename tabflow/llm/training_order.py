@@ -7,16 +7,18 @@
 2. A keyed Feistel permutation of the sequence numbers, walked along its cycle until it falls
    below their count, gives each sequence its global slot: a bijection that any task computes
    from the number, the count and the key alone.
-3. A shard is a range of slots. Pieces of sequences are dealt by shard, what a block has of one
-   shard in one row, and each shard is written by one task as one file of ``sequence bytes`` per slot: the place of a slot is a
-   multiplication, reading in training order is sequential, and a run resumes at any slot.
+3. A shard is a range of slots, and so is a partition: pieces of sequences go to the partition
+   with the number of their shard, what a block has of one shard in one row. Each shard is written
+   by one task as one file of ``sequence bytes`` per slot: the place of a slot is a multiplication,
+   reading in training order is sequential, and a run resumes at any slot.
    Shards are bounded by ``shard_sequences``, files appear under their name only when they are
    complete, and a repeated task writes the same bytes again.
 
 Defined cases: null and empty texts contribute nothing; a document ends with the separator;
 the unfilled end of the last sequence holds the separator and is not counted in
 ``n_tokens``; repeated rows are written again; no token at all writes no shard and returns no
-row; null ids are carried as null; extra columns are not read.
+row; null ids are carried as null; ids must be whole numbers or texts of such, another is an error;
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabflow.llm.common import table
-from tabflow.scratch import materialize, scratch_root
+from tabflow.scratch import discard, materialize, scratch_root
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The split that belongs to the rank file: fixed by the vocabulary.
@@ -106,12 +108,16 @@ def load_tokenizer(path: str = TOKENIZER, pattern: str = SPLIT) -> Tokenizer:
     return Tokenizer(ranks, pattern, max(ranks.values()) + 1)
 
 
-_BESIDE_SPACE = re.compile(r" \s|\s |\s$")
+# A space or newline between two characters that are no white space: the pattern always splits before it.
+_SPACE = re.compile(r" (?<=\S )(?=\S)")
+_NEWLINE = re.compile(r"\n(?<=\S\n)(?=\S)")
+# Longer pieces are not remembered.
+LONG_PIECE = 200
 
 
 class Encoder:
-    """Token bytes of texts. A text with single spaces only splits at them, as the pattern
-    always does before a space that a word follows, and words are remembered."""
+    """Token bytes of texts. Texts are cut where the pattern always splits, whatever lies around,
+    and the pieces, led by their space or newline, are remembered."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.dtype = tokenizer.dtype
@@ -126,10 +132,14 @@ class Encoder:
         return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
-        if _BESIDE_SPACE.search(text):
-            return self.direct(text)
-        first, *rest = text.split(" ")
-        return self.direct(first) + b"".join(map(self.words.__getitem__, rest))
+        first, *lines = _NEWLINE.split(text)
+        head, *pieces = _SPACE.split(first)
+        for line in lines:
+            start, *rest = _SPACE.split(line)
+            # no piece that a space leads begins with white space: the two kinds of names don't meet
+            pieces.append("\n" + start)
+            pieces += rest
+        return self.direct(head) + b"".join(map(self.words.__getitem__, pieces))
 
 
 class _Words(dict):
@@ -142,7 +152,9 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.pop(word, None)
         if ids is None:
-            ids = self.encoder.direct(" " + word)
+            ids = self.encoder.direct(word if word[0] == "\n" else " " + word)
+        if len(word) > LONG_PIECE:
+            return ids
         if len(self) >= REMEMBERED // 2:
             self.older = dict(self)
             self.clear()
@@ -273,10 +285,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: Tokenizer, *, doc_id:
                 yield pd.DataFrame(rows, columns=_PIECE_COLUMNS)
 
     pieces = tokens.withColumn("doc_ids", F.col("doc_ids").cast("array<string>")).mapInPandas(split, _PIECES)
-    # a shard is a range of slots; as many partitions as shards, each written by the task that holds it
-    dealt = pieces.repartition(max(1, layout.n_shards), "shard").withColumn("doc_ids", F.col("doc_ids").cast("array<string>")).sortWithinPartitions("shard")
+    # range partitions: a shard is a range of slots, and partition k holds what belongs to shard k
+    dealt = pieces.repartitionById(max(1, layout.n_shards), F.col("shard")).withColumn("doc_ids", F.col("doc_ids").cast("array<string>")).sortWithinPartitions("shard")
     schema = "slot long, shard int, byte_offset long, sequence_no long, n_tokens int, doc_ids array<long>, doc_starts array<int>, sha256 string"
     manifest = materialize(dealt.mapInPandas(_shard_writer(layout, tokenizer.separator), schema), "shard-manifest")
+    discard(tokens)
     return layout, manifest
 
 

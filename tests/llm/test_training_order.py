@@ -28,7 +28,7 @@ def test_permutation_of_a_huge_range_and_refusal():
 
 def test_encoder_equals_the_library():
     e = Encoder(load_tokenizer())
-    texts = ["plain words, here.", " leading", "trailing ", "two  spaces", "new\nline \n mixed", "it's we'll 'tis", "tab\tword", "ñ ü 日本 語", "a b c", "x" * 500, "1 22 333,4", "\x1c a \x85 b"]
+    texts = ["plain words, here.", " leading", "trailing ", "two  spaces", "new\nline \n mixed", "it's we'll 'tis", "tab\tword", "ñ ü 日本 語", "a b c", "x" * 500, "1 22 333,4", "\x1c a \x85 b", "line\nline\nline", "\nfirst", "a\n\nb\nc", "end.\n", "a \nb", "a\n b", "x\x0by\nz", "it's\nit's  ok", "a\r\nb", "w " * 3 + "l" * 300 + " w"]
     for t in texts:
         assert e.encode(t) == e.direct(t), t
 
