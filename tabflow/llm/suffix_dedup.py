@@ -40,12 +40,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import table, without
+from tabflow.llm.common import packed, table, unpacked
 from tabflow.scratch import materialize
 
 MATCH = 400
 WINDOW = 128
 GRAM = 16
+# At most 36 MB of keys (a long and a flag), and 500,000 texts with 4,000,000 ranges, some 50 MB.
 BROADCAST_KEYS = 4_000_000
 BROADCAST_TEXTS = 500_000
 # Contexts a range bucket is to hold; one bucket is sorted in memory.
@@ -229,7 +230,7 @@ _NOMINATED = "id_a long, id_b long, starts array<int>, ends array<int>, x int, c
 
 def _identified(docs: DataFrame, text: str) -> DataFrame:
     """(id_a, id_b, text): rows with equal texts have equal, 128-bit ids."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     return docs.select(F.xxhash64(t).alias("id_a"), F.xxhash64(t, F.lit(1)).alias("id_b"), t.alias("text"))
 
 
@@ -389,8 +390,9 @@ def repeats(docs: DataFrame, *, text: str = "text", shape: Shape = Shape(), broa
     offsets = judged.filter("d is null").select("core", "context", "low", "high").unionByName(_across(judged.filter("d is not null").select("core", "context", "d", "a", "b", "n")))
     # equal contexts meet in one bucket and have equal ranges there; another bucket may add offsets
     offsets = offsets.groupBy("core", "context").agg(F.collect_set(F.struct("low", "high")).alias("o"))
-    offsets = offsets.select("core", "context", F.flatten("o.low").alias("low"), F.flatten("o.high").alias("high"))
-    places = found.filter("x is not null and id_a is not null").select("id_a", "id_b", "x", "core", "context").distinct()
+    offsets = materialize(offsets.select("core", "context", F.flatten("o.low").alias("low"), F.flatten("o.high").alias("high")), "suffix-offsets")
+    # both sides are written: the join reads plain scans, and a context that very many texts hold can be split
+    places = materialize(found.filter("x is not null and id_a is not null").select("id_a", "id_b", "x", "core", "context").distinct(), "suffix-places")
     # strings at offsets low..high before an anchor at x cover x - high .. x - low + match
     ranged = places.join(offsets, ["core", "context"]).select(
         "id_a", "id_b", F.transform("high", lambda d: F.col("x") - d).alias("starts"), F.transform("low", lambda d: F.col("x") - d + shape.match).alias("ends"))
@@ -405,10 +407,9 @@ def cut_repeats(docs: DataFrame, *, text: str = "text", shape: Shape = Shape(),
     size = found.agg(F.count("*"), F.sum(F.size("starts"))).first()
     if size[0] <= broadcast_texts and (size[1] or 0) <= 8 * broadcast_texts:
         found = F.broadcast(found)
-    kept = without(docs, ["n_bytes", "spans", "kept", "id_a", "id_b"])
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(f"_row.`{text}`"), F.lit(""))
     found = found.select(F.col("id_a").alias("_a"), F.col("id_b").alias("_b"), "starts", "ends")
-    joined = kept.join(found, (F.xxhash64(t) == F.col("_a")) & (F.xxhash64(t, F.lit(1)) == F.col("_b")), "left")
+    joined = packed(docs).join(found, (F.xxhash64(t) == F.col("_a")) & (F.xxhash64(t, F.lit(1)) == F.col("_b")), "left")
 
     @F.pandas_udf("n_bytes long, starts array<int>, ends array<int>, kept binary")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -424,8 +425,8 @@ def cut_repeats(docs: DataFrame, *, text: str = "text", shape: Shape = Shape(),
                 rows.append((len(raw), s.astype(np.int32), e.astype(np.int32), rest))
             yield pd.DataFrame(rows, columns=["n_bytes", "starts", "ends", "kept"])
 
-    done = joined.withColumn("_cut", cut(F.col(text), F.col("starts"), F.col("ends")))
-    return done.select(*[F.col(f"`{c}`") for c in kept.columns], F.col("_cut.n_bytes").alias("n_bytes"), F.arrays_zip(F.col("_cut.starts").alias("start"), F.col("_cut.ends").alias("end")).alias("spans"), F.col("_cut.kept").alias("kept"))
+    done = joined.select("_row", cut(F.col(f"_row.`{text}`"), F.col("starts"), F.col("ends")).alias("_cut"))
+    return done.select(*unpacked(docs.columns, ["n_bytes", "spans", "kept"]), F.col("_cut.n_bytes").alias("n_bytes"), F.arrays_zip(F.col("_cut.starts").alias("start"), F.col("_cut.ends").alias("end")).alias("spans"), F.col("_cut.kept").alias("kept"))
 
 
 def op10(spark, folder: str) -> DataFrame:
