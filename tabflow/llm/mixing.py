@@ -2,7 +2,9 @@
 
 Documents are summed by membership pattern (the set of sources a document belongs to). The
 graph has one node per pattern and per source, so its size follows the number of sources and
-of patterns in use, never the number of documents. A pattern offers its tokens once for each
+of patterns in use, never the number of documents. It falls into connected parts: a source whose
+documents belong to no other is settled in columns, every other part is one group of a grouped
+job. A pattern offers its tokens once for each
 permitted repetition, the r-th time at cost r: costs are convex, so every document is used
 once before any is used twice. A source takes at most its quota. The flow says how many
 tokens each pattern gives each source; the documents of a pattern are laid on a line in
@@ -14,28 +16,32 @@ summed by (pattern, hash slice), the slices are added up, and order within a sli
 Defined cases: a null text has size 0; a document without words is never taken; a null source
 is a source of its own, last in order; repeated rows are taken each on its own; an empty
 table gives no rows; quotas above what the documents can give are filled as far as they go;
-extra columns pass through and input columns named like an output are replaced.
+extra columns pass through and input columns named like an output are replaced. All documents of
+one connected part are routed by one task, whose work follows its patterns and sources.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import WORD, bounded_broadcast, packed, table, without
-from tabflow.scratch import materialize
+from tabflow.llm.common import WORD, bounded_broadcast, packed, table, unpacked
+from tabflow.llm.components import star_labels
+from tabflow.operators.lookup import lookup_join
+from tabflow.operators.ranking import row_positions, running_totals
+from tabflow.scratch import materialize, scope
 
 SEED = "mix-1"
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
 MAX_REPEATS = 2
-# Hash slices of a pattern's line: one task adds up the slices of a pattern and orders the rows of a slice.
+# Hash slices of a pattern's line, and rows a slice is to hold beyond that many: one task adds up the slices of a pattern and orders the rows of a slice.
 SLICES = 4_096
-# The flow runs on the driver; sources and patterns beyond this are refused, not dropped.
-MAX_NODES = 100_000
+SLICE_ROWS = 20_000
 # Documents' copy counts (some 50 bytes each) are broadcast up to this many, else joined by shuffle.
 BROADCAST_TAKES = 500_000
 
@@ -44,20 +50,31 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def capped_targets(sizes: Sequence[int], weights: Sequence[float], total: float, most: float) -> list[float]:
-    """Shares of ``total`` by weight, each at most ``most`` times its size, the excess reshared by weight."""
-    caps = [float(most * s) for s in sizes]
-    order = sorted(range(len(sizes)), key=lambda i: (caps[i] / weights[i], i))
-    left, weight = float(total), float(sum(weights))
-    out = [0.0] * len(sizes)
-    for k, i in enumerate(order):
-        if caps[i] * weight > left * weights[i]:
-            for j in order[k:]:
-                out[j] = left / weight * weights[j]
-            break
-        out[i] = caps[i]
-        left, weight = left - caps[i], weight - weights[i]
-    return out
+def capped_targets(sized: DataFrame, source: str, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """(source, source_size, target) of every source, written once.
+
+    Sources by code point, null last, weigh ``weights``, repeating, and divide ``share`` of all
+    sizes; a target stops at ``most`` times its source's size and the excess is reshared by
+    weight. In order of cap over weight the capped sources come first, so running totals find
+    where the capping ends; only that row comes to the driver.
+    """
+    totals = materialize(sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size")), "mix-totals")
+    placed = row_positions(totals, order=[F.col("source").isNull(), F.col("source")])
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("pos") - 1, F.lit(len(weights))) + 1).cast("int"))
+    placed = placed.select("source", "source_size", "pos", weight.alias("weight"), (F.lit(float(most)) * F.col("source_size")).alias("cap"))
+    placed = materialize(placed.withColumn("ratio", F.col("cap") / F.col("weight")), "mix-caps")
+    whole = placed.agg(F.sum("source_size").alias("n"), F.sum("weight").alias("w")).first()
+    total, all_weight = F.lit(float(share) * (whole["n"] or 0)), F.lit(float(whole["w"] or 0))
+    run = running_totals(placed, order=["ratio", "pos"], sums={"caps": F.col("cap"), "weights": F.col("weight")})
+    rest, rest_weight = total - F.col("caps"), all_weight - F.col("weights")
+    run = materialize(run.select("source", "source_size", "pos", "weight", "cap", "ratio", rest.alias("rest"), rest_weight.alias("rest_weight")), "mix-running")
+    end = run.filter("cap * rest_weight > rest * weight").orderBy("ratio", "pos").limit(1).collect()
+    target = F.col("cap")
+    if end:
+        ratio, pos = F.lit(end[0]["ratio"]), F.lit(end[0]["pos"])
+        capped = (F.col("ratio") < ratio) | ((F.col("ratio") == ratio) & (F.col("pos") < pos))
+        target = F.when(capped, F.col("cap")).otherwise(F.lit(end[0]["rest"] / end[0]["rest_weight"]) * F.col("weight"))
+    return materialize(run.select("source", "source_size", target.alias("target")), "mix-targets")
 
 
 def route(supply: dict[tuple, int], quota: dict[object, int], max_repeats: int = MAX_REPEATS) -> dict[tuple, int]:
@@ -117,11 +134,13 @@ def route(supply: dict[tuple, int], quota: dict[object, int], max_repeats: int =
             room[e ^ 1] += amount
 
 
-def _lines(sized: DataFrame, seed: str, slices: int) -> DataFrame:
-    """``sized`` (_key, pattern, size, …) with ``before``: the words ahead of it on its pattern's line."""
+def _lines(sized: DataFrame, seed: str, slices: int | None) -> DataFrame:
+    """``sized`` (_row, _key, pattern, size) with ``before``: the words ahead of it on its pattern's line, written once."""
     h = F.md5(F.concat(F.lit(seed + "/"), F.coalesce(F.col("_key").cast("string"), F.lit(""))))
-    nth = F.floor(F.conv(F.substring(h, 1, 8), 16, 10).cast("long") * slices / (1 << 32)).cast("int")
-    placed = materialize(sized.withColumn("_h", h).withColumn("_slice", nth), "mix-sizes")
+    placed = materialize(sized.withColumn("_h", h), "mix-sizes")
+    slices = slices or max(SLICES, placed.count() // SLICE_ROWS)
+    nth = F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * slices / (1 << 32)).cast("int")
+    placed = placed.withColumn("_slice", nth)
     by_slice = placed.groupBy("pattern", "_slice").agg(F.sum("size").alias("_n"))
     # at most ``slices`` rows a pattern
     ahead = by_slice.withColumn("_ahead", F.sum("_n").over(Window.partitionBy("pattern").orderBy("_slice")) - F.col("_n")).drop("_n")
@@ -129,64 +148,98 @@ def _lines(sized: DataFrame, seed: str, slices: int) -> DataFrame:
     return (
         placed.withColumn("_within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(ahead.select(F.col("pattern").alias("_p"), F.col("_slice").alias("_s"), "_ahead"), (F.col("pattern") == F.col("_p")) & (F.col("_slice") == F.col("_s")))
-        .withColumn("before", F.col("_ahead") + F.col("_within")).drop("_p", "_s", "_ahead", "_within", "_h", "_slice")
+        .select("_row", "pattern", "size", (F.col("_ahead") + F.col("_within")).alias("before"))
     )
 
 
-def mix(docs: DataFrame, quota: dict[str | None, float], *, members: Column, size: Column, key: str = "doc_id", max_repeats: int = MAX_REPEATS, seed: str = SEED, slices: int = SLICES) -> DataFrame:
+_STRETCH = "pattern array<string>, source string, low long, high long"
+
+
+def _part_stretches(max_repeats: int):
+    """The flow of one connected part of the graph, as stretches of its patterns' lines."""
+    order = lambda s: (s is not None, s or "")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        named = [(tuple(None if s is None else str(s) for s in p), int(n), None if s is None else str(s), int(q)) for p, n, s, q in zip(rows["pattern"], rows["n"], rows["source"], rows["quota"])]
+        supply = dict(sorted({(p, n) for p, n, _, _ in named}, key=lambda x: [order(s) for s in x[0]]))
+        flow = route(supply, dict(sorted({(s, q) for _, _, s, q in named}, key=lambda x: order(x[0]))), max_repeats)
+        out, at = [], {}
+        for (p, s), tokens in flow.items():
+            begin = at.get(p, 0)
+            at[p] = begin + tokens
+            for r in range(max_repeats):  # the part of the stretch in the r-th run over the line
+                low, high = max(begin, r * supply[p]) - r * supply[p], min(at[p], (r + 1) * supply[p]) - r * supply[p]
+                if low < high:
+                    out.append((list(p), s, low, high))
+        return pd.DataFrame(out, columns=["pattern", "source", "low", "high"])
+
+    return run
+
+
+def stretches(patterns: DataFrame, quota: DataFrame, max_repeats: int) -> DataFrame:
+    """(pattern, source, low, high): what each source takes of the patterns' lines.
+
+    ``patterns`` is a written table (pattern, n), ``quota`` one of (source, quota). A pattern of
+    one source that no other pattern names shares nothing: its flow is a column. What is left
+    falls into connected parts, and each part's flow is one group of a grouped job.
+    """
+    member = patterns.select("pattern", "n", F.explode("pattern").alias("source"))
+    named = quota.select(F.col("source").alias("_s"), F.greatest(F.col("quota"), F.lit(0)).cast("long").alias("quota"))
+    users = member.groupBy(F.col("source").alias("_u")).agg(F.count(F.lit(1)).alias("_users"))
+    member = member.join(named, F.col("source").eqNullSafe(F.col("_s")), "left").join(users, F.col("source").eqNullSafe(F.col("_u")))
+    member = member.select("pattern", "n", "source", F.coalesce("quota", F.lit(0).cast("long")).alias("quota"), ((F.size("pattern") == 1) & (F.col("_users") == 1)).alias("alone"))
+    member = materialize(member, "mix-members")
+    runs = F.expr(f"transform(sequence(0, {max_repeats - 1}), r -> least(quota, (r + 1) * n) - r * n)")
+    alone = member.filter("alone").select("pattern", "source", F.lit(0).cast("long").alias("low"), F.explode(runs).alias("high")).filter("high > 0")
+    tangled = member.filter("not alone")
+    if tangled.isEmpty():
+        return alone
+    name = F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("s"))
+    tangled = tangled.withColumn("node", F.concat(F.lit("p"), F.to_json("pattern")))
+    roots = star_labels(tangled.select(F.col("node").alias("a"), name.alias("b")), "mix-parts")
+    parts = tangled.join(roots, "node").groupBy("root").applyInPandas(_part_stretches(max_repeats), _STRETCH)
+    return alone.unionByName(parts)
+
+
+def mix(docs: DataFrame, quota: Mapping[str | None, float] | DataFrame, *, members: Column, size: Column, key: str = "doc_id", max_repeats: int = MAX_REPEATS, seed: str = SEED, slices: int | None = None) -> DataFrame:
     """One row per document: its columns, ``size``, ``members`` and ``takes``, an array of (source, repeats).
 
     ``members`` is the array of sources a row belongs to, ``quota`` the tokens each source is
-    to get (a source without a quota gets none), ``size`` a row's tokens. A row is taken whole,
-    at most ``max_repeats`` times over all sources.
+    to get, as a mapping or a table (source, quota); a source without a quota gets none.
+    ``size`` is a row's tokens. A row is taken whole, at most ``max_repeats`` times over all sources.
     """
-    kept = without(docs, ["size", "members", "takes", "pattern", "before", "_key"])
+    spark = docs.sparkSession
     sets = F.array_sort(F.array_distinct(F.coalesce(members, F.array().cast("array<string>"))))
-    sized = docs.select(*[F.col(f"`{c}`") for c in kept.columns], sets.alias("pattern"), size.alias("size"), F.col(f"`{key}`").alias("_key"))
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), sets.alias("pattern"), size.alias("size"), F.col(f"`{key}`").alias("_key"))
     lines = _lines(sized, seed, slices)
-    patterns = lines.groupBy("pattern").agg(F.sum("size").alias("n")).filter("n > 0").limit(MAX_NODES + 1).collect()
-    if len(patterns) + len(quota) > MAX_NODES:
-        raise ValueError(f"more than {MAX_NODES} sources and membership patterns")
-    supply = {tuple(r["pattern"] or ()): int(r["n"]) for r in patterns}
-    flow = route(supply, {s: int(q) for s, q in sorted(quota.items(), key=lambda x: (x[0] is None, x[0] or ""))}, max_repeats)
-    stretches, at = [], {}
-    for (p, s), tokens in flow.items():
-        begin = at.get(p, 0)
-        at[p] = begin + tokens
-        for r in range(max_repeats):  # the part of the stretch in the r-th run over the line
-            low, high = max(begin, r * supply[p]) - r * supply[p], min(at[p], (r + 1) * supply[p]) - r * supply[p]
-            if low < high:
-                stretches.append((list(p), s, low, high))
-    spark = docs.sparkSession
-    cuts = spark.createDataFrame(stretches, "pattern array<string>, source string, low long, high long")
-    cuts = cuts.groupBy("pattern").agg(F.collect_list(F.struct("source", "low", "high")).alias("_cuts"))
-    # one row per pattern in use: bounded by MAX_NODES
-    joined = lines.join(F.broadcast(cuts.withColumnRenamed("pattern", "_p")), F.col("pattern").eqNullSafe(F.col("_p")), "left")
+    patterns = materialize(sized.groupBy("pattern").agg(F.sum("size").alias("n")).filter("n > 0"), "mix-patterns")
+    if not isinstance(quota, DataFrame):
+        quota = spark.createDataFrame([(s, int(q)) for s, q in quota.items()], "source string, quota long")
+    cuts = stretches(patterns, quota, max_repeats).groupBy("pattern").agg(F.collect_list(F.struct("source", "low", "high")).alias("_cuts"))
+    # the text of a pattern is never null; patterns of many words are the hot keys of the join
+    name = F.to_json("pattern").alias("_pattern")
+    cuts = materialize(cuts.join(patterns, "pattern").select(name, "_cuts", F.col("n").alias("weight")), "mix-cuts")
+    joined = lookup_join(lines.select("_row", "pattern", "size", "before", name), cuts, ["_pattern"], weight="weight")
     # a document belongs to the stretch its middle falls into; twice the middle keeps whole numbers
     inside = F.expr("filter(coalesce(_cuts, array()), c -> size > 0 and 2 * before + size > 2 * c.low and 2 * before + size <= 2 * c.high)")
     takes = F.expr("transform(array_distinct(transform(_hit, c -> struct(c.source as s))), d -> struct(d.s as source, size(filter(_hit, c -> c.source <=> d.s)) as repeats))")
-    return joined.withColumn("_hit", inside).withColumn("takes", takes).select(*[F.col(f"`{c}`") for c in kept.columns], "size", F.col("pattern").alias("members"), "takes")
-
-
-def _source_goals(sized: DataFrame, source: str, weights: Sequence[float], share: float, max_repeats: int) -> tuple[list, list[int], list[float]]:
-    """Sources by code point (null last), their sizes and their capped targets."""
-    totals = sized.groupBy(F.col(source).alias("s")).agg(F.sum("size").alias("n")).limit(MAX_NODES + 1).collect()
-    if len(totals) > MAX_NODES:
-        raise ValueError(f"more than {MAX_NODES} sources")
-    size_of = {r["s"]: int(r["n"]) for r in totals}
-    names = sorted(size_of, key=lambda s: (s is None, [ord(c) for c in s or ""]))
-    sizes = [size_of[s] for s in names]
-    return names, sizes, capped_targets(sizes, [weights[i % len(weights)] for i in range(len(names))], share * sum(sizes), max_repeats)
+    found = joined.withColumn("_hit", inside).withColumn("takes", takes)
+    return found.select(*unpacked(docs.columns, ["size", "members", "takes"]), "size", F.col("pattern").alias("members"), "takes")
 
 
 def single_source_mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = TOTAL_SHARE, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
     """The contract's mix: (doc_id, source, size, source_size, target, taken) of every row."""
-    sized = materialize(docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")), "mix-words")
-    names, sizes, targets = _source_goals(sized, "source", weights, share, max_repeats)
-    mixed = mix(sized, dict(zip(names, targets)), members=F.array("source"), size=F.col("size"), key="doc_id", max_repeats=max_repeats, seed=seed)
-    # one row per source: bounded by MAX_NODES
-    goals = docs.sparkSession.createDataFrame([*zip(names, sizes, targets)], "_source string, source_size long, target double")
-    return mixed.join(F.broadcast(goals), F.col("source").eqNullSafe(F.col("_source")), "left").select("doc_id", "source", "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
+    sized = materialize(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), word_count(F.col(f"`{text}`")).alias("size")), "mix-words")
+    goals = capped_targets(sized, "source", weights, share, max_repeats)
+    mixed = mix(sized, _quota(goals), members=F.array("source"), size=F.col("size"), key="doc_id", max_repeats=max_repeats, seed=seed)
+    named = F.coalesce(F.concat(F.lit(":"), F.col("source")), F.lit("")).alias("_source")
+    goals = goals.select(named, "source_size", "target", F.col("source_size").alias("weight"))
+    found = lookup_join(mixed.select("doc_id", "source", "size", "takes", named), goals, ["_source"], weight="weight")
+    return found.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
+
+
+def _quota(goals: DataFrame) -> DataFrame:
+    return goals.select("source", F.floor("target").alias("quota"))
 
 
 def _times() -> Column:
@@ -202,10 +255,12 @@ def repeated_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     """
     digest = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col(f"`{text}`").isNull())
     narrow = docs.select(F.col(f"`{key}`").alias("_id"), digest.alias("_digest"), F.col(f"`{source}`").cast("string").alias("_source"), word_count(F.col(f"`{text}`")).alias("size"))
-    narrow = materialize(narrow, "mix-words")
-    names, _, targets = _source_goals(narrow, "_source", weights, share, max_repeats)
-    mixed = mix(narrow, dict(zip(names, targets)), members=F.array("_source"), size=F.col("size"), key="_id", max_repeats=max_repeats, seed=seed)
-    copies = materialize(mixed.groupBy("_id", "_digest", "_source").agg(F.sum(_times()).alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0"), "mix-copies")
+    with scope(docs.sparkSession):
+        narrow = materialize(narrow, "mix-words")
+        goals = capped_targets(narrow, "_source", weights, share, max_repeats)
+        mixed = mix(narrow, _quota(goals), members=F.array("_source"), size=F.col("size"), key="_id", max_repeats=max_repeats, seed=seed)
+        counted = mixed.groupBy("_id", "_digest", "_source").agg(F.sum(_times()).alias("_copies"), F.count("*").alias("_rows"))
+        copies = materialize(counted.filter("_copies > 0"), "mix-copies", outlive=True)
     same = F.col(f"_row.`{key}`").eqNullSafe(F.col("_id")) & (F.col("_text_digest") == F.col("_digest")) & F.col(f"_row.`{source}`").cast("string").eqNullSafe(F.col("_source"))
     taken = packed(docs).withColumn("_text_digest", F.xxhash64(F.coalesce(F.col(f"_row.`{text}`"), F.lit("")), F.col(f"_row.`{text}`").isNull()))
     taken = taken.join(bounded_broadcast(copies, BROADCAST_TAKES), same)

@@ -9,11 +9,42 @@ from pyspark.sql import functions as F
 from tabflow.llm.mixing import capped_targets, mix, repeated_documents, route, single_source_mix
 
 
-def test_targets_are_capped_and_reshared():
-    assert capped_targets([100, 100, 100], [5, 2, 1], 450, 2) == [200.0, pytest.approx(2 / 3 * 250), pytest.approx(1 / 3 * 250)]
-    assert capped_targets([10, 1000, 0], [5, 2, 1], 1515, 2) == [20.0, pytest.approx(1495.0), 0.0]
-    assert capped_targets([], [], 0, 2) == []
-    assert sum(capped_targets([3, 50, 7, 9], [5, 2, 1, 5], 103.5, 2)) == pytest.approx(103.5)
+def plain_targets(sizes, weights, total, most):
+    """Shares by weight; whoever is above its cap is set to it and the others share anew."""
+    out, open_ = [0.0] * len(sizes), set(range(len(sizes)))
+    while open_:
+        left, weight = total - sum(out[i] for i in range(len(sizes)) if i not in open_), sum(weights[i] for i in open_)
+        over = [i for i in open_ if left * weights[i] / weight >= most * sizes[i]]
+        if not over:
+            for i in open_:
+                out[i] = left * weights[i] / weight
+            break
+        for i in over:
+            out[i] = float(most * sizes[i])
+            open_.discard(i)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 1000, 0], [3, 50, 7, 9], [], [7]])
+def test_targets_are_capped_and_reshared(spark, sizes):
+    rows = [(f"s{k}" if k + 1 < len(sizes) or k % 2 else None, n) for k, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "source string, size long")
+    got = {r["source"]: r["target"] for r in capped_targets(docs, "source", (5, 2, 1), 1.5, 2).collect()}
+    want = plain_targets(sizes, [(5, 2, 1)[k % 3] for k in range(len(sizes))], 1.5 * sum(sizes), 2)
+    assert [got[s] for s, _ in rows] == pytest.approx(want) and sum(want) == pytest.approx(1.5 * sum(sizes))
+
+
+def test_very_many_sources(spark):
+    """150,000 sources of their own and a few that share documents: no table comes to the driver."""
+    docs = spark.range(150_000).select("id", F.array(F.concat(F.lit("s"), F.col("id"))).alias("sets"), F.lit(2).cast("long").alias("w"))
+    shared = spark.createDataFrame([(1_000_000 + k, [["x"], ["x", "y"], ["y"]][k % 3], 3) for k in range(60)], "id long, sets array<string>, w long")
+    sources = docs.select(F.col("sets")[0].alias("source"), F.lit(3).cast("long").alias("quota")).unionByName(spark.createDataFrame([("x", 70), ("y", 120)], "source string, quota long"))
+    got = mix(docs.unionByName(shared), sources, members=F.col("sets"), size=F.col("w"), key="id")
+    taken = got.select(F.explode("takes").alias("t"), "size").groupBy("t.source").agg(F.sum(F.col("size") * F.col("t.repeats")).alias("n"))
+    sums = {r["kind"]: (r["n"], r["sources"]) for r in taken.groupBy(F.substring("source", 1, 1).alias("kind")).agg(F.sum("n").alias("n"), F.count("*").alias("sources")).collect()}
+    # quota 3 of a document of 2: its middle falls into the whole first run and onto the end of the second
+    assert sums["s"] == (600_000, 150_000)
+    assert abs(sums["x"][0] - 70) <= 6 and abs(sums["y"][0] - 120) <= 6
 
 
 def brute_route(supply, quota, repeats):
