@@ -4,13 +4,13 @@ Fitting counts n-grams of every training text: each task adds into one count vec
 language, and Spark sums the non-zero cells by (language, bucket). The model is a matrix of
 (buckets + 1) x languages log-probabilities, a size fixed by parameters and the number of
 languages, so it is broadcast. Scoring is a sparse row-times-matrix product: the matrix rows
-of a text's n-grams are gathered and summed in numpy, a bounded stretch of texts at a time
-(n-grams across the cuts of a text of millions of characters are left out).
+of a text's n-grams are gathered and summed in numpy, a bounded stretch of texts at a time.
+Stretches of one long text overlap, and each n-gram counts in the stretch it starts in.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; training rows
 with a null language or text are left out; without any training row every text is ``und``;
 ties go to the language first in code point order; extra columns pass through, and input
-columns named ``lang_pred`` or ``score`` are replaced. Repeated rows are scored one by one.
+columns named like an output are replaced. Repeated rows are scored one by one.
 """
 
 from __future__ import annotations
@@ -23,12 +23,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import id_bucket, stretches, table, without
+from tabflow.llm.common import PIECE_CHARS, id_bucket, packed, table, unpacked
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
 UNDETERMINED = "und"
+# Floors: texts of fewer n-grams have none; strange is what lies below a language's mean by this much
+# (n-grams are some seven times rarer than they should be) and these deviations.
+LEAST_GRAMS = 200
+MARGIN = 2.0
+DEVIATIONS = 4.0
 
 
 @dataclass(frozen=True)
@@ -49,18 +54,39 @@ def _letters() -> np.ndarray:
     return _LETTER[0]
 
 
-def ngram_buckets(texts: list[str], orders=ORDERS, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket of each n-gram, text it belongs to, whether each text has a letter).
+def marked_stretches(texts: pd.Series, orders, limit: int = PIECE_CHARS) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Lower-cased texts between spaces, in order, as (parts, text each is from, characters of each in which n-grams start).
 
-    Texts are lower-cased and what is no letter becomes a space; n-grams of spaces only and
-    those that would cross into the next text are left out.
+    About ``limit`` characters at a time. A longer text is cut into parts that run on by what
+    the longest n-gram needs, so every n-gram of the whole text starts in exactly one part.
+    """
+    over, parts, of, starts, size = max(orders) - 1, [], [], [], 0
+    for k, t in enumerate(texts):
+        marked = f" {t.lower()} " if isinstance(t, str) else "  "
+        for at in range(0, len(marked), limit):
+            parts.append(marked[at:at + limit + over])
+            of.append(k)
+            starts.append(min(limit, len(marked) - at))
+            size += starts[-1]
+            if size >= limit:
+                yield parts, np.array(of), np.array(starts)
+                parts, of, starts, size = [], [], [], 0
+    if parts:
+        yield parts, np.array(of), np.array(starts)
+
+
+def ngram_buckets(marked: list[str], starts: np.ndarray, orders=ORDERS, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket of each n-gram, part it belongs to, whether each part has a letter).
+
+    What is no letter becomes a space; n-grams of spaces only, those that would cross into the
+    next part and those that start behind the part's ``starts`` characters are left out.
     """
-    marked = [f" {t.lower()} " for t in texts]
     code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     letter = _letters()[code]
     code = np.where(letter, code, np.uint32(32))
     size = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
     owner = np.repeat(np.arange(len(marked)), size)
+    own = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(starts, size)
     has_letter = np.bincount(owner, weights=letter, minlength=len(marked)) > 0
     out, of = [], []
     for n in orders:
@@ -74,7 +100,7 @@ def ngram_buckets(texts: list[str], orders=ORDERS, buckets: int = BUCKETS) -> tu
             h ^= h >> np.uint32(13)
             some |= letter[j:j + m]
         h *= np.uint32(0xC2B2AE35)
-        keep = some & (owner[:m] == owner[n - 1:])
+        keep = some & own[:m] & (owner[:m] == owner[n - 1:])
         out.append(((h >> np.uint32(7)) % np.uint32(buckets)).astype(np.int32)[keep])
         of.append(owner[:m][keep])
     if not out:
@@ -84,7 +110,7 @@ def ngram_buckets(texts: list[str], orders=ORDERS, buckets: int = BUCKETS) -> tu
 
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", orders=ORDERS, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> LanguageModel:
     """Count the n-grams of every row of ``docs`` with a text and a language."""
-    rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).filter("text is not null and lang is not null")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -93,8 +119,8 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", orders=ORDER
             for name, part in batch.groupby("lang", sort=False)["text"]:
                 into = total.setdefault(name, np.zeros(buckets, dtype=np.int64))
                 n_docs[name] = n_docs.get(name, 0) + len(part)
-                for parts, _ in stretches(part):
-                    into += np.bincount(ngram_buckets(parts, orders, buckets)[0], minlength=buckets)
+                for parts, _, starts in marked_stretches(part, orders):
+                    into += np.bincount(ngram_buckets(parts, starts, orders, buckets)[0], minlength=buckets)
         for name, into in total.items():
             at = np.flatnonzero(into)
             # bucket -1 carries the number of documents
@@ -112,30 +138,55 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", orders=ORDER
     return LanguageModel(languages, np.vstack([log_prob, np.zeros(len(languages))]), np.log(docs_of / max(docs_of.sum(), 1)), tuple(orders))
 
 
+def floors(docs: DataFrame, model: LanguageModel, *, text: str = "text", lang: str = "lang", least_grams: int = LEAST_GRAMS, margin: float = MARGIN, deviations: float = DEVIATIONS) -> dict[str, float]:
+    """For each language a floor of the mean log-probability per n-gram.
+
+    The mean over all training texts of the language that are predicted as it and have
+    ``least_grams`` n-grams, less ``margin`` and ``deviations`` standard deviations; a mean does not
+    depend on a text's length, as a posterior does. A language without such texts has no floor.
+    """
+    found = identify(docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("own")).filter("text is not null and own is not null"), model)
+    sums = found.filter((F.col("own") == F.col("lang_pred")) & (F.col("n_grams") >= least_grams)).groupBy("lang_pred").agg(F.avg("mean_log").alias("mean"), F.coalesce(F.stddev_pop("mean_log"), F.lit(0.0)).alias("spread"))
+    # one row a language
+    return {r["lang_pred"]: r["mean"] - margin - deviations * r["spread"] for r in sums.collect()}
+
+
+def strange(limits: dict[str, float], least_grams: int = LEAST_GRAMS):
+    """Whether an identified text is below its language's floor: probably of a language nobody taught."""
+    below = F.lit(False)
+    for name, limit in sorted(limits.items()):
+        below = below | ((F.col("lang_pred") == name) & (F.col("mean_log") < limit))
+    return below & (F.col("n_grams") >= least_grams)
+
+
 def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the posterior probability of that language."""
+    """``docs`` with ``lang_pred``, ``score`` (the posterior probability of that language), ``n_grams``
+    and ``mean_log`` (the mean log-probability of the n-grams in that language, 0 without any)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, n_grams long, mean_log double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         buckets, names = len(m.log_prob) - 1, np.array([*m.languages, UNDETERMINED], dtype=object)
         for batch in batches:
-            log, has_letter = np.tile(m.prior, (len(batch), 1)), np.zeros(len(batch), dtype=bool)
-            for parts, of in stretches(batch):
-                bucket, owner, letter = ngram_buckets(parts, m.orders, buckets)
+            log, has_letter, n = np.tile(m.prior, (len(batch), 1)), np.zeros(len(batch), dtype=bool), np.zeros(len(batch), dtype=np.int64)
+            for parts, of, starts in marked_stretches(batch, m.orders):
+                bucket, owner, letter = ngram_buckets(parts, starts, m.orders, buckets)
+                np.add.at(n, of, np.bincount(owner, minlength=len(parts)))
                 for j in range(len(m.languages)):
                     np.add.at(log[:, j], of, np.bincount(owner, weights=m.log_prob[bucket, j], minlength=len(parts)))
                 np.logical_or.at(has_letter, of, letter)
             if not m.languages:
-                yield pd.DataFrame({"lang_pred": UNDETERMINED, "score": np.zeros(len(batch))})
+                yield pd.DataFrame({"lang_pred": UNDETERMINED, "score": np.zeros(len(batch)), "n_grams": n, "mean_log": np.zeros(len(batch))})
                 continue
             p = 1.0 / np.exp(log - log.max(axis=1, keepdims=True)).sum(axis=1)
-            yield pd.DataFrame({"lang_pred": names[np.where(has_letter, log.argmax(axis=1), len(m.languages))], "score": np.where(has_letter, p, 0.0)})
+            best = log.argmax(axis=1)
+            mean = (log - m.prior)[np.arange(len(batch)), best] / np.maximum(n, 1)
+            yield pd.DataFrame({"lang_pred": names[np.where(has_letter, best, len(m.languages))], "score": np.where(has_letter, p, 0.0), "n_grams": n, "mean_log": mean})
 
-    kept = without(docs, ["lang_pred", "score"])
-    found = kept.withColumn("_found", predict(F.col(text)))
-    return found.select(*[F.col(f"`{c}`") for c in kept.columns], F.col("_found.lang_pred").alias("lang_pred"), F.col("_found.score").alias("score"))
+    outputs = ["lang_pred", "score", "n_grams", "mean_log"]
+    found = packed(docs).withColumn("_found", predict(F.col(f"_row.`{text}`")))
+    return found.select(*unpacked(docs.columns, outputs), *[F.col(f"_found.{c}").alias(c) for c in outputs])
 
 
 def held_out_model(docs: DataFrame) -> LanguageModel:

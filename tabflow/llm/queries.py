@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from tabflow.llm import cross_align, decontaminate, embedding_near, exact_dedup, language, line_chunks, merkle, mixing, quality, simhash, suffix_dedup, token_counts, training_order
+from tabflow.llm import cross_align, decontaminate, embedding_near, exact_dedup, language, line_chunks, merkle, mixing, pipeline, quality, simhash, suffix_dedup, token_counts, training_order
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -19,7 +18,7 @@ QUERIES = {
     "op11_merkle_manifest": merkle.op11,
     "op12_cross_align": cross_align.op12,
     "op13_embedding_pigeonhole": embedding_near.op13,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 SQL = {

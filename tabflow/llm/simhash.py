@@ -226,12 +226,13 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
 
     Rows that repeat both become one.
     """
-    found = components(docs.withColumn("_digest", text_digest(text)), doc_id=doc_id, text=text, keep=["_digest"], **options)
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), text_digest(text).alias("_digest"))
+    found = components(own, keep=["_digest"], **options)
     return keep_least(docs, materialize(found, "simhash-rows"), doc_id=doc_id, text=text)
 
 
 def text_digest(text: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col(f"`{text}`").isNull())
 
 
 def keep_least(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,13 +241,12 @@ def keep_least(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", tex
     stays = best.select(F.col("best.doc_id").alias("_id"), F.col("best._digest").alias("_d"))
     rows = found.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d"))).groupBy("_id", "_d").agg(F.count("*").alias("_n"))
     rows = materialize(rows, "simhash-stays")
-    chosen = docs.join(rows, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (text_digest(text) == F.col("_d")))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = chosen.filter("_n = 1").select(*columns)
-    if rows.filter("_n > 1").isEmpty():
-        return once
-    first = chosen.filter("_n > 1").groupBy("_id", "_d").agg(F.first(F.struct(*columns)).alias("row"))
-    return once.unionByName(first.select("row.*"))
+    own = docs.select(text_digest(text).alias("_text_digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    chosen = own.join(rows, F.col(f"_row.`{doc_id}`").eqNullSafe(F.col("_id")) & (F.col("_text_digest") == F.col("_d")))
+    once = chosen.filter("_n = 1").select("_row")
+    if not rows.filter("_n > 1").isEmpty():
+        once = once.unionByName(chosen.filter("_n > 1").groupBy("_id", "_d").agg(F.first("_row").alias("_row")).select("_row"))
+    return once.select("_row.*")
 
 
 def op7(spark, folder: str) -> DataFrame:

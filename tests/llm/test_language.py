@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tabflow.llm import language
@@ -22,7 +23,7 @@ def test_counts_equal_a_plain_count(spark):
     for t, j in zip(texts, (0, 0, 1)):
         letters = "".join(c if c.isalpha() else " " for c in f" {t.lower()} ")
         grams = [letters[i:i + 2] for i in range(len(letters) - 1) if letters[i:i + 2].strip()]
-        bucket, owner, _ = language.ngram_buckets([t], (2,), 64)
+        bucket, owner, _ = language.ngram_buckets([f" {t.lower()} "], np.array([len(t) + 2]), (2,), 64)
         assert len(bucket) == len(grams)
         for b in bucket:
             plain[b, j] += 1
@@ -36,7 +37,7 @@ def test_defined_cases(spark):
     rows = [(1, None, "kept", 5), (2, "", None, 5), (3, "123 !? \n", "a", 5), (4, "this is the world", "b", 5), (4, "this is the world", "b", 5), (None, "das ist", "c", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string, score int")
     got = language.identify(docs, model)
-    assert got.columns == ["doc_id", "text", "lang_pred", "score"]
+    assert got.columns == ["doc_id", "text", "lang_pred", "score", "n_grams", "mean_log"]
     by = [(r["doc_id"], r["lang_pred"], r["score"]) for r in got.collect()]
     assert by[:3] == [(1, "und", 0.0), (2, "und", 0.0), (3, "und", 0.0)]
     assert by[3][1] == "en" and by[3] == by[4] and by[5][1] == "de"
@@ -56,6 +57,43 @@ def test_very_long_text_is_read_whole(spark):
     assert language.identify(docs, language.fit(train)).first()["lang_pred"] == "y"
 
 
+def test_every_ngram_counts_once_across_cuts():
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("abcdé 1"), size=500))
+    texts = pd.Series([text, None, "", "x", text[:37]])
+    sums = {}
+    for limit in (7, 50, 100_000):
+        total = np.zeros((5, 4096), dtype=np.int64)
+        for parts, of, starts in language.marked_stretches(texts, (1, 2, 3), limit):
+            bucket, owner, _ = language.ngram_buckets(parts, starts, (1, 2, 3), 4096)
+            np.add.at(total, (of[owner], bucket), 1)
+        sums[limit] = total
+    # n-grams that lie across a cut, and no other edge than the text's own
+    assert np.array_equal(sums[7], sums[100_000]) and np.array_equal(sums[50], sums[100_000])
+
+
+UNLEARNED = [
+    "sva ljudska bića rađaju se slobodna i jednaka u dostojanstvu i pravima ona su obdarena razumom i sviješću i trebaju jedna prema drugoj postupati u duhu bratstva " * 3,
+    "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa " * 3,
+    "すべての人間は生まれながらにして自由でありかつ尊厳と権利とについて平等である" * 8,
+    "xq zvk wqj jjx pqz kvx zzq wxk qjv " * 20,
+]
+
+
+def test_unlearned_languages_are_below_the_floor(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(docs)
+    limits = language.floors(docs, model)
+    assert set(limits) == set(model.languages)
+    taught = language.identify(docs.select("text"), model)
+    assert taught.filter(language.strange(limits)).count() == 0
+    others = spark.createDataFrame([(k, t) for k, t in enumerate(UNLEARNED)], "k int, text string")
+    got = {r["k"]: r["s"] for r in language.identify(others, model).select("k", language.strange(limits).alias("s")).collect()}
+    assert got == dict.fromkeys(range(len(UNLEARNED)), True)
+    # too short to tell
+    assert language.identify(spark.createDataFrame([("xq zvk",)], "text string"), model).filter(language.strange(limits)).count() == 0
+
+
 def test_stretches_keep_order_and_content():
     texts = ["abc", None, "", "x" * 25, "de"]
     parts = [(k, p) for part, of in stretches(texts, 10) for p, k in zip(part, of)]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tabflow.llm import decontaminate, mixing
+from tabflow.llm import decontaminate, mixing, pipeline
 from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
@@ -61,7 +61,7 @@ def test_empty_documents(spark, folder, tmp_path):
 
 def test_clean_documents_stay(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    kept = corpus_pipeline.keep_known_language(spark, docs, data)
+    kept = pipeline.keep_known_language(spark, docs, data)
     assert kept.count() == docs.count()
     dirty = decontaminate.op5(spark, data).filter("contaminated").count()
-    assert corpus_pipeline.drop_benchmark_leaks(spark, docs, data).count() == docs.count() - dirty
+    assert pipeline.drop_benchmark_leaks(spark, docs, data).count() == docs.count() - dirty
