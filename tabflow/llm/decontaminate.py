@@ -2,8 +2,8 @@
 
 Benchmark texts are normalised to words and cut into windows of ``size`` words (a shorter
 item is one window). The windows are broadcast in blocks whose text is at most
-``block_chars`` characters: a benchmark of any size is handled, one block after another, and
-no broadcast exceeds its bound. A training text is turned into benchmark word numbers, its
+``block_chars`` characters: a benchmark of any size is handled, one block after another, each
+with its hits written before the next is read, so one bounded broadcast is alive at a time. A training text is turned into benchmark word numbers, its
 windows are hashed where all their words occur in the benchmark, looked up in the sorted
 hashes, and each hit is verified word for word.
 
@@ -24,7 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import packed, table, without
+from tabflow.llm.common import packed, table, unpacked
+from tabflow.scratch import materialize
 
 WINDOW = 10
 BLOCK_CHARS = 8_000_000
@@ -105,50 +106,70 @@ def find(index: BenchmarkIndex, words: list[bytes]) -> tuple[np.ndarray, set[str
     return np.cumsum(hit[:-1]) > 0, names
 
 
-def _benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> list[list[tuple[str, str]]]:
-    """Benchmark items in lists of bounded text, read one block at a time."""
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+def _benchmark_items(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> tuple[DataFrame, int]:
+    """Benchmark items (item, text), and into how many blocks of bounded text they go."""
+    items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{text}`").alias("text")).filter(F.col("text").isNotNull())
     n_chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = int(n_chars // block_chars) + 1
-    if n == 1:
-        yield [tuple(r) for r in items.collect()]
-        return
     # blocks of half the bound on average leave room for uneven hashing
-    for k in range(2 * n):
-        yield [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(2 * n)) == k).collect()]
+    return items, 1 if n == 1 else 2 * n
+
+
+def _scan_by_block(own: DataFrame, items: DataFrame, n_blocks: int, text: str, size: int) -> DataFrame:
+    """``own`` with ``_found`` from all blocks. One block's index is alive at a time: what it hits is
+    written (a row's number, ranges, items) before the next is read, and the hits are merged at the end."""
+    sc = own.sparkSession.sparkContext
+    rows = materialize(own.withColumn("_n", F.monotonically_increasing_id()), "scan-rows")
+    hits = None
+    for k in range(n_blocks):
+        block = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k).collect()]
+        index = sc.broadcast(build_index(block, size))
+        part = rows.select("_n", _scan_block(index)(F.col(f"_row.`{text}`")).alias("f")).filter("size(f.items) > 0")
+        part = materialize(part.select("_n", "f.starts", "f.ends", "f.items"), "scan-hits")
+        index.destroy()
+        hits = part if hits is None else hits.unionByName(part)
+    # a row for each block at most
+    merged = hits.groupBy("_n").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")])
+
+    @F.pandas_udf("n_words long, starts array<int>, ends array<int>, items array<string>")
+    def together(texts: pd.Series, starts: pd.Series, ends: pd.Series, names: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, s, e, own_items in zip(texts, starts, ends, names):
+            hit = np.zeros(len(words_of(t)), dtype=bool)
+            for a, b in zip(s if s is not None else [], e if e is not None else []):
+                hit[a:b] = True
+            out.append(_row_of(hit, set(own_items) if own_items is not None else set()))
+        return pd.DataFrame(out, columns=["n_words", "starts", "ends", "items"])
+
+    return rows.join(merged, "_n", "left").select("_row", together(F.col(f"_row.`{text}`"), "starts", "ends", "items").alias("_found"))
+
+
+def _row_of(hit: np.ndarray, names: set[str]) -> tuple:
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    return len(hit), edge[::2].astype(np.int32), edge[1::2].astype(np.int32), sorted(names)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with n_words, n_hit, ``spans`` (word ranges [start, end) that are hit) and sorted ``item_ids``."""
-    spark = docs.sparkSession
-    kept = without(docs, _KEPT_OUTPUTS)
-    found = kept.withColumn("_found", F.lit(None).cast("struct<n_words:long,starts:array<int>,ends:array<int>,items:array<string>>"))
-    for block in _benchmark_blocks(benchmark, item_id, item_text, block_chars):
-        found = found.withColumn("_found", _scan_block(spark, build_index(block, size))(F.col(text), F.col("_found")))
+    spark, own = docs.sparkSession, packed(docs)
+    items, n_blocks = _benchmark_items(benchmark, item_id, item_text, block_chars)
+    if n_blocks == 1:
+        index = spark.sparkContext.broadcast(build_index([tuple(r) for r in items.collect()], size))
+        found = own.withColumn("_found", _scan_block(index)(F.col(f"_row.`{text}`")))
+    else:
+        found = _scan_by_block(own, items, n_blocks, text, size)
     return found.select(
-        *[F.col(f"`{c}`") for c in kept.columns], F.col("_found.n_words").alias("n_words"),
+        *unpacked(docs.columns, _KEPT_OUTPUTS), F.col("_found.n_words").alias("n_words"),
         F.expr("aggregate(zip_with(_found.starts, _found.ends, (s, e) -> e - s), 0L, (a, x) -> a + x)").alias("n_hit"),
         F.arrays_zip(F.col("_found.starts").alias("start"), F.col("_found.ends").alias("end")).alias("spans"), F.col("_found.items").alias("item_ids"),
     )
 
 
-def _scan_block(spark, index: BenchmarkIndex):
-    shared = spark.sparkContext.broadcast(index)
-
+def _scan_block(index):
     @F.pandas_udf("n_words long, starts array<int>, ends array<int>, items array<string>")
-    def scan_texts(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
-        ix = shared.value
-        for texts, before in batches:
-            rows = []
-            for text, starts, ends, items in zip(texts, before["starts"], before["ends"], before["items"]):
-                words = words_of(text)
-                hit, names = find(ix, words)
-                if starts is not None:
-                    names |= set(items)
-                    for s, e in zip(starts, ends):
-                        hit[s:e] = True
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                rows.append((len(words), edge[::2].astype(np.int32), edge[1::2].astype(np.int32), sorted(names)))
+    def scan_texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = [_row_of(*find(index.value, words_of(text))) for text in texts]
             yield pd.DataFrame(rows, columns=["n_words", "starts", "ends", "items"])
 
     return scan_texts

@@ -6,9 +6,9 @@ pairs of them, hashed words, and the shares of words and of word beginnings that
 learned layer embeds a passage, gated attention weighs the passages of a bag, and a logistic
 head scores the weighted representation.
 
-The model is fitted on the driver on a bounded sample: ``MAX_LABELLED`` labelled documents by
-hash order of their id, each with at most ``MAX_BAG`` evenly spread passages. Scoring reads
-every passage of every whole text, ``STRETCH`` characters at a time: repetition is counted
+The model is fitted on the driver on a bounded sample of labelled documents: at most
+``MAX_LABELLED`` by hash order of their id, of those as many as have ``MAX_PASSAGES`` passages
+together. A document is learned from whole or not at all. Scoring reads every passage of every whole text, ``STRETCH`` characters at a time: repetition is counted
 within a stretch, attention goes over all passages of a text.
 
 Defined cases: a null or empty text is one passage without content and gets a score like any
@@ -33,7 +33,8 @@ from tabflow.llm.common import id_bucket, stretches, table, without
 PASSAGE = 1024
 STRETCH = 1_000_000
 MAX_LABELLED = 8_000
-MAX_BAG = 48
+# Some 950 bytes each come to the driver, 38 MB.
+MAX_PASSAGES = 40_000
 WORD_BUCKETS = 128
 WIDTH = 24
 EPOCHS = 40
@@ -146,6 +147,20 @@ def _pool(w: dict[str, np.ndarray], h: np.ndarray, e: np.ndarray, bag: np.ndarra
     return {"a": a, "z": z, "p": _sigmoid(z @ w["head"] + w["head_b"][0])}
 
 
+def gradients(w: dict[str, np.ndarray], x: np.ndarray, bag: np.ndarray, start: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the mean log loss of some bags."""
+    f = _embed(w, x)
+    f |= _pool(w, f["h"], f["e"], bag, start)
+    d = (f["p"] - label) / len(label)
+    dz = d[:, None] * w["head"]
+    da = (dz[bag] * f["h"]).sum(axis=1)
+    de = f["a"] * (da - np.add.reduceat(f["a"] * da, start)[bag])
+    dt = de[:, None] * w["attend"] * f["g"] * (1 - f["t"] ** 2)
+    dg = de[:, None] * w["attend"] * f["t"] * f["g"] * (1 - f["g"])
+    dh = (f["a"][:, None] * dz[bag] + dt @ w["tanh"].T + dg @ w["gate"].T) * (1 - f["h"] ** 2)
+    return {"embed": x.T @ dh, "embed_b": dh.sum(axis=0), "tanh": f["h"].T @ dt, "gate": f["h"].T @ dg, "attend": (f["t"] * f["g"]).T @ de, "head": f["z"].T @ d, "head_b": d.sum(keepdims=True)}
+
+
 def fit_bags(features: np.ndarray, bag: np.ndarray, label: np.ndarray, *, width: int = WIDTH, epochs: int = EPOCHS, seed: int = 7, rate: float = 3e-3, decay: float = 1e-4) -> QualityModel:
     """Fit by Adam on mini-batches of bags; ``bag`` ascends from 0 and ``label`` has one value per bag."""
     share = float(label.mean()) if len(label) else 0.5
@@ -167,16 +182,7 @@ def fit_bags(features: np.ndarray, bag: np.ndarray, label: np.ndarray, *, width:
             sizes = first[chosen + 1] - first[chosen]
             start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             of = np.repeat(np.arange(len(chosen)), sizes)
-            xs, f = x[rows], _embed(w, x[rows])
-            f |= _pool(w, f["h"], f["e"], of, start)
-            d = ((f["p"] - label[chosen]) / len(chosen)).astype(np.float32)
-            dz = d[:, None] * w["head"]
-            da = (dz[of] * f["h"]).sum(axis=1)
-            de = f["a"] * (da - np.add.reduceat(f["a"] * da, start)[of])
-            dt = de[:, None] * w["attend"] * f["g"] * (1 - f["t"] ** 2)
-            dg = de[:, None] * w["attend"] * f["t"] * f["g"] * (1 - f["g"])
-            dh = (f["a"][:, None] * dz[of] + dt @ w["tanh"].T + dg @ w["gate"].T) * (1 - f["h"] ** 2)
-            grad = {"embed": xs.T @ dh, "embed_b": dh.sum(axis=0), "tanh": f["h"].T @ dt, "gate": f["h"].T @ dg, "attend": (f["t"] * f["g"]).T @ de, "head": f["z"].T @ d, "head_b": d.sum(keepdims=True)}
+            grad = gradients(w, x[rows], of, start, label[chosen].astype(np.float32))
             step += 1
             now = rate * (1 - epoch / epochs)
             for k, p in w.items():
@@ -187,19 +193,27 @@ def fit_bags(features: np.ndarray, bag: np.ndarray, label: np.ndarray, *, width:
     return QualityModel(mean, scale, w)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED, max_bag: int = MAX_BAG, **options) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED, max_passages: int = MAX_PASSAGES, **options) -> QualityModel:
     """Fit on a bounded sample of labelled documents; see the module's text for the bounds."""
-    known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.avg(F.col(label).cast("double")).alias("label"))
+    named = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("label"))
+    known = named.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("label").alias("label"))
     sample = known.orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(max_labelled)
     # at most ``max_labelled`` rows of two numbers; one row of each id that occurs more often
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(sample), "doc_id")
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0))
+    sizes = own.select("doc_id", F.greatest(F.lit(1), F.ceil(n_bytes / PASSAGE)).alias("n")).groupBy("doc_id").agg(F.max("n").alias("n")).orderBy(F.xxhash64(F.col("doc_id")), "doc_id").collect()
+    chosen, room = [], max_passages
+    for r in sizes:
+        if r["n"] <= room:
+            chosen.append((r["doc_id"],))
+            room -= r["n"]
+    if len(chosen) < len(sizes):
+        own = own.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, f"doc_id {dict(own.dtypes)['doc_id']}")), "doc_id", "left_semi")
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, y, value in zip(batch["doc_id"], batch["label"], batch["text"]):
                 x = np.concatenate([encode(parts)[0] for parts, _ in stretches([value], STRETCH)])
-                if len(x) > max_bag:
-                    x = x[np.linspace(0, len(x) - 1, max_bag).astype(int)]
                 yield pd.DataFrame({"doc_id": [name], "label": [y], "bag": [x.astype(np.float16).tobytes()]})
 
     schema = f"doc_id {dict(own.dtypes)['doc_id']}, label double, bag binary"

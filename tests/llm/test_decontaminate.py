@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from tabflow.llm import decontaminate
 from tabflow.llm.decontaminate import build_index, cut_spans, drop_contaminated, find, scan, words_of
 
 ITEMS = [(1, "One two three four five six seven eight nine ten eleven twelve"), (2, "tiny item"), (3, None), (4, "..."), (2, "other words here"), (None, "alpha beta gamma")]
@@ -25,8 +26,25 @@ def test_hits_spans_and_items(spark):
     assert rows(spark) == WANT
 
 
-def test_blocks_of_the_benchmark_find_the_same(spark):
-    assert rows(spark, block_chars=40) == WANT
+def test_blocks_of_the_benchmark_find_the_same(spark, monkeypatch):
+    """Five blocks or more, read one after another; a block's index is gone before the next is built."""
+    alive, most = [], []
+    build, destroy = decontaminate.build_index, type(spark.sparkContext.broadcast(0)).destroy
+
+    def built(*args):
+        alive.append(1)
+        most.append(len(alive))
+        return build(*args)
+
+    def destroyed(broadcast, *args):
+        alive.pop()
+        return destroy(broadcast, *args)
+
+    monkeypatch.setattr(decontaminate, "build_index", built)
+    monkeypatch.setattr(type(spark.sparkContext.broadcast(0)), "destroy", destroyed)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(rows(spark, block_chars=40), key=key) == sorted(WANT, key=key)
+    assert len(most) >= 5 and max(most) == 1 and not alive
 
 
 def test_documents_and_spans_are_removed(spark):

@@ -5,7 +5,7 @@ import os
 import numpy as np
 from pyspark.sql import functions as F
 
-from tabflow.llm.quality import N_FEATURES, encode, fit, fit_bags, op3, score, _embed, _pool
+from tabflow.llm.quality import N_FEATURES, encode, fit, fit_bags, gradients, op3, score, _embed, _pool
 
 
 def auc(scores, labels) -> float:
@@ -60,6 +60,47 @@ def test_encoding_of_edge_texts():
     assert np.allclose(alone, x[2:8])
 
 
+def test_forward_pass_and_gradients():
+    """Attention pooling written out passage by passage, and one step of training against numeric gradients."""
+    rng = np.random.default_rng(4)
+    x, bag, y = rng.standard_normal((9, 5)).astype(np.float64), np.array([0, 0, 0, 1, 1, 2, 2, 2, 2]), np.array([1.0, 0.0, 1.0])
+    w = {"embed": rng.standard_normal((5, 4)), "embed_b": rng.standard_normal(4), "tanh": rng.standard_normal((4, 4)), "gate": rng.standard_normal((4, 4)), "attend": rng.standard_normal(4), "head": rng.standard_normal(4), "head_b": rng.standard_normal(1)}
+
+    def plain(w):
+        out = []
+        for k in range(3):
+            h = [np.tanh(row @ w["embed"] + w["embed_b"]) for row in x[bag == k]]
+            e = np.exp([(np.tanh(v @ w["tanh"]) / (1 + np.exp(-(v @ w["gate"])))) @ w["attend"] for v in h])
+            z = sum(a * v for a, v in zip(e / e.sum(), h))
+            out.append(1 / (1 + np.exp(-(z @ w["head"] + w["head_b"][0]))))
+        return np.array(out)
+
+    f = _embed(w, x)
+    start = np.array([0, 3, 5])
+    assert np.allclose(_pool(w, f["h"], f["e"], bag, start)["p"], plain(w), atol=1e-6)
+    loss = lambda w: -np.mean(y * np.log(plain(w)) + (1 - y) * np.log(1 - plain(w)))
+    grad = gradients(w, x, bag, start, y)
+    for name, g in grad.items():
+        for at in np.ndindex(w[name].shape):
+            up, down = ({k: v.copy() for k, v in w.items()} for _ in range(2))
+            up[name][at] += 1e-5
+            down[name][at] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - g[at]) < 1e-4, (name, at)
+
+
+def test_a_long_text_is_learned_from_whole(spark):
+    """What earns the label stands behind the 60th passage; documents that don't fit the bound are left out whole."""
+    plain, odd = "some common words stand here again and again. " * 1600, "ZZ## QQ!! 77%% " * 100
+    rows = [(k, plain + (odd if k % 2 else "")) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in score(docs, fit(docs, labels, epochs=200)).collect()}
+    assert min(got[k] for k in range(1, 40, 2)) > max(got[k] for k in range(0, 40, 2))
+    few = fit(docs, labels, max_passages=300, epochs=2)
+    assert few.constant is None or few.constant in (0.0, 1.0)
+    assert fit(docs, labels, max_passages=3).constant == 0.5
+
+
 def test_defined_cases(spark):
     docs = spark.createDataFrame([(1, "good words here", 9), (2, "BAD!! ## ##", 9), (3, None, 9), (4, "", 9), (None, "no id", 9), (1, "good words here", 9)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (77, 0), (None, 1), (4, None)], "doc_id long, quality int")
