@@ -1,66 +1,3 @@
-"""The corpus pipeline: five stages over ``documents``, each written and read again.
+"""The corpus pipeline; see ``tabflow.llm.pipeline``."""
 
-Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the
-last return the columns of ``documents``.
-
-1. language ID: fitted on all documents with a language; texts without a letter and texts whose
-   most likely language is not likelier than all others together are rejected;
-2. near-dedup by five-word Jaccard of 0.8 or more: of each component the row with the least id
-   stays (null ids last, then the least text digest); repeated rows become one;
-3. benchmark decontamination: a document with any benchmark window goes;
-4. source mixing: whole documents, repeated as often as the mix takes them;
-5. training-order token shards: the manifest, one row per sequence.
-
-Nulls, empty tables and extra columns are as the operators define them.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tabflow.llm import decontaminate, language, mixing, near_dup, training_order
-from tabflow.llm.common import packed, table
-from tabflow.scratch import materialize
-
-MIN_LANGUAGE_SCORE = 0.5
-
-
-def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language.fit(docs)
-    found = language.identify(packed(docs, "text"), model, text="_text")
-    return found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") > MIN_LANGUAGE_SCORE)).select("_row.*")
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dup.keep_one(docs)
-
-
-def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.repeated_documents(docs)
-
-
-def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return training_order.write_training_order(docs)
-
-
-STAGES = [
-    ("language_id", keep_known_language),
-    ("simhash_near_dedup", drop_near_duplicates),
-    ("decontaminate", drop_benchmark_leaks),
-    ("mix_sources", mix_sources),
-    ("token_output", write_tokens),
-]
-
-ORACLE_SQL = None  # fitted model, 64-bit hashes and a tokenizer; tests compare with brute force
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+from tabflow.llm.pipeline import ORACLE_SQL, STAGES, run  # noqa: F401
