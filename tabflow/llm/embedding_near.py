@@ -44,14 +44,16 @@ COSINE = 0.9
 BLOCK_DIMS = 8
 MOST_BLOCKS = 8
 SAMPLE = 8192
-PIECE = 16_384
+PIECE = 32_768
 MOST_DEPTH = 10
-LEAF = 256
+LEAF = 128
 SEED = 17
-# Rounding: of distances in double precision, and of the matrix products in single precision that come first.
-SLACK, SINGLE_SLACK = 1e-9, 1e-4
-# Pairs looked at together, and links held before they are reduced to stars.
-STRIP = 1 << 18
+# Rounding: of distances of rotated vectors, and of the matrix products that come first.
+SLACK, PRODUCT_SLACK = 1e-5, 1e-4
+# Columns of one matrix product, pairs verified together, and links held before they are reduced to stars.
+WIDE = 4096
+STRIP = 1 << 16
+HELD = 1 << 19
 
 
 # ---------------------------------------------------------------- rotation and blocks
@@ -76,12 +78,12 @@ def units(vectors: np.ndarray) -> np.ndarray:
 
 
 def rotate(unit: np.ndarray) -> np.ndarray:
-    """Rotated rows. Only element-wise steps: a row comes out the same in whatever batch it is."""
+    """Rotated rows in single precision. Only element-wise steps: a row comes out the same in whatever batch it is."""
     d = unit.shape[1]
     size = padded(d)
-    x = np.zeros((len(unit), size))
+    x = np.zeros((len(unit), size), dtype=np.float32)
     x[:, :d] = unit
-    signs = np.random.default_rng(SEED).choice([-1.0, 1.0], size=(2, size))
+    signs = np.random.default_rng(SEED).choice([-1.0, 1.0], size=(2, size)).astype(np.float32)
     for s in signs:
         x = x * s
         step = 1
@@ -89,13 +91,13 @@ def rotate(unit: np.ndarray) -> np.ndarray:
             y = x.reshape(len(x), -1, 2, step)
             x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(x), size)
             step *= 2
-        x = x / np.sqrt(size)
+        x = x * np.float32(1 / np.sqrt(size))
     return x
 
 
 def _distance(x: np.ndarray, y: np.ndarray, block: tuple[int, int]) -> np.ndarray:
     """Squared distances of rows in a block, summed in a fixed order."""
-    out = np.zeros(len(x))
+    out = np.zeros(len(x), dtype=np.float32)
     for c in range(*block):
         out += (x[:, c] - y[:, c]) ** 2
     return out
@@ -147,8 +149,9 @@ def fit_cells(sample: np.ndarray, depth: int) -> Cells:
 
 # ---------------------------------------------------------------- comparing
 
-def _leaves(x: np.ndarray) -> list[np.ndarray]:
-    """Row numbers in leaves of at most ``LEAF``, cut at medians of the widest side."""
+def _leaves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, edges): rows in an order in which leaves of at most ``LEAF`` stand together, and where
+    they begin; cut at medians of the widest side."""
     out, todo = [], [np.arange(len(x))]
     while todo:
         rows = todo.pop()
@@ -157,9 +160,10 @@ def _leaves(x: np.ndarray) -> list[np.ndarray]:
             continue
         own = x[rows]
         axis = int(np.argmax(own.max(axis=0) - own.min(axis=0)))
-        order = rows[np.argsort(own[:, axis], kind="stable")]
-        todo += [order[:len(order) // 2], order[len(order) // 2:]]
-    return out
+        half = len(rows) // 2
+        order = rows[np.argpartition(own[:, axis], half)]
+        todo += [order[:half], order[half:]]
+    return np.concatenate(out), np.concatenate([[0], np.cumsum([len(r) for r in out])])
 
 
 def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -176,6 +180,20 @@ def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+class Side:
+    """Some rows of a task in leaf order."""
+
+    def __init__(self, rows: np.ndarray, own: np.ndarray):
+        order, self.edges = _leaves(own[rows])
+        self.rows = rows[order]
+        x = own[self.rows]
+        self.low, self.high = (f.reduceat(x, self.edges[:-1], axis=0) for f in (np.minimum, np.maximum))
+        norms = (x * x).sum(axis=1, keepdims=True)
+        one = np.ones_like(norms)
+        # the product of a row of the one and a row of the other is their squared distance
+        self.left, self.right = np.hstack([-2 * x, norms, one]), np.hstack([x, one, norms])
+
+
 class Task:
     """Rows of one task and the links found among them in one block."""
 
@@ -184,45 +202,63 @@ class Task:
         self.rotated = rotate(self.unit)
         self.blocks, self.nth = blocks_of(vectors.shape[1]), nth
         size = padded(vectors.shape[1])
-        self.budgets = [(2 - 2 * cosine) * (end - first) / size + SLACK for first, end in self.blocks]
-        first, end = self.blocks[nth]
-        self.own = self.rotated[:, first:end]
-        self.single = self.own.astype(np.float32)
-        self.norms = (self.single * self.single).sum(axis=1)
+        self.budgets = [np.float32((2 - 2 * cosine) * (end - first) / size + SLACK) for first, end in self.blocks]
         self.n_links = np.zeros(len(vectors))
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
         self.left: list[np.ndarray] = []
         self.right: list[np.ndarray] = []
         self.held = 0
 
     def compare(self, a: np.ndarray, b: np.ndarray | None) -> None:
         """All rows ``a`` with all rows ``b``; each two of ``a`` if there are no others."""
-        boxes = lambda leaves: (np.array([self.own[r].min(axis=0) for r in leaves]), np.array([self.own[r].max(axis=0) for r in leaves]))
-        leaves_a = [a[r] for r in _leaves(self.own[a])]
-        leaves_b = leaves_a if b is None else [b[r] for r in _leaves(self.own[b])]
-        low_a, high_a = boxes(leaves_a)
-        low_b, high_b = boxes(leaves_b)
-        for k, rows in enumerate(leaves_a):
-            gap = np.maximum(np.maximum(low_b - high_a[k], low_a[k] - high_b), 0)
-            for other in np.flatnonzero((gap * gap).sum(axis=1) <= self.budgets[self.nth]):
-                if b is not None or other >= k:
-                    self.tile(rows, leaves_b[other], b is None and other == k)
-
-    def tile(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
-        near = self.norms[a][:, None] + self.norms[b][None, :] - 2 * (self.single[a] @ self.single[b].T) <= self.budgets[self.nth] + SINGLE_SLACK
-        if same:
-            near = np.triu(near, 1)
-        count = int(np.count_nonzero(near))
-        if not count:
+        own = np.ascontiguousarray(self.rotated[:, slice(*self.blocks[self.nth])])
+        one = Side(a, own)
+        other = one if b is None else Side(b, own)
+        for k in range(len(one.edges) - 1):
+            gap = np.maximum(np.maximum(other.low - one.high[k], one.low[k] - other.high), 0)
+            near = (gap * gap).sum(axis=1) <= self.budgets[self.nth]
+            if b is None:
+                near[:k] = False
+            # neighbouring leaves stand side by side and are one matrix product
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], near.astype(np.int8), [0]])))
+            for low, high in zip(other.edges[edge[::2]].tolist(), other.edges[edge[1::2]].tolist()):
+                for at in range(low, high, WIDE):
+                    self.tile(one, int(one.edges[k]), int(one.edges[k + 1]), other, at, min(high, at + WIDE), b is None)
+        self.verify()
+
+    def tile(self, one: Side, start: int, stop: int, other: Side, low: int, high: int, same: bool) -> None:
+        near = one.left[start:stop] @ other.right[low:high].T <= self.budgets[self.nth] + np.float32(PRODUCT_SLACK)
+        at = np.flatnonzero(near)
+        if same and low < stop and len(at):
+            # rows of a leaf with themselves: each pair once
+            at = at[low + at % near.shape[1] > start + at // near.shape[1]]
+        if not len(at):
             return
-        dense = count > near.size // 8
-        if dense:
-            near &= self.unit[a] @ self.unit[b].T >= self.cosine
-        i, j = np.nonzero(near)
-        i, j = a[i], b[j]
-        if not dense:
-            linked = np.einsum("ij,ij->i", self.unit[i], self.unit[j]) >= self.cosine
-            i, j = i[linked], j[linked]
-        # the pair counts here if this block is the first whose share it keeps
+        i, j = one.rows[start + at // near.shape[1]], other.rows[low + at % near.shape[1]]
+        if len(at) > near.size // 8:
+            # very many pairs are near: one more matrix product leaves the links
+            linked = (self.unit[one.rows[start:stop]] @ self.unit[other.rows[low:high]].T).ravel()[at] >= self.cosine
+            self.count(i[linked], j[linked])
+            return
+        self.found.append((i, j))
+        self.waiting += len(at)
+        if self.waiting > STRIP:
+            self.verify()
+
+    def verify(self) -> None:
+        """Exact cosines of the pairs that wait."""
+        if not self.found:
+            return
+        i, j = (np.concatenate(v) for v in zip(*self.found))
+        self.found, self.waiting = [], 0
+        for at in range(0, len(i), STRIP):
+            p, q = i[at:at + STRIP], j[at:at + STRIP]
+            linked = np.einsum("ij,ij->i", self.unit[p], self.unit[q]) >= self.cosine
+            self.count(p[linked], q[linked])
+
+    def count(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Links, of which those count here whose first block with its share kept is this one."""
         for block, budget in zip(self.blocks[:self.nth], self.budgets):
             if not len(i):
                 return
@@ -230,12 +266,14 @@ class Task:
             i, j = i[later], j[later]
         here = _distance(self.rotated[i], self.rotated[j], self.blocks[self.nth]) <= self.budgets[self.nth]
         i, j = i[here], j[here]
+        if not len(i):
+            return
         n = len(self.n_links)
         self.n_links += np.bincount(i, self.times[j], n) + np.bincount(j, self.times[i], n)
         self.left.append(i)
         self.right.append(j)
         self.held += len(i)
-        if self.held > STRIP:
+        if self.held > HELD:
             self.reduce()
 
     def reduce(self) -> np.ndarray:

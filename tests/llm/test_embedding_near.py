@@ -95,7 +95,7 @@ def test_rotation_keeps_distances_and_does_not_depend_on_the_batch():
     for d in (1, 2, 3, 8, 64, 100):
         unit = near.units(rng.normal(size=(50, d)))
         turned = near.rotate(unit)
-        assert np.allclose(turned @ turned.T, unit @ unit.T, atol=1e-12)
+        assert np.allclose(turned @ turned.T, unit @ unit.T, atol=1e-5)
         assert np.array_equal(near.rotate(unit[7:9]), turned[7:9])
         assert near.blocks_of(d)[-1][1] == near.padded(d)
 
