@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import PIECE_CHARS, id_bucket, packed, table, unpacked
+from tabflow.llm.common import id_bucket, packed, table, unpacked
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -32,6 +32,8 @@ UNDETERMINED = "und"
 # Floors: texts of fewer n-grams have none; strange is what lies below a language's mean by this much
 # (n-grams are some seven times rarer than they should be) and these deviations.
 LEAST_GRAMS = 200
+# Characters whose n-grams a worker holds at once.
+STRETCH = 200_000
 MARGIN = 2.0
 DEVIATIONS = 4.0
 
@@ -54,7 +56,7 @@ def _letters() -> np.ndarray:
     return _LETTER[0]
 
 
-def marked_stretches(texts: pd.Series, orders, limit: int = PIECE_CHARS) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+def marked_stretches(texts: pd.Series, orders, limit: int = STRETCH) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
     """Lower-cased texts between spaces, in order, as (parts, text each is from, characters of each in which n-grams start).
 
     About ``limit`` characters at a time. A longer text is cut into parts that run on by what

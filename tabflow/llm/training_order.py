@@ -55,7 +55,8 @@ BLOCK_BYTES = 1 << 20
 LEVEL = 6
 KEY = 0x5EED
 ROUNDS = 6
-REMEMBERED = 600_000
+# Words a worker remembers, in two generations of half as many.
+REMEMBERED = 360_000
 
 
 # ---------------------------------------------------------------- permutation
