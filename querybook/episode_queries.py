@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from querybook.book import query
-from querybook.inputs import FOLD_DELTAS, Inputs
+from querybook.inputs import EPISODES, FOLD_DELTAS, Inputs
 from tabflow.functions import fixed_values as fv
 from tabflow.operators import encode, ensemble, metrics, profile, validate
 from tabflow.operators import episodes as ep
 from tabflow.operators import folds as fo
+from tabflow.operators import prefixes
 from tabflow.plans import episode_model
+from tabflow.scratch import materialize, scratch_root
+from tabflow.streaming import episode_tails
 
 STEPS = """select *, row_number() over w as pos, time_seconds - lag(time_seconds) over w as dt_raw,
  count(*) over (partition by game_episode) as n_steps from {0} window w as (partition by game_episode order by action_id, time_seconds)"""
@@ -83,11 +88,32 @@ def _(d: Inputs):
     return ep.long_features(d.episodes, policy="last_row")
 
 
+@query("stream_inference_features", FEATURES, features_sql("last_row", tail_sql(8), mask_target=False))
+def _(d: Inputs):
+    # the events come in six files dealt by a hash, so every episode's order is broken over the batches
+    path = f"{scratch_root(d.spark)}/events-{uuid.uuid4().hex}"
+    d.table("events").repartition(6, F.xxhash64("event_id")).write.parquet(path)
+    events = d.spark.readStream.schema(d.table("events").schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return episode_tails.drain(episode_tails.inference_views(d.shaped(EPISODES, events=events), 8))
+
+
 @query("pass_prefix_samples", FEATURES, features_sql("all_pass"))
 def _(d: Inputs):
     return ep.long_features(d.episodes, policy="all_pass")
 
 
+# of the pass itself, whose end is hidden, only these numbers differ
+LAST = ("sx_abs", "sy_abs", "dt", "t_abs_log", "is_second_half", "anchor_x", "anchor_y")
+SUMMARY = "game_episode:s t_pos:i length:i " + " ".join(f"last_{c}:d" for c in LAST) + " " + " ".join(f"mean_{c}:d" for c in fv.SEQUENCE_NUMBERS) + " target_dx:d target_dy:d"
+
+
+@query("prefix_summaries", SUMMARY, "select game_episode, t_pos, count(*) as length, " + ", ".join(
+    [f"arg_max({c}, pos) as last_{c}" for c in LAST] + [f"round(avg({c}), 9) as mean_{c}" for c in fv.SEQUENCE_NUMBERS]) + f", max(target_dx) as target_dx, max(target_dy) as target_dy from ({features_sql('all_pass')}) group by game_episode, t_pos")
+def _(d: Inputs):
+    # sums in another order differ in the last digits only
+    return prefixes.prefix_summaries(d.episodes).withColumns({f"mean_{c}": F.round(f"mean_{c}", 9) for c in fv.SEQUENCE_NUMBERS})
+
+
 @query("last_pass_target", "game_episode:s t_pos:i game_id:i anchor_x:d anchor_y:d target_dx:d target_dy:d", f"""
 with s as ({STEPS.format('ep')}) select game_episode, pos as t_pos, game_id, start_x/105e0 as anchor_x, start_y/68e0 as anchor_y,
  end_x/105e0-start_x/105e0 as target_dx, end_y/68e0-start_y/68e0 as target_dy from ({TARGETS['last_pass']})""")
@@ -196,6 +222,33 @@ def _(d: Inputs):
     return profile.null_profile(d.episodes, ["end_x", "end_y", "result_name"])
 
 
+def scorer(fold: int) -> episode_model.MeanScorer:
+    n = len(fv.SEQUENCE_NUMBERS)
+    return episode_model.MeanScorer(tuple(((i * 7 + fold) % 11 - 5) / 8 for i in range(n)), tuple(((i * 5 + fold) % 13 - 6) / 8 for i in range(n)))
+
+
+def scored_sql(weights) -> str:
+    return "greatest(-1e0, least(1e0, " + " + ".join(f"avg(coalesce({c},0))*({w}e0)" for c, w in zip(fv.SEQUENCE_NUMBERS, weights)) + "))"
+
+
+@query("episode_score_user", "game_episode:s fold:i anchor_x:d anchor_y:d delta_x:d delta_y:d", f"with f as ({features_sql('last_row', mask_target=False)}) " + " union all ".join(
+    f"select game_episode, {k} as fold, max(anchor_x) as anchor_x, max(anchor_y) as anchor_y, {scored_sql(scorer(k).weights_x)} as delta_x, {scored_sql(scorer(k).weights_y)} as delta_y from f group by game_episode" for k in range(3)))
+def _(d: Inputs):
+    rows = d.episodes
+    vocabulary = encode.fit_vocabulary(rows, fv.SEQUENCE_CATEGORIES)
+    return episode_model.score_episodes(rows, vocabulary, [scorer(k) for k in range(3)], episode_model.mean_scores)
+
+
+@query("episode_mean_error", "fold:i mean_error_m:d", f"""
+with f as ({features_sql('last_pass')}), p as (select game_episode, any_value(target_dx) as tx, any_value(target_dy) as ty, {scored_sql(scorer(0).weights_x)} as dx, {scored_sql(scorer(0).weights_y)} as dy from f group by game_episode)
+select 0 as fold, avg(sqrt(pow((dx-tx)*105,2)+pow((dy-ty)*68,2)+1e-9)) as mean_error_m from p""")
+def _(d: Inputs):
+    rows = d.episodes
+    sequences = materialize(ep.train_sequences(rows, encode.fit_vocabulary(rows, fv.SEQUENCE_CATEGORIES), policy="last_pass"), "sequences")
+    found = episode_model.predict_with(sequences, episode_model.mean_scores, model=scorer(0))
+    return episode_model.mean_error(found.withColumn("fold", F.lit(0)), sequences)
+
+
 @query("episode_score", "game_episode:s fold:i anchor_x:d anchor_y:d delta_x:d delta_y:d")
 def _(d: Inputs):
     rows = d.episodes

@@ -84,6 +84,10 @@ class Inputs:
         used = {t: self.table(t) for t in TABLES if f"{{{t}}}" in text}
         return self.spark.sql(text, **used)
 
+    def shaped(self, text: str, **tables: DataFrame) -> DataFrame:
+        """A shape over other tables than the given ones, such as streams."""
+        return self.spark.sql(text, **tables)
+
     @property
     def episodes(self) -> DataFrame:
         return self._sql(EPISODES)

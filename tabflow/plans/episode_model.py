@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabflow.functions import fixed_values as fv
 from tabflow.operators import episodes as ep
-from tabflow.operators import folds
+from tabflow.operators import folds, prefixes
 from tabflow.operators.metrics import euclidean_error
 from tabflow.scratch import materialize
 
@@ -20,6 +22,14 @@ KEY = ep.KEY
 DELTA = "game_episode string, anchor_x double, anchor_y double, delta_x double, delta_y double"
 
 
+def summaries(df: DataFrame, policy: str = "all_pass", *, key: str = KEY, **options) -> DataFrame:
+    """Summaries of the samples of a policy. Every pass is a sample in "all_pass": its history is
+    summed by prefix totals and never built."""
+    if policy == "all_pass" and not options.get("max_tail_k"):
+        return prefixes.prefix_summaries(df, key=key, **{k: v for k, v in options.items() if k != "max_tail_k"})
+    return sample_summary(ep.long_features(df, policy=policy, key=key, **options), key)
+
+
 def sample_summary(long: DataFrame, key: str = KEY) -> DataFrame:
     """One row per sample: numbers of its last step, means over all steps, length, anchor, target."""
     last = lambda c: F.max_by(c, "pos").alias(f"last_{c}")
@@ -64,17 +74,68 @@ def predict_deltas(models: Sequence[tuple], samples: DataFrame) -> DataFrame:
     return out
 
 
-def predict_with(sequences: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """Deltas from a user's own model: ``predict`` gets Arrow batches of sequences (num, cat,
-    length) and returns columns delta_x and delta_y in the same row order."""
+def predict_with(sequences: DataFrame, predict: Callable[..., pd.DataFrame], *, model: object = None) -> DataFrame:
+    """Deltas from a user's own model, scored on Arrow batches of packed sequences.
+
+    ``predict`` gets a batch (num, cat, length, …) and returns columns delta_x and delta_y in
+    the same row order; they are limited to [-1, 1]. A ``model`` is broadcast once, reaches each
+    Python worker once, and is handed over as the first argument: its size is the caller's.
+    """
+    shared = sequences.sparkSession.sparkContext.broadcast(model) if model is not None else None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            d = predict(b)
-            yield pd.DataFrame({c: (b if c in b else d)[c].to_numpy() for c in (KEY, "anchor_x", "anchor_y", "delta_x", "delta_y")})
+            d = predict(b) if shared is None else predict(shared.value, b)
+            if len(d) != len(b):
+                raise ValueError(f"the model returned {len(d)} rows for {len(b)} sequences")
+            limited = {c: np.clip(np.asarray(d[c], dtype=np.float64), -1.0, 1.0) for c in ("delta_x", "delta_y")}
+            yield pd.DataFrame({**{c: b[c].to_numpy() for c in (KEY, "anchor_x", "anchor_y")}, **limited})
 
     return sequences.mapInPandas(run, DELTA)
 
 
+def score_episodes(df: DataFrame, vocabulary: DataFrame, models: Sequence[object], predict: Callable[..., pd.DataFrame], **options) -> DataFrame:
+    """(game_episode, fold, anchor_x, anchor_y, delta_x, delta_y): every episode scored by every fold's model.
+
+    The sequences are built and packed once; ``models`` travel in one broadcast.
+    """
+    sequences = materialize(ep.inference_sequences(df, vocabulary, **options), "sequences")
+
+    def every(shared: Sequence[object], batch: pd.DataFrame) -> pd.DataFrame:
+        parts = [predict(m, batch) for m in shared]
+        return pd.DataFrame({c: [list(v) for v in zip(*[np.asarray(p[c], dtype=np.float64) for p in parts])] for c in ("delta_x", "delta_y")})
+
+    shared = sequences.sparkSession.sparkContext.broadcast(list(models))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.concat([b[[KEY, "anchor_x", "anchor_y"]].reset_index(drop=True), every(shared.value, b)], axis=1)
+
+    scored = sequences.mapInPandas(run, f"{KEY} string, anchor_x double, anchor_y double, delta_x array<double>, delta_y array<double>")
+    each = scored.select(KEY, "anchor_x", "anchor_y", F.posexplode(F.arrays_zip("delta_x", "delta_y")).alias("fold", "d"))
+    limited = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(f"d.{c}"))).alias(c)
+    return each.select(KEY, "fold", "anchor_x", "anchor_y", limited("delta_x"), limited("delta_y"))
+
+
+@dataclass(frozen=True)
+class MeanScorer:
+    """Deltas as linear functions of the mean of a sequence's numbers; nulls count as 0."""
+
+    weights_x: tuple[float, ...]
+    weights_y: tuple[float, ...]
+
+
+def mean_scores(model: MeanScorer, batch: pd.DataFrame) -> pd.DataFrame:
+    """Scores of a batch at once: all steps of all sequences stand in one matrix."""
+    lengths = batch["num"].map(len).to_numpy(dtype=np.int64)
+    if not len(batch):
+        return pd.DataFrame({"delta_x": [], "delta_y": []})
+    steps = np.nan_to_num(np.array([row for rows in batch["num"] for row in rows], dtype=np.float64))
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    means = np.add.reduceat(steps, starts, axis=0) / lengths[:, None]
+    return pd.DataFrame({"delta_x": means @ np.array(model.weights_x), "delta_y": means @ np.array(model.weights_y)})
+
+
 def mean_error(predictions: DataFrame, truth: DataFrame, *, key: str = KEY) -> DataFrame:
     """Mean distance in metres between predicted and true deltas per fold."""
     joined = predictions.join(truth.select(key, "target_dx", "target_dy"), key)

@@ -155,3 +155,31 @@ def test_episode_model_scores_every_episode(spark, events):
     vocab = encode.fit_vocabulary(events, ["player_id", "team_id", "type_name", "result_name"])
     own = em.predict_with(ep.inference_sequences(events, vocab), lambda b: pd.DataFrame({"delta_x": b["length"] / 10.0, "delta_y": 0.0}))
     assert {r["game_episode"]: r["delta_x"] for r in own.collect()}["2_1"] == 0.5
+
+
+def test_a_users_model_scores_every_episode(spark):
+    import numpy as np
+    import pandas as pd
+
+    from tabflow.functions import fixed_values as fv
+    from tabflow.operators import encode
+    from tabflow.plans import episode_model
+    from tests.test_prefixes import SCHEMA, events
+
+    rows = spark.createDataFrame(events(200), SCHEMA)
+    vocabulary = encode.fit_vocabulary(rows, fv.SEQUENCE_CATEGORIES)
+    n = len(fv.SEQUENCE_NUMBERS)
+    models = [episode_model.MeanScorer(tuple([s] * n), tuple([-s / 9] * n)) for s in (0.01, 5.0)]
+    got = episode_model.score_episodes(rows, vocabulary, models, episode_model.mean_scores).collect()
+    sequences = {r["game_episode"]: r for r in ep.inference_sequences(rows, vocabulary).collect()}
+    assert sorted((r["game_episode"], r["fold"]) for r in got) == sorted((k, f) for k in sequences for f in (0, 1))
+    for r in got:
+        x = np.nan_to_num(np.array([[np.nan if v is None else v for v in step] for step in sequences[r["game_episode"]]["num"]], dtype=float))
+        want = np.clip([x.mean(axis=0).sum() * w for w in ((0.01, -0.01 / 9), (5.0, -5.0 / 9))[r["fold"]]], -1, 1)
+        assert np.allclose([r["delta_x"], r["delta_y"]], want)
+    one = episode_model.predict_with(ep.inference_sequences(rows, vocabulary), episode_model.mean_scores, model=models[0]).collect()
+    assert {(r["game_episode"], round(r["delta_x"], 9)) for r in one} == {(r["game_episode"], round(r["delta_x"], 9)) for r in got if r["fold"] == 0}
+    plain = episode_model.predict_with(ep.inference_sequences(rows, vocabulary), lambda b: pd.DataFrame({"delta_x": b["length"] * 0.0 + 3, "delta_y": b["length"] * 0.0})).collect()
+    assert {r["delta_x"] for r in plain} == {1.0}
+    truth = ep.train_sequences(rows, vocabulary, policy="last_pass")
+    assert episode_model.mean_error(episode_model.predict_with(truth, episode_model.mean_scores, model=models[0]).withColumn("fold", F.lit(3)), truth).first()["mean_error_m"] > 0
