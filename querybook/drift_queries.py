@@ -9,13 +9,22 @@ from querybook.inputs import Inputs
 from querybook.metrics_queries import SHUFFLED, SHUFFLED_SQL, auc_sql
 from tabflow.functions import temporal as tm
 from tabflow.functions import text as tx
-from tabflow.operators import drift, metrics, schema
+from tabflow.operators import drift, metrics, schema, side_tests
 
 NUMBERS = ("price", "cust", "train_only", "const_one_side", "shifted")
 
 
+# values of the second side lie above nine tenths of the first: close to a limit of 0.9
+CLOSE = "case when is_test=1 then 900+id%100 else id%1000 end"
+BOUNDED = (*NUMBERS, "close")
+
+
+def close_columns(rows):
+    return rows.withColumn("close", F.expr(CLOSE))
+
+
 def long_sql(columns=NUMBERS) -> str:
-    return " union all ".join(f"select '{c}' as feature, cast({c} as double) as v, is_test from ab where {c} is not null" for c in columns)
+    return " union all ".join(f"select '{c}' as feature, cast({CLOSE if c == 'close' else c} as double) as v, is_test from ab where {CLOSE if c == 'close' else c} is not null" for c in columns)
 
 
 @query("auc_univariate", "feature:s auc:d", f"""
@@ -32,6 +41,29 @@ def _(d: Inputs):
     return drift.separable(drift.value_table(d.sides, NUMBERS))
 
 
+@query("drift_separable_bounded", "feature:s low:d high:d drifted:i ranked:i", f"""
+with l as ({long_sql(BOUNDED)}), r as (select feature, min(v) as lo, max(v) as hi, count(*) filter (where is_test=0) as c0, count(*) filter (where is_test=1) as c1 from l group by feature),
+b as (select l.feature, least(floor((v-lo)/((hi-lo)/64)),63) as cell, cast(count(*) filter (where is_test=0) as double) as n0, cast(count(*) filter (where is_test=1) as double) as n1 from l join r on l.feature=r.feature where c0>0 and c1>0 and hi>lo group by 1,2),
+w as (select *, coalesce(sum(n0) over (partition by feature order by cell rows between unbounded preceding and 1 preceding),0) as below from b),
+s as (select feature, sum(n1*below)/(sum(n1)*sum(n0)) as a, (sum(n1*below)+sum(n1*n0))/(sum(n1)*sum(n0)) as z from w group by feature),
+f as (select r.feature, case when a is null then 5e-1 when a>=5e-1 then a when z<=5e-1 then 1-z else 5e-1 end as low, case when a is null then 5e-1 else greatest(z,1-a) end as high from r left join s on r.feature=s.feature),
+e as (select feature, coalesce(greatest(auc,1-auc),5e-1) as auc from (select feature, case when n_pos*n_neg>0 then auc end as auc
+ from ({auc_sql(f'({long_sql(BOUNDED)})', 'v', 'is_test', 'feature').replace('/(sum(n1)*cast(sum(n0) as double))', '/nullif(sum(n1)*cast(sum(n0) as double),0)')})))
+select f.feature, low, high, case when auc>=9e-1 then 1 else 0 end as drifted, case when high+1e-12>=9e-1 and low-1e-12<9e-1 then 1 else 0 end as ranked from f join e on f.feature=e.feature""")
+def _(d: Inputs):
+    rows = close_columns(d.sides)
+    found = side_tests.separable_bounded(rows, BOUNDED, limit=0.9, cells=64)
+    return found.withColumn("ranked", F.col("auc").isNotNull())
+
+
+@query("drift_disjoint_filters", "feature:s n_shared_found:i drifted:i", "select feature, case when count(*) filter (where k=2)>0 then 1 else 0 end as n_shared_found, case when count(*) filter (where k=2)=0 then 1 else 0 end as drifted from (" + " union all ".join(
+    f"select '{c}' as feature, coalesce({x},'nan') as v, count(distinct is_test) as k from ab group by 2" for c, x in (("cat", "cat"), ("disjoint_cat", "disjoint_cat"), ("mostly_placeholder", "mostly_placeholder"), ("ids", "concat(cast(id as varchar),'-',cast(is_test as varchar))"))) + ") group by feature")
+def _(d: Inputs):
+    rows = d.sides.withColumn("ids", F.concat(F.col("id").cast("string"), F.lit("-"), F.col("is_test").cast("string")))
+    found = side_tests.disjoint_by_filters(rows, ["cat", "disjoint_cat", "mostly_placeholder", "ids"])
+    return found.withColumn("n_shared_found", (~F.col("drifted")).cast("int"))
+
+
 PROFILED = ("price", "cat", "train_only", "const_one_side", "text_num", "disjoint_cat")
 
 
@@ -52,6 +84,11 @@ def _(d: Inputs):
     return drift.quantile_disjoint(drift.range_profile(drift.value_table(d.sides, NUMBERS)))
 
 
+@query("drift_ranges_selected", "feature:s q_low_0:d q_high_0:d q_low_1:d q_high_1:d drifted:i", f"select feature, q_low_0, q_high_0, q_low_1, q_high_1, coalesce(cast(q_high_0+1e-12<q_low_1 or q_high_1+1e-12<q_low_0 as int),0) as drifted from ({SIDE_STATS})")
+def _(d: Inputs):
+    return drift.quantile_disjoint(side_tests.quantile_ranges(d.sides, NUMBERS, small=500))
+
+
 @query("drift_minmax", "feature:s min_0:d max_0:d min_1:d max_1:d drifted:i", f"select *, coalesce(cast(max_0<min_1 or max_1<min_0 as int),0) as drifted from ({SIDE_STATS})")
 def _(d: Inputs):
     return drift.minmax_disjoint(drift.side_ranges(d.sides, NUMBERS))

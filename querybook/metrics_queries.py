@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from querybook.book import query
 from querybook.inputs import MODELS, Inputs
-from tabflow.operators import encode, ensemble, folds, metrics, profile, ranking, schema, validate
+from tabflow.operators import encode, ensemble, folds, metrics, profile, ranking, schema, selection, validate
 from tabflow.plans import blend, cv
 
 # the oracle orders keys by this arithmetic instead of a hash
@@ -47,6 +47,12 @@ def _(d: Inputs):
     return ranking.exact_quantiles(d.scores, "x", [0.01, 0.5, 0.99], group=["y"])
 
 
+@query("quantiles_selected", "y:i feature:s q0:d q1:d q2:d", " union all ".join(
+    f"select y, '{c}' as feature, quantile_cont({c}, 1e-2) as q0, quantile_cont({c}, 5e-1) as q1, quantile_cont({c}, 99e-2) as q2 from cv group by y" for c in ("x", "p", "id")))
+def _(d: Inputs):
+    return selection.select_quantiles(d.scores, ["x", "p", "id"], [0.01, 0.5, 0.99], group=["y"], small=1000)
+
+
 COUNTS = """count(*) as n, count(*) filter (where p>={0} and y=1) as tp, count(*) filter (where p<{0} and y=0) as tn,
  count(*) filter (where p>={0} and y=0) as fp, count(*) filter (where p<{0} and y=1) as fn"""
 RATES = """(tp+tn)/cast(tp+tn+fp+fn as double) as accuracy, case when tp+fp>0 then tp/cast(tp+fp as double) else 0e0 end as prec,

@@ -1,8 +1,10 @@
 """Train-versus-test drift: which columns tell the two tables apart.
 
-Null ratios, constants and ranges come from plain aggregates and histograms from one pass with
-the ranges as constants. Quantiles and separability of the columns that are left rest on one
-table of value counts, (feature, value, n0, n1) with running totals per side.
+Null ratios, constants and ranges come from one aggregate and histograms from one pass with the
+ranges as constants. For the stacked table, quantiles are selected by counting, and separability
+and common categories are decided by the bounds and filters of ``side_tests``. The checks that
+give every value rest on one table of value counts, (feature, value, n0, n1) with running totals
+per side.
 """
 
 from __future__ import annotations
@@ -27,20 +29,35 @@ SIDE = "is_test"
 
 def side_profile(df: DataFrame, columns: Sequence[str], side: str = SIDE) -> DataFrame:
     """(feature, null_0, null_1, constant_0, constant_1): null ratio and "at most one value" per side."""
-    def stats(c: str, s: int):
+    wide = df.agg(*[F.struct(*_null_stats(df, c, (0, 1), side)).alias(c) for c in columns])
+    return wide.unpivot([], [f"`{c}`" for c in columns], "feature", "s").select("feature", "s.*")
+
+
+def _null_stats(df: DataFrame, c: str, sides: Sequence[int], side: str) -> list:
+    out = []
+    for s in sides:
         here = F.col(side) == s
         value = F.when(here & ~missing(df, c), F.col(f"`{c}`"))
         ratio = F.try_divide(F.count_if(here & missing(df, c)).cast("double"), F.count_if(here))
-        return ratio.alias(f"null_{s}"), F.coalesce(F.min(value) == F.max(value), F.lit(True)).alias(f"constant_{s}")
+        out += [ratio.alias(f"null_{s}"), F.coalesce(F.min(value) == F.max(value), F.lit(True)).alias(f"constant_{s}")]
+    return out
 
-    wide = df.agg(*[F.struct(*stats(c, 0), *stats(c, 1)).alias(c) for c in columns])
-    return wide.unpivot([], [f"`{c}`" for c in columns], "feature", "s").select("feature", "s.*")
+
+def both_profiles(df: DataFrame, columns: Sequence[str], numeric: Sequence[str], side: str = SIDE) -> tuple[DataFrame, DataFrame]:
+    """``side_profile`` of ``columns`` and ``side_ranges`` of ``numeric`` from one aggregate, as local tables of a row per column."""
+    number = lambda c, s: F.when((F.col(side) == s) & ~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double"))
+    range_of = lambda c: F.struct(*[f(number(c, s)).alias(f"{n}_{s}") for s in (0, 1) for n, f in (("min", F.min), ("max", F.max))])
+    row = df.agg(*[F.struct(*_null_stats(df, c, (0, 1), side)).alias(f"p{i}") for i, c in enumerate(columns)], *[range_of(c).alias(f"r{i}") for i, c in enumerate(numeric)], F.lit(1).alias("one")).first()
+    make = df.sparkSession.createDataFrame
+    profile = make([(c, *row[f"p{i}"]) for i, c in enumerate(columns)], "feature string, null_0 double, constant_0 boolean, null_1 double, constant_1 boolean")
+    ranges = make([(c, *row[f"r{i}"]) for i, c in enumerate(numeric)], "feature string, min_0 double, max_0 double, min_1 double, max_1 double")
+    return profile, ranges
 
 
-def null_or_constant(df: DataFrame, columns: Sequence[str], *, side: str = SIDE, null_gap: float = fv.NULL_GAP) -> DataFrame:
+def null_or_constant(df: DataFrame, columns: Sequence[str], *, side: str = SIDE, null_gap: float = fv.NULL_GAP, profile: DataFrame | None = None) -> DataFrame:
     """The profile with ``drifted``: null ratios far apart, or constant on exactly one side."""
     wide_gap = F.abs(F.col("null_0") - F.col("null_1")) >= null_gap
-    return side_profile(df, columns, side).withColumn("drifted", F.coalesce(wide_gap, F.lit(False)) | (F.col("constant_0") != F.col("constant_1")))
+    return (side_profile(df, columns, side) if profile is None else profile).withColumn("drifted", F.coalesce(wide_gap, F.lit(False)) | (F.col("constant_0") != F.col("constant_1")))
 
 
 def value_table(df: DataFrame, columns: Sequence[str], *, side: str = SIDE, partitions: int | None = None) -> DataFrame:
@@ -162,6 +179,8 @@ def drift_frame(train: DataFrame, test: DataFrame, dim: DataFrame | None = None,
     table has, and columns flagged by the null/constant, range, histogram, separability and
     category checks. The entity key stays. ``key`` names a row id to carry along as ``__row``.
     """
+    from tabflow.operators import side_tests  # which builds on this module
+
     original = (train.columns, test.columns)
     roles = [sc.detect_roles(t.columns) for t in (train, test)]
     sides, entities, times = [], [], []
@@ -178,7 +197,8 @@ def drift_frame(train: DataFrame, test: DataFrame, dim: DataFrame | None = None,
     time = times[0] or times[1] or sc.first_time_like(train.columns)
     if key:
         sides = [s.withColumn("__row", F.col(key)) for s in sides]
-    sides = [prepare_side(s, dim, entity, time) for s in sides]
+    # dates are parsed and cells cleaned once; deciding on numbers reads the written table
+    sides = [materialize(prepare_side(s, dim, entity, time), "drift-side") for s in sides]
     # each table decides on its own; a column stays numeric only if both agree
     sides = [sc.coerce_numeric_like(s) for s in sides]
     left, right = sides
@@ -210,11 +230,11 @@ def drift_frame(train: DataFrame, test: DataFrame, dim: DataFrame | None = None,
                 dropped.setdefault(r["feature"], reason)
 
     checked = [c for c in common if c != entity]
-    drop(null_or_constant(table, checked), "nulls or constant on one side")
+    profile, ranges = both_profiles(table, checked, numeric)
+    drop(null_or_constant(table, checked, profile=profile), "nulls or constant on one side")
     live = [c for c in numeric if c not in dropped]
     if live:
-        # ranges and histograms take one pass each; only what they leave is counted and ranked
-        ranges = materialize(side_ranges(table, live), "ranges")
+        ranges = ranges.filter(F.col("feature").isin(live))
         # ranges that are further apart than the tolerance have disjoint quantile ranges too
         apart = disjoint("min_0", "max_0", "min_1", "max_1", fv.RANGE_EPS)
         drop(ranges.select("feature", apart.alias("drifted")), "disjoint quantile ranges")
@@ -223,10 +243,10 @@ def drift_frame(train: DataFrame, test: DataFrame, dim: DataFrame | None = None,
         drop(histogram_overlap(table, live, ranges=ranges), "histograms hardly overlap")
         live = [c for c in live if c not in dropped]
     if live:
-        values = value_table(table, live)
-        drop(quantile_disjoint(range_profile(values)), "disjoint quantile ranges")
-        drop(separable(values), "separable", keep_entity=False)
+        # quantiles are selected, not ranked; only columns whose bounds enclose the limit are ranked
+        drop(quantile_disjoint(side_tests.quantile_ranges(table, live)), "disjoint quantile ranges")
+        drop(side_tests.separable_bounded(table, live, ranges=ranges), "separable", keep_entity=False)
     rest = [c for c in texts if c not in dropped]
     if rest:
-        drop(disjoint_categories(table, rest), "no common category", keep_entity=False)
+        drop(side_tests.disjoint_by_filters(table, rest), "no common category", keep_entity=False)
     return DriftFrame(table.drop(*dropped), entity, time, dropped)

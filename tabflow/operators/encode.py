@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tabflow.functions import fixed_values as fv
 from tabflow.operators.lookup import lookup_join
-from tabflow.operators.ranking import exact_quantiles, row_positions
+from tabflow.operators.ranking import row_positions
+from tabflow.operators.selection import select_quantiles
 from tabflow.scratch import materialize
 
 
@@ -139,8 +140,7 @@ def apply_target_encoding(df: DataFrame, value: str, fitted: tuple[DataFrame, fl
 
 def fit_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Exact medians of numeric columns, nulls ignored; one number per column."""
-    long = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).unpivot([], [f"`{c}`" for c in columns], "feature", "value")
-    return {r["feature"]: r["q0"] for r in exact_quantiles(long, "value", [0.5], group=["feature"]).collect()}
+    return {r["feature"]: r["q0"] for r in select_quantiles(df, columns, [0.5]).collect()}
 
 
 def impute_medians(df: DataFrame, medians: dict[str, float]) -> DataFrame:
