@@ -18,7 +18,7 @@ from tabflow.operators import ensemble, folds, metrics, schema
 from tabflow.operators import episodes as ep
 from tabflow.operators.ranking import row_positions
 from tabflow.plans import blend, cv, drift_model
-from tabflow.scratch import scratch_root
+from tabflow.scratch import materialize, scratch_root
 from tabflow.sources import cache, tables
 
 
@@ -62,7 +62,7 @@ def _(d: Inputs):
     # one file per episode
     rows.repartition("of").write.partitionBy("of").option("header", True).csv(base)
     # listed as they would be beside the data: relative to the folder
-    listed = d.spark.read.format("binaryFile").load(f"{base}/*/*.csv").select(F.url_decode("path").alias("p"))
+    listed = d.spark.read.format("binaryFile").load(f"{base}/*/*.csv").select(F.col("path").alias("p"))
     meta = listed.select(F.regexp_extract("p", r"/of=([^/]*)/", 1).alias("game_episode"), F.concat(F.lit("./"), F.regexp_extract("p", r"/(of=[^/]*/[^/]*)$", 1)).alias("path"))
     return tables.read_entity_files(d.spark, meta, f"{base}/*/*.csv", "action_id long, start_x double", base=base)
 
@@ -107,6 +107,32 @@ def _(d: Inputs):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+LAST_PASS = """select game_episode, start_x/105e0 as ax, end_x/105e0-start_x/105e0 as dx
+ from (select *, row_number() over (partition by game_episode order by action_id desc) as back from {0} where type_name='Pass') where back=1 and end_x is not null and end_y is not null"""
+MOVED = "(select * replace (case when game_episode=(select min(game_episode) from ep) then start_x/2 else start_x end as start_x) from ep)"
+
+
+@query("incremental_cache", "run:i rebuilt:s n_rows:i sum_ax:d sum_dx:d", " union all ".join(
+    f"select {run} as run, '{rebuilt}' as rebuilt, count(*) as n_rows, sum(ax) as sum_ax, sum(dx) as sum_dx from ({LAST_PASS.format(t)})"
+    for run, rebuilt, t in ((1, "all", "ep"), (2, "none", "ep"), (3, "one", MOVED))))
+def _(d: Inputs):
+    rows = d.episodes
+    first = rows.agg(F.min("game_episode")).first()[0]
+    moved = rows.withColumn("start_x", F.when(F.col("game_episode") == first, F.col("start_x") / 2).otherwise(F.col("start_x")))
+    root, out = folder(d, "parts"), None
+
+    def build(part):
+        return ep.sample_targets(ep.targets(ep.order_steps(part), "last_pass")).select("game_episode", "anchor_x", "target_dx")
+
+    for run, source in enumerate((rows, rows, moved), 1):
+        found = cache.incremental_dataset(d.spark, root, {"policy": "last_pass"}, source, ["game_episode"], build)
+        rebuilt = {0: "none", 1: "one"}.get(len(found.rebuilt), "some" if found.kept else "all")
+        row = found.data.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("anchor_x").alias("sum_ax"), F.sum("target_dx").alias("sum_dx"))
+        row = materialize(row.select(F.lit(run).alias("run"), F.lit(rebuilt).alias("rebuilt"), "*"), "runs")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("content_signature", "n_rows:i same:i changed:i", "select count(*) as n_rows, 1 as same, 1 as changed from orders")
 def _(d: Inputs):
     rows = orders(d)
@@ -131,6 +157,20 @@ def _(d: Inputs):
     return d.spark.createDataFrame(list(enumerate(aucs)), "cand int, auc double")
 
 
+BOUND_CELLS = f"""select cand, cell, sum(y) as n1, sum(1-y) as n0 from (select cand, y, cast(greatest(0, least(floor((s-lo)/((hi-lo)/64)), 63)) as int) as cell from {MIXED},
+ (select min(pred) as lo, max(pred) as hi from pm where model in ({', '.join(f"'{m}'" for m in SEARCHED)}))) group by all"""
+
+
+@query("simplex_bounds", "cand:i low:d high:d ranked:i", f"""
+with b as (select cand, sum(n1*below) as sure, sum(n1*cast(n0 as double)) as tied, sum(n1)*cast(sum(n0) as double) as pairs
+ from (select *, coalesce(sum(n0) over (partition by cand order by cell rows between unbounded preceding and 1 preceding),0) as below from ({BOUND_CELLS})) group by cand)
+select cand, sure/pairs as low, (sure+tied)/pairs as high, case when (sure+tied)/pairs >= (select max(sure/pairs) from b)-1e-9 then 1 else 0 end as ranked from b""")
+def _(d: Inputs):
+    bounds = blend.auc_bounds(blend.prediction_patterns(d.predictions, SEARCHED), CANDIDATES, cells=64)
+    left = blend.survivors(bounds, 0.0)
+    return d.spark.createDataFrame([(c, low, high, int(c in left)) for c, (low, high) in enumerate(bounds)], "cand int, low double, high double, ranked int")
+
+
 @query("common_models", "model:s n:i", "select model, count(*) as n from pm where model<>'pred_m4_cat_42' group by model")
 def _(d: Inputs):
     rows = d.predictions

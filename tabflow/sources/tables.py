@@ -58,13 +58,14 @@ def read_entity_files(spark: SparkSession, meta: DataFrame, files: str | Sequenc
     file that is not among ``files`` is an error. Nothing is looped over on the driver.
     """
     plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/"), r"/(\./)+", "/")
-    own_path = F.url_decode(F.col("_metadata.file_path"))
+    # the rows' path is an encoded address, in which a plus stands for itself; the files' is as it is
+    own_path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     rows = spark.read.option("header", True).schema(schema).csv(files).withColumn("__path", plain(own_path))
     listed = F.col(path_column)
     if base is not None:
         listed = F.when(listed.rlike(r"^(/|[A-Za-z][A-Za-z0-9+.-]*:/)"), listed).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), listed))
     listed = meta.select(F.col(key).alias("__key"), plain(listed).alias("__listed"))
-    there = spark.read.format("binaryFile").load(files).select(plain(F.url_decode("path")).alias("__listed"))
+    there = spark.read.format("binaryFile").load(files).select(plain(F.col("path")).alias("__listed"))
     missing = listed.join(there, "__listed", "left_anti").select("__listed").limit(6).collect()
     if missing:
         names = ", ".join(str(r[0]) for r in missing[:5]) + (", …" if len(missing) > 5 else "")
