@@ -14,6 +14,8 @@ BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 << 20
 # Beyond them, rows of this many of the heaviest keys, and rows without a key, are dealt over SALTS tasks.
 HEAVY_KEYS = 1_024
+# Keys that a sketch of the rows keeps count of.
+TRACKED = 10_000
 SALTS = 32
 
 
@@ -34,6 +36,19 @@ def heavy_hashes(counts: DataFrame, on: Sequence[str], weight: str, n: int = HEA
     return [r[0] for r in top.select(F.xxhash64(*[F.col(f"`{c}`") for c in on])).collect()]
 
 
+def measured_heavy(rows: DataFrame, on: Sequence[Column], n: int = HEAVY_KEYS, tracked: int = TRACKED) -> list[int]:
+    """Hashes of the ``n`` heaviest keys of ``rows`` by a frequent-items sketch, from one scan.
+
+    Each task keeps ``tracked`` hashes and their counts, and the sketches of all tasks are merged:
+    nothing is shuffled by key. Every key with more than a few ``tracked``-ths of the rows is found;
+    what else the sketch names costs a copy of one table row, never a wrong result.
+    """
+    known = reduce(and_, [c.isNotNull() for c in on])
+    sketch = F.expr(f"approx_top_k(h, {n}, {tracked})")
+    found = rows.filter(known).select(F.xxhash64(*on).alias("h")).agg(sketch.alias("top")).first()
+    return [item["item"] for item in found["top"] or []]
+
+
 def salted_left_join(rows: DataFrame, table: DataFrame, pairs: Sequence[tuple[str, str]], hot: Sequence[int]) -> DataFrame:
     """Left join by shuffle that reads ``rows`` once and puts no hot or null key into one task.
 
@@ -59,13 +74,14 @@ def lookup_join(
     table: DataFrame,
     on: Sequence[str],
     *,
-    weight: str,
+    weight: str | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
     heavy_keys: int = HEAVY_KEYS,
 ) -> DataFrame:
     """Left join ``rows`` with a table that is unique on ``on``; the ``weight`` column is dropped.
 
-    ``weight`` holds how many rows carry each key. A small table is broadcast after counting
+    ``weight`` holds how many rows carry each key; without it the heavy keys are measured on the
+    rows, by a sketch, where the table is not small. A small table is broadcast after counting
     its rows and bytes. A large one is joined by one shuffle that reads ``rows`` once, with the
     rows of the heaviest keys and those without a key dealt over several tasks. ``table``
     should be a scan of a written table.
@@ -77,5 +93,6 @@ def lookup_join(
     if is_small(table.select(*kept), broadcast_rows):
         return rows.join(F.broadcast(table.select(*kept)), on, "left").select(*order)
     renamed = table.select(*[F.col(f"`{c}`").alias(f"__on_{i}") for i, c in enumerate(on)], *added)
-    joined = salted_left_join(rows, renamed, [(c, f"__on_{i}") for i, c in enumerate(on)], heavy_hashes(table, on, weight, heavy_keys))
+    hot = heavy_hashes(table, on, weight, heavy_keys) if weight else measured_heavy(rows, [F.col(f"`{c}`") for c in on], heavy_keys)
+    joined = salted_left_join(rows, renamed, [(c, f"__on_{i}") for i, c in enumerate(on)], hot)
     return joined.select(*order)

@@ -12,7 +12,7 @@ from pyspark.sql.types import BooleanType, IntegralType, NumericType, StringType
 from tabflow.functions import fixed_values as fv
 from tabflow.functions import text as tx
 from tabflow.functions.temporal import split_combined_key
-from tabflow.operators.lookup import heavy_hashes, is_small, salted_left_join
+from tabflow.operators.lookup import is_small, measured_heavy, salted_left_join
 from tabflow.operators.profile import null_ratios
 
 
@@ -148,7 +148,8 @@ def join_dimension(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str
     """Left join keeping both key columns (one, if they share a name).
 
     A dimension within the broadcast bounds is left to the planner; for a larger one the fact's
-    heaviest keys and its rows without a key are dealt over several tasks.
+    heaviest keys, measured by a sketch of its rows, and its rows without a key are dealt over
+    several tasks.
     """
     dim_key = dim_key or dimension_key(dim, fact_key)
     types = [df.schema[k].dataType for df, k in ((fact, fact_key), (dim, dim_key))]
@@ -158,7 +159,6 @@ def join_dimension(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str
             return fact.join(dim, fact_key, "left")
         return fact.join(dim, fact[f"`{fact_key}`"] == dim[f"`{dim_key}`"], "left")
     key = lambda c: F.col(f"`{c}`").cast("bigint") if whole else F.col(f"`{c}`")
-    counts = fact.select(key(fact_key).alias("__k")).filter("__k is not null").groupBy("__k").agg(F.count(F.lit(1)).alias("__w"))
     keyed, other = fact.withColumn("__fact_key", key(fact_key)), dim.withColumn("__dim_key", key(dim_key))
-    joined = salted_left_join(keyed, other.drop(dim_key) if dim_key == fact_key else other, [("__fact_key", "__dim_key")], heavy_hashes(counts, ["__k"], "__w"))
+    joined = salted_left_join(keyed, other.drop(dim_key) if dim_key == fact_key else other, [("__fact_key", "__dim_key")], measured_heavy(keyed, [F.col("__fact_key")]))
     return joined.drop("__fact_key", "__dim_key")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabflow.operators import ensemble, validate
@@ -14,6 +14,9 @@ from tabflow.scratch import materialize, scope
 from tabflow.sources.tables import number_map
 
 GAIN = 1e-12
+# Cells that bound a candidate's AUC, and the doubt that rounding leaves in a bound.
+CELLS = 1024
+DOUBT = 1e-9
 # Distinct prediction rows up to which the candidates are ranked by a plain window.
 SMALL_PATTERNS = 200_000
 
@@ -47,6 +50,36 @@ def blend_aucs(patterns: DataFrame, candidates: Sequence[Sequence[float]], *, bo
     return [found[c] for c in range(len(candidates))]
 
 
+def auc_bounds(patterns: DataFrame, candidates: Sequence[Sequence[float]], *, cells: int = CELLS) -> list[tuple[float, float]]:
+    """(low, high) bounds of every candidate's AUC, from one job that sums ``cells`` cells a candidate.
+
+    Scores lie between the least and the greatest prediction, as weights add up to one. Pairs of
+    rows in different cells are ordered for certain, pairs in one cell may stand either way.
+    """
+    n = len(candidates[0])
+    ends = patterns.agg(F.min(F.least(*[F.col(f"p{i}") for i in range(n)]) if n > 1 else F.col("p0")).alias("lo"), F.max(F.greatest(*[F.col(f"p{i}") for i in range(n)]) if n > 1 else F.col("p0")).alias("hi")).first()
+    lo, hi = ends["lo"], ends["hi"]
+    if lo is None or hi <= lo or (hi - lo) / cells <= 0:
+        return [(0.0, 1.0)] * len(candidates)
+    score = lambda w: sum((F.col(f"p{i}") * F.lit(float(x)) for i, x in enumerate(w)), F.lit(0.0))
+    cell = lambda w: F.greatest(F.lit(0), F.least(F.floor((score(w) - F.lit(lo)) / F.lit((hi - lo) / cells)), F.lit(cells - 1))).cast("int")
+    each = F.array(*[F.struct(F.lit(c).alias("cand"), cell(w).alias("cell")) for c, w in enumerate(candidates)])
+    counts = patterns.select("n1", "n0", F.explode(each).alias("e")).groupBy("e.cand", "e.cell").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    # at most ``cells`` rows a candidate
+    below = F.coalesce(F.sum("n0").over(Window.partitionBy("cand").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = counts.withColumn("below", below).groupBy("cand").agg(
+        F.sum(F.col("n1").cast("double") * F.col("below")).alias("sure"), F.sum(F.col("n1").cast("double") * F.col("n0")).alias("tied"), (F.sum("n1").cast("double") * F.sum("n0")).alias("pairs")
+    )
+    found = {r["cand"]: (r["sure"] / r["pairs"], (r["sure"] + r["tied"]) / r["pairs"]) if r["pairs"] else (0.0, 1.0) for r in sums.collect()}
+    return [found[c] for c in range(len(candidates))]
+
+
+def survivors(bounds: Sequence[tuple[float, float]], best: float) -> list[int]:
+    """Candidates that may gain on ``best`` and that none of the others beats for certain."""
+    floor = max([best, *(low for low, _ in bounds)])
+    return [c for c, (_, high) in enumerate(bounds) if high >= floor - DOUBT]
+
+
 def neighbours(weights: Sequence[float], step: float) -> list[list[float]]:
     """All vectors that move one step of weight from one model to another, kept on the simplex."""
     out = []
@@ -59,26 +92,46 @@ def neighbours(weights: Sequence[float], step: float) -> list[list[float]]:
     return out
 
 
-def simplex_search(patterns: DataFrame, n_models: int, *, step: float = 0.02, max_rounds: int = 500, small_patterns: int = SMALL_PATTERNS) -> tuple[list[float], float, bool]:
+@dataclass(frozen=True)
+class Round:
+    """What a round of the search looked at."""
+
+    candidates: int
+    ranked: int
+    ranked_rows: int
+
+
+def simplex_search(patterns: DataFrame, n_models: int, *, step: float = 0.02, max_rounds: int = 500, small_patterns: int = SMALL_PATTERNS, eliminate: bool | None = None, cells: int = CELLS, rounds: list[Round] | None = None) -> tuple[list[float], float, bool]:
     """Hill climb from equal weights: take the best move until none gains; (weights, AUC, converged).
 
-    The patterns are written once; a round scores at most n·(n-1) candidates in one job, and
-    what it writes is freed after it. ``converged`` is false if ``max_rounds`` ended the climb.
+    The patterns are written once; a round scores at most n·(n-1) candidates, and what it writes
+    is freed after it. With ``eliminate``, which is on for more than ``small_patterns`` patterns,
+    a counting job bounds every candidate's AUC first, and only those that may win are ranked; the
+    moves are the same. ``converged`` is false if ``max_rounds`` ended the climb; ``rounds`` gets
+    a record of each round.
     """
     spark = patterns.sparkSession
     patterns = materialize(patterns, "patterns")
     bounded = patterns.limit(small_patterns + 1).count() <= small_patterns
 
-    def scored(candidates: Sequence[Sequence[float]]) -> list[float]:
+    eliminate = not bounded if eliminate is None else eliminate
+    n_patterns = patterns.count() if rounds is not None else 0
+
+    def scored(candidates: Sequence[Sequence[float]], best: float | None = None) -> list[tuple[Sequence[float], float]]:
+        """Candidates that may win with their AUC, in order."""
         with scope(spark):
-            return blend_aucs(patterns, candidates, bounded=bounded)
+            left = survivors(auc_bounds(patterns, candidates, cells=cells), best) if eliminate and best is not None and candidates else range(len(candidates))
+            chosen = [candidates[c] for c in left]
+            if rounds is not None and best is not None:
+                rounds.append(Round(len(candidates), len(chosen), len(chosen) * n_patterns))
+            return list(zip(chosen, blend_aucs(patterns, chosen, bounded=bounded))) if chosen else []
 
     weights = [1.0 / n_models] * n_models
-    best = scored([weights])[0]
+    best = scored([weights])[0][1]
     for _ in range(max_rounds):
         moves = neighbours(weights, step) if n_models > 1 else []
         chosen = None
-        for move, auc in zip(moves, scored(moves) if moves else []):
+        for move, auc in scored(moves, best):
             if auc > best + GAIN:
                 chosen, best = move, auc
         if chosen is None:

@@ -223,20 +223,28 @@ def confident_errors(errors: DataFrame, n: int, *, within: str | None = None, ke
     return wrong if n == 0 else top_rows(wrong, n, [F.desc("confidence"), F.col(key)], within=within)
 
 
-def forest_on_target_means(train: DataFrame, test: DataFrame, *, key: str, label: str, categorical: Sequence[str], numeric: Sequence[str], n_folds: int = 5, trees: int = 100, seed: int = 42) -> DataFrame:
-    """Random forest on cross-fitted target means and median-imputed numbers; hard labels for the test rows."""
-    assigned = folds.stratified_folds(train, key, label, n_folds, seed=seed)
+def forest_inputs(train: DataFrame, test: DataFrame, assigned: DataFrame, *, key: str, label: str, categorical: Sequence[str], numeric: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(train, test, inputs): cross-fitted target means (full-fit for ``test``), medians in place of
+    missing numbers and balanced class weights; ``assigned`` has the fold of every training row."""
     fitted = train.join(assigned, key)
     for c in categorical:
         fitted = encode.target_encode_crossfit(fitted, c, label, "fold")
         test = encode.apply_target_encoding(test, c, encode.fit_target_encoding(train, c, label))
     medians = encode.fit_medians(train, numeric) if numeric else {}
-    inputs = [*[f"{c}_te" for c in categorical], *numeric]
+    if medians:
+        fitted, test = encode.impute_medians(fitted, medians), encode.impute_medians(test, medians)
+    return encode.add_class_weights(fitted, label), test, [*[f"{c}_te" for c in categorical], *numeric]
+
+
+def forest_on_target_means(train: DataFrame, test: DataFrame, *, key: str, label: str, categorical: Sequence[str], numeric: Sequence[str], n_folds: int = 5, trees: int = 100, seed: int = 42) -> DataFrame:
+    """Random forest on cross-fitted target means and median-imputed numbers; hard labels for the test rows."""
+    assigned = folds.stratified_folds(train, key, label, n_folds, seed=seed)
+    ready, test, inputs = forest_inputs(train, test, assigned, key=key, label=label, categorical=categorical, numeric=numeric)
     vector = VectorAssembler(inputCols=inputs, outputCol="features")
-    ready = encode.add_class_weights(vector.transform(encode.impute_medians(fitted, medians) if medians else fitted), label)
+    ready = vector.transform(ready)
     forest = RandomForestClassifier(numTrees=trees, seed=seed, featuresCol="features", labelCol=label, weightCol="weight", maxDepth=10)
     model = forest.fit(materialize(ready.select(key, F.col(label).cast("double").alias(label), "weight", "features"), "forest"))
-    scored = model.transform(vector.transform(encode.impute_medians(test, medians) if medians else test))
+    scored = model.transform(vector.transform(test))
     return scored.select(key, F.col("prediction").cast("int").alias(label))
 
 

@@ -33,20 +33,28 @@ def score(m: DriftModel, df: DataFrame, name: str = "score") -> DataFrame:
     return out.withColumn(name, positive_probability()).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def split_sides(frame: DriftFrame, *, valid_share: float = 0.3, seed: int = 42, order: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Training and validation rows, stratified by side."""
+    assigned = folds.random_split(frame.table, ROW, share=valid_share, stratify=SIDE, seed=seed, order=order)
+    data = materialize(frame.table.join(assigned, ROW), "drift_split")
+    return data.filter("not is_valid").drop("is_valid"), data.filter("is_valid").drop("is_valid")
+
+
+def judged(valid: DataFrame, scorer: Callable[[DataFrame], DataFrame]) -> float | None:
+    """AUC with which a scorer, which adds ``score``, tells the sides apart; none if one is missing."""
+    return metrics.roc_auc(scorer(valid), score="score", label=SIDE).first()["auc"]
+
+
 def fit_drift_model(frame: DriftFrame, *, valid_share: float = 0.3, seed: int = 42, max_iter: int = 20, max_depth: int = 5) -> DriftModel:
     """Boosted trees on one-hot features, judged by AUC on a stratified part of the rows."""
-    table = frame.table
     features = frame.features
-    numbers = numeric_columns(table, features)
-    assigned = folds.random_split(table, ROW, share=valid_share, stratify=SIDE, seed=seed)
-    data = materialize(table.join(assigned, ROW), "drift_split")
-    train, valid = data.filter("not is_valid"), data.filter("is_valid").drop("is_valid")
+    numbers = numeric_columns(frame.table, features)
+    train, valid = split_sides(frame, valid_share=valid_share, seed=seed)
     encoder = fit_one_hot(train, numbers, [c for c in features if c not in numbers])
     ready = materialize(encoder.apply(train).select(F.col(SIDE).cast("double").alias("label"), "features"), "drift_train")
     model = GBTClassifier(maxIter=max_iter, maxDepth=max_depth, stepSize=0.1, minInstancesPerNode=20, seed=seed, featuresCol="features", labelCol="label").fit(ready)
     m = DriftModel(model, encoder, features, valid, 0.0)
-    auc = metrics.roc_auc(score(m, valid), score="score", label=SIDE).first()["auc"]
-    return DriftModel(model, encoder, features, valid, auc)
+    return DriftModel(model, encoder, features, valid, judged(valid, lambda df: score(m, df)))
 
 
 def permutation_importance(m: DriftModel, *, n: int = 5000, repeats: int = 5, seed: int = 42) -> DataFrame:
@@ -87,6 +95,7 @@ def permuted_losses(sample: DataFrame, features: Sequence[str], scorer: Callable
     return losses.orderBy(F.desc("importance_mean"), "feature")
 
 
-def test_likeness(m: DriftModel, table: DataFrame, keep: Sequence[str] = (ROW, SIDE)) -> DataFrame:
-    """Probability of being a test row, for every row of both tables."""
-    return score(m, table, "test_likeness").select(*keep, "test_likeness")
+def test_likeness(m: DriftModel | Callable[[DataFrame], DataFrame], table: DataFrame, keep: Sequence[str] = (ROW, SIDE)) -> DataFrame:
+    """Probability of being a test row, for every row of both tables; ``m`` is a model, or a scorer that adds ``score``."""
+    scored = score(m, table) if isinstance(m, DriftModel) else m(table)
+    return scored.select(*keep, F.col("score").alias("test_likeness"))

@@ -116,3 +116,19 @@ def test_written_tables_go_to_the_shared_folder(spark):
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert scratch_root(spark).startswith(root)
     assert materialize(spark.range(3), "probe").inputFiles()[0].startswith(f"file://{root}")
+
+
+def test_a_hot_key_that_no_table_tells_of_is_measured(spark):
+    """The table has no weights; the sketch of the rows finds the key of two thirds of them."""
+    keys = F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id")))
+    rows = materialize(spark.range(20_000).select("id", keys.alias("k")), "rows")
+    table = materialize(rows.filter("k is not null").groupBy("k").agg(F.max("id").alias("last")), "t")
+    hot = lookup.measured_heavy(rows, [F.col("k")], 3)
+    assert rows.filter("k = 'hot'").select(F.xxhash64("k")).first()[0] in hot and len(hot) <= 3
+    out = lookup.lookup_join(rows, table, ["k"], broadcast_rows=0, heavy_keys=3)
+    assert out.count() == 20_000 and out.filter("(k is null) <> (last is null)").count() == 0
+    # the rows of the hot key are dealt over the salts
+    salted = lookup.salted_left_join(rows, table.withColumnRenamed("k", "__k"), [("k", "__k")], hot)
+    parts = salted.filter("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    assert sorted(map(str, out.collect())) == sorted(map(str, rows.join(table, "k", "left").select("id", "k", "last").collect())) and len(parts) >= 1
+    assert lookup.measured_heavy(rows.filter("false"), [F.col("k")]) == []
