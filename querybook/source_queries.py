@@ -67,6 +67,20 @@ def _(d: Inputs):
     return tables.read_entity_files(d.spark, meta, f"{base}/*/*.csv", "action_id long, start_x double", base=base)
 
 
+@query("labelled_tables", "part:s id:i cust:i price:d label:s", """
+select 'train' as part, o_orderkey as id, o_custkey as cust, o_totalprice as price, o_orderstatus as label from orders where o_orderkey%3>0
+union all select 'test', o_orderkey, o_custkey, o_totalprice, null from orders where o_orderkey%3=0 union all select 'template', o_orderkey, null, null, '0.5' from orders where o_orderkey%3=0""")
+def _(d: Inputs):
+    rows, base = orders(d).withColumnRenamed("status", "label"), folder(d, "labelled")
+    parts = {"train": rows.filter("id%3 > 0"), "test": rows.filter("id%3 = 0").drop("label"), "template": rows.filter("id%3 = 0").select("id", F.lit(0.5).alias("label"))}
+    for name, part in parts.items():
+        tables.write_table(part, f"{base}/{name}", fmt="csv")
+    types = {"id": "bigint", "cust": "bigint", "label": "string", "price": "double"}
+    found = tables.read_labelled_tables(d.spark, *[f"{base}/{name}" for name in parts], types=types, target="label")
+    wide = [t.select(F.lit(name).alias("part"), *[F.col(c).cast(k).alias(c) if c in t.columns else F.lit(None).cast(k).alias(c) for c, k in types.items()]) for name, t in zip(parts, found)]
+    return wide[0].unionByName(wide[1]).unionByName(wide[2])
+
+
 @query("metrics_document", "auc:d n_rows:i n_positive:i columns:i best:s", f"""
 select auc, n_pos+n_neg as n_rows, n_pos as n_positive, 4 as columns, 'pred_m1_cat_42' as best from ({auc_sql('cv', 'p', 'y')})""")
 def _(d: Inputs):

@@ -145,12 +145,38 @@ def fit_majors(table: DataFrame, top: int = fv.MAJOR_TOP) -> dict[str, DataFrame
     """
     known = [c for c in ("major1_1", "major1_2") if c in table.columns]
     counts = materialize(table.groupBy(*[major_name(c).alias(c) for c in known]).agg(F.count(F.lit(1)).alias("__rows")), "major_counts")
+    return _fit_major_counts(counts, known, top)
+
+
+def _fit_major_counts(counts: DataFrame, known: Sequence[str], top: int) -> dict[str, DataFrame]:
     fitted = {c: fit_top_values(counts.select(F.col(c).alias("__major"), "__rows"), "__major", top, weight="__rows") for c in known}
     paired = major_pairs(apply_major_groups(counts, fitted))
     pairs = value_counts(paired, "major_pair", weight="__rows").withColumn("__freq", F.col("n"))
     return {**fitted, "pair": materialize(pairs, "major_pairs")}
 
 
+def fit_frequencies(train: DataFrame) -> tuple[dict[str, DataFrame], DataFrame | None, DataFrame]:
+    """(majors, school, company) as ``fit_majors``, ``fit_school`` and ``fit_company`` give them.
+
+    The table is read once and its counts move in one exchange: grouping sets count schools,
+    first companies and pairs of majors side by side.
+    """
+    known = [c for c in ("major1_1", "major1_2") if c in train.columns]
+    first_company = F.get(company_tokens(tx.text("interested_company")), F.lit(0)) if "interested_company" in train.columns else F.lit(None).cast("string")
+    values = {"ic_primary": F.coalesce(first_company, F.lit("UNK")), **{c: major_name(c) for c in known}}
+    if "school1" in train.columns:
+        values["school1"] = F.coalesce(F.col("school1").cast("string"), F.lit("UNK"))
+    narrow = train.select(*[v.alias(c) for c, v in values.items()])
+    sets = [[c] for c in values if c not in known] + ([known] if known else [])
+    counts = narrow.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in values]).agg(F.count(F.lit(1)).alias("__rows"), *[F.grouping(c).alias(f"__{c}") for c in values])
+    counts = materialize(counts, "map_counts")
+    # no value is null, so the columns of a set are those that were not grouped away
+    of = lambda s: counts.filter(" and ".join(f"__{c} = {int(c not in s)}" for c in values)).select(*s, "__rows")
+    school = fit_top_values(of(["school1"]), "school1", fv.SCHOOL_TOP, weight="__rows") if "school1" in values else None
+    majors_of = of(known) if known else train.limit(0).select(F.lit(0).cast("long").alias("__rows"))
+    return _fit_major_counts(majors_of, known, fv.MAJOR_TOP), school, fit_top_values(of(["ic_primary"]), "ic_primary", fv.COMPANY_TOP, weight="__rows")
+
+
 def apply_major_groups(df: DataFrame, fitted: dict[str, DataFrame], rare_max: int = fv.MAJOR_RARE) -> DataFrame:
     for c in ("major1_1", "major1_2"):
         if c in df.columns and c in fitted:

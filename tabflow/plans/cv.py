@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -22,6 +24,9 @@ from tabflow.operators.ranking import top_rows
 from tabflow.scratch import materialize
 from tabflow.sources.tables import number_map
 
+# Fits that share the cluster.
+PARALLEL = 4
+
 
 @dataclass(frozen=True)
 class OneHot:
@@ -94,6 +99,7 @@ def cross_validate(
     seeds: Sequence[int] | None = None,
     balanced: bool = False,
     test: DataFrame | None = None,
+    parallel: int = PARALLEL,
 ) -> CvResult:
     """Train every estimator on every fold and keep what each row's own fold model predicts.
 
@@ -101,40 +107,44 @@ def cross_validate(
     encoded categories, "numeric" casts all columns to numbers. Boosted trees stop early on
     the held-out fold. ``balanced`` weighs rows by class. Encodings are fitted on the training
     part of each fold only. With ``seeds`` a factory takes the seed, every seed is trained, and
-    models are named ``pred_<config>_<mode>_<seed>``; without, ``pred_<config>_<mode>``.
+    models are named ``pred_<config>_<mode>_<seed>``; without, ``pred_<config>_<mode>``. Up to
+    ``parallel`` pairs of a fold and a mode are trained at the same time.
     """
-    columns = [*numeric, *categorical]
+    spark, columns = df.sparkSession, [*numeric, *categorical]
     data = materialize(df.select(key, fold, F.col(label).cast("double").alias("label"), *columns), "cv")
     held = None if test is None else materialize(test.select(key, *columns), "cv_test")
     ids = sorted(r[0] for r in data.select(fold).distinct().collect())
-    oof, tests, detail, importances = [], [], [], []
-    for f in ids:
+
+    def train_part(f, mode: str) -> tuple[DataFrame, DataFrame | None, list, list]:
+        """All models of one fold and mode: (out-of-fold rows, test rows, details, importances)."""
         part = data.withColumn("is_valid", F.col(fold) == f)
         if balanced:  # one weight per class, from the training part
             shares = encode.class_weights(part.filter("not is_valid"), "label").collect()
             pairs = [F.lit(v) for r in shares for v in (r["label"], r["weight"])]
             part = part.withColumn("weight", F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("label")), F.lit(1.0)))
-        for mode in modes:
-            train = part.filter("not is_valid")
-            encoder = fit_one_hot(train, numeric, categorical) if mode == "cat" else fit_one_hot(train.withColumns({c: F.col(f"`{c}`").try_cast("double") for c in categorical}), columns, [])
-            ready = materialize(encoder.apply(part).select(key, fold, "label", "is_valid", "features", *(["weight"] if balanced else [])), "cv_features")
-            ready_test = None if held is None else encoder.apply(held).select(key, "features")
-            sources = encoder.sources()
-            for (config, make), seed in product(estimators.items(), seeds or [None]):
-                name, start = "_".join(["pred", config, mode, *([] if seed is None else [str(seed)])]), time.perf_counter()
-                estimator = (make() if seed is None else make(seed)).setFeaturesCol("features").setLabelCol("label")
-                if balanced:
-                    estimator = estimator.setWeightCol("weight")
-                early = isinstance(estimator, GBTClassifier)
-                model = estimator.setValidationIndicatorCol("is_valid").fit(ready) if early else estimator.fit(ready.filter("not is_valid"))
-                seconds = time.perf_counter() - start
-                scored = model.transform(ready.filter("is_valid"))
-                oof.append(scored.select(key, F.col(fold).alias("fold"), F.col("label").cast("int").alias("y"), F.lit(name).alias("model"), positive_probability().alias("pred")))
-                if ready_test is not None:
-                    tests.append(model.transform(ready_test).select(key, F.lit(f).alias("fold"), F.lit(name).alias("model"), positive_probability().alias("pred")))
-                detail.append((int(f), name, config, mode, seed, trees_of(model), seconds))
-                importances += [(int(f), name, c, n, v) for (n, c), v in zip(sources.items(), importances_of(model, len(sources)))]
-    spark = df.sparkSession
+        train = part.filter("not is_valid")
+        encoder = fit_one_hot(train, numeric, categorical) if mode == "cat" else fit_one_hot(train.withColumns({c: F.col(f"`{c}`").try_cast("double") for c in categorical}), columns, [])
+        ready = materialize(encoder.apply(part).select(key, fold, "label", "is_valid", "features", *(["weight"] if balanced else [])), "cv_features")
+        sources, models, detail, importances = encoder.sources(), {}, [], []
+        for (config, make), seed in product(estimators.items(), seeds or [None]):
+            name, start = "_".join(["pred", config, mode, *([] if seed is None else [str(seed)])]), time.perf_counter()
+            estimator = (make() if seed is None else make(seed)).setFeaturesCol("features").setLabelCol("label")
+            if balanced:
+                estimator = estimator.setWeightCol("weight")
+            early = isinstance(estimator, GBTClassifier)
+            model = models[name] = estimator.setValidationIndicatorCol("is_valid").fit(ready) if early else estimator.fit(ready.filter("not is_valid"))
+            detail.append((int(f), name, config, mode, seed, trees_of(model), time.perf_counter() - start))
+            importances += [(int(f), name, c, n, v) for (n, c), v in zip(sources.items(), importances_of(model, len(sources)))]
+        oof = predicted(models, ready.filter("is_valid")).select(key, F.col(fold).alias("fold"), F.col("label").cast("int").alias("y"), "model", "pred")
+        scored = None if held is None else predicted(models, encoder.apply(held).select(key, "features")).select(key, F.lit(f).alias("fold"), "model", "pred")
+        return oof, scored, detail, importances
+
+    # folds and modes are independent of each other: their jobs share the cluster
+    tasks = [lambda f=f, mode=mode: train_part(f, mode) for f in ids for mode in modes]
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        parts = list(pool.map(lambda task: task(), map(inheritable_thread_target(spark), tasks)))
+    oof, tests = [p[0] for p in parts], [p[1] for p in parts if p[1] is not None]
+    detail, importances = ([row for p in parts for row in p[i]] for i in (2, 3))
     out = materialize(reduce(DataFrame.unionByName, oof), "oof")
     table = spark.createDataFrame(detail, "fold int, model string, config string, mode string, seed int, best_iteration int, train_seconds double")
     auc = metrics.roc_auc(out, score="pred", label="y", group=["fold", "model"]).select(F.col("fold").cast("int").alias("fold"), "model", "auc")
@@ -146,6 +156,16 @@ def cross_validate(
     )
 
 
+def predicted(models: Mapping[str, Model], rows: DataFrame) -> DataFrame:
+    """``rows`` once for every model, with its name in ``model`` and its probability in ``pred``: one scan for all."""
+    for i, model in enumerate(models.values()):
+        own = {model.getParam(p): f"__{p}_{i}" for p in ("probabilityCol", "rawPredictionCol", "predictionCol")}
+        rows = model.copy(own).transform(rows).drop(f"__rawPredictionCol_{i}", f"__predictionCol_{i}")
+    each = F.array(*[F.struct(F.lit(name).alias("model"), positive_probability(f"__probabilityCol_{i}").alias("pred")) for i, name in enumerate(models)])
+    kept = [c for c in rows.columns if not c.startswith("__probabilityCol_")]
+    return rows.select(*kept, F.explode(each).alias("__each")).select(*kept, "__each.model", "__each.pred")
+
+
 def trees_of(model: Model) -> int:
     return int(model.getNumTrees) if hasattr(model, "getNumTrees") else -1
 

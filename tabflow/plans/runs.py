@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.sql import DataFrame
@@ -105,20 +107,30 @@ def survey_run(train: DataFrame, test: DataFrame, out: str, *, target: str = "co
 def episode_run(train: DataFrame, test: DataFrame, template: DataFrame, out: str, *, n_folds: int = 5, policy: str = "last_pass", max_tail_k: int = 0, space: str = "atanh", trim: int = 1, seed: int = 42) -> DataFrame:
     """Cached samples, fold models, fold predictions and the ensembled end points.
 
-    The cached long table is keyed by parameters and by the contents of ``train``; the models
-    train on it, and an outside model can (``episodes.to_sequences`` packs it;
-    ``episode_model.predict_with`` scores it). ``max_tail_k`` cuts episodes to their last rows.
+    The cached table is keyed by parameters and built in parts, so that only episodes of changed
+    parts are built again. It holds the long form, on which the models train and an outside model
+    can (``episodes.to_sequences`` packs it; ``episode_model.predict_with`` scores it); for
+    "all_pass" without a tail, whose long form is quadratic, it holds the summaries.
+    ``max_tail_k`` cuts episodes to their last rows.
     """
     spark = train.sparkSession
     train, test = tables.null_for_nan(train), tables.null_for_nan(test)
     vocabulary = encode.fit_vocabulary(train, fv.SEQUENCE_CATEGORIES)
-    params = {"policy": policy, "max_tail_k": max_tail_k, "field": fv.FIELD, "dt": [fv.DT_CLIP, fv.DT_REF], "no_end": fv.NO_END_TYPES,
-              "vocabulary": {r["field"]: r["size"] for r in encode.vocabulary_sizes(vocabulary).collect()}, "input": cache.table_fingerprint(train)}
-    build = lambda: ep.long_features(train, policy=policy, max_tail_k=max_tail_k, vocabulary=vocabulary)
-    steps = cache.cached_dataset(spark, f"{out}/cache", params, build, check=cache.columns_check([*fv.SEQUENCE_NUMBERS, *[f"{c}_idx" for c in fv.SEQUENCE_CATEGORIES]]))
-    if ep.check_samples(steps).first()["n_not_finite"]:
-        raise validate.ValidationError("samples hold missing or infinite numbers")
-    samples = materialize(episode_model.sample_summary(steps), "samples")
+    params = {"policy": policy, "max_tail_k": max_tail_k, "field": fv.FIELD, "dt": [fv.DT_CLIP, fv.DT_REF], "no_end": fv.NO_END_TYPES}
+    if policy == "all_pass" and not max_tail_k:
+        found = cache.incremental_dataset(spark, f"{out}/cache", {**params, "form": "summaries"}, train, [ep.KEY], lambda part: episode_model.summaries(part, policy))
+        samples = found.data
+        numbers = [F.col(f"last_{c}") for c in fv.SEQUENCE_NUMBERS] + [F.col("target_dx"), F.col("target_dy")]
+        if not samples.filter(reduce(or_, [n.isNull() | F.isnan(n) | (F.abs(n) == float("inf")) for n in numbers])).isEmpty():
+            raise validate.ValidationError("samples hold missing or infinite numbers")
+    else:
+        # indexes of categories depend on every row, so another vocabulary is another dataset
+        params["vocabulary"] = cache.table_fingerprint(vocabulary.select("field", "value", "idx"))
+        found = cache.incremental_dataset(spark, f"{out}/cache", params, train, [ep.KEY], lambda part: ep.long_features(part, policy=policy, max_tail_k=max_tail_k, vocabulary=vocabulary))
+        reason = cache.columns_check([*fv.SEQUENCE_NUMBERS, *[f"{c}_idx" for c in fv.SEQUENCE_CATEGORIES]])(found.data)
+        if reason or ep.check_samples(found.data).first()["n_not_finite"]:
+            raise validate.ValidationError(reason or "samples hold missing or infinite numbers")
+        samples = materialize(episode_model.sample_summary(found.data), "samples")
     if policy == "last_pass":
         folds.require_one_sample_per_key(samples, ep.KEY)
     models = episode_model.train_fold_models(samples, n_folds, seed=seed)

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tabflow.functions import fixed_values as fv
 from tabflow.operators import schema as sc
@@ -25,9 +24,8 @@ class FittedMaps:
 
 
 def fit_maps(train: DataFrame) -> FittedMaps:
-    """Each map is counted from its own raw column only."""
-    company = sv.companies(train.select(*[c for c in train.columns if c == "interested_company"], F.lit(1).alias("__one")))
-    return FittedMaps(sv.fit_majors(train), sv.fit_school(train), sv.fit_company(company))
+    """All maps from one scan of the raw columns they need."""
+    return FittedMaps(*sv.fit_frequencies(train))
 
 
 def build_features(df: DataFrame, raw_columns: Sequence[str], maps: FittedMaps, *, target: str = "completed", key: str | None = None) -> DataFrame:

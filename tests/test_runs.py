@@ -48,14 +48,19 @@ def test_episode_run(spark, data, tmp_path):
     ends = runs.episode_run(events, events, events.select("game_episode").distinct(), str(tmp_path), n_folds=3)
     assert ends.count() == events.select("game_episode").distinct().count()
     assert ends.filter("end_x between 0 and 105 and end_y between 0 and 68").count() == ends.count()
-    built = lambda: len(list(tmp_path.glob("cache/dataset_*/data-*")))
-    run = lambda rows: runs.episode_run(rows, events, events.select("game_episode").distinct(), str(tmp_path), n_folds=3)
-    assert built() == 1
+    built = lambda: sorted(len(list(run.glob("__part=*"))) for run in tmp_path.glob("cache/parts_*/run-*"))
+    run = lambda rows, **o: runs.episode_run(rows, events, events.select("game_episode").distinct(), str(tmp_path), n_folds=3, **o)
+    parts = built()
+    assert len(parts) == 1 and parts[0] > 5
     run(events)
-    assert built() == 1
-    # as many rows and categories, other contents
-    run(events.withColumn("start_x", F.col("start_x") + 1.0))
-    assert built() == 2
+    assert built() == parts
+    # as many rows and categories, one episode with other contents: its part is built again
+    first = events.agg(F.min("game_episode")).first()[0]
+    run(events.withColumn("start_x", F.col("start_x") + F.when(F.col("game_episode") == first, 1.0).otherwise(0.0)))
+    assert built() == [1, *parts]
+    # every pass a sample: summaries in place of the long form
+    every = run(events, policy="all_pass")
+    assert every.filter("end_x between 0 and 105 and end_y between 0 and 68").count() == ends.count() and len(built()) == 3
 
 
 def test_drift_run(spark, data, tmp_path):

@@ -152,3 +152,18 @@ def test_class_weights_and_medians(spark):
     medians = encode.fit_medians(df, ["x"])
     assert medians == {"x": 2.5}
     assert sorted(r["x"] for r in encode.impute_medians(df, medians).collect()) == [1.0, 2.5, 2.5, 4.0]
+
+
+def test_maps_from_one_scan_equal_maps_of_their_own(spark):
+    rows = [(i, f"s{i % 7}" if i % 5 else None, ["Naver, Kakao", "none", None, " LG / SK ", "toss"][i % 5], f"m{i % 9}" if i % 4 else " ", None if i % 3 else f"n{i % 6}") for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, school1 string, interested_company string, major1_1 string, major1_2 string")
+    plain = lambda t: sorted(map(str, t.collect()))
+    for table in (df, df.drop("school1"), df.drop("major1_2"), df.drop("interested_company", "major1_1", "major1_2"), df.filter("false")):
+        majors, school, company = sv.fit_frequencies(table)
+        known = [c for c in table.columns if c.startswith("major")]
+        if known:
+            want = sv.fit_majors(table)
+            assert set(majors) == set(want) and all(plain(majors[k].select(*want[k].columns)) == plain(want[k]) for k in want)
+        alone = sv.fit_school(table)
+        assert (school is None) == (alone is None) and (school is None or plain(school) == plain(alone))
+        assert plain(company) == plain(sv.fit_company(sv.companies(table.select(*[c for c in table.columns if c == "interested_company"], "id"))))

@@ -312,3 +312,22 @@ def test_forest_on_target_means(spark):
     df = spark.range(90).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"), F.concat(F.lit("c"), F.col("id") % 3).alias("c"), (F.col("id") % 5).cast("double").alias("x"))
     out = cv.forest_on_target_means(df, df.drop("y"), key="id", label="y", categorical=["c"], numeric=["x"], trees=5).join(df.withColumnRenamed("y", "t"), "id")
     assert out.filter("y = t").count() == 90
+
+
+def test_sparse_columns_are_dropped(spark):
+    df = spark.createDataFrame([(1, None, "a", None), (2, None, None, 1.0), (3, None, None, 2.0)], "id int, empty string, some string, most double")
+    train, test = schema.drop_sparse(df, df.drop("some"), ["id"], share=0.5, also=["most"])
+    assert schema.sparse_columns(df, ["id"], 0.5) == ["empty", "some"]
+    assert train.columns == ["id"] and test.columns == ["id"] and train.count() == 3
+    assert schema.drop_sparse(df, df, ["empty", "some"], share=0.5)[0].columns == df.columns
+
+
+@pytest.mark.parametrize("name", ["a+b 1.csv", "100%.csv", "x%20y.csv", "plain.csv", "ü ß+%2B.csv"])
+def test_entity_files_with_odd_names(spark, tmp_path, name):
+    (tmp_path / name).write_text("action_id,start_x\n1,2.5\n2,3.5\n")
+    (tmp_path / "other.csv").write_text("action_id,start_x\n9,9.5\n")
+    meta = spark.createDataFrame([("e1", f"./{name}")], "game_episode string, path string")
+    got = tables.read_entity_files(spark, meta, str(tmp_path), "action_id long, start_x double", base=str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("e1", 1, 2.5), ("e1", 2, 3.5)]
+    with pytest.raises(validate.ValidationError, match="not among"):
+        tables.read_entity_files(spark, spark.createDataFrame([("e1", f"{name}.missing")], "game_episode string, path string"), str(tmp_path), "action_id long, start_x double", base=str(tmp_path))
