@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -61,6 +61,17 @@ def bounded_broadcast(keys: DataFrame, most: int) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
+_SLOT: list[tuple[object, object]] = []
+
+
+def worker_slot(name: object, make: Callable[[], object]) -> object:
+    """The one object that a Python worker keeps between its tasks; another name takes its place and its memory."""
+    if not _SLOT or _SLOT[0][0] != name:
+        _SLOT.clear()
+        _SLOT.append((name, make()))
+    return _SLOT[0][1]
+
+
 def unpacked(names: Sequence[str], replaced: Sequence[str] = ()) -> list[Column]:
     """The columns of a packed row, without those that an operator's own outputs replace."""
     taken = {n.lower() for n in replaced}

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import id_bucket, packed, table, unpacked
+from tabflow.llm.common import id_bucket, packed, table, unpacked, worker_slot
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -46,14 +46,9 @@ class LanguageModel:
     orders: tuple[int, ...]
 
 
-_LETTER: list[np.ndarray] = []
-
-
 def _letters() -> np.ndarray:
     """For every code point, whether it is a letter. Built once per Python worker."""
-    if not _LETTER:
-        _LETTER.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000))
-    return _LETTER[0]
+    return worker_slot("letters", lambda: np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000))
 
 
 def marked_stretches(texts: pd.Series, orders, limit: int = STRETCH) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
@@ -153,18 +148,17 @@ def floors(docs: DataFrame, model: LanguageModel, *, text: str = "text", lang: s
     return {r["lang_pred"]: r["mean"] - margin - deviations * r["spread"] for r in sums.collect()}
 
 
-def strange(limits: dict[str, float], least_grams: int = LEAST_GRAMS):
+def strange(limits: dict[str, float], least_grams: int = LEAST_GRAMS, found: str = ""):
     """Whether an identified text is below its language's floor: probably of a language nobody taught."""
     below = F.lit(False)
     for name, limit in sorted(limits.items()):
-        below = below | ((F.col("lang_pred") == name) & (F.col("mean_log") < limit))
-    return below & (F.col("n_grams") >= least_grams)
+        below = below | ((F.col(f"{found}lang_pred") == name) & (F.col(f"{found}mean_log") < limit))
+    return below & (F.col(f"{found}n_grams") >= least_grams)
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (the posterior probability of that language), ``n_grams``
-    and ``mean_log`` (the mean log-probability of the n-grams in that language, 0 without any)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def prediction(spark, model: LanguageModel):
+    """A function of a text column: struct of ``lang_pred``, ``score``, ``n_grams`` and ``mean_log``."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, n_grams long, mean_log double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -186,8 +180,14 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> Da
             mean = (log - m.prior)[np.arange(len(batch)), best] / np.maximum(n, 1)
             yield pd.DataFrame({"lang_pred": names[np.where(has_letter, best, len(m.languages))], "score": np.where(has_letter, p, 0.0), "n_grams": n, "mean_log": mean})
 
+    return predict
+
+
+def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` (the posterior probability of that language), ``n_grams``
+    and ``mean_log`` (the mean log-probability of the n-grams in that language, 0 without any)."""
     outputs = ["lang_pred", "score", "n_grams", "mean_log"]
-    found = packed(docs).withColumn("_found", predict(F.col(f"_row.`{text}`")))
+    found = packed(docs).withColumn("_found", prediction(docs.sparkSession, model)(F.col(f"_row.`{text}`")))
     return found.select(*unpacked(docs.columns, outputs), *[F.col(f"_found.{c}").alias(c) for c in outputs])
 
 

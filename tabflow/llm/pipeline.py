@@ -57,8 +57,8 @@ def _stage(function):
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs)
     limits = language.floors(docs, model)
-    found = language.identify(packed(docs, "text"), model, text="_text")
-    return found.filter((F.col("lang_pred") != language.UNDETERMINED) & ~language.strange(limits)).select("_row.*")
+    found = packed(docs).withColumn("_found", language.prediction(spark, model)(F.col("_row.text")))
+    return found.filter((F.col("_found.lang_pred") != language.UNDETERMINED) & ~language.strange(limits, found="_found.")).select("_row.*")
 
 
 @_stage

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import table
+from tabflow.llm.common import table, worker_slot
 from tabflow.scratch import discard, materialize, scratch_root
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -163,15 +163,10 @@ class _Words(dict):
         return ids
 
 
-_ENCODER: list[tuple[object, Encoder]] = []
-
-
 def _worker_encoder(shared) -> Encoder:
     """One encoder per Python worker, kept between its tasks."""
-    name = (len(shared.value.ranks), shared.value.pattern, shared.value.separator)
-    if not _ENCODER or _ENCODER[0][0] != name:
-        _ENCODER[:] = [(name, Encoder(shared.value))]
-    return _ENCODER[0][1]
+    name = ("encoder", len(shared.value.ranks), shared.value.pattern, shared.value.separator)
+    return worker_slot(name, lambda: Encoder(shared.value))
 
 
 _BLOCK = "part int, before long, n_tokens long, doc_ids array<long>, doc_tokens array<int>, ids binary"
