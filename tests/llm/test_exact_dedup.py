@@ -61,3 +61,10 @@ def test_single_file_and_empty_table(spark, tmp_path):
     assert got(exact_duplicates(spark, str(one))) == expected(ROWS[:5])
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "e.parquet"))
     assert exact_duplicates(spark, str(tmp_path / "e.parquet")).count() == 0
+
+
+def test_hits_joined_by_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tabflow.llm.exact_dedup.BROADCAST_DIGESTS", 0)
+    path = str(tmp_path / "t.parquet")
+    write(spark, path)
+    assert got(exact_duplicates(spark, path, files_per_batch=2)) == expected(ROWS)

@@ -108,3 +108,10 @@ def test_defined_cases(spark):
         out[r["doc_id"], r["source"]] = out.get((r["doc_id"], r["source"]), 0) + 1
     assert out == {k: n for k, n in count.items() if n}
     assert single_source_mix(docs.filter("false")).count() == 0 and repeated_documents(docs.filter("false")).count() == 0
+
+
+def test_copies_joined_by_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string, size long")
+    want = sorted(map(str, repeated_documents(docs).collect()))
+    monkeypatch.setattr("tabflow.llm.mixing.BROADCAST_TAKES", 0)
+    assert sorted(map(str, repeated_documents(docs).collect())) == want
