@@ -14,6 +14,7 @@ last return the columns of ``documents``.
 
 Since a stage's result is written before the next stage reads it, the tables that a stage left
 in the scratch folder go when the next stage starts, unless its documents are still read from them.
+The stages lower the session's rows per Arrow batch to ``BATCH_ROWS``.
 
 Defined cases: nulls and empty or very long texts are as the operators define them (a text without
 a letter goes in the first stage); an empty table passes every stage and gives no shard; extra
@@ -31,6 +32,9 @@ from tabflow.llm import decontaminate, language, mixing, near_dup, training_orde
 from tabflow.llm.common import packed, table
 from tabflow.scratch import discard, free, materialize, scope
 
+# Rows of an Arrow batch; results don't depend on it, the memory of executors and workers does.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 # Scratch tables that the result of the last stage reads, until the next one starts.
 _LEFT: list[str] = []
 
@@ -43,9 +47,16 @@ def _free_left(spark: SparkSession, docs: DataFrame) -> None:
         _LEFT.clear()
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Whole documents travel to Python: batches of ``BATCH_ROWS`` rows at most, for this session."""
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def _stage(function):
     @wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _small_batches(spark)
         _free_left(spark, docs)
         with scope(spark, later=_LEFT):
             return function(spark, docs, sf_dir)
@@ -78,6 +89,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # the shards and their manifest stay
+    _small_batches(spark)
     _free_left(spark, docs)
     return training_order.write_training_order(docs)
 

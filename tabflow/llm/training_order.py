@@ -56,7 +56,7 @@ LEVEL = 6
 KEY = 0x5EED
 ROUNDS = 6
 # Words a worker remembers, in two generations of half as many.
-REMEMBERED = 360_000
+REMEMBERED = 240_000
 
 
 # ---------------------------------------------------------------- permutation
