@@ -35,6 +35,8 @@ from tabflow.scratch import discard, free, materialize, scope
 # Rows of an Arrow batch; results don't depend on it, the memory of executors and workers does.
 BATCH_ROWS = 1_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# Words a worker remembers: the executors' memory is shared with what other stages hold.
+REMEMBERED = 240_000
 # Scratch tables that the result of the last stage reads, until the next one starts.
 _LEFT: list[str] = []
 
@@ -91,7 +93,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     # the shards and their manifest stay
     _small_batches(spark)
     _free_left(spark, docs)
-    return training_order.write_training_order(docs)
+    return training_order.write_training_order(docs, remembered=REMEMBERED)
 
 
 STAGES = [

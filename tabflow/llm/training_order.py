@@ -56,7 +56,7 @@ LEVEL = 6
 KEY = 0x5EED
 ROUNDS = 6
 # Words a worker remembers, in two generations of half as many.
-REMEMBERED = 240_000
+REMEMBERED = 600_000
 
 
 # ---------------------------------------------------------------- permutation
@@ -96,17 +96,18 @@ class Tokenizer:
     ranks: dict[bytes, int]
     pattern: str
     separator: int
+    remembered: int = REMEMBERED
 
     @property
     def dtype(self) -> np.dtype:
         return np.dtype("<u2" if max(self.separator, max(self.ranks.values())) < 1 << 16 else "<u4")
 
 
-def load_tokenizer(path: str = TOKENIZER, pattern: str = SPLIT) -> Tokenizer:
+def load_tokenizer(path: str = TOKENIZER, pattern: str = SPLIT, *, remembered: int = REMEMBERED) -> Tokenizer:
     """Ranks of a byte-level BPE file, read on the driver; the first free id is the separator."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
-    return Tokenizer(ranks, pattern, max(ranks.values()) + 1)
+    return Tokenizer(ranks, pattern, max(ranks.values()) + 1, remembered)
 
 
 # A space or newline between two characters that are no white space: the pattern always splits before it.
@@ -124,7 +125,7 @@ class Encoder:
         self.dtype = tokenizer.dtype
         self.code = next(c for c in "HIL" if array(c).itemsize == self.dtype.itemsize)
         self.encoding = tiktoken.Encoding("corpus", pat_str=tokenizer.pattern, mergeable_ranks=tokenizer.ranks, special_tokens={})
-        self.words = _Words(self)
+        self.words = _Words(self, tokenizer.remembered)
 
     def direct(self, text: str) -> bytes:
         ids = array(self.code, self.encoding.encode_ordinary(text))
@@ -146,9 +147,9 @@ class Encoder:
 class _Words(dict):
     """Words in two generations: what was asked for since the last change stays through the next."""
 
-    def __init__(self, encoder: Encoder):
+    def __init__(self, encoder: Encoder, remembered: int):
         super().__init__()
-        self.encoder, self.older = encoder, {}
+        self.encoder, self.remembered, self.older = encoder, remembered, {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.older.pop(word, None)
@@ -156,7 +157,7 @@ class _Words(dict):
             ids = self.encoder.direct(word if word[0] == "\n" else " " + word)
         if len(word) > LONG_PIECE:
             return ids
-        if len(self) >= REMEMBERED // 2:
+        if len(self) >= self.remembered // 2:
             self.older = dict(self)
             self.clear()
         self[word] = ids
@@ -165,7 +166,7 @@ class _Words(dict):
 
 def _worker_encoder(shared) -> Encoder:
     """One encoder per Python worker, kept between its tasks."""
-    name = ("encoder", len(shared.value.ranks), shared.value.pattern, shared.value.separator)
+    name = ("encoder", len(shared.value.ranks), shared.value.pattern, shared.value.separator, shared.value.remembered)
     return worker_slot(name, lambda: Encoder(shared.value))
 
 
@@ -356,10 +357,10 @@ def read_slots(layout: Layout, start: int = 0, stop: int | None = None) -> Itera
                 slot += 1
 
 
-def write_training_order(docs: DataFrame, folder: str | None = None, *, tokenizer_path: str = TOKENIZER, **options) -> DataFrame:
+def write_training_order(docs: DataFrame, folder: str | None = None, *, tokenizer_path: str = TOKENIZER, remembered: int = REMEMBERED, **options) -> DataFrame:
     """Write the shards (below the shared scratch folder unless told) and return the manifest."""
     folder = folder or f"{scratch_root(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
-    return write_shards(docs, folder, load_tokenizer(tokenizer_path), **options)[1]
+    return write_shards(docs, folder, load_tokenizer(tokenizer_path, remembered=remembered), **options)[1]
 
 
 def op2(spark, folder: str) -> DataFrame:
