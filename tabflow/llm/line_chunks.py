@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import bounded_broadcast, packed, table, unpacked
+from tabflow.llm.common import bounded_broadcast, packed, table
 from tabflow.scratch import materialize
 
 WINDOW = 2
