@@ -9,7 +9,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
@@ -35,11 +35,16 @@ def file_fingerprint(spark: SparkSession, path: str) -> str:
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> str:
-    """Rows and order-free checksums of a table's contents, in one pass."""
+    """Rows and order-free checksums of a table's contents, in one pass; the sum is exact for any number of rows."""
     h = F.xxhash64(*[F.col(f"`{c}`") for c in columns or df.columns])
     again = F.xxhash64(h, F.lit(1))  # rows that repeat in pairs cancel out of the first sum only
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("x"), F.coalesce(F.sum(F.shiftrightunsigned(again, 20)), F.lit(0)).alias("s")).first()
-    return f"{r['n']}-{r['x']:x}-{r['s']:x}"
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("x"), F.coalesce(_hash_sum(again), F.lit(0)).alias("s")).first()
+    return f"{r['n']}-{r['x']:x}-{int(r['s']):x}"
+
+
+def _hash_sum(h: Column) -> Column:
+    """Sum of 44 bits of each hash; a long would overflow at about a million rows."""
+    return F.sum(F.shiftrightunsigned(h, 20).cast("decimal(20,0)"))
 
 
 def cached_dataset(
@@ -101,8 +106,8 @@ def part_fingerprints(df: DataFrame, key: Sequence[str], parts: int) -> dict[int
     """Rows and order-free checksums of every part that has rows, from one pass and ``parts`` rows."""
     h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     hashed = df.select(part_of(key, parts).alias("part"), h.alias("h"), F.xxhash64(h, F.lit(1)).alias("again"))
-    sums = hashed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum(F.shiftrightunsigned("again", 20)).alias("s"))
-    return {r["part"]: f"{r['n']}-{r['x']:x}-{r['s']:x}" for r in sums.collect()}
+    sums = hashed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), _hash_sum(F.col("again")).alias("s"))
+    return {r["part"]: f"{r['n']}-{r['x']:x}-{int(r['s']):x}" for r in sums.collect()}
 
 
 def incremental_dataset(

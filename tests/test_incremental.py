@@ -74,3 +74,20 @@ def test_a_failed_build_changes_nothing(spark, tmp_path):
 def test_an_input_without_rows(spark, tmp_path):
     found = cache.incremental_dataset(spark, str(tmp_path / "c"), {}, table(spark, []), ["k"], build)
     assert found.data.count() == 0 and found.rebuilt == []
+
+
+def test_fingerprints_of_over_a_million_rows(spark):
+    # the sums of the hashes of these rows are beyond a long
+    rows = spark.range(1_300_000).select(F.col("id").alias("v"), F.lit("k").alias("k"))
+    whole = cache.table_fingerprint(rows)
+    assert whole.startswith("1300000-") and whole == cache.table_fingerprint(rows.repartition(3, "v"))
+    assert whole != cache.table_fingerprint(rows.withColumn("v", F.when(F.col("v") == 1, 2).otherwise(F.col("v"))))
+    (part,) = cache.part_fingerprints(rows, ["k"], 1).values()
+    assert part.startswith("1300000-")
+    assert cache.table_fingerprint(spark.range(3).select("id")) == "3-" + whole_of_three(spark)
+
+
+def whole_of_three(spark):
+    """The checksums of three rows, summed as plain numbers."""
+    h = [tuple(r) for r in spark.range(3).select(F.xxhash64("id"), F.shiftrightunsigned(F.xxhash64(F.xxhash64("id"), F.lit(1)), 20)).collect()]
+    return f"{h[0][0] ^ h[1][0] ^ h[2][0]:x}-{sum(s for _, s in h):x}"
