@@ -235,6 +235,14 @@ def pad_sequences(df: DataFrame, column: str, length: int, width: int, *, fill:
     return df.withColumn(f"{column}_length", n).withColumn(column, checked)
 
 
+def sequence_pieces(df: DataFrame, column: str, length: int) -> DataFrame:
+    """Each sequence as one row per piece of up to ``length`` elements, numbered from 0 by ``piece``; an empty one is one piece."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(column) - 1, F.lit(0)), F.lit(length))
+    others = [F.col(f"`{c}`") for c in df.columns if c != column]
+    pieces = df.select(*others, F.col(f"`{column}`").alias("__whole"), F.posexplode(starts).alias("piece", "__start"))
+    return pieces.withColumn(column, F.slice("__whole", F.col("__start") + 1, F.lit(length))).drop("__whole", "__start")
+
+
 def padded_type(df: DataFrame, column: str):
     return df.schema[column].dataType
 

@@ -183,3 +183,25 @@ def test_a_users_model_scores_every_episode(spark):
     assert {r["delta_x"] for r in plain} == {1.0}
     truth = ep.train_sequences(rows, vocabulary, policy="last_pass")
     assert episode_model.mean_error(episode_model.predict_with(truth, episode_model.mean_scores, model=models[0]).withColumn("fold", F.lit(3)), truth).first()["mean_error_m"] > 0
+
+
+def test_pieces_hold_every_element(spark):
+    df = spark.createDataFrame([("a", [[float(i), 0.0] for i in range(7)]), ("b", [[1.0, 2.0]] * 3), ("c", [])], "k string, points array<array<double>>")
+    pieces = {(r["k"], r["piece"]): r["points"] for r in ep.sequence_pieces(df, "points", 3).collect()}
+    assert {k: len(v) for k, v in pieces.items()} == {("a", 0): 3, ("a", 1): 3, ("a", 2): 1, ("b", 0): 3, ("c", 0): 0}
+    assert pieces["a", 2] == [[6.0, 0.0]]
+
+
+def test_padded_sequences_of_a_long_episode(spark, tmp_path):
+    """99 points: a fixed length of 64 was an error before."""
+    from datetime import datetime, timedelta
+
+    from __spark_entry__ import queries
+
+    at = datetime(2024, 1, 2, 3)
+    rows = [(i, at + timedelta(seconds=i), 1 if i < 50 else 2, "click", 0.0, "") for i in range(53)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["game_episode"]: r for r in queries()["padded_sequences"](spark, str(tmp_path)).collect()}
+    start, end = (lambda i: (i * 37 % 1051) / 10 / 105), (lambda i: (i * 71 % 1051) / 10 / 105 if i % 13 else 0.0)
+    assert {k: (r["points_length"], r["n"], r["tail"]) for k, r in got.items()} == {"1_0": (99, 64, 0.0), "2_0": (5, 64, 0.0)}
+    assert got["1_0"]["sum_x"] == pytest.approx(sum(start(i) for i in range(50)) + sum(end(i) for i in range(49)))
