@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType, DoubleType, StructType
 
 from tabflow.functions import fixed_values as fv
 from tabflow.operators import validate
+from tabflow.scratch import materialize
+
+# Folders that entity files are dealt over; more than 32 are listed by a job, not by the driver.
+ENTITY_FOLDERS = 64
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType | str | None = None) -> DataFrame:
@@ -74,6 +81,47 @@ def read_entity_files(spark: SparkSession, meta: DataFrame, files: str | Sequenc
     return rows.join(listed, F.col("__path") == F.col("__listed"), "inner").select(F.col("__key").alias(key), *own)
 
 
+def write_entity_files(df: DataFrame, base: str, *, key: str = "game_episode", path_column: str = "path", folders: int = ENTITY_FOLDERS) -> DataFrame:
+    """One CSV file with a header per entity below ``base``; returns the written table of (key, relative path).
+
+    Tasks write the files as they meet the entities, a batch at a time, so neither a folder per entity nor a
+    rename of every file by the driver is needed. A repeated task writes files of new names; the table lists
+    those of the task that counted. ``base`` is a folder all executors share.
+    """
+    columns = [c for c in df.columns if c != key]
+    header = ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\n') else c for c in columns)
+    lines = df.select(F.col(f"`{key}`").alias("entity"), F.to_csv(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("line"))
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, root = fs.FileSystem.from_uri(base)
+        made, out, now = set(), None, None
+        try:
+            for batch in batches:
+                listed = []
+                for entity, part in batch.groupby("entity", sort=False, dropna=False)["line"]:
+                    entity = None if pd.isna(entity) else entity
+                    if out is None or entity != now:
+                        if out is not None:
+                            out.close()
+                        name = uuid.uuid4()
+                        folder = str(name.int % folders)
+                        if folder not in made:
+                            place.create_dir(f"{root}/{folder}", recursive=True)
+                            made.add(folder)
+                        out, now = place.open_output_stream(f"{root}/{folder}/{name.hex}.csv"), entity
+                        out.write(f"{header}\n".encode())
+                        listed.append((entity, f"./{folder}/{name.hex}.csv"))
+                    out.write("".join(f"{line}\n" for line in part).encode())
+                yield pd.DataFrame(listed, columns=["entity", "path"])
+        finally:
+            if out is not None:
+                out.close()
+
+    dealt = lines.repartition("entity").sortWithinPartitions("entity")
+    listed = dealt.mapInPandas(write, f"entity {df.schema[key].dataType.simpleString()}, path string")
+    return materialize(listed.select(F.col("entity").alias(key), F.col("path").alias(path_column)), "entity-files")
+
+
 def null_for_nan(df: DataFrame) -> DataFrame:
     """NaN as null in all floating-point columns."""
     floats = [f.name for f in df.schema if isinstance(f.dataType, (FloatType, DoubleType))]

@@ -331,3 +331,24 @@ def test_entity_files_with_odd_names(spark, tmp_path, name):
     assert sorted(map(tuple, got)) == [("e1", 1, 2.5), ("e1", 2, 3.5)]
     with pytest.raises(validate.ValidationError, match="not among"):
         tables.read_entity_files(spark, spark.createDataFrame([("e1", f"{name}.missing")], "game_episode string, path string"), str(tmp_path), "action_id long, start_x double", base=str(tmp_path))
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_entity_files_are_written_by_tasks(spark, tmp_path, scheme):
+    """One file per entity in few folders, whatever the names, and over several Arrow batches."""
+    from collections import Counter
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    rows = [(f"e/{k}+ %,\"x", i, None if i % 3 == 0 else i / 3, "a,\"b" if i % 2 else None) for k in range(30) for i in range(k % 11 + 1)]
+    rows += [(None, 1, 0.5, "n"), (None, None, None, None), ("", 2, 1e-9, "")]
+    try:
+        df = spark.createDataFrame(rows, "game_episode string, action_id long, start_x double, note string")
+        meta = tables.write_entity_files(df, f"{scheme}{tmp_path}/of", folders=4)
+        got = tables.read_entity_files(spark, meta, f"{tmp_path}/of/*", "action_id long, start_x double, note string", base=f"{tmp_path}/of").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    files = [p for p in (tmp_path / "of").rglob("*") if p.is_file()]
+    assert len(files) == meta.count() == 32 and len(list((tmp_path / "of").iterdir())) <= 4
+    # an empty text in a file reads as null
+    assert Counter(map(tuple, got)) == Counter((k, a, x, n or None) for k, a, x, n in rows)
