@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
@@ -19,6 +21,8 @@ from tabflow.operators.metrics import euclidean_error
 from tabflow.scratch import materialize
 
 KEY = ep.KEY
+# Steps of the sequences that a worker turns into Python objects at once; a longer sequence stands alone.
+STEPS_AT_ONCE = 20_000
 DELTA = "game_episode string, anchor_x double, anchor_y double, delta_x double, delta_y double"
 
 
@@ -74,6 +78,22 @@ def predict_deltas(models: Sequence[tuple], samples: DataFrame) -> DataFrame:
     return out
 
 
+def _schema(delta: pa.DataType) -> pa.Schema:
+    return pa.schema([(KEY, pa.string()), ("anchor_x", pa.float64()), ("anchor_y", pa.float64()), ("delta_x", delta), ("delta_y", delta)])
+
+
+def _bounded(batches: Iterator[pa.RecordBatch], steps: int = STEPS_AT_ONCE) -> Iterator[pd.DataFrame]:
+    """Packed sequences of up to ``steps`` steps together; only these leave Arrow's compact form."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("num")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            done = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + steps, "right")))
+            yield batch.slice(at, stop - at).to_pandas()
+            at = stop
+
+
 def predict_with(sequences: DataFrame, predict: Callable[..., pd.DataFrame], *, model: object = None) -> DataFrame:
     """Deltas from a user's own model, scored on Arrow batches of packed sequences.
 
@@ -82,16 +102,17 @@ def predict_with(sequences: DataFrame, predict: Callable[..., pd.DataFrame], *,
     Python worker once, and is handed over as the first argument: its size is the caller's.
     """
     shared = sequences.sparkSession.sparkContext.broadcast(model) if model is not None else None
+    schema = _schema(pa.float64())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _bounded(batches):
             d = predict(b) if shared is None else predict(shared.value, b)
             if len(d) != len(b):
                 raise ValueError(f"the model returned {len(d)} rows for {len(b)} sequences")
             limited = {c: np.clip(np.asarray(d[c], dtype=np.float64), -1.0, 1.0) for c in ("delta_x", "delta_y")}
-            yield pd.DataFrame({**{c: b[c].to_numpy() for c in (KEY, "anchor_x", "anchor_y")}, **limited})
+            yield pa.RecordBatch.from_pandas(pd.DataFrame({**{c: b[c].to_numpy() for c in (KEY, "anchor_x", "anchor_y")}, **limited}), schema=schema, preserve_index=False)
 
-    return sequences.mapInPandas(run, DELTA)
+    return sequences.mapInArrow(run, DELTA)
 
 
 def score_episodes(df: DataFrame, vocabulary: DataFrame, models: Sequence[object], predict: Callable[..., pd.DataFrame], **options) -> DataFrame:
@@ -105,13 +126,14 @@ def score_episodes(df: DataFrame, vocabulary: DataFrame, models: Sequence[object
         parts = [predict(m, batch) for m in shared]
         return pd.DataFrame({c: [list(v) for v in zip(*[np.asarray(p[c], dtype=np.float64) for p in parts])] for c in ("delta_x", "delta_y")})
 
-    shared = sequences.sparkSession.sparkContext.broadcast(list(models))
+    shared, schema = sequences.sparkSession.sparkContext.broadcast(list(models)), _schema(pa.list_(pa.float64()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.concat([b[[KEY, "anchor_x", "anchor_y"]].reset_index(drop=True), every(shared.value, b)], axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _bounded(batches):
+            found = pd.concat([b[[KEY, "anchor_x", "anchor_y"]].reset_index(drop=True), every(shared.value, b)], axis=1)
+            yield pa.RecordBatch.from_pandas(found, schema=schema, preserve_index=False)
 
-    scored = sequences.mapInPandas(run, f"{KEY} string, anchor_x double, anchor_y double, delta_x array<double>, delta_y array<double>")
+    scored = sequences.mapInArrow(run, f"{KEY} string, anchor_x double, anchor_y double, delta_x array<double>, delta_y array<double>")
     each = scored.select(KEY, "anchor_x", "anchor_y", F.posexplode(F.arrays_zip("delta_x", "delta_y")).alias("fold", "d"))
     limited = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(f"d.{c}"))).alias(c)
     return each.select(KEY, "fold", "anchor_x", "anchor_y", limited("delta_x"), limited("delta_y"))

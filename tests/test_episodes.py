@@ -205,3 +205,14 @@ def test_padded_sequences_of_a_long_episode(spark, tmp_path):
     start, end = (lambda i: (i * 37 % 1051) / 10 / 105), (lambda i: (i * 71 % 1051) / 10 / 105 if i % 13 else 0.0)
     assert {k: (r["points_length"], r["n"], r["tail"]) for k, r in got.items()} == {"1_0": (99, 64, 0.0), "2_0": (5, 64, 0.0)}
     assert got["1_0"]["sum_x"] == pytest.approx(sum(start(i) for i in range(50)) + sum(end(i) for i in range(49)))
+
+
+def test_scoring_hands_over_bounded_batches(spark):
+    from tabflow.plans import episode_model
+
+    steps = [15_000, 30_000, 15_000, 5_000, 1]
+    rows = [(f"{i}_0", 0.5, 0.5, [[float(i)]] * n) for i, n in enumerate(steps)]
+    sequences = spark.createDataFrame(rows, "game_episode string, anchor_x double, anchor_y double, num array<array<double>>").coalesce(1)
+    got = {r["game_episode"]: (r["delta_x"], r["delta_y"]) for r in episode_model.predict_with(
+        sequences, lambda b: b.assign(delta_x=len(b) / 10, delta_y=b["num"].map(lambda v: v[0][0] / 10))).collect()}
+    assert got == {f"{i}_0": (x, i / 10) for i, x in enumerate([0.1, 0.1, 0.2, 0.2, 0.1])}
