@@ -67,3 +67,12 @@ def test_medians(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None), (9.0, None), (None, None)], "a double, b double")
     assert encode.fit_medians(df, ["a", "b"]) == {"a": 2.0}
     assert selection.select_quantiles(df.filter("false"), ["a"], [0.5]).count() == 0
+
+
+def test_passes_over_columns_equal_passes_over_long_rows(spark, monkeypatch):
+    df = spark.createDataFrame(rows(), SCHEMA).repartition(5)
+    table = lambda: sorted((tuple(r) for r in selection.select_quantiles(df, COLUMNS, PROBS, group=["g"], small=20, bins=32).collect()), key=lambda t: (t[0] or "", t[1]))
+    direct = table()
+    called = []
+    monkeypatch.setattr(selection, "_inside", lambda *a: called.append(a))
+    assert table() == direct and not called  # no pass unpivots the rows any more

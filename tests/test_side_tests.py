@@ -82,3 +82,18 @@ def test_drift_frame_uses_them(spark):
     frame = drift.drift_frame(df.filter("id < 500"), df.filter("id >= 500"), key="id")
     assert frame.dropped["cat"] == "no common category" and frame.dropped["up"].startswith("disjoint") and "x" in frame.features
     assert frame.table.agg(F.count("*")).first()[0] == 1000
+
+
+def test_cell_counts_equal_plain_counts(spark):
+    inf, nan = float("inf"), float("nan")
+    values = [0.0, -0.0, 0.1, 2.5, 2.4999, 9.99, 10.0, 10.1, -0.1, nan, None, inf, -inf]
+    rows = [(s, v, i) for s in (0, 1, None) for v in values for i in range((s or 0) + 1)]
+    df = spark.createDataFrame(rows, "is_test int, a double, b long").repartition(3)
+    got = {(r["feature"], r["cell"]): (r["n0"], r["n1"]) for r in drift.cell_counts(df, {"a": (0.0, 10.0), "b": (0.0, 1.0)}, 4).collect()}
+    want: dict = {}
+    for s, a, b in rows:
+        for c, v, hi in (("a", a, 10.0), ("b", b, 1.0)):
+            if s is not None and v is not None and 0.0 <= v <= hi:
+                n = want.setdefault((c, min(int(v / (hi / 4)), 3)), [0, 0])
+                n[s] += 1
+    assert got == {k: tuple(n) for k, n in want.items()}
