@@ -142,10 +142,20 @@ def floors(docs: DataFrame, model: LanguageModel, *, text: str = "text", lang: s
     ``least_grams`` n-grams, less ``margin`` and ``deviations`` standard deviations; a mean does not
     depend on a text's length, as a posterior does. A language without such texts has no floor.
     """
-    found = identify(docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("own")).filter("text is not null and own is not null"), model)
-    sums = found.filter((F.col("own") == F.col("lang_pred")) & (F.col("n_grams") >= least_grams)).groupBy("lang_pred").agg(F.avg("mean_log").alias("mean"), F.coalesce(F.stddev_pop("mean_log"), F.lit(0.0)).alias("spread"))
     # one row a language
-    return {r["lang_pred"]: r["mean"] - margin - deviations * r["spread"] for r in sums.collect()}
+    return {r["lang_pred"]: r["mean"] - margin - deviations * r["spread"] for r in _mean_logs(docs, model, text, lang, least_grams).collect()}
+
+
+def _mean_logs(docs: DataFrame, model: LanguageModel, text: str, lang: str, least_grams: int) -> DataFrame:
+    """(lang_pred, mean, spread) of the mean log-probabilities that ``floors`` asks for.
+
+    The condition stands inside the aggregates: as a filter it would be pushed below the prediction,
+    which tasks would then work out twice for every text, in twice as many Python workers.
+    """
+    found = identify(docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("own")).filter("text is not null and own is not null"), model)
+    own = F.when((F.col("own") == F.col("lang_pred")) & (F.col("n_grams") >= least_grams), F.col("mean_log"))
+    sums = found.groupBy("lang_pred").agg(F.avg(own).alias("mean"), F.coalesce(F.stddev_pop(own), F.lit(0.0)).alias("spread"))
+    return sums.filter("mean is not null")
 
 
 def strange(limits: dict[str, float], least_grams: int = LEAST_GRAMS, found: str = ""):

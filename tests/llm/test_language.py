@@ -98,3 +98,17 @@ def test_stretches_keep_order_and_content():
     texts = ["abc", None, "", "x" * 25, "de"]
     parts = [(k, p) for part, of in stretches(texts, 10) for p, k in zip(part, of)]
     assert ["".join(p for k, p in parts if k == i) for i in range(5)] == ["abc", "", "", "x" * 25, "de"]
+
+
+def test_floors_work_a_prediction_out_once(spark):
+    rows = [("hallo welt das ist " * 30, "de"), ("hallo welt das war " * 30, "de"), ("hello world this is " * 30, "en"), ("hello", "en"), ("hello world this is " * 30, "de"), (None, "en"), ("text", None)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = language.fit(docs.limit(4))
+    sums = language._mean_logs(docs, model, "text", "lang", 200)
+    # a prediction in a filter is pushed below the one that is aggregated: two for every text
+    assert sums._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    found = language.identify(docs.filter("text is not null and lang is not null").withColumnRenamed("lang", "own"), model).toPandas()
+    own = found[(found["own"] == found["lang_pred"]) & (found["n_grams"] >= 200)].groupby("lang_pred")["mean_log"]
+    want = (own.mean() - 2.0 - 4.0 * own.std(ddof=0)).to_dict()
+    got = language.floors(docs, model)
+    assert set(got) == set(want) == {"de", "en"} and all(abs(got[k] - want[k]) < 1e-9 for k in want)
