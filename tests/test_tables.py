@@ -352,3 +352,83 @@ def test_entity_files_are_written_by_tasks(spark, tmp_path, scheme):
     assert len(files) == meta.count() == 32 and len(list((tmp_path / "of").iterdir())) <= 4
     # an empty text in a file reads as null
     assert Counter(map(tuple, got)) == Counter((k, a, x, n or None) for k, a, x, n in rows)
+
+
+def test_entity_files_are_listed_by_tasks(spark, tmp_path):
+    """The result's plan holds no list of the files; nothing of their number stays on the driver."""
+    for k in range(5):
+        (tmp_path / f"{k}.csv").write_text(f"action_id,start_x\n{k},0.5\n")
+    meta = spark.createDataFrame([(f"e{k}", f"{k}.csv") for k in range(5)] + [("again", "3.csv"), (None, "4.csv")], "game_episode string, path string")
+    out = tables.read_entity_files(spark, meta, str(tmp_path), "action_id long, start_x double", base=str(tmp_path))
+    assert not out.inputFiles()
+    assert sorted((str(r["game_episode"]), r["action_id"]) for r in out.collect()) == [("None", 4), ("again", 3), *((f"e{k}", k) for k in range(5))]
+
+
+ODD_LINES = b'\xef\xbb\xbf\n  \naction_id,start_x\r\n1,2.5\n\n"2",x\r3,4,5\r\n\r\n ,\n6,"a ""b"""\n7,\xc3\xa9\xff\r8,9e-3'
+
+
+@pytest.mark.parametrize("split", [1, 2, 3, 7, 1 << 20])
+def test_entity_files_read_in_parts_equal_the_csv_reader(spark, tmp_path, monkeypatch, split):
+    monkeypatch.setattr(tables, "SPLIT_BYTES", split)
+    schema = "action_id long, start_x string, game_episode string"
+    (tmp_path / "a.csv").write_bytes(ODD_LINES if split > 12 else ODD_LINES.lstrip(b"\xef\xbb\xbf\n "))
+    (tmp_path / "empty.csv").write_bytes(b"")
+    meta = spark.createDataFrame([(1, "a.csv"), (2, "empty.csv")], "k int, path string")
+    out = tables.read_entity_files(spark, meta, f"{tmp_path}/*.csv", schema, base=str(tmp_path), key="k")
+    want = spark.read.option("header", True).schema(schema).csv(f"{tmp_path}/a.csv").collect()
+    assert out.columns == ["k", "action_id", "start_x", "game_episode"] and len(want) == 7
+    assert sorted(map(str, out.collect())) == sorted(str(r).replace("Row(", "Row(k=1, ") for r in want)
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 5, 100])
+def test_lines_start_in_one_part_each(monkeypatch, chunk):
+    import io
+
+    monkeypatch.setattr(tables, "_CHUNK", chunk)
+    text = b"ab\r\n\r\n\n\rc\r\rdef\n\r\nlong line without an end"
+    for step in range(1, len(text) + 2):
+        parts = [x for at in range(0, len(text), step) for x in tables._file_lines(io.BytesIO(text), at, at + step)]
+        assert parts == text.splitlines()
+
+
+def test_entity_files_are_covered_as_spark_lists_them(spark, tmp_path):
+    names = ["a1.csv", "b[1].csv", "_hidden.csv", ".dot.csv", "_k=v.csv", "in/c.csv", "in/a2.csv", "other/a3.csv", "k=1/d.csv", "k=2/j=x/d.csv"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("action_id\n1\n")
+    for files in [f"{tmp_path}/in", f"{tmp_path}/*.csv", f"{tmp_path}/{{in,other}}/a?.csv", f"{tmp_path}/{{in/c,other/a3}}.csv", f"file:{tmp_path}/in*", [f"{tmp_path}/in", f"{tmp_path}/a1.csv"], f"{tmp_path}/k=1", f"{tmp_path}/b\\[[0-9]\\].csv"]:
+        there = {r[0].split(str(tmp_path))[1][1:] for r in spark.read.format("binaryFile").load(files).select("path").collect()}
+        assert there
+        for name in names:
+            meta = spark.createDataFrame([("e", name)], "game_episode string, path string")
+            if name in there:
+                out = tables.read_entity_files(spark, meta, files, "action_id long", base=str(tmp_path))
+                assert [tuple(r) for r in out.collect()] == [("e", 1)] and not out.inputFiles()
+            else:
+                with pytest.raises(validate.ValidationError, match="not among"):
+                    tables.read_entity_files(spark, meta, files, "action_id long", base=str(tmp_path))
+    gone = spark.createDataFrame([("e", None)], "game_episode string, path string")
+    with pytest.raises(validate.ValidationError, match="None"):
+        tables.read_entity_files(spark, gone, str(tmp_path / "in"), "action_id long", base=str(tmp_path))
+
+
+def test_entity_files_in_column_folders_and_packed(spark, tmp_path):
+    import gzip
+
+    for k in (1, 2):
+        (tmp_path / "by" / f"k={k}").mkdir(parents=True)
+        (tmp_path / "by" / f"k={k}" / "d.csv").write_text(f"action_id\n{k}\n")
+    meta = spark.createDataFrame([("e1", "k=1/d.csv"), ("e2", "k=2/d.csv")], "game_episode string, path string")
+    out = tables.read_entity_files(spark, meta, str(tmp_path / "by"), "action_id long", base=str(tmp_path / "by"))
+    assert sorted(map(tuple, out.collect())) == [("e1", 1, 1), ("e2", 2, 2)] and out.columns == ["game_episode", "action_id", "k"]
+    (tmp_path / "z").mkdir()
+    (tmp_path / "z" / "d.csv.gz").write_bytes(gzip.compress(b"action_id\n1\n2\n") + gzip.compress(b"3\n"))
+    meta = spark.createDataFrame([("e", "d.csv.gz")], "game_episode string, path string")
+    out = tables.read_entity_files(spark, meta, str(tmp_path / "z"), "action_id long", base=str(tmp_path / "z"))
+    assert sorted(map(tuple, out.collect())) == [("e", 1), ("e", 2), ("e", 3)]
+
+
+def test_no_entities_give_no_rows(spark, tmp_path):
+    none = spark.createDataFrame([], "game_episode string, action_id long, start_x double")
+    meta = tables.write_entity_files(none, f"{tmp_path}/of")
+    assert tables.read_entity_files(spark, meta, f"{tmp_path}/of/*", "action_id long, start_x double", base=f"{tmp_path}/of").count() == 0
