@@ -29,8 +29,8 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
 UNDETERMINED = "und"
-# Floors: texts of fewer n-grams have none; strange is what lies below a language's mean by this much
-# (n-grams are some seven times rarer than they should be) and these deviations.
+# Floors: they are fitted on texts of so many n-grams, shorter texts have wider ones of their own; strange is what lies
+# below a language's mean by this much (n-grams are some seven times rarer than they should be) and these deviations.
 LEAST_GRAMS = 200
 # Characters whose n-grams a worker holds at once.
 STRETCH = 200_000
@@ -158,12 +158,35 @@ def _mean_logs(docs: DataFrame, model: LanguageModel, text: str, lang: str, leas
     return sums.filter("mean is not null")
 
 
-def strange(limits: dict[str, float], least_grams: int = LEAST_GRAMS, found: str = ""):
-    """Whether an identified text is below its language's floor: probably of a language nobody taught."""
+def expected(model: LanguageModel) -> dict[str, tuple[float, float]]:
+    """For each language the mean of an n-gram's log-probability, and a bound on ``n`` times the variance of a mean of ``n``.
+
+    Both follow from the model. N-grams that share no character count as independent: one n-gram shares
+    some with at most ``shared`` others, itself included.
+    """
+    log_prob = model.log_prob[:-1]
+    p = np.exp(log_prob)
+    mean = (p * log_prob).sum(axis=0)
+    shared = max(sum(a + b - 1 for b in model.orders) for a in model.orders)
+    return dict(zip(model.languages, zip(mean.tolist(), (shared * (p * (log_prob - mean) ** 2).sum(axis=0)).tolist())))
+
+
+def strange(limits: dict[str, float], least_grams: int = LEAST_GRAMS, found: str = "", model: LanguageModel | None = None, margin: float = MARGIN, deviations: float = DEVIATIONS):
+    """Whether an identified text is below its language's floor: probably of a language nobody taught.
+
+    ``limits`` are the floors of texts of ``least_grams`` n-grams or more. With a ``model`` every other
+    text has a floor, too, the wider the fewer n-grams it has (``expected``); else none.
+    """
+    col = lambda c: F.col(f"{found}{c}")
+    spread = expected(model) if model else {}
     below = F.lit(False)
-    for name, limit in sorted(limits.items()):
-        below = below | ((F.col(f"{found}lang_pred") == name) & (F.col(f"{found}mean_log") < limit))
-    return below & (F.col(f"{found}n_grams") >= least_grams)
+    for name in sorted({*limits, *spread}):
+        floor = F.when(col("n_grams") >= least_grams, F.lit(limits.get(name)).cast("double"))
+        if name in spread:
+            mean, variance = spread[name]
+            floor = F.coalesce(floor, F.lit(mean - margin) - F.lit(deviations) * F.sqrt(F.lit(variance) / col("n_grams")))
+        below = below | ((col("lang_pred") == name) & F.coalesce(col("mean_log") < floor, F.lit(False)))
+    return below
 
 
 def prediction(spark, model: LanguageModel):

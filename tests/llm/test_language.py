@@ -112,3 +112,55 @@ def test_floors_work_a_prediction_out_once(spark):
     want = (own.mean() - 2.0 - 4.0 * own.std(ddof=0)).to_dict()
     got = language.floors(docs, model)
     assert set(got) == set(want) == {"de", "en"} and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def taught_rows(spark, short: int = 40):
+    """Texts of two languages, long ones and ``short`` of some words only."""
+    rng = np.random.default_rng(7)
+    vocabulary = {"en": "the of and to in is that it was for on are with as his they at be this have from or one had by word but not what all were we when your can said", "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer"}
+    rows = []
+    for lang, words in vocabulary.items():
+        for k in range(300):
+            rows.append((len(rows), " ".join(rng.choice(words.split(), size=8 if k < short else 600)), lang))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+SHORT_UNLEARNED = ["すべての人間は生まれながらにして自由でありかつ尊厳と権利とについて平等である", "xq zvk wqj jjx pqz kvx zzq wxk qjv", "все люди рождаются свободными и равными"]
+
+
+def test_short_texts_are_judged_by_wider_floors(spark):
+    docs = taught_rows(spark)
+    model = language.fit(docs)
+    limits = language.floors(docs, model)
+    taught = language.identify(docs.select("text"), model)
+    assert taught.filter("n_grams < 200").count() >= 80 and taught.filter(language.strange(limits, model=model)).count() == 0
+    others = language.identify(spark.createDataFrame([(t,) for t in SHORT_UNLEARNED], "text string"), model)
+    assert others.filter("n_grams < 200").count() == len(SHORT_UNLEARNED)
+    assert others.filter(language.strange(limits, model=model)).count() == len(SHORT_UNLEARNED)
+    # some n-grams are too few whatever they are, and so are those of texts in a taught language
+    few = language.identify(spark.createDataFrame([("xq",), ("日本",), ("the of and",), ("ich",), ("A",), ("12",), (None,)], "text string"), model)
+    assert few.filter(language.strange(limits, model=model)).count() == 0
+
+
+def test_languages_without_long_texts_have_floors(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n, letters: " ".join("".join(rng.choice(list(letters), size=4)) for _ in range(n))
+    docs = spark.createDataFrame([(words(12, "abc"), "x") for _ in range(3000)], "text string, lang string")
+    model = language.fit(docs)
+    limits = language.floors(docs, model)
+    assert limits == {}
+    got = language.identify(spark.createDataFrame([(0, words(80, "abc")), (1, words(80, "ijklmnop")), (2, words(12, "abc"))], "k int, text string"), model)
+    assert [r["s"] for r in got.orderBy("k").select(language.strange(limits, model=model).alias("s")).collect()] == [False, True, False]
+
+
+def test_expected_bounds_the_variance(spark):
+    """Means of texts drawn from a language spread less than the bound says, and lie around the expected mean."""
+    rng = np.random.default_rng(6)
+    letters, weight = list("abcdefgh "), np.array([30, 20, 10, 10, 5, 3, 1, 1, 20]) / 100
+    texts = ["".join(rng.choice(letters, size=40, p=weight)) for _ in range(4000)]
+    docs = spark.createDataFrame([(t, "x") for t in texts], "text string, lang string")
+    model = language.fit(docs, smoothing=1e-6)
+    mean, variance = language.expected(model)["x"]
+    got = language.identify(docs.select("text"), model).toPandas()
+    assert abs(got["mean_log"].mean() - mean) < 0.05
+    assert ((got["mean_log"] - got["mean_log"].mean()) ** 2 * got["n_grams"]).mean() < variance

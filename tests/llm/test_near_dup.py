@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabflow.llm import near_dup, pipeline
 
@@ -110,3 +111,13 @@ def test_pairs_between_components_are_ruled_out_before_they_are_written(spark):
     assert [tuple(r) for r in near_dup._pairs(index, True).collect()] == [(118, 119)]
     kept = near_dup._open_runs(index.drop("cells")).collect()
     assert len(kept) == 120 and {r["key"] for r in kept} == {7}
+
+
+def test_every_pair_of_a_fingerprint_component_is_compared(spark, monkeypatch):
+    """Without the prefixes: similar texts whose fingerprints meet are found, also where a star of the component joins others."""
+    own = near_dup._prefixes
+    monkeypatch.setattr(near_dup, "_prefixes", lambda *a: own(*a).withColumns({"prefix": F.array().cast("array<long>"), "fingerprint": F.when(F.col("doc_id") % 3 > 0, F.lit(5).cast("long")).otherwise(F.lit(6).cast("long"))}))
+    text = lambda k: " ".join(f"w{(i * i + k) % 97}k{k}" for i in range(100))
+    data = [(k, text(k)) for k in range(20)] + [(k + 100, text(k) + " more") for k in range(20)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in pipeline.drop_near_duplicates(spark, docs, "").collect()) == list(range(20))

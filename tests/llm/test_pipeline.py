@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from tabflow.llm import decontaminate, mixing, pipeline
+from tests.llm.test_language import SHORT_UNLEARNED, taught_rows
 from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
@@ -65,3 +66,20 @@ def test_clean_documents_stay(spark, data):
     assert kept.count() == docs.count()
     dirty = decontaminate.op5(spark, data).filter("contaminated").count()
     assert pipeline.drop_benchmark_leaks(spark, docs, data).count() == docs.count() - dirty
+
+
+def test_texts_stay_where_no_language_is_taught(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in pipeline.keep_known_language(spark, docs, "").collect()) == [1, 4]
+
+
+def test_a_taught_language_may_be_called_undetermined(spark):
+    docs = spark.createDataFrame([(1, "some words of a language", "und"), (2, "andere worte", "de"), (3, "12", "und")], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in pipeline.keep_known_language(spark, docs, "").collect()) == [1, 2]
+
+
+def test_short_texts_of_other_languages_go(spark):
+    docs = taught_rows(spark)
+    other = spark.createDataFrame([*((-k, t, None) for k, t in enumerate(SHORT_UNLEARNED, 1)), (-9, "the of and", None)], docs.schema)
+    kept = pipeline.keep_known_language(spark, docs.unionByName(other), "")
+    assert [r["doc_id"] for r in kept.filter("doc_id < 0").collect()] == [-9] and kept.count() == docs.count() + 1
